@@ -6,6 +6,8 @@ same column names, floats rounded to 6 places.
 
 from __future__ import annotations
 
+from crowdrank.functions.patterns import WS
+
 # B1 comments: one scored comment per lineitem row.
 _B1 = """
   SELECT l_partkey AS video_id,
@@ -114,3 +116,114 @@ ORACLE: dict[str, str] = {
   FROM ({_recommendation_sql(_scores_sql(f"SELECT * FROM ({_B1}) WHERE sentiment_label = 0", digits=None))})
 """,
 }
+
+
+def _relevance_sql(title: str, query_literal: str) -> str:
+    split = f"'[{WS}.]+'"
+    q = f"list_distinct(string_split_regex(lower({query_literal}), {split}))"
+    t = f"list_distinct(string_split_regex(lower(coalesce({title}, '')), {split}))"
+    return f"CAST(len(list_filter({q}, lambda x: x <> '' AND list_contains({t}, x))) AS DOUBLE) / len({q})"
+
+
+_B1_NO_REL = """
+  SELECT l_partkey AS video_id,
+         CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 0 WHEN 'R' THEN -1 END AS INTEGER)
+           AS sentiment_label,
+         CAST(1 - l_discount AS DOUBLE) AS sentiment_score,
+         CAST(l_quantity AS BIGINT) AS like_count
+  FROM lineitem
+"""
+
+_TITLE_WORDS_RE = r"'\b(?:bolt|ring|hot plate)\b'"
+
+# B4 durations computed from the numbers the ISO text was made of.
+_DURATIONS = """
+  SELECT p_partkey AS video_id, p_name AS title,
+         CASE WHEN p_partkey % 13 = 0 THEN 'P1DT' || p_size || 'H'
+              ELSE 'PT' || (p_partkey % 3) || 'H' || p_size || 'M' || (p_partkey % 60) || 'S' END AS iso_duration,
+         CASE WHEN p_partkey % 13 = 0 THEN '00:00:00'
+              ELSE printf('%02d:%02d:%02d', p_partkey % 3, p_size, p_partkey % 60) END AS duration,
+         CAST(CASE WHEN p_partkey % 13 = 0 THEN 0
+              ELSE (p_partkey % 3) * 3600 + p_size * 60 + p_partkey % 60 END AS BIGINT) AS duration_seconds
+  FROM part
+"""
+
+_LI_COLS = ("l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
+            "l_tax, l_returnflag, l_linestatus, l_shipdate")
+
+_M2 = """CAST(CASE lower({0}) WHEN 'very positive' THEN 1 WHEN 'positive' THEN 1 WHEN 'neutral' THEN 0
+        WHEN 'negative' THEN -1 WHEN 'very negative' THEN -1 ELSE 0 END AS INTEGER)"""
+_M3 = """CASE lower({0}) WHEN 'very positive' THEN 'positive' WHEN 'positive' THEN 'positive'
+        WHEN 'neutral' THEN 'neutral' WHEN 'negative' THEN 'negative' WHEN 'very negative' THEN 'negative' END"""
+_M4S = """CAST(CASE lower({0}) WHEN '5 stars' THEN 1 WHEN '4 stars' THEN 1 WHEN '3 stars' THEN 0
+        WHEN '2 stars' THEN -1 WHEN '1 star' THEN -1 ELSE 0 END AS INTEGER)"""
+_M4W = """CASE lower({0}) WHEN '5 stars' THEN 'positive' WHEN '4 stars' THEN 'positive' WHEN '3 stars' THEN 'neutral'
+        WHEN '2 stars' THEN 'negative' WHEN '1 star' THEN 'negative' END"""
+
+ORACLE.update({
+    "item_scores_relevance": _scores_sql(f"""
+      SELECT c.*, v.relevance_score FROM ({_B1_NO_REL}) c
+      JOIN (SELECT p_partkey AS video_id, {_relevance_sql("p_name", "'red widget'")} AS relevance_score
+            FROM part) v USING (video_id)
+    """),
+    "title_filter": f"""
+  SELECT p_partkey AS video_id, p_name AS title FROM part
+  WHERE NOT regexp_matches(lower(coalesce(p_name, '')), {_TITLE_WORDS_RE})
+""",
+    "title_relevance": f"""
+  SELECT p_partkey AS video_id, p_name AS title,
+         {r6(_relevance_sql("p_name", "'blue widget.'"))} AS relevance_score
+  FROM part
+""",
+    "duration_parse": f"SELECT video_id, iso_duration, duration, duration_seconds FROM ({_DURATIONS})",
+    "duration_filter": f"""
+  SELECT video_id, duration, duration_seconds FROM ({_DURATIONS}) WHERE duration_seconds >= 65
+""",
+    "candidates_semi_join": f"""
+  WITH listing AS (
+    SELECT p_partkey AS video_id, p_name AS title,
+           row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn
+    FROM part),
+  kept AS (
+    SELECT video_id FROM listing
+    WHERE rn <= 50 AND NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE}))
+  SELECT video_id, title, duration, duration_seconds FROM ({_DURATIONS})
+  WHERE video_id IN (SELECT video_id FROM kept) AND duration_seconds >= 65
+""",
+    "comments_per_item_capped": f"""
+  SELECT l_orderkey, video_id, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
+         l_tax, l_returnflag, l_linestatus, l_shipdate
+  FROM (SELECT *, l_partkey AS video_id,
+               row_number() OVER (PARTITION BY l_partkey ORDER BY {_LI_COLS}) AS rn
+        FROM lineitem)
+  WHERE rn <= 20
+""",
+    "items_with_comments": """
+  WITH per AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey),
+  v AS (SELECT coalesce(per.n, 0) AS n FROM part LEFT JOIN per ON per.l_partkey = part.p_partkey)
+  SELECT count(*) AS n_videos, count(*) FILTER (WHERE n > 0) AS videos_with_comments,
+         CAST(sum(n) AS BIGINT) AS n_comments
+  FROM v
+""",
+    "sentiment_labels": f"""
+  WITH l AS (
+    SELECT doc_id, CASE WHEN toxic = 1 THEN 'Very Negative' WHEN quality = 1 THEN 'Positive'
+                        ELSE 'Neutral' END AS original_sentiment_label
+    FROM labels)
+  SELECT d.doc_id, l.original_sentiment_label,
+         {_M2.format("l.original_sentiment_label")} AS sentiment_label,
+         {_M3.format("l.original_sentiment_label")} AS sentiment_word
+  FROM documents d JOIN l ON l.doc_id = d.doc_id
+""",
+    "star_labels": f"""
+  WITH s AS (
+    SELECT l_orderkey, l_linenumber, l_partkey AS video_id,
+           CASE WHEN CAST(ceil(l_quantity / 10) AS INTEGER) = 1 THEN '1 star'
+                ELSE CAST(CAST(ceil(l_quantity / 10) AS INTEGER) AS VARCHAR) || ' stars' END
+             AS original_sentiment_label
+    FROM lineitem)
+  SELECT *, {_M4S.format("original_sentiment_label")} AS sentiment_label,
+         {_M4W.format("original_sentiment_label")} AS sentiment_word
+  FROM s
+""",
+})

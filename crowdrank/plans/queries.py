@@ -14,12 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crowdrank.functions.labels import label_score, label_word, stars_label
+from crowdrank.functions.relevance import title_relevance as relevance_of
+from crowdrank.operators import candidates as C
 from crowdrank.operators import recommend as R
 from crowdrank.operators import scoring as S
+from crowdrank.operators.filters import filter_min_duration, filter_titles
 from crowdrank.sources import tables as TB
 
 OUT_DIGITS = 6
 QUERY_TEXT = "red widget"  # relevance query over part names (B1)
+TITLE_QUERY = "blue widget."  # trailing '.' gives the empty token of the divisor
+TITLE_WORDS = ("bolt", "ring", "hot plate")  # exclusion words over part names (B4)
+CAP_COMMENTS = 20  # per-item comment cap for the W1 query (items have 14-60 rows)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +77,95 @@ def recommendation_none_polarized(spark: SparkSession, sf_dir: str) -> DataFrame
     return rounded(R.recommendation(S.video_scores(comments)))
 
 
+def item_scores_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = TB.read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("video_id"),
+        relevance_of(F.col("p_name"), QUERY_TEXT).alias("relevance_score"),
+    )
+    comments = TB.lineitem_comments_scored(spark, sf_dir)
+    return rounded(S.video_scores_with_relevance(comments, videos))
+
+
+# --- B4: titles, durations, candidates --------------------------------------
+
+
+def title_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = TB.part_listing(spark, sf_dir)
+    return filter_titles(listing, TITLE_WORDS).select("video_id", "title")
+
+
+def title_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = TB.part_listing(spark, sf_dir)
+    return rounded(
+        listing.select(
+            "video_id", "title", relevance_of(F.col("title"), TITLE_QUERY).alias("relevance_score")
+        )
+    )
+
+
+def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details = TB.part_details(spark, sf_dir).select("video_id", "iso_duration")
+    return C.with_durations(details.withColumn("iso", F.col("iso_duration")), iso="iso")
+
+
+def duration_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details = C.with_durations(TB.part_details(spark, sf_dir))
+    return filter_min_duration(details).select("video_id", "duration", "duration_seconds")
+
+
+def candidates_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = C.kept_candidates(TB.part_listing(spark, sf_dir), exclude_words=TITLE_WORDS)
+    details = C.candidate_details(TB.part_details(spark, sf_dir), kept)
+    return details.select("video_id", "title", "duration", "duration_seconds")
+
+
+def comments_per_item_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = TB.lineitem_comment_rows(spark, sf_dir)
+    order = [c for c in rows.columns if c != "video_id"]
+    return C.cap_comments(rows, CAP_COMMENTS, order=order)
+
+
+def items_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = TB.part_listing(spark, sf_dir).select("video_id")
+    comments = TB.lineitem_comments_scored(spark, sf_dir).select("video_id")
+    counted = C.comment_counts(videos, comments)
+    return counted.agg(
+        F.count(F.lit(1)).alias("n_videos"),
+        F.count(F.when(F.col("n_comments") > 0, True)).alias("videos_with_comments"),
+        F.sum("n_comments").alias("n_comments"),
+    )
+
+
+# --- label maps ---------------------------------------------------------------
+
+
+def sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id")
+    raw = docs.join(TB.gold_labels(spark, sf_dir), "doc_id", "inner")
+    label = F.col("original_sentiment_label")
+    return raw.select(
+        "doc_id",
+        "original_sentiment_label",
+        label_score(label).alias("sentiment_label"),
+        label_word(label).alias("sentiment_word"),
+    )
+
+
+def star_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = TB.read_table(spark, sf_dir, "lineitem")
+    stars = F.ceil(F.col("l_quantity") / 10).cast("int")
+    labelled = li.select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("video_id"),
+        stars_label(stars).alias("original_sentiment_label"),
+    )
+    label = F.col("original_sentiment_label")
+    return labelled.select(
+        "*",
+        label_score(label, "stars").alias("sentiment_label"),
+        label_word(label, "stars").alias("sentiment_word"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "item_scores": item_scores,
@@ -79,4 +175,14 @@ def all_queries() -> dict[str, Query]:
         "top3_polarized": top3_polarized,
         "recommendation": recommendation,
         "recommendation_none_polarized": recommendation_none_polarized,
+        "item_scores_relevance": item_scores_relevance,
+        "title_filter": title_filter,
+        "title_relevance": title_relevance,
+        "duration_parse": duration_parse,
+        "duration_filter": duration_filter,
+        "candidates_semi_join": candidates_semi_join,
+        "comments_per_item_capped": comments_per_item_capped,
+        "items_with_comments": items_with_comments,
+        "sentiment_labels": sentiment_labels,
+        "star_labels": star_labels,
     }

@@ -227,3 +227,88 @@ ORACLE.update({
   FROM s
 """,
 })
+
+
+# --- text cleaning in DuckDB ---------------------------------------------------
+# The markup and URL patterns are the specification and run unchanged in RE2;
+# entity decoding is written here in DuckDB's own list/map functions.
+from crowdrank.functions.patterns import NON_WS_RUN, WS_RUN  # noqa: E402
+from crowdrank.functions.text import (  # noqa: E402
+    CP1252_FIXUPS,
+    ENTITY_PATTERN,
+    LEGACY_ALTERNATION,
+    MARKUP_PATTERNS,
+    NAMED_ENTITIES,
+)
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_ENT_MAP = "MAP {" + ", ".join(f"{_lit(k)}: {_lit(v)}" for k, v in NAMED_ENTITIES.items()) + "}"
+_CP_MAP = "MAP {" + ", ".join(f"{k}: {_lit(v)}" for k, v in CP1252_FIXUPS.items()) + "}"
+_LEG = _lit("^(?:" + LEGACY_ALTERNATION + ")")
+_ENT_RE = _lit(ENTITY_PATTERN)
+
+
+def _cp_text(cp: str) -> str:
+    return f"""(CASE WHEN {cp} IS NULL OR {cp} = 0 OR {cp} > 1114111 OR {cp} BETWEEN 55296 AND 57343 THEN '�'
+      WHEN {cp} = 13 THEN chr(13)
+      WHEN {cp} BETWEEN 128 AND 159 THEN {_CP_MAP}[CAST({cp} AS INTEGER)]
+      WHEN {cp} BETWEEN 1 AND 8 OR {cp} = 11 OR {cp} BETWEEN 14 AND 31 OR {cp} = 127
+           OR {cp} BETWEEN 64976 AND 65007 OR {cp} % 65536 >= 65534 THEN ''
+      ELSE chr(CAST({cp} AS INTEGER)) END)"""
+
+
+def _ref_text(e: str) -> str:
+    hex_digits = f"ltrim(regexp_replace(substr({e}, 3), ';$', ''), '0')"
+    dec_digits = f"ltrim(regexp_replace(substr({e}, 2), ';$', ''), '0')"
+    hex_cp = (f"(CASE WHEN length({hex_digits}) <= 8 THEN TRY_CAST('0x' || "
+              f"CASE WHEN {hex_digits} = '' THEN '0' ELSE {hex_digits} END AS BIGINT) END)")
+    dec_cp = (f"(CASE WHEN length({dec_digits}) <= 10 THEN TRY_CAST("
+              f"CASE WHEN {dec_digits} = '' THEN '0' ELSE {dec_digits} END AS BIGINT) END)")
+    prefix = f"regexp_extract({e}, {_LEG}, 0)"
+    return f"""(CASE WHEN {e} ILIKE '#x%' THEN {_cp_text(hex_cp)}
+      WHEN {e} LIKE '#%' THEN {_cp_text(dec_cp)}
+      ELSE coalesce({_ENT_MAP}[{e}],
+                    CASE WHEN {prefix} <> '' THEN {_ENT_MAP}[{prefix}] || substr({e}, length({prefix}) + 1) END,
+                    '&' || {e}) END)"""
+
+
+def _decode_steps(src: str, col: str, out: str, keep: str) -> tuple[str, str]:
+    """Two CTE bodies that decode ``col`` of relation ``src`` into ``out``."""
+    a = f"""SELECT {keep}, {col},
+        string_split_regex({col}, {_ENT_RE}) AS _pieces,
+        list_transform(regexp_extract_all({col}, {_ENT_RE}, 1), lambda e: {_ref_text('e')}) AS _refs
+      FROM {src}"""
+    b = f"""SELECT {keep},
+        CASE WHEN {col} IS NULL THEN NULL WHEN NOT contains({col}, '&') THEN {col}
+             ELSE array_to_string(list_transform(_pieces, lambda p, i: p || coalesce(_refs[i], '')), '') END AS {out}"""
+    return a, b
+
+
+def clean_text_sql(table: str, key: str, col: str, out: str = "clean_text") -> str:
+    stripped = col
+    for pattern in MARKUP_PATTERNS:
+        stripped = f"regexp_replace({stripped}, {_lit(pattern)}, '', 'g')"
+    d1a, d1b = _decode_steps("s0", "t0", "t1", key)
+    d2a, d2b = _decode_steps("s2", "t2", "t3", key)
+    return f"""
+  WITH s0 AS (SELECT {key}, {stripped} AS t0 FROM {table}),
+  s1a AS ({d1a}), s1 AS ({d1b} FROM s1a),
+  s2 AS (SELECT {key}, regexp_replace(t1, {_lit("(?:https?://|www\\.)" + NON_WS_RUN)}, '', 'g') AS t2 FROM s1),
+  s3a AS ({d2a}), s3 AS ({d2b} FROM s3a)
+  SELECT {key}, regexp_replace(t3, {_lit(WS_RUN)}, ' ', 'g') AS {out} FROM s3
+"""
+
+
+ORACLE.update({
+    "clean_pages": clean_text_sql("pages", "page_id", "html"),
+    "strip_urls_whitespace": f"""
+  SELECT doc_id,
+         regexp_replace(regexp_replace(text, {_lit("(?:https?://|www\\.)" + NON_WS_RUN)}, '', 'g'),
+                        {_lit(WS_RUN)}, ' ', 'g') AS text_stripped
+  FROM documents
+""",
+})

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from crowdrank.functions.labels import label_score, label_word, stars_label
 from crowdrank.functions.relevance import title_relevance as relevance_of
+from crowdrank.functions.text import collapse_whitespace, strip_urls, with_clean_text
 from crowdrank.operators import candidates as C
 from crowdrank.operators import recommend as R
 from crowdrank.operators import scoring as S
@@ -166,6 +167,19 @@ def star_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- B3: text cleaning ---------------------------------------------------------
+
+
+def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = TB.read_table(spark, sf_dir, "pages")
+    return with_clean_text(pages.select("page_id", "html"), "html").select("page_id", "clean_text")
+
+
+def strip_urls_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = TB.read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", collapse_whitespace(strip_urls(F.col("text"))).alias("text_stripped"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "item_scores": item_scores,
@@ -185,4 +199,6 @@ def all_queries() -> dict[str, Query]:
         "items_with_comments": items_with_comments,
         "sentiment_labels": sentiment_labels,
         "star_labels": star_labels,
+        "clean_pages": clean_pages,
+        "strip_urls_whitespace": strip_urls_whitespace,
     }

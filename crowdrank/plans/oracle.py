@@ -312,3 +312,75 @@ ORACLE.update({
   FROM documents
 """,
 })
+
+
+# --- sentiment and language on documents -------------------------------------------
+from crowdrank.operators.language import STOPWORDS  # noqa: E402
+from crowdrank.plans.lexicons import ENGLISH_LEXICON, MULTILINGUAL_LEXICON  # noqa: E402
+
+_TOKENS = r"string_split_regex(lower({0}), '[^\p{{L}}]+')"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    body = ", ".join("(" + ", ".join(_lit(x) if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" for x in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS t({names}))"
+
+
+_LEXICON = _values(
+    [("en", k.lower(), float(v)) for k, v in ENGLISH_LEXICON.items()]
+    + [("*", k.lower(), float(v)) for k, v in MULTILINGUAL_LEXICON.items()],
+    "route, term, weight",
+)
+
+_DOC_SCORED = f"""
+  WITH c AS (
+    SELECT source AS video_id, doc_id AS comment_id, text AS clean_text, lang AS language,
+           doc_id % 10 AS like_count
+    FROM documents WHERE text IS NOT NULL),
+  tok AS (
+    SELECT comment_id, CASE WHEN language = 'en' THEN 'en' ELSE '*' END AS route,
+           unnest({_TOKENS.format("clean_text")}) AS term
+    FROM c),
+  hits AS (
+    SELECT comment_id, sum(weight) AS total, sum(abs(weight)) AS absw
+    FROM tok JOIN {_LEXICON} lex ON lex.route = tok.route AND lex.term = tok.term
+    GROUP BY comment_id),
+  v AS (
+    SELECT c.*, coalesce(h.total, 0) AS total, coalesce(h.absw, 0) AS absw
+    FROM c LEFT JOIN hits h USING (comment_id))
+  SELECT video_id, comment_id, language, like_count,
+         CASE WHEN total > 0 THEN 'positive' WHEN total < 0 THEN 'negative' ELSE 'neutral' END
+           AS original_sentiment_label,
+         CAST(CASE WHEN absw > 0 THEN abs(total) / absw ELSE 0.5 END AS DOUBLE) AS sentiment_score,
+         CAST(CASE WHEN total > 0 THEN 1 WHEN total < 0 THEN -1 ELSE 0 END AS INTEGER) AS sentiment_label,
+         CAST(1 AS DOUBLE) AS relevance_score
+  FROM v
+"""
+
+_STOPWORDS = _values([(lang, w) for lang, words in sorted(STOPWORDS.items()) for w in words], "lang, word")
+
+ORACLE.update({
+    "lexicon_sentiment": f"""
+  SELECT video_id, comment_id, language, like_count, original_sentiment_label,
+         {r6("sentiment_score")} AS sentiment_score, sentiment_label
+  FROM ({_DOC_SCORED})
+""",
+    "source_scores": _scores_sql(_DOC_SCORED),
+    "source_recommendation": f"""
+  SELECT best_video_id, {r6("best_score")} AS best_score, most_polarized_video_id,
+         {r6("most_polarized_polarization_score")} AS most_polarized_polarization_score,
+         {r6("most_polarized_std_deviation")} AS most_polarized_std_deviation
+  FROM ({_recommendation_sql(_scores_sql(_DOC_SCORED, digits=None))})
+""",
+    "language_stopwords": f"""
+  WITH tok AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS w FROM documents),
+  cnt AS (
+    SELECT doc_id, sw.lang, count(*) AS n FROM tok JOIN {_STOPWORDS} sw ON sw.word = tok.w
+    GROUP BY doc_id, sw.lang),
+  best AS (
+    SELECT doc_id, lang FROM cnt
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) = 1)
+  SELECT d.doc_id, coalesce(best.lang, 'unknown') AS language
+  FROM documents d LEFT JOIN best USING (doc_id)
+""",
+})

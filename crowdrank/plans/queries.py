@@ -21,6 +21,9 @@ from crowdrank.operators import candidates as C
 from crowdrank.operators import recommend as R
 from crowdrank.operators import scoring as S
 from crowdrank.operators.filters import filter_min_duration, filter_titles
+from crowdrank.operators import language as LG
+from crowdrank.operators import sentiment as SE
+from crowdrank.plans.lexicons import ENGLISH_LEXICON, MULTILINGUAL_LEXICON
 from crowdrank.sources import tables as TB
 
 OUT_DIGITS = 6
@@ -180,6 +183,41 @@ def strip_urls_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", collapse_whitespace(strip_urls(F.col("text"))).alias("text_stripped"))
 
 
+# --- B2: sentiment and language on documents ----------------------------------
+
+LEXICON_SCORERS = {
+    "en": SE.LexiconScorer(ENGLISH_LEXICON),
+    "*": SE.LexiconScorer(MULTILINGUAL_LEXICON),
+}
+
+
+def documents_scored(spark: SparkSession, sf_dir: str, scorers=None) -> DataFrame:
+    comments = TB.documents_comments(spark, sf_dir).withColumnRenamed("text", "clean_text")
+    return SE.score_sentiment(comments, scorers or LEXICON_SCORERS)
+
+
+def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(documents_scored(spark, sf_dir).drop("clean_text"))
+
+
+def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.video_scores(documents_scored(spark, sf_dir)))
+
+
+def source_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(R.recommendation(S.video_scores(documents_scored(spark, sf_dir))))
+
+
+def language_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = TB.read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", LG.stopword_language(F.col("text")).alias("language"))
+
+
+def language_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return LG.ngram_languages(docs, "doc_id", "text", LG.train_ngram_profiles(docs))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "item_scores": item_scores,
@@ -201,4 +239,9 @@ def all_queries() -> dict[str, Query]:
         "star_labels": star_labels,
         "clean_pages": clean_pages,
         "strip_urls_whitespace": strip_urls_whitespace,
+        "lexicon_sentiment": lexicon_sentiment,
+        "source_scores": source_scores,
+        "source_recommendation": source_recommendation,
+        "language_stopwords": language_stopwords,
+        "language_ngram": language_ngram,
     }

@@ -18,6 +18,12 @@ from crowdrank.fixed_values import EXCLUDE_WORDS, MIN_DURATION_SECONDS, NUM_CAND
 from crowdrank.functions.durations import duration_hhmmss, duration_seconds
 from crowdrank.operators.filters import filter_min_duration, filter_titles
 
+__all__ = [
+    "NUM_CANDIDATES", "NUM_COMMENTS", "cap_per_group", "cap_listing", "cap_comments",
+    "with_durations", "kept_candidates", "candidate_details", "comments_of",
+    "comment_counts", "filter_titles",
+]
+
 
 def cap_per_group(df: DataFrame, n: int, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First ``n`` rows of each group in ``order`` (ties need a full order

@@ -384,3 +384,29 @@ ORACLE.update({
   FROM documents d LEFT JOIN best USING (doc_id)
 """,
 })
+
+
+# --- landed responses and stage files (the oracle is the table itself) -----------
+ORACLE.update({
+    "landed_json_roundtrip": """
+  SELECT CAST(conv_id AS VARCHAR) AS video_id, CAST(turn // 100 AS BIGINT) AS page,
+         CAST(row_number() OVER (PARTITION BY conv_id, turn // 100 ORDER BY turn) - 1 AS INTEGER) AS item_pos,
+         CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS comment_id,
+         role AS author, text, turn AS like_count
+  FROM conversations
+""",
+    "landed_listing_roundtrip": f"""
+  WITH listing AS (
+    SELECT p_partkey AS video_id, p_name AS title,
+           row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn
+    FROM part),
+  kept AS (
+    SELECT video_id FROM listing
+    WHERE rn <= 50 AND NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE}))
+  SELECT CAST(d.video_id AS VARCHAR) AS video_id, d.title, d.duration, d.duration_seconds,
+         CAST(trunc(p.p_retailprice) AS BIGINT) AS view_count, CAST(p.p_size AS BIGINT) AS like_count
+  FROM ({_DURATIONS}) d JOIN part p ON p.p_partkey = d.video_id
+  WHERE d.video_id IN (SELECT video_id FROM kept) AND d.duration_seconds >= 65
+""",
+    "csv_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+})

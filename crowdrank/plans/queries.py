@@ -24,6 +24,9 @@ from crowdrank.operators.filters import filter_min_duration, filter_titles
 from crowdrank.operators import language as LG
 from crowdrank.operators import sentiment as SE
 from crowdrank.plans.lexicons import ENGLISH_LEXICON, MULTILINGUAL_LEXICON
+from crowdrank.session import scratch_path
+from crowdrank.sources import files as FS
+from crowdrank.sources import landed as LD
 from crowdrank.sources import tables as TB
 
 OUT_DIGITS = 6
@@ -218,6 +221,48 @@ def language_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LG.ngram_languages(docs, "doc_id", "text", LG.train_ngram_profiles(docs))
 
 
+# --- B5: landed responses and stage files --------------------------------------
+
+
+def landed_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations landed as comment-thread pages (turn = source position),
+    read back with the fixed schema and flattened."""
+    conv = TB.read_table(spark, sf_dir, "conversations")
+    comments = conv.select(
+        F.col("conv_id").cast("string").alias("video_id"),
+        F.col("turn").alias("position"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("comment_id"),
+        F.col("role").alias("author"),
+        F.col("text"),
+        F.col("turn").alias("like_count"),
+    )
+    path = scratch_path(spark, "landed-comments")
+    LD.land_comments(comments, path)
+    return LD.read_comments(spark, path)
+
+
+def landed_listing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part landed as search pages per brand and as video-detail pages,
+    read back, capped per query, title-filtered, semi-joined, durations."""
+    search_path = scratch_path(spark, "landed-search")
+    details_path = scratch_path(spark, "landed-details")
+    LD.land_search(TB.part_listing(spark, sf_dir), search_path)
+    LD.land_details(TB.part_details(spark, sf_dir), details_path)
+    listing = LD.read_search(spark, search_path)
+    kept = C.filter_titles(
+        C.cap_per_group(listing, C.NUM_CANDIDATES, ["query"], ["page", "item_pos"]), TITLE_WORDS
+    )
+    details = C.candidate_details(LD.read_details(spark, details_path), kept)
+    return details.select("video_id", "title", "duration", "duration_seconds", "view_count", "like_count")
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = TB.read_table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "csv")
+    FS.write_csv(docs, path)
+    return FS.read_csv(spark, path, docs.schema)
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "item_scores": item_scores,
@@ -244,4 +289,7 @@ def all_queries() -> dict[str, Query]:
         "source_recommendation": source_recommendation,
         "language_stopwords": language_stopwords,
         "language_ngram": language_ngram,
+        "landed_json_roundtrip": landed_json_roundtrip,
+        "landed_listing_roundtrip": landed_listing_roundtrip,
+        "csv_roundtrip": csv_roundtrip,
     }

@@ -90,11 +90,13 @@ def finish_scores(
     key: str = "video_id",
     pseudo_count: float = PSEUDO_COUNT,
     relevance: Column | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Apply shrinkage and the relevance adjustment to raw aggregates.
 
     ``relevance`` overrides the aggregated mean relevance (used when the
-    relevance comes from a per-video table joined after aggregation).
+    relevance comes from a per-video table joined after aggregation);
+    ``keep`` names extra columns to carry along (e.g. the query).
     """
     rel = relevance if relevance is not None else F.col("relevance_score")
     n = F.col("n_comments").cast("double")
@@ -103,6 +105,7 @@ def finish_scores(
     )
     root = F.sqrt(rel)
     return aggregates.select(
+        *[F.col(c) for c in keep],
         F.col(key),
         (F.col("score_sum") * rel).alias("total_score"),
         rel.alias("relevance_score"),

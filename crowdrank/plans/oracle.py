@@ -20,8 +20,8 @@ _B1 = """
 """
 
 
-def _scores_sql(comments: str, total: str = "sentiment_score", digits: int | None = 6) -> str:
-    """video_scores over a comments relation (SQL text)."""
+def _scores_sql(comments: str, total: str = "sentiment_score", digits: int | None = 6, keys: str = "video_id") -> str:
+    """video_scores over a comments relation (SQL text), grouped by ``keys``."""
 
     def r(x: str) -> str:
         return f"(round({x}, {digits}) + 0.0)" if digits is not None else x
@@ -29,7 +29,7 @@ def _scores_sql(comments: str, total: str = "sentiment_score", digits: int | Non
     return f"""
   WITH c AS ({comments}),
   g AS (
-    SELECT video_id,
+    SELECT {keys},
            coalesce(sum({total}), 0) AS score_sum,
            avg(relevance_score) AS rel,
            stddev_samp(sentiment_score) AS score_std,
@@ -38,8 +38,8 @@ def _scores_sql(comments: str, total: str = "sentiment_score", digits: int | Non
            abs(coalesce(sum(sentiment_label * sentiment_score * like_count)
                FILTER (WHERE sentiment_label = -1), 0)) AS neg,
            count(*) AS n
-    FROM c WHERE video_id IS NOT NULL GROUP BY video_id)
-  SELECT video_id,
+    FROM c WHERE video_id IS NOT NULL GROUP BY {keys})
+  SELECT {keys},
          {r("CAST(score_sum * rel AS DOUBLE)")} AS total_score,
          {r("CAST(rel AS DOUBLE)")} AS relevance_score,
          {r("CAST(score_std * sqrt(rel) AS DOUBLE)")} AS std_deviation,
@@ -332,11 +332,11 @@ _LEXICON = _values(
     "route, term, weight",
 )
 
-_DOC_SCORED = f"""
-  WITH c AS (
-    SELECT source AS video_id, doc_id AS comment_id, text AS clean_text, lang AS language,
-           doc_id % 10 AS like_count
-    FROM documents WHERE text IS NOT NULL),
+def _lexicon_scored_sql(base: str) -> str:
+    """Routed lexicon sentiment over ``base`` (video_id, comment_id,
+    clean_text, language, like_count)."""
+    return f"""
+  WITH c AS (SELECT * FROM ({base}) WHERE clean_text IS NOT NULL),
   tok AS (
     SELECT comment_id, CASE WHEN language = 'en' THEN 'en' ELSE '*' END AS route,
            unnest({_TOKENS.format("clean_text")}) AS term
@@ -357,6 +357,12 @@ _DOC_SCORED = f"""
   FROM v
 """
 
+
+_DOC_SCORED = _lexicon_scored_sql("""
+    SELECT source AS video_id, doc_id AS comment_id, text AS clean_text, lang AS language,
+           doc_id % 10 AS like_count
+    FROM documents""")
+
 _STOPWORDS = _values([(lang, w) for lang, words in sorted(STOPWORDS.items()) for w in words], "lang, word")
 
 ORACLE.update({
@@ -410,3 +416,96 @@ ORACLE.update({
 """,
     "csv_roundtrip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
 })
+
+
+# --- end to end ------------------------------------------------------------------
+
+
+def _stopword_language_sql(rel: str, key: str, col: str) -> str:
+    return f"""
+  WITH tok AS (SELECT {key}, unnest({_TOKENS.format(col)}) AS w FROM ({rel})),
+  cnt AS (
+    SELECT {key}, sw.lang, count(*) AS n FROM tok JOIN {_STOPWORDS} sw ON sw.word = tok.w
+    GROUP BY {key}, sw.lang),
+  best AS (
+    SELECT {key}, lang FROM cnt
+    QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY n DESC, lang) = 1)
+  SELECT r.{key}, CASE WHEN r.{col} IS NULL THEN 'unknown' ELSE coalesce(best.lang, 'unknown') END AS language
+  FROM ({rel}) r LEFT JOIN best USING ({key})
+"""
+
+
+def _recommend_per_query_sql(scores: str, queries: str) -> str:
+    p = "polarization_score_with_pseudo_count"
+    return f"""
+  WITH s AS ({scores}),
+  best AS (
+    SELECT query, video_id AS best_video_id, total_score AS best_score FROM s
+    WHERE total_score IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(total_score, 9) DESC, video_id) = 1),
+  top AS (
+    SELECT *, row_number() OVER (PARTITION BY query ORDER BY round({p}, 9) DESC, video_id) AS rk
+    FROM s WHERE {p} IS NOT NULL),
+  pol AS (
+    SELECT query, video_id AS most_polarized_video_id, {p} AS most_polarized_polarization_score,
+           std_deviation AS most_polarized_std_deviation
+    FROM top WHERE rk <= 3 AND {p} * total_score > 0
+    QUALIFY row_number() OVER (PARTITION BY query ORDER BY round({p} * total_score, 9) DESC, rk) = 1)
+  SELECT q.query, best_video_id, {r6("best_score")} AS best_score, most_polarized_video_id,
+         {r6("most_polarized_polarization_score")} AS most_polarized_polarization_score,
+         {r6("most_polarized_std_deviation")} AS most_polarized_std_deviation
+  FROM ({queries}) q LEFT JOIN best USING (query) LEFT JOIN pol USING (query)
+"""
+
+
+_BRAND_COMMENTS = f"""
+  WITH listing AS (
+    SELECT p_brand AS query, p_partkey AS video_id, p_name AS title,
+           row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn
+    FROM part),
+  kept AS (
+    SELECT query, video_id FROM listing
+    WHERE rn <= 50 AND NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE})),
+  vids AS (
+    SELECT k.query, k.video_id FROM kept k JOIN ({_DURATIONS}) d USING (video_id)
+    WHERE d.duration_seconds >= 65),
+  com AS (
+    SELECT * FROM (
+      SELECT b.*, row_number() OVER (PARTITION BY l_partkey ORDER BY {_LI_COLS}) AS rn
+      FROM (SELECT *, l_partkey AS video_id,
+                   CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 0 WHEN 'R' THEN -1 END AS INTEGER)
+                     AS sentiment_label,
+                   CAST(1 - l_discount AS DOUBLE) AS sentiment_score,
+                   CAST(l_quantity AS BIGINT) AS like_count
+            FROM lineitem) b)
+    WHERE rn <= 100)
+  SELECT v.query, com.video_id, com.sentiment_label, com.sentiment_score, com.like_count,
+         CAST(1 AS DOUBLE) AS relevance_score
+  FROM com JOIN vids v USING (video_id)
+"""
+
+_CLEAN_DOCS = clean_text_sql("documents", "doc_id", "text")
+_TEXT_BASE = f"""
+    SELECT d.source AS video_id, d.doc_id AS comment_id, cl.clean_text, lg.language, d.doc_id % 10 AS like_count
+    FROM documents d JOIN ({_CLEAN_DOCS}) cl USING (doc_id)
+    JOIN ({_stopword_language_sql(_CLEAN_DOCS, "doc_id", "clean_text")}) lg USING (doc_id)
+"""
+
+ORACLE.update({
+    "ranking_by_brand": _recommend_per_query_sql(
+        _scores_sql(_BRAND_COMMENTS, digits=None, keys="query, video_id"),
+        "SELECT DISTINCT p_brand AS query FROM part",
+    ),
+    "text_ranking": f"""
+  SELECT best_video_id, {r6("best_score")} AS best_score, most_polarized_video_id,
+         {r6("most_polarized_polarization_score")} AS most_polarized_polarization_score,
+         {r6("most_polarized_std_deviation")} AS most_polarized_std_deviation,
+         printf('%.2f', best_score) AS best_score_text,
+         'https://www.youtube.com/watch?v=' || CAST(best_video_id AS VARCHAR) AS best_video_url,
+         printf('%.2f', most_polarized_polarization_score) AS polarization_text,
+         printf('%.2f', most_polarized_std_deviation) AS std_deviation_text,
+         'https://www.youtube.com/watch?v=' || CAST(most_polarized_video_id AS VARCHAR)
+           AS most_polarized_video_url
+  FROM ({_recommendation_sql(_scores_sql(_lexicon_scored_sql(_TEXT_BASE), digits=None))})
+""",
+})

@@ -23,7 +23,9 @@ from crowdrank.operators import scoring as S
 from crowdrank.operators.filters import filter_min_duration, filter_titles
 from crowdrank.operators import language as LG
 from crowdrank.operators import sentiment as SE
+from crowdrank.plans import ranker as RK
 from crowdrank.plans.lexicons import ENGLISH_LEXICON, MULTILINGUAL_LEXICON
+from crowdrank.functions.text import with_clean_text as _with_clean_text
 from crowdrank.session import scratch_path
 from crowdrank.sources import files as FS
 from crowdrank.sources import landed as LD
@@ -263,6 +265,30 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FS.read_csv(spark, path, docs.schema)
 
 
+# --- end to end ---------------------------------------------------------------
+
+
+def ranking_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4 listing/details per brand + B1 scored comments: one recommendation
+    per brand (cap 50 per brand, title words, min 65 s, ≤ 100 comments per
+    item in source order)."""
+    params = RK.RankerParams(exclude_words=TITLE_WORDS, comment_order=TB.LINEITEM_ORDER)
+    result = RK.rank_from_scored(
+        TB.part_listing(spark, sf_dir), TB.part_details(spark, sf_dir),
+        TB.lineitem_comments_ordered(spark, sf_dir), params,
+    )
+    return rounded(result.recommendation)
+
+
+def text_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2 texts: clean text → detected language → routed lexicon sentiment
+    → scores per source → recommendation."""
+    comments = TB.documents_comments(spark, sf_dir).drop("language")
+    prepared = LG.with_language(_with_clean_text(comments, "text", "clean_text"), "clean_text", "language")
+    scored = SE.score_sentiment(prepared, LEXICON_SCORERS)
+    return rounded(R.recommendation_report(R.recommendation(S.video_scores(scored))))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "item_scores": item_scores,
@@ -292,4 +318,6 @@ def all_queries() -> dict[str, Query]:
         "landed_json_roundtrip": landed_json_roundtrip,
         "landed_listing_roundtrip": landed_listing_roundtrip,
         "csv_roundtrip": csv_roundtrip,
+        "ranking_by_brand": ranking_by_brand,
+        "text_ranking": text_ranking,
     }

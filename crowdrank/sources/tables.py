@@ -52,6 +52,25 @@ def lineitem_comments_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LINEITEM_ORDER = (
+    "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+def lineitem_comments_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 scored comments plus every column of the source order (needed by
+    the per-item cap, as (orderkey, linenumber) is not unique)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_partkey").alias("video_id"),
+        returnflag_label(F.col("l_returnflag")).alias("sentiment_label"),
+        (F.lit(1.0) - F.col("l_discount")).alias("sentiment_score"),
+        F.col("l_quantity").cast("bigint").alias("like_count"),
+        *[F.col(c) for c in LINEITEM_ORDER],
+    )
+
+
 def lineitem_comment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1 with every lineitem column kept (for the per-item cap, whose
     source order needs all columns as (orderkey, linenumber) is not unique)."""

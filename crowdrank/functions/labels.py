@@ -1,13 +1,13 @@
 """Label maps: model label text → {1, 0, −1} and → word.
 
-Each map is a literal ``map`` in the plan (a handful of entries), looked up
-with the lower-cased label; unknown labels give 0 (scores) or NULL (words).
+Each map (a handful of entries) becomes a ``CASE`` on the lower-cased
+label; unknown labels give 0 (scores) or NULL (words).  (A literal ``map``
+would also work, but folded map literals do not compare equal, which keeps
+Spark from reusing an exchange between two branches of one plan.)
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +25,27 @@ SCHEMES = {
 }
 
 
-def map_literal(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
+def map_case(key: Column, mapping: dict, default=None) -> Column:
+    """``CASE key WHEN k1 THEN v1 ... ELSE default END``."""
+    items = list(mapping.items())
+    if not items:
+        return F.lit(default)
+    out = F.when(key == F.lit(items[0][0]), F.lit(items[0][1]))
+    for k, v in items[1:]:
+        out = out.when(key == F.lit(k), F.lit(v))
+    return out.otherwise(F.lit(default))
 
 
 def label_score(label: Column, scheme: str = "sentiment") -> Column:
     """Canonical label in {1, 0, −1}; unknown or NULL label → 0."""
     scores, _ = SCHEMES[scheme]
-    hit = F.try_element_at(map_literal(scores), F.lower(label))
-    return F.coalesce(hit, F.lit(UNKNOWN_LABEL_SCORE)).cast("int")
+    return map_case(F.lower(label), scores, UNKNOWN_LABEL_SCORE).cast("int")
 
 
 def label_word(label: Column, scheme: str = "sentiment") -> Column:
     """positive / neutral / negative; NULL for unknown labels."""
     _, words = SCHEMES[scheme]
-    return F.try_element_at(map_literal(words), F.lower(label))
+    return map_case(F.lower(label), words, None).cast("string")
 
 
 def stars_label(stars: Column) -> Column:

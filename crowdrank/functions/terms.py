@@ -1,22 +1,28 @@
-"""Tokens and literal term tables.
-
-A term table (term → value) small enough to ship inside the plan is looked
-up per token without any shuffle.  Spark scans a map's keys on lookup, so
-the table is nested by first character and then by length: a lookup costs
-three small scans, not one over all terms.  Larger tables go through a join
-instead (see ``crowdrank.operators.sentiment``); ``MAX_LITERAL_TERMS`` is the
-checked bound.
+"""Tokens and word counting.
+
+A token is a maximal run of letters of the lower-cased text.  The text is
+normalised once per row into its tokens separated by two spaces and framed
+by one (``" the  cat "``); counting how many tokens belong to a word list
+is then one regular-expression pass (`` (?:w1|w2|...) ``) that can only
+start at a space — generated code, no per-token lambda, no explode, no
+shuffle.  Words that are not all letters can never equal a token and are
+dropped.  Lists past ``MAX_REGEX_WORDS`` go through a join instead (see
+``crowdrank.operators.sentiment``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable
 
+import regex as _re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_LITERAL_TERMS = 50_000
+from crowdrank.functions.patterns import quote_literal
+
+MAX_REGEX_WORDS = 2_000
 TOKEN_SPLIT = r"[^\p{L}]+"   # letters only; digits and punctuation split
+_ALL_LETTERS = _re.compile(r"^\p{L}+$")
 
 
 def word_tokens(text: Column) -> Column:
@@ -24,56 +30,31 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT, -1), lambda t: t != F.lit(""))
 
 
-def _sql_string(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _sql_value(v: object) -> str:
-    if isinstance(v, (list, tuple)):
-        return f"array({', '.join(_sql_value(x) for x in v)})"
-    if isinstance(v, str):
-        return _sql_string(v)
-    if isinstance(v, bool):
-        return "true" if v else "false"
-    if isinstance(v, int):
-        return f"CAST({v} AS BIGINT)"
-    return f"CAST({float(v)!r} AS DOUBLE)"
-
-
-def _map_sql(keys: list, values: list[str]) -> str:
-    return f"map_from_arrays(array({', '.join(keys)}), array({', '.join(values)}))"
-
-
-class TermTable:
-    """A literal term → value table (values: int, float, str or a list of one of them)."""
-
-    def __init__(self, entries: Mapping[str, object]):
-        if len(entries) > MAX_LITERAL_TERMS:
-            raise ValueError(
-                f"{len(entries)} terms exceed the literal bound {MAX_LITERAL_TERMS}; use a join"
-            )
-        self.entries = dict(entries)
-        nested: dict[str, dict[int, dict[str, object]]] = {}
-        for term, value in self.entries.items():
-            if term:
-                nested.setdefault(term[0], {}).setdefault(len(term), {})[term] = value
-        by_initial = []
-        initials = sorted(nested)
-        for initial in initials:
-            lengths = sorted(nested[initial])
-            inner = [
-                _map_sql(
-                    [_sql_string(t) for t in nested[initial][n]],
-                    [_sql_value(v) for v in nested[initial][n].values()],
-                )
-                for n in lengths
-            ]
-            by_initial.append(_map_sql([str(n) for n in lengths], inner))
-        self._sql = _map_sql([_sql_string(i) for i in initials], by_initial) if initials else None
-
-    def lookup(self, term: Column) -> Column:
-        """Value of ``term``; NULL when absent."""
-        if self._sql is None:
-            return F.lit(None)
-        by_length = F.try_element_at(F.expr(self._sql), F.substring(term, 1, 1))
-        return F.try_element_at(F.try_element_at(by_length, F.length(term)), term)
+def token_words(words: Iterable[str]) -> list[str]:
+    """The distinct lower-cased words that can be tokens, longest first."""
+    kept = {w.lower() for w in words if w and _ALL_LETTERS.match(w.lower())}
+    return sorted(kept, key=lambda w: (-len(w), w))
+
+
+def normalized_tokens(text: Column) -> Column:
+    """`` tok1  tok2 `` — the lower-cased letter runs, two spaces apart,
+    one space at each end (a text without letters gives ``"  "``)."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), TOKEN_SPLIT, "  "), F.lit(" "))
+
+
+def whole_token_pattern(words: Iterable[str]) -> str | None:
+    ws = token_words(words)
+    if not ws:
+        return None
+    if len(ws) > MAX_REGEX_WORDS:
+        raise ValueError(f"{len(ws)} words exceed the regex bound {MAX_REGEX_WORDS}; use a join")
+    return " (?:" + "|".join(quote_literal(w) for w in ws) + ") "
+
+
+def count_tokens_in(normalized: Column, words: Iterable[str]) -> Column:
+    """Number of tokens in ``words``, over a ``normalized_tokens`` column
+    (0 for NULL)."""
+    pattern = whole_token_pattern(words)
+    if pattern is None:
+        return F.lit(0)
+    return F.coalesce(F.regexp_count(normalized, F.lit(pattern)), F.lit(0))

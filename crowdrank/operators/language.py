@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdrank.fixed_values import UNKNOWN_LANGUAGE
-from crowdrank.functions.terms import TermTable, word_tokens
+from crowdrank.functions.terms import count_tokens_in, normalized_tokens
 
 # Stop words per language (this project's choice; extend freely).
 STOPWORDS: dict[str, tuple[str, ...]] = {
@@ -39,24 +39,29 @@ def _argmax_language(counts: Sequence[Column], codes: Sequence[str]) -> Column:
 
 
 def stopword_language(text: Column, stopwords: Mapping[str, Sequence[str]] = STOPWORDS) -> Column:
-    """Language code from stop-word counts over the whole text."""
-    codes = sorted(stopwords)
-    bits: dict[str, int] = {}
-    for i, code in enumerate(codes):
-        for word in stopwords[code]:
-            bits[word.lower()] = bits.get(word.lower(), 0) | (1 << i)
-    table = TermTable(bits)
-    hits = F.filter(F.transform(word_tokens(text), table.lookup), lambda b: b.isNotNull())
-    def has_bit(bit: int):
-        # PySpark reads a lambda's arity, so no default arguments here.
-        return lambda b: b.bitwiseAND(F.lit(bit)) != 0
+    """Language code from stop-word token counts over the whole text (one
+    regular-expression pass per language)."""
+    return language_of_tokens(normalized_tokens(text), text.isNull(), stopwords)
+
 
-    counts = [F.size(F.filter(hits, has_bit(1 << i))) for i in range(len(codes))]
-    return F.when(text.isNull(), F.lit(UNKNOWN_LANGUAGE)).otherwise(_argmax_language(counts, codes))
+def language_of_tokens(
+    normalized: Column, is_null: Column, stopwords: Mapping[str, Sequence[str]] = STOPWORDS
+) -> Column:
+    """``stopword_language`` over a ``normalized_tokens`` column."""
+    codes = sorted(stopwords)
+    counts = [count_tokens_in(normalized, stopwords[c]) for c in codes]
+    return F.when(is_null, F.lit(UNKNOWN_LANGUAGE)).otherwise(_argmax_language(counts, codes))
 
 
 def with_language(df: DataFrame, src: str = "clean_text", out: str = "language") -> DataFrame:
-    return df.withColumn(out, stopword_language(F.col(src)))
+    """Add the detected language; the normalised tokens are staged as
+    their own column, as every language's count reads them."""
+    tmp = f"__{out}_tokens"
+    return (
+        df.withColumn(tmp, normalized_tokens(F.col(src)))
+        .withColumn(out, language_of_tokens(F.col(tmp), F.col(src).isNull()))
+        .drop(tmp)
+    )
 
 
 # --- character trigram profiles -------------------------------------------------

@@ -56,33 +56,38 @@ def most_polarized(scores: DataFrame, k: int = TOP_POLARIZED, key: str = "video_
     )
 
 
-def recommendation(scores: DataFrame, k: int = TOP_POLARIZED, key: str = "video_id") -> DataFrame:
-    """Always exactly one row with the five result columns (NULLs when a
-    side has no answer, e.g. on empty input)."""
-    best = best_video(scores, key).select(
-        F.lit("best").alias("_role"),
-        F.col(key).alias("_id"),
-        F.col("total_score").alias("_a"),
-        F.lit(None).cast("double").alias("_b"),
+def _tagged(df: DataFrame, role: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same columns for every branch, so that the scores' shuffle is
+    one subplan shared by all branches (Spark reuses the exchange instead of
+    running everything before it once per branch)."""
+    return df.select(
+        F.lit(role).alias("_role"), *[F.col(c) for c in keep], F.col(key).alias("_id"),
+        F.col("total_score").alias("_total"), F.col(POL).alias("_pol"),
+        F.col("std_deviation").alias("_std"),
     )
-    polarized = most_polarized(scores, k, key).select(
-        F.lit("polarized").alias("_role"),
-        F.col(key).alias("_id"),
-        F.col(POL).alias("_a"),
-        F.col("std_deviation").alias("_b"),
-    )
-    tagged = best.unionByName(polarized)
 
-    def pick(role: str, col: str) -> Column:
-        return F.max(F.when(F.col("_role") == role, F.col(col)))
 
-    return tagged.agg(
-        pick("best", "_id").alias("best_video_id"),
-        pick("best", "_a").alias("best_score"),
-        pick("polarized", "_id").alias("most_polarized_video_id"),
-        pick("polarized", "_a").alias("most_polarized_polarization_score"),
-        pick("polarized", "_b").alias("most_polarized_std_deviation"),
+def _pick(role: str, col: str) -> Column:
+    return F.max(F.when(F.col("_role") == role, F.col(col)))
+
+
+def result_columns() -> list[Column]:
+    return [
+        _pick("best", "_id").alias("best_video_id"),
+        _pick("best", "_total").alias("best_score"),
+        _pick("polarized", "_id").alias("most_polarized_video_id"),
+        _pick("polarized", "_pol").alias("most_polarized_polarization_score"),
+        _pick("polarized", "_std").alias("most_polarized_std_deviation"),
+    ]
+
+
+def recommendation(scores: DataFrame, k: int = TOP_POLARIZED, key: str = "video_id") -> DataFrame:
+    """Always exactly one row with the five result columns (NULLs when a
+    side has no answer, e.g. on empty input)."""
+    tagged = _tagged(best_video(scores, key), "best", key).unionByName(
+        _tagged(most_polarized(scores, k, key), "polarized", key)
     )
+    return tagged.agg(*result_columns())
 
 
 def recommendation_report(rec: DataFrame, url_prefix: str = WATCH_URL_PREFIX) -> DataFrame:

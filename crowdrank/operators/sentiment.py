@@ -11,10 +11,11 @@ languages, ``unknown``, NULL) → the multilingual one.
 
 Scorers:
 
-* ``LexiconScorer`` — tokens looked up in a term → weight lexicon; label is
-  the sign of the summed weight, confidence |Σw| / Σ|w|, no hit → neutral
-  with a fixed confidence.  Native expression (literal table) or, for a
-  lexicon past the literal bound, an explode → join → aggregate job.
+* ``LexiconScorer`` — tokens matched against a term → weight lexicon; label
+  is the sign of the summed weight, confidence |Σw| / Σ|w|, no hit →
+  neutral with a fixed confidence.  Native expression (one whole-token
+  count per distinct weight) or, for a lexicon past the regex bound, an
+  explode → join → aggregate job.
 * ``TrainedScorer`` — Spark ML tokenizer → hashing TF → logistic
   regression, fitted on labelled comments.
 * ``PluginScorer`` — any ``pandas.Series[str] -> DataFrame(label, score)``
@@ -36,7 +37,13 @@ from pyspark.sql import types as T
 
 from crowdrank.fixed_values import ERROR_LABEL
 from crowdrank.functions.labels import label_score
-from crowdrank.functions.terms import MAX_LITERAL_TERMS, TermTable, word_tokens
+from crowdrank.functions.terms import (
+    MAX_REGEX_WORDS,
+    count_tokens_in,
+    normalized_tokens,
+    token_words,
+    word_tokens,
+)
 from crowdrank.functions.text import truncate_chars
 from crowdrank.operators.filters import drop_missing_text
 
@@ -72,12 +79,25 @@ class LexiconScorer:
         score = F.when(absolute > 0, F.abs(total) / absolute).otherwise(F.lit(float(self.neutral_score)))
         return raw, score
 
-    def expression(self, text: Column) -> Column:
-        """struct(label, score) for one text, no shuffle."""
-        table = TermTable({k.lower(): float(v) for k, v in self.weights.items()})
-        hits = F.filter(F.transform(word_tokens(text), table.lookup), lambda w: w.isNotNull())
-        total = F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + w)
-        absolute = F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + F.abs(w))
+    def by_weight(self) -> dict[float, list[str]]:
+        """Token-able terms grouped by weight (a term listed twice keeps
+        its last weight)."""
+        last = {k.lower(): float(v) for k, v in self.weights.items()}
+        groups: dict[float, list[str]] = {}
+        for term in token_words(last):
+            if last[term] != 0:
+                groups.setdefault(last[term], []).append(term)
+        return groups
+
+    def expression(self, normalized: Column) -> Column:
+        """struct(label, score) over a ``normalized_tokens`` column, no
+        shuffle: one whole-token count per distinct weight."""
+        total = F.lit(0.0)
+        absolute = F.lit(0.0)
+        for weight, terms in sorted(self.by_weight().items()):
+            n = count_tokens_in(normalized, terms).cast("double")
+            total = total + F.lit(weight) * n
+            absolute = absolute + F.lit(abs(weight)) * n
         raw, score = self._verdict(total, absolute)
         return F.struct(raw.alias("label"), score.alias("score"))
 
@@ -215,30 +235,41 @@ def score_sentiment(
     text: str = "clean_text",
     language: str = "language",
     scheme: str = "sentiment",
+    drop_missing: bool = True,
 ) -> DataFrame:
     """comments → comments_scored.
 
     ``scorers`` maps ``"en"`` to the English scorer and ``"*"`` to the one
-    for every other language (a single ``"*"`` serves all).
+    for every other language (a single ``"*"`` serves all).  Rows with a
+    NULL text are dropped; a caller that computes the text in the same plan
+    should drop NULL raw texts before computing it and pass
+    ``drop_missing=False`` (Catalyst pushes a filter on a computed column
+    down by copying the computation into the filter).
     """
-    df = drop_missing_text(comments, text)
+    df = drop_missing_text(comments, text) if drop_missing else comments
     english = scorers.get(ENGLISH, scorers["*"])
     other = scorers["*"]
     is_en = F.coalesce(F.col(language) == F.lit(ENGLISH), F.lit(False))
+    tokens = "__sentiment_tokens"
+
+    def lexicon_columns(part: DataFrame, verdict_of) -> DataFrame:
+        return (
+            part.withColumn(tokens, normalized_tokens(F.col(text)))
+            .withColumn("_verdict", verdict_of(F.col(tokens)))
+            .withColumns({RAW: F.col("_verdict.label"), SCORE: F.col("_verdict.score")})
+            .drop("_verdict", tokens)
+        )
 
     if isinstance(english, LexiconScorer) and isinstance(other, LexiconScorer):
-        verdict = F.when(is_en, english.expression(F.col(text))).otherwise(other.expression(F.col(text)))
-        scored = df.withColumn("_verdict", verdict).withColumns(
-            {RAW: F.col("_verdict.label"), SCORE: F.col("_verdict.score")}
-        ).drop("_verdict")
+        scored = lexicon_columns(
+            df, lambda t: F.when(is_en, english.expression(t)).otherwise(other.expression(t))
+        )
         return _finish(scored, scheme)
 
     # Python or ML scorers: score each route's rows only, then union.
     def run(part: DataFrame, scorer: Scorer) -> DataFrame:
         if isinstance(scorer, LexiconScorer):
-            return part.withColumn("_verdict", scorer.expression(F.col(text))).withColumns(
-                {RAW: F.col("_verdict.label"), SCORE: F.col("_verdict.score")}
-            ).drop("_verdict")
+            return lexicon_columns(part, scorer.expression)
         if isinstance(scorer, PluginScorer):
             return _run_plugin(part, scorer, text)
         return scorer.transform(part, text)
@@ -255,5 +286,6 @@ def plugin_max_chars(text: Column, max_chars: int | None) -> Column:
     return text if max_chars is None else truncate_chars(text, max_chars)
 
 
-def literal_lexicon_fits(lexicon_size: int) -> bool:
-    return lexicon_size <= MAX_LITERAL_TERMS
+def regex_lexicon_fits(lexicon_size: int) -> bool:
+    """Whether a lexicon is scored in the plan (else use ``score_by_join``)."""
+    return lexicon_size <= MAX_REGEX_WORDS

@@ -95,9 +95,11 @@ def select_videos(listing: DataFrame, details: DataFrame, params: RankerParams)
 
 def prepare_comments(comments_raw: DataFrame, videos: DataFrame, params: RankerParams) -> DataFrame:
     """Comments of kept videos, ≤ ``num_comments`` per video in source
-    order, with ``clean_text`` and ``language``."""
+    order, with ``clean_text`` and ``language``.  Comments without text are
+    dropped here, before the cleaning (they would be dropped by the
+    sentiment stage anyway)."""
     capped = C.cap_comments(comments_raw, params.num_comments, order=list(params.comment_order))
-    of_kept = C.comments_of(capped, videos)
+    of_kept = C.comments_of(capped, videos).filter(F.col("text").isNotNull())
     return with_language(with_clean_text(of_kept, "text", "clean_text"), "clean_text", "language")
 
 
@@ -118,14 +120,14 @@ def scores_per_query(comments_scored: DataFrame, videos: DataFrame, params: Rank
 def recommend_per_query(scores: DataFrame, queries: DataFrame, k: int = TOP_POLARIZED) -> DataFrame:
     """One recommendation row per query of ``queries`` (NULLs when a query
     kept no video).  Every pick is a window limit (``row_number`` ≤ k),
-    planned as a partial limit before the shuffle."""
+    planned as a partial limit before the shuffle; both branches carry the
+    same columns, so the scores are computed once."""
     rk = R._rank_key
     best_w = Window.partitionBy("query").orderBy(rk("total_score").desc(), F.col("video_id").asc())
     best = (
         scores.filter(F.col("total_score").isNotNull())
         .withColumn("_rn", F.row_number().over(best_w))
         .filter(F.col("_rn") == 1)
-        .select("query", F.col("video_id").alias("best_video_id"), F.col("total_score").alias("best_score"))
     )
     pol_w = Window.partitionBy("query").orderBy(rk(POL).desc(), F.col("video_id").asc())
     top = (
@@ -136,25 +138,12 @@ def recommend_per_query(scores: DataFrame, queries: DataFrame, k: int = TOP_POLA
         .filter(F.col("_product") > 0)
     )
     prod_w = Window.partitionBy("query").orderBy(rk("_product").desc(), F.col("_rk").asc())
-    polarized = (
-        top.withColumn("_rn", F.row_number().over(prod_w))
-        .filter(F.col("_rn") == 1)
-        .select(
-            "query",
-            F.col("video_id").alias("most_polarized_video_id"),
-            F.col(POL).alias("most_polarized_polarization_score"),
-            F.col("std_deviation").alias("most_polarized_std_deviation"),
-        )
-    )
-    return (
-        queries.select("query").distinct()
-        .join(best, "query", "left")
-        .join(polarized, "query", "left")
-        .select(
-            "query", "best_video_id", "best_score", "most_polarized_video_id",
-            "most_polarized_polarization_score", "most_polarized_std_deviation",
-        )
+    polarized = top.withColumn("_rn", F.row_number().over(prod_w)).filter(F.col("_rn") == 1)
+    tagged = R._tagged(best, "best", "video_id", ("query",)).unionByName(
+        R._tagged(polarized, "polarized", "video_id", ("query",))
     )
+    picked = tagged.groupBy("query").agg(*R.result_columns())
+    return queries.select("query").distinct().join(picked, "query", "left")
 
 
 def rank_from_scored(
@@ -182,7 +171,7 @@ def rank_from_sources(
     """Entry from landed sources: the whole flow."""
     videos = select_videos(listing, details, params)
     comments = _stage(prepare_comments(comments_raw, videos, params), params, "comments")
-    scored = _stage(score_sentiment(comments, scorers), params, "comments-scored")
+    scored = _stage(score_sentiment(comments, scorers, drop_missing=False), params, "comments-scored")
     scores = _stage(scores_per_query(scored, videos, params), params, "video-scores")
     rec = recommend_per_query(scores, listing, params.top_polarized)
     return RankResult(videos, comments, scored, scores, rec)

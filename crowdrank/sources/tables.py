@@ -26,10 +26,31 @@ TABLES = (
 ).split()
 
 
+# Tables whose rows carry whole texts: per-row work (regexes) dominates.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
+    """Spread rows over the cluster when the scan yields too few tasks.
+
+    Parquet splits only at row-group boundaries, so a file written as one
+    row group is read by one task; CPU-heavy per-row work (text cleaning,
+    language, sentiment) would then run on one core.  A large input has
+    far more scan partitions than cores and is returned as it is; a small,
+    under-split one is repartitioned round-robin (sorted before the
+    repartition by Spark, so a retried task gets the same rows).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
 
 
 def returnflag_label(flag: Column) -> Column:

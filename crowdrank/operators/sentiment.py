@@ -27,6 +27,7 @@ plug-in models with an input limit.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -130,10 +131,26 @@ class PluginScorer:
     name: str = "plugin"
 
 
+def _ship_by_value(fn: Callable) -> None:
+    """Pickle the scorer's own module by value, so workers need not be able
+    to import it (library modules are left alone)."""
+    from pyspark import cloudpickle
+
+    name = getattr(fn, "__module__", None)
+    module = sys.modules.get(name) if name else None
+    if module is None or name == "__main__" or name.split(".")[0] in {"pyspark", "pandas", "numpy", "builtins"}:
+        return
+    try:
+        cloudpickle.register_pickle_by_value(module)
+    except (ValueError, AttributeError):
+        pass
+
+
 def _run_plugin(df: DataFrame, scorer: PluginScorer, text: str) -> DataFrame:
     """Apply a plug-in scorer per Arrow batch; a failing batch is retried
     row by row so that only the failing rows become error rows."""
     fn = scorer.fn
+    _ship_by_value(fn)
     max_chars = scorer.max_chars
     out_schema = T.StructType(
         df.schema.fields

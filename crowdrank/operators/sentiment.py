@@ -195,8 +195,8 @@ class TrainedScorer:
     the raw label is the predicted class name, the score its probability.
     """
 
-    num_features: int = 1 << 18
-    max_iter: int = 50
+    num_features: int = 1 << 16
+    max_iter: int = 20
     reg_param: float = 0.01
     name: str = "trained"
     model: object = field(default=None, repr=False)

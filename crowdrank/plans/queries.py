@@ -213,6 +213,31 @@ def source_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.recommendation(S.video_scores(documents_scored(spark, sf_dir))))
 
 
+def trained_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark ML scorers (one for English, one for the rest) fitted on the
+    labelled documents, applied to every document."""
+    comments = TB.documents_comments(spark, sf_dir).withColumnRenamed("text", "clean_text")
+    gold = TB.gold_labels(spark, sf_dir).withColumnRenamed("doc_id", "comment_id")
+    labelled = comments.join(gold, "comment_id").select(
+        F.col("clean_text").alias("text"), "language",
+        label_score(F.col("original_sentiment_label")).alias("label"),
+    )
+    english = SE.TrainedScorer().fit(labelled.filter(F.col("language") == "en"))
+    other = SE.TrainedScorer().fit(labelled.filter(F.col("language") != "en"))
+    scored = SE.score_sentiment(comments, {"en": english, "*": other})
+    return rounded(scored.drop("clean_text"))
+
+
+def plugin_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's batch function as the scorer for every language (Arrow
+    batches through ``mapInPandas``); failing rows become error rows."""
+    from crowdrank.plans.plugins import punctuation_scorer
+
+    comments = TB.documents_comments(spark, sf_dir).withColumnRenamed("text", "clean_text")
+    scored = SE.score_sentiment(comments, {"*": SE.PluginScorer(punctuation_scorer)})
+    return rounded(scored.drop("clean_text"))
+
+
 def language_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = TB.read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", LG.stopword_language(F.col("text")).alias("language"))
@@ -313,6 +338,8 @@ def all_queries() -> dict[str, Query]:
         "lexicon_sentiment": lexicon_sentiment,
         "source_scores": source_scores,
         "source_recommendation": source_recommendation,
+        "trained_sentiment": trained_sentiment,
+        "plugin_sentiment": plugin_sentiment,
         "language_stopwords": language_stopwords,
         "language_ngram": language_ngram,
         "landed_json_roundtrip": landed_json_roundtrip,

@@ -69,31 +69,44 @@ def _array_sql(values: list) -> str:
     return f"array({', '.join(_sql_value(v) for v in values)})"
 
 
-def _named_tables_sql() -> tuple[str, str, str]:
-    """The named references as literal arrays, split by initial: initials,
-    names per initial, values per initial.  Lookups scan ≤ 52 + ≤ 168
-    entries instead of 2,231.  (Arrays, not maps: folded map literals do
-    not compare equal, which would keep Spark from reusing an exchange.)"""
-    groups: dict[str, dict[str, str]] = {}
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _table_sql(entries: dict[str, str]) -> str:
+    return f"named_struct('n', {_array_sql(list(entries))}, 'v', {_array_sql(list(entries.values()))})"
+
+
+def _named_tables_sql() -> tuple[str, str]:
+    """Literal tables of the named references (arrays, not maps: folded map
+    literals do not compare equal, which would keep Spark from reusing an
+    exchange).  The full table is split by initial letter and indexed by the
+    letter's position, so a lookup scans ≤ 168 names instead of 2,231; the
+    106 legacy names (also valid without ';') get a small table of their own."""
+    groups: dict[str, dict[str, str]] = {c: {} for c in LETTERS}
     for key, value in NAMED_ENTITIES.items():
-        groups.setdefault(key[0], {})[key] = value
-    initials = sorted(groups)
-    names = "array(" + ", ".join(_array_sql(list(groups[i])) for i in initials) + ")"
-    values = "array(" + ", ".join(_array_sql(list(groups[i].values())) for i in initials) + ")"
-    return _array_sql(initials), names, values
+        groups[key[0]][key] = value
+    full = "array(" + ", ".join(_table_sql(groups[c]) for c in LETTERS) + ")"
+    legacy = _table_sql({k: NAMED_ENTITIES[k] for k in LEGACY_NAMES})
+    return full, legacy
 
 
-INITIALS_SQL, NAMES_SQL, VALUES_SQL = _named_tables_sql()
+NAMED_TABLE_SQL, LEGACY_TABLE_SQL = _named_tables_sql()
 CP1252_SQL = _array_sql([CP1252_FIXUPS[cp] for cp in range(0x80, 0xA0)])
 
 
+def _lookup(table: Column, name: Column) -> Column:
+    j = F.array_position(table["n"], name).cast("int")
+    return F.try_element_at(table["v"], F.when(j > 0, j))
+
+
 def _named_lookup(name: Column) -> Column:
     """Value of a named reference; NULL when unknown."""
-    i = F.array_position(F.expr(INITIALS_SQL), F.substring(name, 1, 1)).cast("int")
-    names = F.try_element_at(F.expr(NAMES_SQL), F.when(i > 0, i))
-    j = F.array_position(names, name).cast("int")
-    values = F.try_element_at(F.expr(VALUES_SQL), F.when(i > 0, i))
-    return F.try_element_at(values, F.when(j > 0, j))
+    i = F.instr(F.lit(LETTERS), F.substring(name, 1, 1))
+    return _lookup(F.try_element_at(F.expr(NAMED_TABLE_SQL), F.when(i > 0, i)), name)
+
+
+def _legacy_lookup(name: Column) -> Column:
+    return _lookup(F.expr(LEGACY_TABLE_SQL), name)
 
 
 def _codepoint_text(cp: Column) -> Column:
@@ -128,7 +141,7 @@ def _decode_reference(ref: Column) -> Column:
         _named_lookup(ref),
         F.when(
             legacy_prefix != "",
-            F.concat(_named_lookup(legacy_prefix), F.substring(ref, F.length(legacy_prefix) + 1, 1 << 30)),
+            F.concat(_legacy_lookup(legacy_prefix), F.substring(ref, F.length(legacy_prefix) + 1, 1 << 30)),
         ),
         F.concat(F.lit("&"), ref),
     )

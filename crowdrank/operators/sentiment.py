@@ -102,15 +102,23 @@ class LexiconScorer:
         raw, score = self._verdict(total, absolute)
         return F.struct(raw.alias("label"), score.alias("score"))
 
-    def score_by_join(self, df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+    def score_by_join(
+        self, df: DataFrame, key: str, text: str, lexicon: DataFrame, max_broadcast_terms: int = 5_000_000
+    ) -> DataFrame:
         """The same scores for a lexicon too large to ship in the plan.
 
         Tokens are exploded and joined with ``lexicon`` (term, weight); only
-        the hits are aggregated per comment, then joined back (left) to the
-        comments.  ``key`` must identify a comment.
+        the hits are aggregated per comment (partial aggregate first), then
+        joined back (left) to the comments.  ``key`` must identify a
+        comment.  The lexicon is broadcast when its row count is within
+        ``max_broadcast_terms`` (checked); beyond that the join shuffles on
+        the term and adaptive execution splits hot terms ("the").
         """
+        terms = lexicon.select(F.lower("term").alias("term"), F.col("weight").cast("double"))
+        if terms.count() <= max_broadcast_terms:
+            terms = F.broadcast(terms)
         tokens = df.select(F.col(key), F.explode(word_tokens(F.col(text))).alias("term"))
-        hits = tokens.join(lexicon.select(F.lower("term").alias("term"), F.col("weight").cast("double")), "term")
+        hits = tokens.join(terms, "term")
         sums = hits.groupBy(key).agg(
             F.sum("weight").alias("_total"), F.sum(F.abs("weight")).alias("_abs")
         )

@@ -35,10 +35,16 @@ CSV_WRITE_OPTIONS = {
 }
 
 
-def write_csv(df: DataFrame, path: str, null_value: str | None = None) -> int:
-    """Write ``df`` as CSV into the directory ``path``; returns the rows written."""
+def write_csv(
+    df: DataFrame, path: str, null_value: str | None = None, order_by: list[str] | None = None
+) -> int:
+    """Write ``df`` as CSV into the directory ``path``; returns the rows
+    written.  ``order_by`` sorts the output (a range-partitioned sort, part
+    files in key order), as grouped outputs were sorted by their key."""
     if df.isEmpty():
         return 0
+    if order_by:
+        df = df.orderBy(*order_by)
     obs = Observation("csv_sink")
     writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(**CSV_WRITE_OPTIONS)
     if null_value is not None:

@@ -23,21 +23,26 @@ def _rank_key(col: str | Column, digits: int = RANK_DIGITS) -> Column:
     return F.round(c, digits)
 
 
+# NULL keys sort last, so "drop NULLs, then take k" equals "take k, then
+# drop NULLs"; filtering after the limit keeps every branch's input the same
+# plan (a filter before would be pushed into the scores and defeat reuse).
+
+
 def best_video(scores: DataFrame, key: str = "video_id") -> DataFrame:
     """Row with the highest total score; NULL never wins; ties → smaller id."""
     return (
-        scores.filter(F.col("total_score").isNotNull())
-        .orderBy(_rank_key("total_score").desc(), F.col(key).asc())
+        scores.orderBy(_rank_key("total_score").desc_nulls_last(), F.col(key).asc())
         .limit(1)
+        .filter(F.col("total_score").isNotNull())
     )
 
 
 def top_polarized(scores: DataFrame, k: int = TOP_POLARIZED, key: str = "video_id") -> DataFrame:
     """The k rows with the highest polarization; ties → smaller id."""
     return (
-        scores.filter(F.col(POL).isNotNull())
-        .orderBy(_rank_key(POL).desc(), F.col(key).asc())
+        scores.orderBy(_rank_key(POL).desc_nulls_last(), F.col(key).asc())
         .limit(k)
+        .filter(F.col(POL).isNotNull())
     )
 
 

@@ -123,17 +123,19 @@ def recommend_per_query(scores: DataFrame, queries: DataFrame, k: int = TOP_POLA
     planned as a partial limit before the shuffle; both branches carry the
     same columns, so the scores are computed once."""
     rk = R._rank_key
-    best_w = Window.partitionBy("query").orderBy(rk("total_score").desc(), F.col("video_id").asc())
+    # NULLs sort last: filtering them after the limit is equivalent and
+    # keeps both branches on the same input plan.
+    best_w = Window.partitionBy("query").orderBy(rk("total_score").desc_nulls_last(), F.col("video_id").asc())
     best = (
-        scores.filter(F.col("total_score").isNotNull())
-        .withColumn("_rn", F.row_number().over(best_w))
+        scores.withColumn("_rn", F.row_number().over(best_w))
         .filter(F.col("_rn") == 1)
+        .filter(F.col("total_score").isNotNull())
     )
-    pol_w = Window.partitionBy("query").orderBy(rk(POL).desc(), F.col("video_id").asc())
+    pol_w = Window.partitionBy("query").orderBy(rk(POL).desc_nulls_last(), F.col("video_id").asc())
     top = (
-        scores.filter(F.col(POL).isNotNull())
-        .withColumn("_rk", F.row_number().over(pol_w))
+        scores.withColumn("_rk", F.row_number().over(pol_w))
         .filter(F.col("_rk") <= k)
+        .filter(F.col(POL).isNotNull())
         .withColumn("_product", F.col(POL) * F.col("total_score"))
         .filter(F.col("_product") > 0)
     )

@@ -9,6 +9,7 @@ one after, so a query or video holding a third of all rows ships at most
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -25,13 +26,35 @@ __all__ = [
 ]
 
 
-def cap_per_group(df: DataFrame, n: int, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First ``n`` rows of each group in ``order`` (ties need a full order
-    to be deterministic)."""
+def _first_n(df: DataFrame, n: int, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def cap_per_group(
+    df: DataFrame, n: int, group: Sequence[str], order: Sequence[str], buckets: int | None = None
+) -> DataFrame:
+    """First ``n`` rows of each group in ``order`` (ties need a full order
+    to be deterministic).
+
+    One window limit already keeps ≤ ``n`` rows per group and map task
+    before the shuffle, but the task that finishes a hot group (a third of
+    all rows) still receives ``n`` rows from every map task.  So the limit
+    runs as a tree: first per (group, bucket of map tasks), then per group;
+    each level sees about √tasks × n rows of a group.  Any bucketing gives
+    the same exact result (the top ``n`` of a union is the top ``n`` of the
+    per-bucket tops).  ``buckets`` defaults to ⌈√(input partitions)⌉; 1
+    switches the tree off.
+    """
+    if buckets is None:
+        buckets = math.isqrt(max(df.rdd.getNumPartitions() - 1, 0)) + 1
+    if buckets <= 1:
+        return _first_n(df, n, group, order)
+    bucketed = df.withColumn("_bucket", F.spark_partition_id() % F.lit(buckets))
+    level1 = _first_n(bucketed, n, [*group, "_bucket"], order).drop("_bucket")
+    return _first_n(level1, n, group, order)
+
+
 def cap_listing(listing: DataFrame, n: int = NUM_CANDIDATES, query: str = "query", position: str = "position") -> DataFrame:
     """T4: at most ``n`` listing entries per query, in source order."""
     return cap_per_group(listing, n, [query], [position])

@@ -65,3 +65,22 @@ def test_token_overlap_relevance(spark, sources):
     res = RK.rank_from_sources(listing, details, comments, {"*": lex}, RK.RankerParams(relevance="token_overlap"))
     rel = {r["video_id"]: r["relevance_score"] for r in res.videos.collect()}
     assert rel["a"] == 0.0  # 'q1' shares no token with the title
+
+
+def test_tree_cap_equals_single_level_on_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from crowdrank.operators.candidates import cap_per_group
+
+    # one video holds a third of all rows
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), (F.col("id") % 50).cast("string"))).alias("video_id"),
+        (F.col("id") * 7919 % 3001).alias("position"),
+        F.col("id"),
+    ).repartition(16)
+    single = cap_per_group(df, 20, ["video_id"], ["position", "id"], buckets=1)
+    tree = cap_per_group(df, 20, ["video_id"], ["position", "id"], buckets=4)
+    auto = cap_per_group(df, 20, ["video_id"], ["position", "id"])
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(single) == rows(tree) == rows(auto)
+    assert tree.filter(F.col("video_id") == "hot").count() == 20

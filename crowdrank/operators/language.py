@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from crowdrank.fixed_values import UNKNOWN_LANGUAGE
 from crowdrank.functions.terms import count_tokens_in, normalized_tokens
+from crowdrank.sources.files import materialize
 
 # Stop words per language (this project's choice; extend freely).
 STOPWORDS: dict[str, tuple[str, ...]] = {
@@ -104,15 +105,21 @@ def ngram_languages(
     miss_weight: float = -12.0,
     max_profile_rows: int = 100_000,
 ) -> DataFrame:
-    """(key, language) for every row of ``df``: the language whose profile
-    gives the text's profiled trigrams the highest summed log-share (a gram
-    missing from a language's profile counts ``miss_weight``); texts with no
-    profiled trigram get ``unknown``.
-
-    Trigrams are exploded and joined with the dense profile (gram → one
-    weight per language), broadcast after checking its size; the weights
-    are summed per key with a partial aggregate before the shuffle.
+    """(key, language) for every row of ``df`` (``key`` identifies a row):
+    the language whose profile gives the text's profiled trigrams the
+    highest summed log-share (a gram missing from a language's profile
+    counts ``miss_weight``); texts with no profiled trigram get ``unknown``.
+
+    The profiles are written once to the shared checkpoint folder (they are
+    bounded by languages × top-k and checked against ``max_profile_rows``),
+    so the training job is not re-run by the size check, the language list
+    and the query.  Trigrams are exploded (``explode_outer``: a text without
+    trigrams keeps one row) and left-joined with the dense profile (gram →
+    one weight per language), broadcast; all rows of a text sit in one map
+    task, so the partial aggregate leaves one row per text before the only
+    shuffle.
     """
+    profiles = materialize(profiles, "ngram-profiles")
     n_rows = profiles.count()
     if n_rows > max_profile_rows:
         raise ValueError(f"{n_rows} profile rows exceed the broadcast bound {max_profile_rows}")
@@ -123,16 +130,17 @@ def ngram_languages(
             *[F.coalesce(F.max(F.when(F.col("lang") == c, F.col("weight"))), miss) for c in codes]
         ).alias("weights")
     )
-    grams = df.select(F.col(key), F.explode(char_ngrams(F.col(text))).alias("gram"))
+    grams = df.select(F.col(key), F.explode_outer(char_ngrams(F.col(text))).alias("gram"))
     sums = (
-        grams.join(F.broadcast(dense), "gram")
+        grams.join(F.broadcast(dense), "gram", "left")
         .groupBy(key)
-        .agg(*[F.sum(F.element_at("weights", i + 1)).alias(f"_s{i}") for i in range(len(codes))])
+        .agg(
+            F.count("weights").alias("_hits"),
+            *[F.sum(F.element_at("weights", i + 1)).alias(f"_s{i}") for i in range(len(codes))],
+        )
     )
     best = F.greatest(*[F.struct(F.col(f"_s{i}").alias("s"), F.lit(-i).alias("neg_i")) for i in range(len(codes))])
-    labelled = sums.select(
-        F.col(key), F.element_at(F.array(*[F.lit(c) for c in codes]), -best["neg_i"] + 1).alias("language")
-    )
-    return df.select(key).join(labelled, key, "left").select(
-        key, F.coalesce(F.col("language"), F.lit(UNKNOWN_LANGUAGE)).alias("language")
-    )
+    language = F.when(
+        F.col("_hits") > 0, F.element_at(F.array(*[F.lit(c) for c in codes]), -best["neg_i"] + 1)
+    ).otherwise(F.lit(UNKNOWN_LANGUAGE))
+    return sums.select(F.col(key), language.alias("language"))

@@ -206,6 +206,7 @@ class TrainedScorer:
     num_features: int = 1 << 16
     max_iter: int = 20
     reg_param: float = 0.01
+    rows_per_partition: int = 50_000
     name: str = "trained"
     model: object = field(default=None, repr=False)
 
@@ -219,6 +220,7 @@ class TrainedScorer:
         train = labelled.select(
             F.col(text).alias("_text"), (F.col(label).cast("double") + 1.0).alias("_y")
         ).filter(F.col("_text").isNotNull() & F.col("_y").isNotNull())
+        train = self._sized(train)
         pipeline = Pipeline(
             stages=[
                 RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"[^\p{L}]+", gaps=True),
@@ -232,6 +234,22 @@ class TrainedScorer:
         self.model = pipeline.fit(train)
         return self
 
+    def _sized(self, train: DataFrame) -> DataFrame:
+        """Training rows in partitions of about ``rows_per_partition``.
+
+        Every optimizer iteration sends one dense gradient (classes ×
+        features) per partition, so a small labelled set spread over many
+        partitions costs more in gradients than in rows; a large one keeps
+        up to one partition per core.  Round-robin, so the rows before the
+        fit are still read in parallel.
+        """
+        rows = train.count()
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        target = max(1, min(cores, -(-rows // self.rows_per_partition)))
+        if train.rdd.getNumPartitions() <= target:
+            return train
+        return train.repartition(target)
+
     def transform(self, df: DataFrame, text: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 

@@ -12,7 +12,10 @@ Three entry points, like the three ways the flow can be started:
 
 With ``stage_checkpoints=True`` the comments, scored comments and scores
 are written as Parquet into the shared checkpoint folder and re-read
-(lineage cut; a lost executor re-reads the last stage).
+(lineage cut; a lost executor re-reads the last stage).  With
+``stage_counts=True`` each stage's row count is taken by an ``Observation``
+while the final action runs (no extra pass); ``stage_counts(result)`` reads
+them afterwards.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from crowdrank.fixed_values import (
@@ -54,6 +57,7 @@ class RankerParams:
     pseudo_count: float = PSEUDO_COUNT
     top_polarized: int = TOP_POLARIZED
     stage_checkpoints: bool = False
+    stage_counts: bool = False
     comment_order: tuple[str, ...] = ("page", "item_pos")
 
 
@@ -67,11 +71,30 @@ class RankResult:
     extras: dict = field(default_factory=dict)
 
 
-def _stage(df: DataFrame, params: RankerParams, name: str) -> DataFrame:
-    return materialize(df, name) if params.stage_checkpoints else df
+def _stage(df: DataFrame, params: RankerParams, name: str, counts: dict | None = None) -> DataFrame:
+    out = materialize(df, name) if params.stage_checkpoints else df
+    return _observed(out, params, name, counts)
 
 
-def select_videos(listing: DataFrame, details: DataFrame, params: RankerParams) -> DataFrame:
+def _observed(df: DataFrame, params: RankerParams, name: str, counts: dict | None) -> DataFrame:
+    """A11: count the rows of a stage during the action that computes it.
+    Off by default, as Catalyst pushes no filter through an observed node."""
+    if not params.stage_counts or counts is None:
+        return df
+    obs = Observation()
+    counts[name] = obs
+    return df.observe(obs, F.count(F.lit(1)).alias("rows"))
+
+
+def stage_counts(result: "RankResult") -> dict[str, int]:
+    """Row count per stage of a flow run with ``stage_counts=True``; call
+    after an action on ``result.recommendation`` (blocks until then)."""
+    return {name: int(obs.get["rows"]) for name, obs in result.extras.get("counts", {}).items()}
+
+
+def select_videos(
+    listing: DataFrame, details: DataFrame, params: RankerParams, counts: dict | None = None
+) -> DataFrame:
     """Videos kept for each query: (query, video_id, title, duration,
     duration_seconds, counts, relevance_score).
 
@@ -81,9 +104,11 @@ def select_videos(listing: DataFrame, details: DataFrame, params: RankerParams)
     """
     order = ["position"] if "position" in listing.columns else ["page", "item_pos"]
     capped = C.cap_per_group(listing, params.num_candidates, ["query"], order)
-    kept = C.filter_titles(capped, params.exclude_words).select("query", "video_id")
+    kept = _observed(
+        C.filter_titles(capped, params.exclude_words).select("query", "video_id"), params, "candidates", counts
+    )
     detailed = C.candidate_details(details, kept, params.min_duration_seconds)
-    videos = kept.join(detailed, "video_id", "inner")
+    videos = _observed(kept.join(detailed, "video_id", "inner"), params, "videos", counts)
     if params.relevance == "token_overlap":
         rel = title_relevance(F.col("title"), F.col("query"))
     elif params.relevance == "constant":
@@ -155,12 +180,16 @@ def rank_from_scored(
     params: RankerParams = RankerParams(),
 ) -> RankResult:
     """Entry for comments that already carry sentiment columns."""
-    videos = select_videos(listing, details, params)
+    counts: dict = {}
+    videos = select_videos(listing, details, params, counts)
     capped = C.cap_comments(comments_scored, params.num_comments, order=list(params.comment_order))
-    scored = _stage(C.comments_of(capped, videos), params, "comments-scored")
-    scores = _stage(scores_per_query(scored, videos, params), params, "video-scores")
+    scored = _stage(C.comments_of(capped, videos), params, "comments-scored", counts)
+    scores = _stage(scores_per_query(scored, videos, params), params, "video-scores", counts)
     rec = recommend_per_query(scores, listing, params.top_polarized)
-    return RankResult(videos=videos, comments_scored=scored, video_scores=scores, recommendation=rec)
+    return RankResult(
+        videos=videos, comments_scored=scored, video_scores=scores, recommendation=rec,
+        extras={"counts": counts},
+    )
 
 
 def rank_from_sources(
@@ -171,12 +200,13 @@ def rank_from_sources(
     params: RankerParams = RankerParams(),
 ) -> RankResult:
     """Entry from landed sources: the whole flow."""
-    videos = select_videos(listing, details, params)
-    comments = _stage(prepare_comments(comments_raw, videos, params), params, "comments")
-    scored = _stage(score_sentiment(comments, scorers, drop_missing=False), params, "comments-scored")
-    scores = _stage(scores_per_query(scored, videos, params), params, "video-scores")
+    counts: dict = {}
+    videos = select_videos(listing, details, params, counts)
+    comments = _stage(prepare_comments(comments_raw, videos, params), params, "comments", counts)
+    scored = _stage(score_sentiment(comments, scorers, drop_missing=False), params, "comments-scored", counts)
+    scores = _stage(scores_per_query(scored, videos, params), params, "video-scores", counts)
     rec = recommend_per_query(scores, listing, params.top_polarized)
-    return RankResult(videos, comments, scored, scores, rec)
+    return RankResult(videos, comments, scored, scores, rec, extras={"counts": counts})
 
 
 def recommend_from_scores(video_scores: DataFrame, k: int = TOP_POLARIZED) -> DataFrame:

@@ -84,3 +84,22 @@ def test_tree_cap_equals_single_level_on_a_hot_key(spark):
     rows = lambda d: sorted(map(tuple, d.collect()))
     assert rows(single) == rows(tree) == rows(auto)
     assert tree.filter(F.col("video_id") == "hot").count() == 20
+
+
+def test_stage_counts_are_observed_in_one_action(spark, sources):
+    listing, details, comments = sources
+    lex = SE.LexiconScorer({"good": 1.0, "bad": -1.0})
+    params = RK.RankerParams(num_comments=2, stage_counts=True)
+    res = RK.rank_from_sources(listing, details, comments, {"*": lex}, params)
+    res.recommendation.collect()
+    counts = RK.stage_counts(res)
+    assert counts == {
+        "candidates": 4,        # q1: a, c, d (b has a title word); q2: e
+        "videos": 3,            # d is 30 s
+        "comments": 4,          # a1, a2, c1, c2 (cap 2)
+        "comments-scored": 4,
+        "video-scores": 2,      # e has no comments
+    }
+    # Off by default: the plan carries no observation.
+    plain = RK.rank_from_sources(listing, details, comments, {"*": lex}, RK.RankerParams(num_comments=2))
+    assert plain.extras["counts"] == {}

@@ -67,9 +67,17 @@ def _finish(df: DataFrame, scheme: str = "sentiment") -> DataFrame:
 
 @dataclass(frozen=True)
 class LexiconScorer:
+    """Term → weight lexicon.  ``weights`` is a mapping; a lexicon too
+    large for the plan is given as ``table`` (a DataFrame with one row per
+    term: term, weight) and always scored by the join path, as is a mapping
+    past the regex bound or any lexicon with ``by_join=True``."""
+
     weights: Mapping[str, float]
     neutral_score: float = 0.5
     name: str = "lexicon"
+    by_join: bool = False
+    table: object = field(default=None, compare=False, repr=False)
+    max_broadcast_terms: int = 500_000
 
     def _verdict(self, total: Column, absolute: Column) -> tuple[Column, Column]:
         raw = (
@@ -90,6 +98,9 @@ class LexiconScorer:
                 groups.setdefault(last[term], []).append(term)
         return groups
 
+    def uses_join(self) -> bool:
+        return self.by_join or self.table is not None or not regex_lexicon_fits(len(self.weights))
+
     def expression(self, normalized: Column) -> Column:
         """struct(label, score) over a ``normalized_tokens`` column, no
         shuffle: one whole-token count per distinct weight."""
@@ -102,20 +113,31 @@ class LexiconScorer:
         raw, score = self._verdict(total, absolute)
         return F.struct(raw.alias("label"), score.alias("score"))
 
+    def lexicon_table(self, spark) -> DataFrame:
+        """(term, weight): ``table`` as given, else the token-able terms of
+        ``weights`` (one row per term, the same terms the regex path uses)."""
+        if self.table is not None:
+            return self.table
+        rows = [(t, w) for w, terms in self.by_weight().items() for t in terms]
+        return spark.createDataFrame(rows, "term string, weight double")
+
     def score_by_join(
-        self, df: DataFrame, key: str, text: str, lexicon: DataFrame, max_broadcast_terms: int = 5_000_000
+        self, df: DataFrame, key: str, text: str, lexicon: DataFrame | None = None
     ) -> DataFrame:
-        """The same scores for a lexicon too large to ship in the plan.
-
-        Tokens are exploded and joined with ``lexicon`` (term, weight); only
-        the hits are aggregated per comment (partial aggregate first), then
-        joined back (left) to the comments.  ``key`` must identify a
-        comment.  The lexicon is broadcast when its row count is within
-        ``max_broadcast_terms`` (checked); beyond that the join shuffles on
-        the term and adaptive execution splits hot terms ("the").
+        """The same scores through a join, for a lexicon too large to ship
+        in the plan.
+
+        Only (key, token) pairs are exploded — never the text — and joined
+        with the lexicon (term, weight; one row per term); the hits are
+        summed per comment (partial aggregate first) and joined back (left)
+        to the comments.  ``key`` must identify a comment.  The lexicon is
+        broadcast when its row count is within ``max_broadcast_terms``
+        (checked); beyond that the join shuffles on the term and adaptive
+        execution splits hot terms ("the").
         """
+        lexicon = self.lexicon_table(df.sparkSession) if lexicon is None else lexicon
         terms = lexicon.select(F.lower("term").alias("term"), F.col("weight").cast("double"))
-        if terms.count() <= max_broadcast_terms:
+        if terms.count() <= self.max_broadcast_terms:
             terms = F.broadcast(terms)
         tokens = df.select(F.col(key), F.explode(word_tokens(F.col(text))).alias("term"))
         hits = tokens.join(terms, "term")
@@ -124,7 +146,7 @@ class LexiconScorer:
         )
         joined = df.join(sums, key, "left")
         raw, score = self._verdict(F.coalesce("_total", F.lit(0.0)), F.coalesce("_abs", F.lit(0.0)))
-        return joined.withColumns({RAW: raw, SCORE: score}).drop("_total", "_abs")
+        return joined.select(*df.columns, raw.alias(RAW), score.alias(SCORE))
 
 
 # --- plug-in scorer ---------------------------------------------------------------
@@ -279,6 +301,7 @@ def score_sentiment(
     language: str = "language",
     scheme: str = "sentiment",
     drop_missing: bool = True,
+    key: str = "comment_id",
 ) -> DataFrame:
     """comments → comments_scored.
 
@@ -287,7 +310,8 @@ def score_sentiment(
     NULL text are dropped; a caller that computes the text in the same plan
     should drop NULL raw texts before computing it and pass
     ``drop_missing=False`` (Catalyst pushes a filter on a computed column
-    down by copying the computation into the filter).
+    down by copying the computation into the filter).  ``key`` identifies a
+    comment; only lexicons scored by the join path read it.
     """
     df = drop_missing_text(comments, text) if drop_missing else comments
     english = scorers.get(ENGLISH, scorers["*"])
@@ -303,7 +327,10 @@ def score_sentiment(
             .drop("_verdict", tokens)
         )
 
-    if isinstance(english, LexiconScorer) and isinstance(other, LexiconScorer):
+    def native(scorer: Scorer) -> bool:
+        return isinstance(scorer, LexiconScorer) and not scorer.uses_join()
+
+    if native(english) and native(other):
         scored = lexicon_columns(
             df, lambda t: F.when(is_en, english.expression(t)).otherwise(other.expression(t))
         )
@@ -312,6 +339,8 @@ def score_sentiment(
     # Python or ML scorers: score each route's rows only, then union.
     def run(part: DataFrame, scorer: Scorer) -> DataFrame:
         if isinstance(scorer, LexiconScorer):
+            if scorer.uses_join():
+                return scorer.score_by_join(part, key, text)
             return lexicon_columns(part, scorer.expression)
         if isinstance(scorer, PluginScorer):
             return _run_plugin(part, scorer, text)

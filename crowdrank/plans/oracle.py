@@ -555,3 +555,7 @@ ORACLE["language_ngram"] = f"""
   LEFT JOIN best ON best.doc_id = doc.doc_id
   LEFT JOIN absent ON absent.doc_id = doc.doc_id
 """
+
+
+# The join path of the lexicon scorer must give the regex path's result.
+ORACLE["lexicon_sentiment_by_join"] = ORACLE["lexicon_sentiment"]

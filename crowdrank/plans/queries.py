@@ -205,6 +205,19 @@ def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(documents_scored(spark, sf_dir).drop("clean_text"))
 
 
+JOIN_LEXICON_SCORERS = {
+    "en": SE.LexiconScorer(ENGLISH_LEXICON, by_join=True),
+    "*": SE.LexiconScorer(MULTILINGUAL_LEXICON, by_join=True),
+}
+
+
+def lexicon_sentiment_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon scores through the join path (tokens ⋈ lexicon table →
+    sums per comment → left join back), as used for lexicons too large
+    for one regular expression; must equal ``lexicon_sentiment``."""
+    return rounded(documents_scored(spark, sf_dir, JOIN_LEXICON_SCORERS).drop("clean_text"))
+
+
 def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.video_scores(documents_scored(spark, sf_dir)))
 
@@ -336,6 +349,7 @@ def all_queries() -> dict[str, Query]:
         "clean_pages": clean_pages,
         "strip_urls_whitespace": strip_urls_whitespace,
         "lexicon_sentiment": lexicon_sentiment,
+        "lexicon_sentiment_by_join": lexicon_sentiment_by_join,
         "source_scores": source_scores,
         "source_recommendation": source_recommendation,
         "trained_sentiment": trained_sentiment,

@@ -1,5 +1,6 @@
 """Scorer contract, routing, plug-in error rows, language detection."""
 
+import dataclasses
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ def test_lexicon_join_path_equals_expression(spark):
     lexicon = spark.createDataFrame(list(EN.weights.items()), "term string, weight double")
     a = {r["comment_id"]: (r["original_sentiment_label"], r["sentiment_score"])
          for r in EN.score_by_join(df, "comment_id", "clean_text", lexicon).collect()}
+    routed = SE.score_sentiment(df, {"*": dataclasses.replace(EN, by_join=True)})
+    assert {r["comment_id"]: (r["original_sentiment_label"], r["sentiment_score"]) for r in routed.collect()} == a
     b = {r["comment_id"]: (r["original_sentiment_label"], r["sentiment_score"])
          for r in SE.score_sentiment(df, {"*": EN}).collect()}
     assert a == pytest.approx(b) if False else a.keys() == b.keys()

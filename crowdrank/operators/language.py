@@ -41,7 +41,9 @@ def _argmax_language(counts: Sequence[Column], codes: Sequence[str]) -> Column:
 
 def stopword_language(text: Column, stopwords: Mapping[str, Sequence[str]] = STOPWORDS) -> Column:
     """Language code from stop-word token counts over the whole text (one
-    regular-expression pass per language)."""
+    regular-expression pass per language).  As a column expression the
+    token normalisation may run once per language; on a DataFrame prefer
+    ``with_language``, which stages it as a column."""
     return language_of_tokens(normalized_tokens(text), text.isNull(), stopwords)
 
 

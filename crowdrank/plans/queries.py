@@ -252,8 +252,8 @@ def plugin_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = TB.read_table(spark, sf_dir, "documents")
-    return docs.select("doc_id", LG.stopword_language(F.col("text")).alias("language"))
+    docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return LG.with_language(docs, "text", "language").select("doc_id", "language")
 
 
 def language_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,6 @@ decomposable (sums, counts, second moment), so the same aggregation runs
 as a Structured Streaming query whose state holds one row per video.
 """
 
-from crowdrank.streaming.scores import start_video_scores, video_scores_stream
+from crowdrank.streaming.scores import latest_video_scores, start_video_scores, video_scores_stream
 
-__all__ = ["start_video_scores", "video_scores_stream"]
+__all__ = ["latest_video_scores", "start_video_scores", "video_scores_stream"]

@@ -289,6 +289,26 @@ class TrainedScorer:
         )
 
 
+def fit_routes(
+    labelled: DataFrame,
+    language: str = "language",
+    text: str = "text",
+    label: str = "label",
+    make: Callable[[], TrainedScorer] = TrainedScorer,
+) -> dict[str, TrainedScorer]:
+    """One trained scorer per route (``en`` and ``*``, as in ``score_sentiment``),
+    fitted at the same time: each fit is a chain of small optimizer jobs, so
+    the two chains are submitted from two driver threads and share the
+    cluster instead of waiting for each other."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    is_en = F.coalesce(F.col(language) == F.lit(ENGLISH), F.lit(False))
+    parts = {ENGLISH: labelled.filter(is_en), "*": labelled.filter(~is_en)}
+    with ThreadPoolExecutor(max_workers=len(parts)) as pool:
+        futures = {route: pool.submit(make().fit, part, text, label) for route, part in parts.items()}
+        return {route: f.result() for route, f in futures.items()}
+
+
 # --- the stage ---------------------------------------------------------------------
 
 Scorer = LexiconScorer | PluginScorer | TrainedScorer

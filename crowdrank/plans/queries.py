@@ -235,9 +235,7 @@ def trained_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("clean_text").alias("text"), "language",
         label_score(F.col("original_sentiment_label")).alias("label"),
     )
-    english = SE.TrainedScorer().fit(labelled.filter(F.col("language") == "en"))
-    other = SE.TrainedScorer().fit(labelled.filter(F.col("language") != "en"))
-    scored = SE.score_sentiment(comments, {"en": english, "*": other})
+    scored = SE.score_sentiment(comments, SE.fit_routes(labelled))
     return rounded(scored.drop("clean_text"))
 
 

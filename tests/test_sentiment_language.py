@@ -88,6 +88,21 @@ def test_trained_scorer_runs(spark):
     assert by_text["good great"] == 1 and by_text["bad awful"] == -1
 
 
+def test_fit_routes_trains_each_route_on_its_rows(spark):
+    # The same word means opposite things per route: a model that saw the
+    # other route's rows would get one of them wrong.
+    texts = [("good", "en", 1), ("bad", "en", -1), ("good", "fr", -1), ("bad", "fr", 1)] * 10
+    rows = [("v", str(i), t, lang, 1) for i, (t, lang, _) in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labelled = spark.createDataFrame(
+        [(t, lang, y) for t, lang, y in texts], "text string, language string, label int"
+    )
+    scorers = SE.fit_routes(labelled, make=lambda: SE.TrainedScorer(num_features=1 << 8, max_iter=30))
+    got = {(r["clean_text"], r["language"]): r["sentiment_label"]
+           for r in SE.score_sentiment(df, scorers).collect()}
+    assert got == {("good", "en"): 1, ("bad", "en"): -1, ("good", "fr"): -1, ("bad", "fr"): 1}
+
+
 def test_stopword_language(spark):
     texts = ["The cat and the dog", "Le chat et le chien", "Der Hund und die Katze",
              "El perro y el gato", "12345", None, "la la"]

@@ -32,3 +32,23 @@ def test_recommendation_reuses_the_scores_exchange(spark):
 def test_global_topk_is_take_ordered(spark):
     plan = Q.top3_polarized(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_ngram_languages_broadcast_profile_and_no_join_back(spark):
+    plan = _plan(Q.language_ngram(spark, SF))
+    # The profile is read from its materialised copy, broadcast, and the
+    # per-text sums need no join back to the texts.
+    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+    assert "SortMergeJoin" not in plan
+    assert "partial_sum" in plan
+
+
+def test_lexicon_join_path_explodes_only_keys(spark):
+    plan = _plan(Q.lexicon_sentiment_by_join(spark, SF))
+    generates = [line for line in plan.split("\n") if "Generate explode" in line]
+    assert generates
+    for line in generates:
+        # Generate's carried columns are listed after the generator: only the key.
+        carried = line.rsplit("), [", 1)[1]
+        assert carried.startswith("comment_id") and "text" not in carried and "clean_text" not in carried
+    assert "partial_sum" in plan and "BroadcastExchange" in plan

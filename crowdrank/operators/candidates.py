@@ -47,7 +47,7 @@ def cap_per_group(
     switches the tree off.
     """
     if buckets is None:
-        buckets = math.isqrt(max(df.rdd.getNumPartitions() - 1, 0)) + 1
+        buckets = tree_buckets(df)
     if buckets <= 1:
         return _first_n(df, n, group, order)
     bucketed = df.withColumn("_bucket", F.spark_partition_id() % F.lit(buckets))
@@ -55,14 +55,26 @@ def cap_per_group(
     return _first_n(level1, n, group, order)
 
 
+def tree_buckets(df: DataFrame) -> int:
+    """⌈√(partitions of ``df``)⌉.  Call it on a source (a scan): on a plan
+    with exchanges, adaptive execution has to run them to know the count."""
+    return math.isqrt(max(df.rdd.getNumPartitions() - 1, 0)) + 1
+
+
 def cap_listing(listing: DataFrame, n: int = NUM_CANDIDATES, query: str = "query", position: str = "position") -> DataFrame:
     """T4: at most ``n`` listing entries per query, in source order."""
     return cap_per_group(listing, n, [query], [position])
 
 
-def cap_comments(comments: DataFrame, n: int = NUM_COMMENTS, key: str = "video_id", order: Sequence[str] = ("position",)) -> DataFrame:
+def cap_comments(
+    comments: DataFrame,
+    n: int = NUM_COMMENTS,
+    key: str = "video_id",
+    order: Sequence[str] = ("position",),
+    buckets: int | None = None,
+) -> DataFrame:
     """W1: at most ``n`` comments per video, in source order."""
-    return cap_per_group(comments, n, [key], list(order))
+    return cap_per_group(comments, n, [key], list(order), buckets)
 
 
 def with_durations(details: DataFrame, iso: str = "iso_duration") -> DataFrame:

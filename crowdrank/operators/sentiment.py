@@ -267,10 +267,10 @@ class TrainedScorer:
         """
         rows = train.count()
         cores = train.sparkSession.sparkContext.defaultParallelism
-        target = max(1, min(cores, -(-rows // self.rows_per_partition)))
-        if train.rdd.getNumPartitions() <= target:
+        target = -(-rows // self.rows_per_partition)
+        if target >= cores:  # large enough to use every core as it is
             return train
-        return train.repartition(target)
+        return train.repartition(max(1, target))
 
     def transform(self, df: DataFrame, text: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array

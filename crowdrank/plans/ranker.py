@@ -123,9 +123,15 @@ def prepare_comments(comments_raw: DataFrame, videos: DataFrame, params: RankerP
     order, with ``clean_text`` and ``language``.  Comments without text are
     dropped here, before the cleaning (they would be dropped by the
     sentiment stage anyway)."""
-    capped = C.cap_comments(comments_raw, params.num_comments, order=list(params.comment_order))
-    of_kept = C.comments_of(capped, videos).filter(F.col("text").isNotNull())
-    return with_language(with_clean_text(of_kept, "text", "clean_text"), "clean_text", "language")
+    # Semi-join first: the cap is per video and the semi-join keeps or drops
+    # whole videos, so the order does not change the result, but the cap's
+    # sort then sees only the comments of candidate videos.
+    of_kept = C.comments_of(comments_raw, videos)
+    capped = C.cap_comments(
+        of_kept, params.num_comments, order=list(params.comment_order), buckets=C.tree_buckets(comments_raw)
+    )
+    capped = capped.filter(F.col("text").isNotNull())
+    return with_language(with_clean_text(capped, "text", "clean_text"), "clean_text", "language")
 
 
 def scores_per_query(comments_scored: DataFrame, videos: DataFrame, params: RankerParams) -> DataFrame:
@@ -182,8 +188,11 @@ def rank_from_scored(
     """Entry for comments that already carry sentiment columns."""
     counts: dict = {}
     videos = select_videos(listing, details, params, counts)
-    capped = C.cap_comments(comments_scored, params.num_comments, order=list(params.comment_order))
-    scored = _stage(C.comments_of(capped, videos), params, "comments-scored", counts)
+    of_kept = C.comments_of(comments_scored, videos)  # before the cap, as in prepare_comments
+    capped = C.cap_comments(
+        of_kept, params.num_comments, order=list(params.comment_order), buckets=C.tree_buckets(comments_scored)
+    )
+    scored = _stage(capped, params, "comments-scored", counts)
     scores = _stage(scores_per_query(scored, videos, params), params, "video-scores", counts)
     rec = recommend_per_query(scores, listing, params.top_polarized)
     return RankResult(

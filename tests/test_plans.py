@@ -52,3 +52,14 @@ def test_lexicon_join_path_explodes_only_keys(spark):
         carried = line.rsplit("), [", 1)[1]
         assert carried.startswith("comment_id") and "text" not in carried and "clean_text" not in carried
     assert "partial_sum" in plan and "BroadcastExchange" in plan
+
+
+def test_flow_semi_joins_comments_before_the_cap(spark):
+    lines = _plan(Q.ranking_by_brand(spark, SF)).split("\n")
+    caps = [i for i, line in enumerate(lines) if "WindowGroupLimit [video_id" in line]
+    assert caps
+    for i in caps:
+        # The next join or scan under the per-video cap is the semi-join to
+        # the kept videos, not the raw comment scan.
+        below = next(line for line in lines[i + 1:] if "Join" in line or "FileScan" in line)
+        assert "LeftSemi" in below

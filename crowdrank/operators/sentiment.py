@@ -261,9 +261,10 @@ class TrainedScorer:
 
         Every optimizer iteration sends one dense gradient (classes ×
         features) per partition, so a small labelled set spread over many
-        partitions costs more in gradients than in rows; a large one keeps
-        up to one partition per core.  Round-robin, so the rows before the
-        fit are still read in parallel.
+        partitions costs more in gradients than in rows.  A set that needs
+        fewer partitions than there are cores is repartitioned round-robin
+        (the rows before the fit are still read in parallel); a larger one
+        is left as it is.
         """
         rows = train.count()
         cores = train.sparkSession.sparkContext.defaultParallelism

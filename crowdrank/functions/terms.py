@@ -27,7 +27,7 @@ _ALL_LETTERS = _re.compile(r"^\p{L}+$")
 
 def word_tokens(text: Column) -> Column:
     """Lower-cased letter runs of a text, in order, empty pieces removed."""
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT, -1), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(text), TOKEN_SPLIT, -1), "")
 
 
 def token_words(words: Iterable[str]) -> list[str]:

@@ -35,16 +35,30 @@ CSV_WRITE_OPTIONS = {
 }
 
 
+BOM = "\ufeff"
+
+
 def write_csv(
-    df: DataFrame, path: str, null_value: str | None = None, order_by: list[str] | None = None
+    df: DataFrame,
+    path: str,
+    null_value: str | None = None,
+    order_by: list[str] | None = None,
+    bom: bool = False,
 ) -> int:
     """Write ``df`` as CSV into the directory ``path``; returns the rows
     written.  ``order_by`` sorts the output (a range-partitioned sort, part
-    files in key order), as grouped outputs were sorted by their key."""
+    files in key order), as grouped outputs were sorted by their key.
+    ``bom=True`` starts every part file with a UTF-8 byte-order mark (the
+    first header name carries it), for readers that expect one; each part
+    file is a complete CSV with its own header, so no single task has to
+    write the whole table."""
     if df.isEmpty():
         return 0
     if order_by:
         df = df.orderBy(*order_by)
+    if bom and df.columns:
+        first = df.columns[0]
+        df = df.withColumnRenamed(first, BOM + first)
     obs = Observation("csv_sink")
     writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").options(**CSV_WRITE_OPTIONS)
     if null_value is not None:

@@ -68,3 +68,15 @@ def test_materialize_and_names(spark):
     m = FS.materialize(df, "test-stage")
     assert sorted(r["x"] for r in m.collect()) == list(range(0, 20, 2))
     assert FS.stage_name("Mozart Violin Sonata", "video_scores", ".csv") == "Mozart_Violin_Sonata_video_scores.csv"
+
+
+def test_csv_with_bom_reads_back(spark):
+    import glob
+
+    df = spark.createDataFrame([(1, 'a "q", b'), (2, "line\nbreak"), (3, None)], "id bigint, text string")
+    path = scratch_path(spark, "csv-bom")
+    assert FS.write_csv(df.repartition(2), path, bom=True) == 3
+    parts = sorted(glob.glob(f"{path.removeprefix('file:')}/part-*.csv"))
+    assert parts and all(open(p, "rb").read(3) == b"\xef\xbb\xbf" for p in parts)
+    back = FS.read_csv(spark, path, df.schema)
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == sorted(map(tuple, df.collect()), key=lambda r: r[0])

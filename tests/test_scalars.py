@@ -116,3 +116,10 @@ def test_label_maps(spark):
 def test_truncation_counts_code_points(spark):
     text = "\U0001F600" * 600
     assert _one_col(spark, [text], lambda c: F.length(truncate_chars(c, 512))) == [512]
+
+
+def test_decoder_registers_in_each_session(spark):
+    other = spark.newSession()  # temporary functions are per session
+    df = other.createDataFrame([("a &amp;lt; b &#8364;",)], "text string")
+    assert with_clean_text(df).collect()[0]["clean_text"] == "a < b €"
+    assert other.catalog.functionExists("crowdrank_decode_entities")

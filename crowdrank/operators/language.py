@@ -122,10 +122,11 @@ def ngram_languages(
     shuffle.
     """
     profiles = materialize(profiles, "ngram-profiles")
-    n_rows = profiles.count()
+    per_lang = {r["lang"]: r["count"] for r in profiles.groupBy("lang").count().collect()}  # one row per language
+    n_rows = sum(per_lang.values())
     if n_rows > max_profile_rows:
         raise ValueError(f"{n_rows} profile rows exceed the broadcast bound {max_profile_rows}")
-    codes = sorted(r["lang"] for r in profiles.select("lang").distinct().collect())
+    codes = sorted(per_lang)
     miss = F.lit(float(miss_weight))
     dense = profiles.groupBy("gram").agg(
         F.array(

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from crowdrank.llm.common import narrow
 from crowdrank.session import scratch_path
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
 WORD_BUCKETS = 64  # parts of a block's dictionary
 
 _BLOCK_SCHEMA = "block long, doc_id long, n long, codes binary, bucket int, words binary, sizes binary, numbers binary"
@@ -63,28 +63,7 @@ class _Numbers(dict):
         return number
 
 
-def _block_rows(block: int, ids: list, arrays: list, numbers: _Numbers, buckets: int) -> pd.DataFrame:
-    """The rows of one block: its documents' positions, its dictionary's parts."""
-    used = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    by_use = np.argsort(-np.bincount(used, minlength=len(numbers)), kind="stable")
-    rank = np.empty(len(numbers), dtype=np.int64)  # frequent words get small numbers
-    rank[by_use] = np.arange(len(numbers))
-    rows: list[tuple] = [
-        (block, doc_id, len(codes), _planes(rank[codes]), None, None, None, None)
-        for doc_id, codes in zip(ids, arrays)
-    ]
-    parts: list[list] = [[] for _ in range(buckets)]
-    for word, number in numbers.items():
-        raw = word.encode()
-        parts[zlib.crc32(raw) % buckets].append((raw, number))
-    for bucket, part in enumerate(parts):
-        if part:
-            part.sort()
-            rows.append((
-                block, None, None, None, bucket, b"".join(w for w, _ in part),
-                _planes(np.array([len(w) for w, _ in part])),
-                _planes(rank[[n for _, n in part]]),
-            ))
+def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in _BLOCK_SCHEMA.split(", ")])
     for c in ("doc_id", "n"):
         out[c] = out[c].astype("Int64")
@@ -92,6 +71,32 @@ def _block_rows(block: int, ids: list, arrays: list, numbers: _Numbers, buckets:
     return out
 
 
+def _block_rows(
+    block: int, ids: list, arrays: list, numbers: _Numbers, buckets: int
+) -> Iterator[pd.DataFrame]:
+    """The rows of one block: its documents' positions, its dictionary's parts."""
+    uses = np.zeros(len(numbers), np.int64)
+    for codes in arrays:
+        np.add.at(uses, codes, 1)
+    rank = np.empty(len(numbers), dtype=np.int32)  # frequent words get small numbers
+    rank[np.argsort(-uses, kind="stable")] = np.arange(len(numbers), dtype=np.int32)
+    chunk = 1024
+    for k in range(0, len(ids), chunk):
+        yield _frame([
+            (block, doc_id, len(codes), _planes(rank[codes]), None, None, None, None)
+            for doc_id, codes in zip(ids[k:k + chunk], arrays[k:k + chunk])
+        ])
+    raws = [word.encode() for word in numbers]
+    numbers.clear()
+    bucket_of = np.fromiter((zlib.crc32(raw) % buckets for raw in raws), np.int32, len(raws))
+    for bucket in np.unique(bucket_of).tolist():
+        part = sorted(np.flatnonzero(bucket_of == bucket).tolist(), key=raws.__getitem__)
+        yield _frame([(
+            block, None, None, None, bucket, b"".join([raws[n] for n in part]),
+            _planes(np.array([len(raws[n]) for n in part])), _planes(rank[part]),
+        )])
+
+
 def encode_corpus(
     docs: DataFrame,
     ranks_path: str,
@@ -120,14 +125,14 @@ def encode_corpus(
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 words = find(text) if text else []
-                arrays.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                arrays.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
                 held += len(words)
                 if held >= block_tokens:
-                    yield _block_rows(block, ids, arrays, numbers, word_buckets)
+                    yield from _block_rows(block, ids, arrays, numbers, word_buckets)
                     block, ids, arrays, numbers, held = block + 1, [], [], _Numbers(), 0
         if ids:
-            yield _block_rows(block, ids, arrays, numbers, word_buckets)
+            yield from _block_rows(block, ids, arrays, numbers, word_buckets)
 
     table = f"bpe_blocks_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -185,9 +190,9 @@ def encode_corpus(
             ends = np.cumsum(each)
             total = int(ends[-1]) if len(ends) else 0
             place = np.repeat(first[code] - (ends - each), each) + np.arange(total)
-            out.append((doc_id, total, flat[place].astype("<u4").tobytes()))
+            out.append((None if pd.isna(doc_id) else int(doc_id), total, flat[place].astype("<u4").tobytes()))
         made = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids"])
-        made["doc_id"] = positions["doc_id"].astype("Int64").to_numpy() if len(out) else made["doc_id"]
+        made["doc_id"] = made["doc_id"].astype("Int64")
         return made
 
     positions = blocks.where("codes is not null").select("block", "doc_id", "codes")

@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdrank.llm import bpe, packing
-from crowdrank.llm.common import read_table
+from crowdrank.llm import bpe, language_id, packing, toxicity
+from crowdrank.llm.common import fold_of, read_table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, usable=fold_of(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    profiles = language_id.collect_profiles(language_id.train_profiles(docs.where(~held_out)))
+    judged = language_id.identify(docs.select("doc_id", "text"), profiles, result_col="found")
+    return judged.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_corpus(
         read_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN
@@ -35,6 +54,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
+    "op8_language": op8_language,
     "op10_bpe": op10_bpe,
 }
 ORACLE: dict[str, str] = {}

@@ -3,7 +3,7 @@
 1. Every task splits its texts into pre-tokens, in blocks of at most
    ``block_tokens`` of them.  A block keeps, per document, the positions as an
    array of word numbers (position i holds the number of the i-th pre-token),
-   and a dictionary of its distinct words.  This is the exploded (document,
+   a dictionary of its distinct words, and the numbers of the dictionary's words.  This is the exploded (document,
    position, word) relation in columnar form: a word crosses the network once
    per block and not once per occurrence.
 2. The dictionaries are shuffled by a hash of the word; the task that owns a
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from crowdrank.llm.common import narrow
 from crowdrank.session import scratch_path
 
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 2_000_000
 WORD_BUCKETS = 64  # parts of a block's dictionary
 
 _BLOCK_SCHEMA = "block long, doc_id long, n long, codes binary, bucket int, words binary, sizes binary, numbers binary"
@@ -93,8 +93,8 @@ def _block_rows(
         part = sorted(np.flatnonzero(bucket_of == bucket).tolist(), key=raws.__getitem__)
         yield _frame([(
             block, None, None, None, bucket, b"".join([raws[n] for n in part]),
-            _planes(np.array([len(raws[n]) for n in part])), _planes(rank[part]),
-        )])
+            _planes(np.array([len(raws[n]) for n in part])), None,
+        ), (block, None, None, None, bucket, None, None, _planes(rank[part]))])
 
 
 def encode_corpus(
@@ -150,8 +150,8 @@ def encode_corpus(
         known: dict[bytes, list[int]] = {}  # this task's share of the corpus' distinct words
         for batch in batches:
             out = []
-            for block, words, sizes, numbers in zip(
-                batch["block"], batch["words"], batch["sizes"], batch["numbers"]
+            for block, bucket, words, sizes in zip(
+                batch["block"], batch["bucket"], batch["words"], batch["sizes"]
             ):
                 counts, flat, start = [], [], 0
                 for size in _unplanes(sizes).tolist():
@@ -162,17 +162,19 @@ def encode_corpus(
                         got = known[word] = bpe(word.decode())
                     counts.append(len(got))
                     flat += got
-                out.append((block, numbers, _planes(np.array(counts)), _planes(np.array(flat))))
-            yield pd.DataFrame(out, columns=["block", "numbers", "counts", "ids"])
+                out.append((block, bucket, _planes(np.array(counts)), _planes(np.array(flat))))
+            yield pd.DataFrame(out, columns=["block", "bucket", "counts", "ids"])
 
     encoded = (
-        blocks.where("words is not null").select("block", "bucket", "words", "sizes", "numbers")
+        blocks.where("words is not null").select("block", "bucket", "words", "sizes")
         .repartition(parts, "bucket")
-        .mapInPandas(encode, "block long, numbers binary, counts binary, ids binary")
+        .mapInPandas(encode, "block long, bucket int, counts binary, ids binary")
     )
 
     def assemble(positions: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        numbers = [_unplanes(x) for x in words["numbers"]]
+        of_block = positions[positions["codes"].isna()].set_index("bucket")["numbers"]
+        numbers = [_unplanes(of_block[bucket]) for bucket in words["bucket"]]
+        positions = positions[positions["codes"].notna()]
         counts = [_unplanes(x).astype(np.int64) for x in words["counts"]]
         size = sum(map(len, numbers))
         count = np.zeros(size, np.int64)
@@ -195,7 +197,9 @@ def encode_corpus(
         made["doc_id"] = made["doc_id"].astype("Int64")
         return made
 
-    positions = blocks.where("codes is not null").select("block", "doc_id", "codes")
+    positions = blocks.where("codes is not null or numbers is not null").select(
+        "block", "doc_id", "codes", "bucket", "numbers"
+    )
     return (
         positions.groupBy("block").cogroup(encoded.groupBy("block"))
         .applyInPandas(assemble, "doc_id long, n_tokens long, ids binary")

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from crowdrank.llm.common import narrow
 from crowdrank.llm.features import WordSlots, word_slots
 
 SLOT_BITS = 20
-MAX_POSITIVE = 10_000  # bounded training sample: confirmed toxic texts
-MAX_UNLABELLED = 20_000  # and unlabelled texts, both the first by a hash of the id
+MAX_POSITIVE = 5_000  # bounded training sample: confirmed toxic texts
+MAX_UNLABELLED = 10_000  # and unlabelled texts, both the first by a hash of the id
 STEPS = 500
 RATE = 0.1
 RIDGE = 1e-6
@@ -38,7 +39,7 @@ DEFAULT_PRIOR = 0.05
 
 def _sparse(text: str | None, slots: WordSlots) -> tuple[np.ndarray, np.ndarray]:
     index, count = word_slots(text, slots)
-    return index.astype(np.int32), np.log1p(count).astype(np.float32)
+    return index.astype(np.int32), np.log1p(count).astype(np.float16)
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
@@ -61,7 +62,7 @@ def training_features(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     made = rows.select("doc_id", "text").mapInPandas(make, "doc_id long, index binary, value binary").toPandas()
     made = made.sort_values(["doc_id", "index"], kind="stable")
     return [
-        (np.frombuffer(i, np.int32), np.frombuffer(v, np.float32))
+        (np.frombuffer(i, np.int32), np.frombuffer(v, np.float16))
         for i, v in zip(made["index"], made["value"])
     ]
 
@@ -76,10 +77,13 @@ def _stack(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 def _frequencies(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Documents that hold each slot; rows with equal features count once."""
-    distinct = {i.tobytes() + v.tobytes(): i for i, v in rows}.values()
+    seen: set[int] = set()
     out = np.zeros(1 << SLOT_BITS, np.int64)
-    for index in distinct:
-        out[index] += 1
+    for index, value in rows:
+        mark = xxhash.xxh3_128_intdigest(index.tobytes() + value.tobytes())
+        if mark not in seen:
+            seen.add(mark)
+            out[index] += 1
     return out
 
 
@@ -100,12 +104,11 @@ def fit_nnpu(
     chosen = np.flatnonzero(np.abs(in_p - expected) / np.sqrt(expected + 1) >= MIN_SURPRISE)
     if not len(chosen):
         return weights, bias
-    owner, index, value = _stack(positive + unlabelled)
-    place = np.full(1 << SLOT_BITS, -1)
+    place = np.full(1 << SLOT_BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    column = place[index]
-    used = column >= 0
-    owner, column, value = owner[used], column[used], value[used].astype(np.float64)
+    kept = [(place[i], v.astype(np.float32)) for i, v in positive + unlabelled]
+    kept = [(i[i >= 0], v[i >= 0]) for i, v in kept]
+    owner, column, value = _stack(kept)
     theta = np.zeros(len(chosen) + 1)
     theta[-1] = bias
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
@@ -173,7 +176,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
             out = []
             for text in batch:
                 index, value = _sparse(text, slots)
-                out.append(float(1 / (1 + np.exp(-np.clip((weights[index] * value).sum() + bias, -30, 30)))))
+                z = float(weights[index] @ value.astype(np.float32)) + bias
+                out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             yield pd.Series(out, dtype="float64")
 
     return docs.withColumn(result_col, judge(docs[text_col]))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdrank.llm import bpe, language_id, packing, toxicity
+from crowdrank.llm import bpe, language_id, near_dedup, packing, toxicity
 from crowdrank.llm.common import fold_of, read_table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return near_dedup.near_duplicates(docs, shingle=2, percent=80)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold_of(F.col("doc_id"), 4) == 2
@@ -55,6 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op7_near_dedup": op7_near_dedup,
     "op8_language": op8_language,
     "op10_bpe": op10_bpe,
 }

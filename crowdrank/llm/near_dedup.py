@@ -9,11 +9,18 @@ little error near 1; pairs that it puts clearly below the threshold are dropped.
 The rest is confirmed on the full shingle sets.
 
 Only components are wanted, so not all pairs of a bucket are formed.  Every
-bucket first compares its members with one pivot, the member that shares most
-buckets with others.  Only in buckets whose members then lie in different
-components are the pairs across components compared as well: no link between
-components is left out, and a group of thousands of near copies costs as many
-pairs as it has members.
+bucket first compares its members with one pivot P, the member that shares most
+buckets with others.  Buckets whose members then lie in different components
+may hide links across them.  With M = P - x, D = x - P and F = M + D (sizes),
+two sets x, y are linked only if they share at least
+
+    t = (F_x + F_y - r (|x| + |y|)) / 2 - min(M_x, M_y)
+
+words of D, where r = (1 - s) / (1 + s) for similarity s.  So a pair across
+components is compared only if t <= 0 or if x and y share a shingle that the
+pivot lacks (one of the first r' |x| + 1 of D, as a prefix filter needs).  No
+link across components is left out, and a group of thousands of near copies of
+one text costs as many pairs as it has members, not their square.
 """
 
 from __future__ import annotations
@@ -166,6 +173,57 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, p
     )
 
 
+def _across(
+    members: DataFrame, pivots: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, percent: int
+) -> DataFrame:
+    """The pairs (a, b) in different components that a bucket's pivot cannot rule out."""
+    named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", "n", F.coalesce("component", "rep").alias("label")
+    )
+    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    left = materialise(
+        named.join(mixed.where("low <> high").select("key"), "key")
+        .join(pivots.select("key", F.col("a").alias("pivot")), "key").where("rep <> pivot"),
+        "mixed-buckets",
+    )
+    apart = left.select("pivot", "rep", "label").distinct()
+    ids = apart.select(F.explode(F.array("pivot", "rep")).alias("doc_id")).distinct()
+    sets = materialise(_sets(docs, ids, shingle), "shingle-sets")
+    own_of = materialise(
+        apart.join(sets, "rep")
+        .join(sets.withColumnsRenamed({"rep": "pivot", "own": "theirs"}), "pivot")
+        .withColumn("extra", F.array_sort(F.array_except("own", "theirs")))
+        .withColumn("n", F.size("own"))
+        .withColumn("missing", F.size("theirs") - F.col("n") + F.size("extra"))
+        .select("pivot", "rep", "label", "n", "missing", (F.col("missing") + F.size("extra")).alias("f"), "extra"),
+        "pivot-differences",
+    )
+    ratio = (100 - percent) / (100 + percent)
+
+    def needed(x: str, y: str):
+        f, n = F.col(f"{x}.f") + F.col(f"{y}.f"), F.col(f"{x}.n") + F.col(f"{y}.n")
+        return f - ratio * n - 2 * F.least(F.col(f"{x}.missing"), F.col(f"{y}.missing"))
+
+    other = F.col("x.label") < F.col("y.label")
+    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    prefix = F.floor(ratio * (1 + 100 / percent) * F.col("n")).cast("int") + 1
+    words = own_of.select(
+        "pivot", "rep", "label", "n", "missing", "f",
+        F.explode(F.slice("extra", F.lit(1), prefix)).alias("word"),
+    )
+    sharing = (
+        words.alias("x").join(words.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.word") == F.col("y.word")))
+        .where(other & sized & (needed("x", "y") > 0)).select(*pair)
+    )
+    bound = left.select("key", "pivot", "rep").join(own_of.drop("extra"), ["pivot", "rep"])
+    unbound = (
+        bound.alias("x").join(bound.alias("y"), F.col("x.key") == F.col("y.key"))
+        .where(other & sized & (needed("x", "y") <= 0)).select(*pair)
+    )
+    return sharing.unionByName(unbound).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -199,9 +257,9 @@ def near_duplicates(
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = materialise(banded.join(shared, "key"), "bucket-members")
     reach = members.groupBy("rep").agg(F.sum("members").alias("reach"))
-    pivots = members.join(reach, "rep").groupBy("key").agg(
+    pivots = materialise(members.join(reach, "rep").groupBy("key").agg(
         F.max(F.struct("reach", (-F.col("rep")).alias("r"), "n")).alias("top")
-    ).select("key", (-F.col("top.r")).alias("a"), F.col("top.n").alias("na"))
+    ).select("key", (-F.col("top.r")).alias("a"), F.col("top.n").alias("na")), "pivots")
     close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
     stars = materialise(
         members.select("key", F.col("rep").alias("b"), F.col("n").alias("nb")).join(pivots, "key")
@@ -211,20 +269,7 @@ def near_duplicates(
     links = materialise(_confirm(stars, reps, known, shingle, percent), "links")
 
     found = connected_components(links)
-    named = materialise(
-        members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep")),
-        "named-members",
-    )
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left = named.join(mixed.where("low <> high").select("key"), "key")
-    across = (
-        left.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        .join(left.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), "key")
-        .where((F.col("ca") < F.col("cb")) & close)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    across = _across(members, pivots, found, known, shingle, percent).join(stars, ["a", "b"], "left_anti")
     more = _confirm(materialise(across, "across"), reps, known, shingle, percent)
 
     named_nodes = connected_components(links.unionByName(more).unionByName(copies))

@@ -7,13 +7,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdrank.llm import bpe, language_id, near_dedup, packing, toxicity
+from crowdrank.llm import bpe, fingerprints, language_id, near_dedup, packing, quality, toxicity, url_filter
 from crowdrank.llm.common import fold_of, read_table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: The rules of the URL query, as given: fixed values.
+URL_RULES = [
+    url_filter.host_path_rule("net/", "block"),
+    url_filter.host_path_rule("example.net/en/", "allow"),
+    url_filter.host_path_rule("example.com/de/", "block"),
+    url_filter.host_path_rule("org/fr/", "allow"),
+]
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, usable=fold_of(F.col("doc_id"), 5) != 0)
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "quality_score.text_score", "quality_score.meta_score", "quality_score.score",
+        (F.col("quality_score.score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), PACKING_TOKENIZER)
     return pieces.select(
@@ -33,6 +54,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filter_urls(
+        read_table(spark, sf_dir, "pages"), [*URL_RULES, *url_filter.WORD_RULES]
+    )
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return near_dedup.near_duplicates(docs, shingle=2, percent=80)
@@ -46,6 +74,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "found.lang_pred", "found.score")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint_text(F.col("anchors")).alias("fingerprint"),
+        fingerprints.fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        fingerprints.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_corpus(
         read_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN
@@ -58,10 +97,41 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op6_url_filter": op6_url_filter,
     "op7_near_dedup": op7_near_dedup,
     "op8_language": op8_language,
+    "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
 }
-ORACLE: dict[str, str] = {}
+
+#: DuckDB SQL for the queries that SQL can express exactly.
+ORACLE: dict[str, str] = {
+    "op6_url_filter": r"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                   THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+        ), cut AS (
+            SELECT page_id, regexp_extract(r, '^[^/?#]*') AS h, r FROM rest
+        ), parts AS (
+            SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM cut
+        ), rules(rhost, rpath, rverdict) AS (
+            VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                   ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+        ), fits AS (
+            SELECT DISTINCT host, path, rhost || rpath AS rule, rverdict,
+                   row_number() OVER (PARTITION BY host, path ORDER BY length(rhost || rpath) DESC) AS k
+            FROM (SELECT DISTINCT host, path FROM parts) JOIN rules
+              ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+        )
+        SELECT page_id, p.host, p.path, f.rule,
+               CASE WHEN f.rule IS NOT NULL THEN f.rverdict
+                    WHEN regexp_matches(lower(p.host || p.path),
+                         '(^|[^a-z0-9])(login|signin|cart|checkout|adserver|doubleclick)([^a-z0-9]|$)')
+                    THEN 'block' ELSE 'allow' END AS verdict
+        FROM parts p LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON f.host = p.host AND f.path = p.path
+    """,
+}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +33,18 @@ def fold_of(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def add_by_row(
-    df: DataFrame, inputs: dict[str, str], fields: str, make: Callable
-) -> DataFrame:
-    """Append the struct that a pandas UDF made by ``make()`` returns for the
-    ``inputs`` columns, as flat columns; all other columns pass through untouched."""
-    from pyspark.sql.functions import pandas_udf
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
-    judge = pandas_udf(make, fields)
-    taken = set(df.columns)
-    holder = "_judged"
-    while holder in taken:
-        holder += "_"
-    return df.withColumn(holder, judge(*[df[c] for c in inputs.values()]))
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str, most: int = 1_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``id_col`` is not in the one column of ``ids``
+    (NULL stays).  Up to ``most`` ids (8 MB) are broadcast; more are joined by
+    a shuffle, with the same result."""
+    gone = ids.toDF("gone")
+    gone = F.broadcast(gone) if gone.count() <= most else gone
+    return df.join(gone, df[id_col] == F.col("gone"), "left_anti")

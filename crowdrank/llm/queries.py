@@ -7,7 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdrank.llm import bpe, fingerprints, language_id, near_dedup, packing, quality, toxicity, url_filter
+from crowdrank.llm import (
+    bpe, fingerprints, hamming_search, language_id, near_dedup, packing, quality, tool_calls, toxicity,
+    url_filter,
+)
 from crowdrank.llm.common import fold_of, read_table
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,6 +57,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return hamming_search.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.conversation_calls(read_table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(
+        tool_calls.CONVERSATION_SCHEMAS, "name string, field string, type string, required boolean"
+    )
+    linked = tool_calls.link_tool_calls(calls, results, schemas)
+    return linked.select(
+        F.col("group_id").alias("conv_id"), F.col("seq").alias("turn"), "call_id", "kind", "level", "status",
+        F.array_join("errors", "; ").alias("errors"), "json",
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(
         read_table(spark, sf_dir, "pages"), [*URL_RULES, *url_filter.WORD_RULES]
@@ -100,6 +120,8 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_hamming_search": op4_hamming_search,
+    "op5_tool_calls": op5_tool_calls,
     "op6_url_filter": op6_url_filter,
     "op7_near_dedup": op7_near_dedup,
     "op8_language": op8_language,
@@ -109,6 +131,48 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express exactly.
 ORACLE: dict[str, str] = {
+    "op4_hamming_search": r"""
+        WITH codes AS (
+            SELECT vec_id, 
+                   [(embedding[j]::DOUBLE + embedding[j + 32]::DOUBLE) > 0 FOR j IN range(1, 33)] AS code FROM embeddings
+        ), apart AS (
+            SELECT q.vec_id AS query_id, x.vec_id,
+                   list_sum([(q.code[j] <> x.code[j])::INT FOR j IN range(1, 33)])::INT AS distance
+            FROM codes q JOIN codes x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id
+        )
+        SELECT query_id, rank, vec_id, distance FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM apart
+        ) WHERE rank <= 10
+    """,
+    "op5_tool_calls": r"""
+        WITH RECURSIVE calls AS (
+            SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
+                   CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS after, text
+            FROM conversations WHERE role = 'user'
+        ), depth AS (
+            SELECT c.call_id, 0 AS d, c.after IS NOT NULL AS missing FROM calls c
+            WHERE c.after IS NULL OR c.after NOT IN (SELECT call_id FROM calls)
+            UNION ALL
+            SELECT c.call_id, p.d + 1, p.missing FROM calls c JOIN depth p ON c.after = p.call_id
+        ), results AS (
+            SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text
+            FROM conversations WHERE role = 'assistant'
+        )
+        SELECT c.conv_id, c.turn, c.call_id, 'call' AS kind, (2 * d.d)::BIGINT AS level,
+               CASE WHEN d.missing THEN 'missing'
+                    WHEN EXISTS (SELECT 1 FROM results r WHERE r.call_id = c.call_id) THEN 'ok'
+                    ELSE 'unanswered' END AS status, '' AS errors,
+               '{"arguments":{' || CASE WHEN c.after IS NULL THEN '' ELSE '"after":"' || c.after || '",' END
+               || '"chars":' || length(c.text) || ',"text":' || to_json(c.text) || ',"turn":' || c.turn
+               || '},"id":"' || c.call_id || '","name":"'
+               || CASE WHEN c.turn >= 2 THEN 'follow' ELSE 'open' END || '","type":"call"}' AS json
+        FROM calls c JOIN depth d USING (call_id)
+        UNION ALL
+        SELECT r.conv_id, r.turn, r.call_id, 'result', (2 * d.d + 1)::BIGINT,
+               CASE WHEN d.call_id IS NULL THEN 'orphan' ELSE 'ok' END, '',
+               '{"content":' || to_json(r.text) || ',"id":"' || r.call_id || '","type":"result"}'
+        FROM results r LEFT JOIN depth d USING (call_id)
+    """,
     "op6_url_filter": r"""
         WITH rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0

@@ -11,6 +11,7 @@ distance is within the distance covered.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -78,7 +79,6 @@ def search(
     """
     if bits % SEGMENT_BITS or not 0 < bits < 64:
         raise ValueError("bits must be a multiple of 16 below 64")
-    spark = vectors.sparkSession
     segments = bits // SEGMENT_BITS
     coded = materialise(codes_of(vectors, id_col, vector_col, bits), "codes")
     by_id = Window.partitionBy("code").orderBy("vec_id")
@@ -99,11 +99,10 @@ def search(
     finished: DataFrame | None = None
     nearest = Window.partitionBy("asked").orderBy("distance", "low")
     for radius in range(SEGMENT_BITS + 1):
-        masks = spark.createDataFrame(
-            [(sum(1 << b for b in c),) for c in combinations(range(SEGMENT_BITS), radius)], "mask long"
-        ).agg(F.collect_list("mask").alias("masks")).first()["masks"]  # at most 12,870 numbers
+        masks = [sum(1 << b for b in c) for c in combinations(range(SEGMENT_BITS), radius)]
+        listed = F.from_json(F.lit(json.dumps(masks)), "array<bigint>")  # at most 12,870 numbers
         probes = _segments(active, "asked", bits).select(
-            "asked", "segment", F.explode(F.lit(masks)).alias("mask"), "value"
+            "asked", "segment", F.explode(listed).alias("mask"), "value"
         ).select("asked", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         fresh = (
             probes.join(index, ["segment", "value"])

@@ -18,6 +18,7 @@ from crowdrank.llm.common import narrow
 UNIT = 8
 K = 6
 S = 2
+NULL_BUCKETS = 1024
 ROWS_PER_BUCKET = 512  # documents of a stretch of ids that a window function holds
 
 
@@ -94,7 +95,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first as many of the next document in ascending id (after the last: the
     first).  NULL texts are empty.  Rows with the same id follow each other by
     a hash of their text.  A NULL id has no place in the order: its next
-    document is the first.  A single document is its own next.  Texts are
+    document is the first (none, if no row has an id).  A single document is its
+    own next.  Texts are
     shuffled once, by stretches of ids sized so that a window function holds
     about ``ROWS_PER_BUCKET`` documents.
     """
@@ -104,34 +106,27 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ).first()
     low, count = bounds["low"] or 0, max(bounds["n"], 1)
     width = max(1, -(-((bounds["high"] or 0) - low + 1) * ROWS_PER_BUCKET // count))
+    # A NULL id has a bucket below 0, by its text; the first document follows.
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn(
-        "bucket", F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width))
+        "bucket",
+        F.coalesce(
+            F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), -1 - F.pmod("tie", F.lit(NULL_BUCKETS))
+        ).cast("long"),
     )
     placed = rows.where("doc_id is not null")
     firsts = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie", "text")).alias("first"))
     firsts = with_anchors(firsts.select("bucket", F.col("first.text").alias("head_text")), "head_text", "head_anchors")
-    heads = _next_buckets(firsts).join(
+    lost = rows.where("doc_id is null").select("bucket", F.lit(0).cast("long").alias("following")).distinct()
+    heads = _next_buckets(firsts.select("bucket")).unionByName(lost).join(
         firsts.select(F.col("bucket").alias("following"), "head_text", "head_anchors"), "following"
     ).drop("following")
-    # NULL ids: bucket NULL, spread by their text; the first document follows.
-    order = Window.partitionBy("bucket", "spread").orderBy("doc_id", "tie")
-    own = with_anchors(
-        rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.col("tie")).otherwise(F.lit(0)))
-        .repartition("bucket", "spread"), "text", "anchors",
-    )
-    followed = own.withColumn("after", F.lead(F.struct("text", "anchors")).over(order))
-    very_first = firsts.select("bucket").agg(F.min("bucket").alias("bucket")).join(firsts, "bucket").select(
-        F.lit(0).alias("one"), F.col("head_text").alias("first_text"), F.col("head_anchors").alias("first_anchors")
-    )
-    joined = (
-        followed.withColumn("one", F.when(F.col("doc_id").isNull(), F.lit(0)))
-        .join(heads, "bucket", "left").join(F.broadcast(very_first), "one", "left")  # one row
-    )
-    lost = F.col("doc_id").isNull()
-    joined = joined.select(
+    # One shuffle of the texts: the window and the join keep its buckets.
+    own = with_anchors(rows.repartition("bucket"), "text", "anchors")
+    after = F.lead(F.struct("text", "anchors")).over(Window.partitionBy("bucket").orderBy("doc_id", "tie"))
+    joined = own.withColumn("after", F.when(F.col("doc_id").isNotNull(), after)).join(heads, "bucket", "left").select(
         "doc_id", "text", "anchors", F.length("text").cast("long").alias("n_chars"),
-        F.when(lost, F.col("first_text")).otherwise(F.coalesce("after.text", "head_text")).alias("next_text"),
-        F.when(lost, F.col("first_anchors")).otherwise(F.coalesce("after.anchors", "head_anchors")).alias("next_anchors"),
+        F.coalesce("after.text", "head_text").alias("next_text"),
+        F.coalesce("after.anchors", "head_anchors").alias("next_anchors"),
     )
     half = F.floor(F.col("n_chars") / 2).cast("int")
     n = F.col("n_chars").cast("int")

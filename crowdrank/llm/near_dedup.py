@@ -17,10 +17,11 @@ two sets x, y are linked only if they share at least
     t = (F_x + F_y - r (|x| + |y|)) / 2 - min(M_x, M_y)
 
 words of D, where r = (1 - s) / (1 + s) for similarity s.  So a pair across
-components is compared only if t <= 0 or if x and y share a shingle that the
-pivot lacks (one of the first r' |x| + 1 of D, as a prefix filter needs).  No
-link across components is left out, and a group of thousands of near copies of
-one text costs as many pairs as it has members, not their square.
+components is formed only if t <= 0 or if x and y share a shingle that the
+pivot lacks (one of the first r' |x| + 1 of D, as a prefix filter needs), and
+compared only if counts of M and D by hash block leave room for enough shared
+ones.  No link across components is left out, and a group of thousands of near
+copies of one text costs about as many pairs as it has members, not their square.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ BANDS = 64
 ROWS = 8  # a pair at similarity 0.8 shares no band with probability 8e-6
 SKETCH_BITS = 1024
 SKETCH_MARGIN = 0.15  # five deviations of the estimate at similarity 0.8
+BLOCKS = 64
 MAX_BROADCAST_IDS = 1_000_000  # 8 MB of ids; more are joined by a shuffle
 
 _M64 = (1 << 64) - 1
@@ -162,7 +164,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, p
         .where(z <= _farthest(percent / 100)).select("a", "b").distinct(),
         "near-pairs",
     )
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialise(near.select("a").unionByName(near.select(F.col("b").alias("a"))).distinct().toDF("doc_id"), "pair-ids")
     sets = materialise(_sets(docs, ids, shingle), "shingle-sets")
     both = F.size(F.array_intersect("oa", "ob"))
     return (
@@ -173,6 +175,13 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, p
     )
 
 
+def _blocks(missing: pd.Series, extra: pd.Series) -> pd.Series:
+    """Elements of both arrays by hash block: ``BLOCKS`` counts each.  The sum
+    of the smaller counts bounds what two such arrays share from above."""
+    count = lambda a: np.bincount(np.asarray(a, np.int64).view(np.uint64) % np.uint64(BLOCKS), minlength=BLOCKS)
+    return pd.Series([np.concatenate([count(m), count(e)]).astype(np.int32) for m, e in zip(missing, extra)])
+
+
 def _across(
     members: DataFrame, pivots: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, percent: int
 ) -> DataFrame:
@@ -187,15 +196,22 @@ def _across(
         "mixed-buckets",
     )
     apart = left.select("pivot", "rep", "label").distinct()
-    ids = apart.select(F.explode(F.array("pivot", "rep")).alias("doc_id")).distinct()
+    ids = materialise(
+        apart.select("pivot").unionByName(apart.select(F.col("rep").alias("pivot"))).distinct().toDF("doc_id"),
+        "pair-ids",
+    )
     sets = materialise(_sets(docs, ids, shingle), "shingle-sets")
     own_of = materialise(
         apart.join(sets, "rep")
         .join(sets.withColumnsRenamed({"rep": "pivot", "own": "theirs"}), "pivot")
         .withColumn("extra", F.array_sort(F.array_except("own", "theirs")))
-        .withColumn("n", F.size("own"))
-        .withColumn("missing", F.size("theirs") - F.col("n") + F.size("extra"))
-        .select("pivot", "rep", "label", "n", "missing", (F.col("missing") + F.size("extra")).alias("f"), "extra"),
+        .withColumn("lacks", F.array_except("theirs", "own"))
+        .withColumn("blocks", F.pandas_udf(_blocks, "array<int>")("lacks", "extra"))
+        .withColumn("missing", F.size("lacks"))
+        .select(
+            "pivot", "rep", "label", F.size("own").alias("n"), "missing",
+            (F.col("missing") + F.size("extra")).alias("f"), "extra", "blocks",
+        ),
         "pivot-differences",
     )
     ratio = (100 - percent) / (100 + percent)
@@ -206,7 +222,7 @@ def _across(
 
     other = F.col("x.label") < F.col("y.label")
     sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    pair = [F.col("x.pivot").alias("pivot"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
     prefix = F.floor(ratio * (1 + 100 / percent) * F.col("n")).cast("int") + 1
     words = own_of.select(
         "pivot", "rep", "label", "n", "missing", "f",
@@ -216,12 +232,22 @@ def _across(
         words.alias("x").join(words.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.word") == F.col("y.word")))
         .where(other & sized & (needed("x", "y") > 0)).select(*pair)
     )
-    bound = left.select("key", "pivot", "rep").join(own_of.drop("extra"), ["pivot", "rep"])
+    bound = left.select("key", "pivot", "rep").join(own_of.drop("extra", "blocks"), ["pivot", "rep"])
     unbound = (
         bound.alias("x").join(bound.alias("y"), F.col("x.key") == F.col("y.key"))
         .where(other & sized & (needed("x", "y") <= 0)).select(*pair)
     )
-    return sharing.unionByName(unbound).distinct()
+    stats = own_of.select("pivot", "rep", "n", "f", "blocks")
+    shared = F.aggregate(
+        F.zip_with("x.blocks", "y.blocks", lambda a, b: F.least(a, b)), F.lit(0), lambda total, c: total + c
+    )
+    room = 2 * shared >= F.col("x.f") + F.col("y.f") - ratio * (F.col("x.n") + F.col("y.n"))
+    return (
+        sharing.unionByName(unbound).distinct().alias("p")
+        .join(stats.alias("x"), (F.col("p.pivot") == F.col("x.pivot")) & (F.col("p.a") == F.col("x.rep")))
+        .join(stats.alias("y"), (F.col("p.pivot") == F.col("y.pivot")) & (F.col("p.b") == F.col("y.rep")) & room)
+        .select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+    )
 
 
 def near_duplicates(

@@ -45,6 +45,6 @@ def without_ids(df: DataFrame, ids: DataFrame, id_col: str, most: int = 1_000_00
     """Rows of ``df`` whose ``id_col`` is not in the one column of ``ids``
     (NULL stays).  Up to ``most`` ids (8 MB) are broadcast; more are joined by
     a shuffle, with the same result."""
-    gone = ids.toDF("gone")
+    gone = ids.toDF(id_col)
     gone = F.broadcast(gone) if gone.count() <= most else gone
-    return df.join(gone, df[id_col] == F.col("gone"), "left_anti")
+    return df.join(gone, id_col, "left_anti").select(*df.columns)

@@ -13,9 +13,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+BATCH_ROWS = 1_000  # whole texts go to Python in batches of at most so many rows
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS``, unless it is
+    smaller: a Python worker holds one batch of whole texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: extra columns
     of the input, whatever they are called, never meet internal ones."""
+    lean_batches(df.sparkSession)
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 

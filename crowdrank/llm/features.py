@@ -52,7 +52,7 @@ class WordSlots(dict):
     """lower-case word (bytes) → the slots, below 2**bits, of the word and of
     its first four bytes, by a fixed hash."""
 
-    def __init__(self, bits: int, most: int = 300_000):
+    def __init__(self, bits: int, most: int = 100_000):
         super().__init__()
         self.mask, self.most = (1 << bits) - 1, most
 

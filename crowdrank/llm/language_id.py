@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crowdrank.llm.common import materialise, narrow
+from crowdrank.llm.common import lean_batches, materialise, narrow
 
 PROFILE_SIZE = 300
 UNDETERMINED = "und"
@@ -150,6 +150,7 @@ def identify(
     from pyspark.sql.functions import pandas_udf
 
     languages, codes, ranks = profiles
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((codes, ranks))
 
     @pandas_udf("lang_pred string, score double")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdrank.llm.common import narrow
+from crowdrank.llm.common import lean_batches, narrow
 from crowdrank.llm.features import SHAPE, text_shape
 
 MAX_LABELLED = 10_000  # bounded training sample: labelled rows, the first by a hash of the id
@@ -206,6 +206,7 @@ def score(
     of its own."""
     from pyspark.sql.functions import pandas_udf
 
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
     @pandas_udf("text_score double, meta_score double, score double")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdrank.llm.common import narrow
+from crowdrank.llm.common import lean_batches, narrow
 from crowdrank.llm.features import WordSlots, word_slots
 
 SLOT_BITS = 20
@@ -166,6 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     text is toxic.  A NULL or empty text has the score of no words at all."""
     from pyspark.sql.functions import pandas_udf
 
+    lean_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 weights: 4 MB
 
     @pandas_udf("double")

@@ -6,7 +6,7 @@ by one (``" the  cat "``); counting how many tokens belong to a word list
 is then one regular-expression pass (`` (?:w1|w2|...) ``) that can only
 start at a space — generated code, no per-token lambda, no explode, no
 shuffle.  Words that are not all letters can never equal a token and are
-dropped.  Lists past ``MAX_REGEX_WORDS`` go through a join instead (see
+dropped.  Lexicons past ``MAX_REGEX_WORDS`` are looked up token by token (see
 ``crowdrank.operators.sentiment``).
 """
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import regex as _re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,7 +21,6 @@ from crowdrank.functions.patterns import quote_literal
 
 MAX_REGEX_WORDS = 2_000
 TOKEN_SPLIT = r"[^\p{L}]+"   # letters only; digits and punctuation split
-_ALL_LETTERS = _re.compile(r"^\p{L}+$")
 
 
 def word_tokens(text: Column) -> Column:
@@ -32,7 +30,7 @@ def word_tokens(text: Column) -> Column:
 
 def token_words(words: Iterable[str]) -> list[str]:
     """The distinct lower-cased words that can be tokens, longest first."""
-    kept = {w.lower() for w in words if w and _ALL_LETTERS.match(w.lower())}
+    kept = {w.lower() for w in words if w.lower().isalpha()}
     return sorted(kept, key=lambda w: (-len(w), w))
 
 

@@ -32,7 +32,7 @@ def _first_n(df: DataFrame, n: int, group: Sequence[str], order: Sequence[str])
 
 
 def cap_per_group(
-    df: DataFrame, n: int, group: Sequence[str], order: Sequence[str], buckets: int | None = None
+    df: DataFrame, n: int | None, group: Sequence[str], order: Sequence[str], buckets: int | None = None
 ) -> DataFrame:
     """First ``n`` rows of each group in ``order`` (ties need a full order
     to be deterministic).
@@ -44,8 +44,10 @@ def cap_per_group(
     each level sees about √tasks × n rows of a group.  Any bucketing gives
     the same exact result (the top ``n`` of a union is the top ``n`` of the
     per-bucket tops).  ``buckets`` defaults to ⌈√(input partitions)⌉; 1
-    switches the tree off.
+    switches the tree off.  ``n=None`` keeps all rows.
     """
+    if n is None:
+        return df
     if buckets is None:
         buckets = tree_buckets(df)
     if buckets <= 1:
@@ -61,14 +63,14 @@ def tree_buckets(df: DataFrame) -> int:
     return math.isqrt(max(df.rdd.getNumPartitions() - 1, 0)) + 1
 
 
-def cap_listing(listing: DataFrame, n: int = NUM_CANDIDATES, query: str = "query", position: str = "position") -> DataFrame:
+def cap_listing(listing: DataFrame, n: int | None = NUM_CANDIDATES, query: str = "query", position: str = "position") -> DataFrame:
     """T4: at most ``n`` listing entries per query, in source order."""
     return cap_per_group(listing, n, [query], [position])
 
 
 def cap_comments(
     comments: DataFrame,
-    n: int = NUM_COMMENTS,
+    n: int | None = NUM_COMMENTS,
     key: str = "video_id",
     order: Sequence[str] = ("position",),
     buckets: int | None = None,
@@ -86,7 +88,7 @@ def with_durations(details: DataFrame, iso: str = "iso_duration") -> DataFrame:
 
 def kept_candidates(
     listing: DataFrame,
-    n: int = NUM_CANDIDATES,
+    n: int | None = NUM_CANDIDATES,
     exclude_words: Sequence[str] = EXCLUDE_WORDS,
 ) -> DataFrame:
     """Cap first (on the raw listing), then the title filter."""

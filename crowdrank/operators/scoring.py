@@ -16,9 +16,14 @@ from crowdrank.fixed_values import PSEUDO_COUNT
 TOTAL_MODES = ("confidence", "signed", "weighted")
 
 
+def number(value: Column) -> Column:
+    """A double in which NaN is missing (NULL), so that it wins no maximum."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+
+
 def weighted_sentiment(label: Column, score: Column, likes: Column) -> Column:
     """label × score × likes (NULL when any part is NULL)."""
-    return label.cast("double") * score.cast("double") * likes.cast("double")
+    return number(label) * number(score) * number(likes)
 
 
 def with_weighted_score(comments_scored: DataFrame) -> DataFrame:
@@ -33,13 +38,13 @@ def with_weighted_score(comments_scored: DataFrame) -> DataFrame:
 
 def _total_term(mode: str) -> Column:
     label = F.col("sentiment_label").cast("double")
-    score = F.col("sentiment_score").cast("double")
+    score = number(F.col("sentiment_score"))
     if mode == "confidence":
         return score
     if mode == "signed":
         return label * score
     if mode == "weighted":
-        return label * score * F.col("like_count").cast("double")
+        return label * score * number(F.col("like_count"))
     raise ValueError(f"total must be one of {TOTAL_MODES}, got {mode!r}")
 
 
@@ -60,10 +65,10 @@ def video_score_aggregates(
     is absent).
     """
     label = F.col("sentiment_label")
-    score = F.col("sentiment_score").cast("double")
+    score = number(F.col("sentiment_score"))
     weighted = weighted_sentiment(label, score, F.col("like_count"))
     relevance = (
-        F.col("relevance_score").cast("double")
+        number(F.col("relevance_score"))
         if "relevance_score" in comments_scored.columns
         else F.lit(1.0)
     )
@@ -145,7 +150,7 @@ def video_scores_with_relevance(
     aggregates = video_score_aggregates(
         comments_scored.drop("relevance_score"), key=key, total=total
     ).drop("relevance_score")
-    per_video = videos.select(F.col(key), F.col("relevance_score").cast("double").alias("_rel"))
+    per_video = videos.select(F.col(key), number(F.col("relevance_score")).alias("_rel"))
     joined = aggregates.join(per_video, key, "inner")
     return finish_scores(joined, key=key, pseudo_count=pseudo_count, relevance=F.col("_rel"))
 

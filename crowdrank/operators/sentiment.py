@@ -14,12 +14,17 @@ Scorers:
 * ``LexiconScorer`` — tokens matched against a term → weight lexicon; label
   is the sign of the summed weight, confidence |Σw| / Σ|w|, no hit →
   neutral with a fixed confidence.  Native expression (one whole-token
-  count per distinct weight) or, for a lexicon past the regex bound, an
-  explode → join → aggregate job.
+  count per distinct weight); a mapping with many weights or terms is looked
+  up token by token in one Arrow pass over the text; a lexicon given as a
+  table goes through an explode → join → aggregate job.
 * ``TrainedScorer`` — Spark ML tokenizer → hashing TF → logistic
   regression, fitted on labelled comments.
 * ``PluginScorer`` — any ``pandas.Series[str] -> DataFrame(label, score)``
-  callable, run per Arrow batch with ``mapInPandas``.
+  callable, run on the texts of its route, per Arrow batch.
+
+All scorers of a route table run over the same frame, and each row then takes
+its route's result: no branch reads the source again, and no filter on a
+computed language copies the cleaning into itself.
 
 Every scorer reads the whole text; ``max_chars`` (off by default) exists for
 plug-in models with an input limit.
@@ -28,13 +33,13 @@ plug-in models with an input limit.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crowdrank.fixed_values import ERROR_LABEL
 from crowdrank.functions.labels import label_score
@@ -45,10 +50,10 @@ from crowdrank.functions.terms import (
     token_words,
     word_tokens,
 )
-from crowdrank.functions.text import truncate_chars
 from crowdrank.operators.filters import drop_missing_text
 
 ENGLISH = "en"
+MAX_REGEX_WEIGHTS = 16  # distinct weights counted by regular expressions; more are looked up
 RAW = "original_sentiment_label"
 SCORE = "sentiment_score"
 LABEL = "sentiment_label"
@@ -68,9 +73,9 @@ def _finish(df: DataFrame, scheme: str = "sentiment") -> DataFrame:
 @dataclass(frozen=True)
 class LexiconScorer:
     """Term → weight lexicon.  ``weights`` is a mapping; a lexicon too
-    large for the plan is given as ``table`` (a DataFrame with one row per
-    term: term, weight) and always scored by the join path, as is a mapping
-    past the regex bound or any lexicon with ``by_join=True``."""
+    large for the driver is given as ``table`` (a DataFrame: term, weight;
+    terms that are equal in lower case must have one weight, else the smallest
+    counts) and scored by the join path, as is any lexicon with ``by_join=True``."""
 
     weights: Mapping[str, float]
     neutral_score: float = 0.5
@@ -79,7 +84,9 @@ class LexiconScorer:
     table: object = field(default=None, compare=False, repr=False)
     max_broadcast_terms: int = 500_000
 
-    def _verdict(self, total: Column, absolute: Column) -> tuple[Column, Column]:
+    def verdict(self, total: Column, absolute: Column) -> tuple[Column, Column]:
+        """(raw label, confidence) from the two sums, which should be columns:
+        each is read several times."""
         raw = (
             F.when(total > 0, F.lit("positive"))
             .when(total < 0, F.lit("negative"))
@@ -99,19 +106,22 @@ class LexiconScorer:
         return groups
 
     def uses_join(self) -> bool:
-        return self.by_join or self.table is not None or not regex_lexicon_fits(len(self.weights))
-
-    def expression(self, normalized: Column) -> Column:
-        """struct(label, score) over a ``normalized_tokens`` column, no
-        shuffle: one whole-token count per distinct weight."""
+        return self.by_join or self.table is not None
+
+    def sums(self, normalized: Column) -> Column:
+        """struct(total, absolute) over a ``normalized_tokens`` column, no
+        shuffle and no key: one whole-token count per distinct weight, or, when
+        that takes many, one lookup per token.  Both give the same sums."""
+        groups = self.by_weight()
+        if len(groups) > MAX_REGEX_WEIGHTS or sum(map(len, groups.values())) > MAX_REGEX_WORDS:
+            return _lookup_sums({t: w for w, terms in groups.items() for t in terms})(normalized)
         total = F.lit(0.0)
         absolute = F.lit(0.0)
-        for weight, terms in sorted(self.by_weight().items()):
+        for weight, terms in sorted(groups.items()):
             n = count_tokens_in(normalized, terms).cast("double")
             total = total + F.lit(weight) * n
             absolute = absolute + F.lit(abs(weight)) * n
-        raw, score = self._verdict(total, absolute)
-        return F.struct(raw.alias("label"), score.alias("score"))
+        return F.struct(total.alias("total"), absolute.alias("absolute"))
 
     def lexicon_table(self, spark) -> DataFrame:
         """(term, weight): ``table`` as given, else the token-able terms of
@@ -127,28 +137,50 @@ class LexiconScorer:
         """The same scores through a join, for a lexicon too large to ship
         in the plan.
 
-        Only (key, token) pairs are exploded — never the text — and joined
-        with the lexicon (term, weight; one row per term); the hits are
-        summed per comment (partial aggregate first) and joined back (left)
-        to the comments.  ``key`` must identify a comment.  The lexicon is
+        Only (key, text hash, token) rows are exploded — never the text — and
+        joined with the lexicon; the hits are summed per comment (partial
+        aggregate first) and joined back (left, NULL keys included) to the
+        comments.  Rows with one key and one text share their sums, which
+        doubles both and changes neither label nor confidence.  The lexicon is
         broadcast when its row count is within ``max_broadcast_terms``
         (checked); beyond that the join shuffles on the term and adaptive
         execution splits hot terms ("the").
         """
         lexicon = self.lexicon_table(df.sparkSession) if lexicon is None else lexicon
-        terms = lexicon.select(F.lower("term").alias("term"), F.col("weight").cast("double"))
+        terms = (
+            lexicon.groupBy(F.lower("term").alias("term"))
+            .agg(F.min(F.col("weight").cast("double")).alias("weight"))
+        )
         if terms.count() <= self.max_broadcast_terms:
             terms = F.broadcast(terms)
-        tokens = df.select(F.col(key), F.explode(word_tokens(F.col(text))).alias("term"))
-        hits = tokens.join(terms, "term")
-        sums = hits.groupBy(key).agg(
+        mark = F.xxhash64(F.col(text))
+        tokens = df.select(
+            F.col(key).alias("_key"), mark.alias("_mark"), F.explode(word_tokens(F.col(text))).alias("term")
+        )
+        sums = tokens.join(terms, "term").groupBy("_key", "_mark").agg(
             F.sum("weight").alias("_total"), F.sum(F.abs("weight")).alias("_abs")
         )
-        joined = df.join(sums, key, "left")
-        raw, score = self._verdict(F.coalesce("_total", F.lit(0.0)), F.coalesce("_abs", F.lit(0.0)))
+        joined = df.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), "left")
+        raw, score = self.verdict(F.coalesce("_total", F.lit(0.0)), F.coalesce("_abs", F.lit(0.0)))
         return joined.select(*df.columns, raw.alias(RAW), score.alias(SCORE))
 
 
+def _lookup_sums(weights: dict[str, float]) -> Callable[[Column], Column]:
+    """Summed and absolute weights of the tokens of a normalised text, looked
+    up one by one (weights are added in ascending order, as the native sums)."""
+
+    @F.pandas_udf("total double, absolute double")
+    def look_up(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            counts = Counter(weights[t] for t in (text or "").split() if t in weights)
+            found = sorted(counts.items())
+            out.append((sum(w * n for w, n in found), sum(abs(w) * n for w, n in found)))
+        return pd.DataFrame(out, columns=["total", "absolute"]).astype("float64")
+
+    return look_up
+
+
 # --- plug-in scorer ---------------------------------------------------------------
 
 
@@ -176,42 +208,37 @@ def _ship_by_value(fn: Callable) -> None:
         pass
 
 
-def _run_plugin(df: DataFrame, scorer: PluginScorer, text: str) -> DataFrame:
-    """Apply a plug-in scorer per Arrow batch; a failing batch is retried
-    row by row so that only the failing rows become error rows."""
-    fn = scorer.fn
+def _score_batch(fn: Callable, texts: list) -> list[tuple[str, float]]:
+    """(label, score) of every text; a failing batch is halved until only the
+    failing texts become error rows."""
+    if not texts:
+        return []
+    try:
+        res = fn(pd.Series(texts, dtype=object))
+        got = list(zip(res["label"].astype(str), res["score"].astype(float)))
+        if len(got) != len(texts):
+            raise ValueError("scorer returned a different number of rows")
+        return got
+    except Exception:
+        if len(texts) == 1:
+            return [(ERROR_LABEL, 0.0)]
+        half = len(texts) // 2
+        return _score_batch(fn, texts[:half]) + _score_batch(fn, texts[half:])
+
+
+def _plugin_verdict(scorer: PluginScorer, text: Column, wanted: Column) -> Column:
+    """struct(label, score) of the rows that are ``wanted``, NULL elsewhere.
+    Only the text and the flag go to Python."""
+    fn, max_chars = scorer.fn, scorer.max_chars
     _ship_by_value(fn)
-    max_chars = scorer.max_chars
-    out_schema = T.StructType(
-        df.schema.fields
-        + [T.StructField(RAW, T.StringType(), True), T.StructField(SCORE, T.DoubleType(), True)]
-    )
 
-    def score_one(value: str) -> tuple[str, float]:
-        try:
-            res = fn(pd.Series([value]))
-            return str(res["label"].iloc[0]), float(res["score"].iloc[0])
-        except Exception:  # the row becomes an error row
-            return ERROR_LABEL, 0.0
-
-    def apply(batches):
-        for pdf in batches:
-            texts = pdf[text].astype(object)
-            if max_chars is not None:
-                texts = texts.map(lambda s: s[:max_chars] if isinstance(s, str) else s)
-            try:
-                res = fn(texts.reset_index(drop=True))
-                labels = res["label"].astype(str).tolist()
-                scores = res["score"].astype(float).tolist()
-                if len(labels) != len(pdf):
-                    raise ValueError("scorer returned a different number of rows")
-            except Exception:
-                pairs = [score_one(s) for s in texts]
-                labels = [p[0] for p in pairs]
-                scores = [p[1] for p in pairs]
-            yield pdf.assign(**{RAW: labels, SCORE: scores})
-
-    return df.mapInPandas(apply, out_schema)
+    @F.pandas_udf("label string, score double")
+    def judge(texts: pd.Series, flags: pd.Series) -> pd.DataFrame:
+        chosen = [t if max_chars is None or t is None else t[:max_chars] for t, f in zip(texts, flags) if f]
+        found = iter(_score_batch(fn, chosen))
+        return pd.DataFrame([next(found) if f else (None, None) for f in flags], columns=["label", "score"])
+
+    return judge(text, wanted)
 
 
 # --- trained scorer ---------------------------------------------------------------
@@ -228,7 +255,6 @@ class TrainedScorer:
     num_features: int = 1 << 16
     max_iter: int = 20
     reg_param: float = 0.01
-    rows_per_partition: int = 50_000
     name: str = "trained"
     model: object = field(default=None, repr=False)
 
@@ -242,7 +268,7 @@ class TrainedScorer:
         train = labelled.select(
             F.col(text).alias("_text"), (F.col(label).cast("double") + 1.0).alias("_y")
         ).filter(F.col("_text").isNotNull() & F.col("_y").isNotNull())
-        train = self._sized(train)
+        train = train.repartition(train.sparkSession.sparkContext.defaultParallelism)
         pipeline = Pipeline(
             stages=[
                 RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"[^\p{L}]+", gaps=True),
@@ -256,23 +282,6 @@ class TrainedScorer:
         self.model = pipeline.fit(train)
         return self
 
-    def _sized(self, train: DataFrame) -> DataFrame:
-        """Training rows in partitions of about ``rows_per_partition``.
-
-        Every optimizer iteration sends one dense gradient (classes ×
-        features) per partition, so a small labelled set spread over many
-        partitions costs more in gradients than in rows.  A set that needs
-        fewer partitions than there are cores is repartitioned round-robin
-        (the rows before the fit are still read in parallel); a larger one
-        is left as it is.
-        """
-        rows = train.count()
-        cores = train.sparkSession.sparkContext.defaultParallelism
-        target = -(-rows // self.rows_per_partition)
-        if target >= cores:  # large enough to use every core as it is
-            return train
-        return train.repartition(max(1, target))
-
     def transform(self, df: DataFrame, text: str) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
@@ -337,48 +346,38 @@ def score_sentiment(
     df = drop_missing_text(comments, text) if drop_missing else comments
     english = scorers.get(ENGLISH, scorers["*"])
     other = scorers["*"]
+    columns = df.columns
+    everyone = F.lit(True)
     is_en = F.coalesce(F.col(language) == F.lit(ENGLISH), F.lit(False))
+    routes = [(other, everyone)] if english is other else [(english, is_en), (other, ~is_en)]
     tokens = "__sentiment_tokens"
-
-    def lexicon_columns(part: DataFrame, verdict_of) -> DataFrame:
-        return (
-            part.withColumn(tokens, normalized_tokens(F.col(text)))
-            .withColumn("_verdict", verdict_of(F.col(tokens)))
-            .withColumns({RAW: F.col("_verdict.label"), SCORE: F.col("_verdict.score")})
-            .drop("_verdict", tokens)
-        )
-
-    def native(scorer: Scorer) -> bool:
-        return isinstance(scorer, LexiconScorer) and not scorer.uses_join()
-
-    if native(english) and native(other):
-        scored = lexicon_columns(
-            df, lambda t: F.when(is_en, english.expression(t)).otherwise(other.expression(t))
-        )
-        return _finish(scored, scheme)
-
-    # Python or ML scorers: score each route's rows only, then union.
-    def run(part: DataFrame, scorer: Scorer) -> DataFrame:
-        if isinstance(scorer, LexiconScorer):
-            if scorer.uses_join():
-                return scorer.score_by_join(part, key, text)
-            return lexicon_columns(part, scorer.expression)
+    if any(isinstance(s, LexiconScorer) and not s.uses_join() for s, _ in routes):
+        df = df.withColumn(tokens, normalized_tokens(F.col(text)))
+    verdicts = []
+    for k, (scorer, wanted) in enumerate(routes):
+        raw, score = f"__raw_{k}", f"__score_{k}"
         if isinstance(scorer, PluginScorer):
-            return _run_plugin(part, scorer, text)
-        return scorer.transform(part, text)
-
-    if english is other:
-        return _finish(run(df, other), scheme)
-    scored = run(df.filter(is_en), english).unionByName(run(df.filter(~is_en), other))
+            found = f"__found_{k}"
+            df = df.withColumn(found, _plugin_verdict(scorer, F.col(text), wanted))
+            verdict = (F.col(found)["label"], F.col(found)["score"])
+        elif isinstance(scorer, LexiconScorer) and not scorer.uses_join():
+            found = f"__found_{k}"
+            df = df.withColumn(found, F.when(wanted, scorer.sums(F.col(tokens))))
+            verdict = scorer.verdict(F.col(found)["total"], F.col(found)["absolute"])
+        elif isinstance(scorer, LexiconScorer):
+            routed = f"__text_{k}"
+            df = scorer.score_by_join(df.withColumn(routed, F.when(wanted, F.col(text))), key, routed)
+            df = df.withColumnsRenamed({RAW: raw, SCORE: score}).drop(routed)
+            verdict = (F.col(raw), F.col(score))
+        else:
+            df = scorer.transform(df, text).withColumnsRenamed({RAW: raw, SCORE: score})
+            verdict = (F.col(raw), F.col(score))
+        verdicts.append((wanted, verdict))
+
+    def pick(part: int) -> Column:
+        if len(verdicts) == 1:
+            return verdicts[0][1][part]
+        return F.when(verdicts[0][0], verdicts[0][1][part]).otherwise(verdicts[1][1][part])
+
+    scored = df.withColumns({RAW: pick(0), SCORE: pick(1)}).select(*columns, RAW, SCORE)
     return _finish(scored, scheme)
-
-
-def plugin_max_chars(text: Column, max_chars: int | None) -> Column:
-    """Column form of the opt-in input limit (for callers that cut before
-    handing texts to an external model)."""
-    return text if max_chars is None else truncate_chars(text, max_chars)
-
-
-def regex_lexicon_fits(lexicon_size: int) -> bool:
-    """Whether a lexicon is scored in the plan (else use ``score_by_join``)."""
-    return lexicon_size <= MAX_REGEX_WORDS

@@ -186,7 +186,7 @@ ORACLE.update({
     FROM part),
   kept AS (
     SELECT video_id FROM listing
-    WHERE rn <= 50 AND NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE}))
+    WHERE NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE}))
   SELECT video_id, title, duration, duration_seconds FROM ({_DURATIONS})
   WHERE video_id IN (SELECT video_id FROM kept) AND duration_seconds >= 65
 """,
@@ -408,7 +408,7 @@ ORACLE.update({
     FROM part),
   kept AS (
     SELECT video_id FROM listing
-    WHERE rn <= 50 AND NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE}))
+    WHERE NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE}))
   SELECT CAST(d.video_id AS VARCHAR) AS video_id, d.title, d.duration, d.duration_seconds,
          CAST(trunc(p.p_retailprice) AS BIGINT) AS view_count, CAST(p.p_size AS BIGINT) AS like_count
   FROM ({_DURATIONS}) d JOIN part p ON p.p_partkey = d.video_id
@@ -465,20 +465,17 @@ _BRAND_COMMENTS = f"""
     FROM part),
   kept AS (
     SELECT query, video_id FROM listing
-    WHERE rn <= 50 AND NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE})),
+    WHERE NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE})),
   vids AS (
     SELECT k.query, k.video_id FROM kept k JOIN ({_DURATIONS}) d USING (video_id)
     WHERE d.duration_seconds >= 65),
   com AS (
-    SELECT * FROM (
-      SELECT b.*, row_number() OVER (PARTITION BY l_partkey ORDER BY {_LI_COLS}) AS rn
-      FROM (SELECT *, l_partkey AS video_id,
-                   CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 0 WHEN 'R' THEN -1 END AS INTEGER)
-                     AS sentiment_label,
-                   CAST(1 - l_discount AS DOUBLE) AS sentiment_score,
-                   CAST(l_quantity AS BIGINT) AS like_count
-            FROM lineitem) b)
-    WHERE rn <= 100)
+    SELECT l_partkey AS video_id,
+           CAST(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 0 WHEN 'R' THEN -1 END AS INTEGER)
+             AS sentiment_label,
+           CAST(1 - l_discount AS DOUBLE) AS sentiment_score,
+           CAST(l_quantity AS BIGINT) AS like_count
+    FROM lineitem)
   SELECT v.query, com.video_id, com.sentiment_label, com.sentiment_score, com.like_count,
          CAST(1 AS DOUBLE) AS relevance_score
   FROM com JOIN vids v USING (video_id)
@@ -511,6 +508,53 @@ ORACLE.update({
 })
 
 
+def _balance_scored_sql(rel: str) -> str:
+    """The two plug-in scorers in SQL: '!' against '?' in English, ',' against
+    '.' elsewhere; a text without letters is an error row."""
+    mark = lambda m: f"(length(clean_text) - length(replace(clean_text, '{m}', '')))"
+    return f"""
+  SELECT video_id, comment_id, language, like_count,
+         CASE WHEN NOT letters THEN 'Error' WHEN ups > downs THEN 'Positive'
+              WHEN downs > ups THEN 'Negative' ELSE 'Neutral' END AS original_sentiment_label,
+         CASE WHEN NOT letters THEN 0.0 WHEN ups = downs THEN 0.5
+              ELSE abs(ups - downs) / CAST(ups + downs AS DOUBLE) END AS sentiment_score,
+         CAST(CASE WHEN NOT letters THEN NULL ELSE sign(ups - downs) END AS INTEGER) AS sentiment_label
+  FROM (SELECT *, regexp_matches(clean_text, '\\p{{L}}') AS letters,
+               CASE WHEN english THEN {mark("!")} ELSE {mark(",")} END AS ups,
+               CASE WHEN english THEN {mark("?")} ELSE {mark(".")} END AS downs
+        FROM ({rel}))
+"""
+
+
+ORACLE["plugin_sentiment"] = f"""
+  SELECT video_id, comment_id, language, like_count, original_sentiment_label,
+         {r6("sentiment_score")} AS sentiment_score, sentiment_label
+  FROM ({_balance_scored_sql("SELECT source AS video_id, doc_id AS comment_id, text AS clean_text, lang AS language, doc_id % 10 AS like_count, true AS english FROM documents WHERE text IS NOT NULL")})
+"""
+
+_PART_COMMENTS = _TEXT_BASE.replace("d.source AS video_id", "CAST(d.doc_id % 200 + 1 AS VARCHAR) AS video_id")
+
+
+def _brand_rows(scored: str) -> str:
+    return f"""
+  SELECT k.p_brand AS query, c.video_id, c.sentiment_label, c.sentiment_score, c.like_count,
+         CAST(1 AS DOUBLE) AS relevance_score
+  FROM ({scored}) c JOIN part k ON CAST(k.p_partkey AS VARCHAR) = c.video_id
+  JOIN ({_DURATIONS}) d ON d.video_id = k.p_partkey
+  WHERE d.duration_seconds >= 65 AND NOT regexp_matches(lower(coalesce(k.p_name, '')), {_TITLE_WORDS_RE})
+"""
+
+
+for _name, _scored in (
+    ("ranking_from_sources", _balance_scored_sql(f"SELECT *, language = 'en' AS english FROM ({_PART_COMMENTS})")),
+    ("ranking_from_sources_lexicon", _lexicon_scored_sql(_PART_COMMENTS)),
+):
+    ORACLE[_name] = _recommend_per_query_sql(
+        _scores_sql(_brand_rows(_scored), digits=None, keys="query, video_id"),
+        "SELECT DISTINCT p_brand AS query FROM part",
+    )
+
+
 # --- character trigram language profiles ---------------------------------------------
 # Training: every overlapping trigram of ' ' + lower(text) with non-letter runs
 # as one space + ' ', counted per labelled language; the 300 most frequent

@@ -281,14 +281,14 @@ def landed_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landed_listing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part landed as search pages per brand and as video-detail pages,
-    read back, capped per query, title-filtered, semi-joined, durations."""
+    read back, title-filtered, semi-joined, durations."""
     search_path = scratch_path(spark, "landed-search")
     details_path = scratch_path(spark, "landed-details")
     LD.land_search(TB.part_listing(spark, sf_dir), search_path)
     LD.land_details(TB.part_details(spark, sf_dir), details_path)
     listing = LD.read_search(spark, search_path)
     kept = C.filter_titles(
-        C.cap_per_group(listing, C.NUM_CANDIDATES, ["query"], ["page", "item_pos"]), TITLE_WORDS
+        listing, TITLE_WORDS
     )
     details = C.candidate_details(LD.read_details(spark, details_path), kept)
     return details.select("video_id", "title", "duration", "duration_seconds", "view_count", "like_count")
@@ -306,9 +306,10 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranking_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4 listing/details per brand + B1 scored comments: one recommendation
-    per brand (cap 50 per brand, title words, min 65 s, ≤ 100 comments per
-    item in source order)."""
-    params = RK.RankerParams(exclude_words=TITLE_WORDS, comment_order=TB.LINEITEM_ORDER)
+    per brand (title words, min 65 s, all candidates and comments)."""
+    params = RK.RankerParams(
+        num_candidates=None, num_comments=None, exclude_words=TITLE_WORDS, comment_order=TB.LINEITEM_ORDER
+    )
     result = RK.rank_from_scored(
         TB.part_listing(spark, sf_dir), TB.part_details(spark, sf_dir),
         TB.lineitem_comments_ordered(spark, sf_dir), params,
@@ -325,6 +326,37 @@ def text_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.recommendation_report(R.recommendation(S.video_scores(scored))))
 
 
+def _from_sources(spark: SparkSession, sf_dir: str, scorers) -> DataFrame:
+    """The whole flow: parts as listing and details, documents as comments of
+    parts 1 to 200, all candidates and comments, one row per brand."""
+    docs = TB.read_table(spark, sf_dir, "documents")
+    comments = docs.select(
+        (F.col("doc_id") % 200 + 1).cast("string").alias("video_id"), F.col("doc_id").alias("comment_id"), "text",
+        (F.col("doc_id") % 10).alias("like_count"),
+    )
+    params = RK.RankerParams(num_candidates=None, num_comments=None, exclude_words=TITLE_WORDS)
+    named = F.col("video_id").cast("string")
+    result = RK.rank_from_sources(
+        TB.part_listing(spark, sf_dir).withColumn("video_id", named),
+        TB.part_details(spark, sf_dir).withColumn("video_id", named), comments, scorers, params,
+    )
+    return rounded(result.recommendation)
+
+
+def ranking_from_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow with one user function for English and one for the rest."""
+    from crowdrank.plans.plugins import pause_scorer, punctuation_scorer
+
+    return _from_sources(
+        spark, sf_dir, {"en": SE.PluginScorer(punctuation_scorer), "*": SE.PluginScorer(pause_scorer)}
+    )
+
+
+def ranking_from_sources_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole flow with routed lexicons."""
+    return _from_sources(spark, sf_dir, LEXICON_SCORERS)
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "item_scores": item_scores,
@@ -359,4 +391,6 @@ def all_queries() -> dict[str, Query]:
         "csv_roundtrip": csv_roundtrip,
         "ranking_by_brand": ranking_by_brand,
         "text_ranking": text_ranking,
+        "ranking_from_sources": ranking_from_sources,
+        "ranking_from_sources_lexicon": ranking_from_sources_lexicon,
     }

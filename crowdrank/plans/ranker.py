@@ -48,8 +48,8 @@ POL = R.POL
 
 @dataclass(frozen=True)
 class RankerParams:
-    num_candidates: int = NUM_CANDIDATES
-    num_comments: int = NUM_COMMENTS
+    num_candidates: int | None = NUM_CANDIDATES
+    num_comments: int | None = NUM_COMMENTS
     min_duration_seconds: int | None = MIN_DURATION_SECONDS
     exclude_words: tuple[str, ...] = EXCLUDE_WORDS
     relevance: str = "constant"          # or "token_overlap"
@@ -100,12 +100,14 @@ def select_videos(
 
     ``listing`` has (query, video_id, title) and an order column set
     (``position`` or ``page``/``item_pos``); ``details`` has (video_id,
-    title, iso_duration, counts).
+    title, iso_duration, counts).  A video listed twice for a query counts
+    once; a cap of None keeps all.
     """
     order = ["position"] if "position" in listing.columns else ["page", "item_pos"]
     capped = C.cap_per_group(listing, params.num_candidates, ["query"], order)
     kept = _observed(
-        C.filter_titles(capped, params.exclude_words).select("query", "video_id"), params, "candidates", counts
+        C.filter_titles(capped, params.exclude_words).select("query", "video_id").distinct(),
+        params, "candidates", counts,
     )
     detailed = C.candidate_details(details, kept, params.min_duration_seconds)
     videos = _observed(kept.join(detailed, "video_id", "inner"), params, "videos", counts)

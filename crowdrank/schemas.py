@@ -33,7 +33,7 @@ COMMENT_ITEM = _struct(
     snippet=_struct(
         topLevelComment=_struct(
             id=S,
-            snippet=_struct(authorDisplayName=S, textDisplay=S, likeCount=L),
+            snippet=_struct(authorDisplayName=S, textDisplay=S, likeCount=S),
         )
     )
 )

@@ -3,7 +3,9 @@
 The source answers in pages (a search page holds ≤ 50 items, a comment
 page ≤ 100).  Landed responses are stored one JSON document per page and
 read with an explicit schema (no inference); ``posexplode`` keeps each
-item's position, so source order is ``(page, item_pos)``.
+item's position, so source order is ``(page, item_pos)``.  ``multi_line=True`` reads
+files that hold one pretty-printed page each.  Pages that do not parse give no
+rows; ``rejected_pages`` lists them.
 
 The writers turn flat tables into that layout (used to land driver tables
 and in tests).  A page is keyed by ``position div page_size`` with
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crowdrank import schemas as SC
 
@@ -58,7 +61,9 @@ def land_details(details: DataFrame, path: str, page_size: int = DETAILS_PAGE) -
         ).alias("statistics"),
         F.struct(F.col("iso_duration").alias("duration")).alias("contentDetails"),
     )
-    paged = _pages(details.withColumn("_pos", F.col("video_id").cast("bigint")), [], "_pos", page_size, item)
+    # Pages by number; ids that are no numbers are dealt out by their hash.
+    position = F.coalesce(F.col("video_id").try_cast("bigint"), F.xxhash64(F.col("video_id").cast("string")))
+    paged = _pages(details.withColumn("_pos", position), [], "_pos", page_size, item)
     paged.drop("page").write.mode("overwrite").json(path)
 
 
@@ -83,10 +88,33 @@ def land_comments(comments: DataFrame, path: str, page_size: int = COMMENTS_PAGE
 
 # --- readers (S1–S3) and flat projections (P1–P3) ------------------------------------
 
+CORRUPT = "_corrupt_page"
 
-def read_search(spark: SparkSession, path: str) -> DataFrame:
+
+def _read_pages(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    kept = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    return (
+        spark.read.schema(kept).option("columnNameOfCorruptRecord", CORRUPT)
+        .option("multiLine", multi_line).json(path)
+    )
+
+
+def rejected_pages(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """(file, page): the raw text of every landed page that does not parse, for
+    a report or a second landing; the readers give no rows for them.
+    ``schema`` is that of the reader (``SEARCH_RAW``, ``VIDEOS_RAW``, ``COMMENTS_RAW``)."""
+    pages = _read_pages(spark, path, schema, multi_line)
+    parsed = F.coalesce(F.size("items"), F.lit(0)) >= -1  # Spark wants a parsed column to be read as well
+    return pages.where(F.col(CORRUPT).isNotNull() & parsed).select(
+        F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).alias("page")
+    )
+
+
+def read_search(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """S1 + P1: (query, page, item_pos, video_id, title)."""
-    raw = spark.read.schema(SC.SEARCH_RAW).json(path)
+    raw = _read_pages(spark, path, SC.SEARCH_RAW, multi_line)
     items = raw.select("query", "page", F.posexplode("items").alias("item_pos", "i"))
     return items.select(
         "query", "page", "item_pos",
@@ -95,10 +123,10 @@ def read_search(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_details(spark: SparkSession, path: str) -> DataFrame:
+def read_details(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """S2 + P2: (video_id, title, iso_duration, view/like/comment counts);
     counts that are not numbers become NULL, a missing duration PT0S."""
-    raw = spark.read.schema(SC.VIDEOS_RAW).json(path)
+    raw = _read_pages(spark, path, SC.VIDEOS_RAW, multi_line)
     items = raw.select(F.explode("items").alias("i"))
     return items.select(
         F.col("i.id").alias("video_id"),
@@ -110,9 +138,9 @@ def read_details(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_comments(spark: SparkSession, path: str) -> DataFrame:
+def read_comments(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """S3 + P3: (video_id, page, item_pos, comment_id, author, text, like_count)."""
-    raw = spark.read.schema(SC.COMMENTS_RAW).json(path)
+    raw = _read_pages(spark, path, SC.COMMENTS_RAW, multi_line)
     items = raw.select("video_id", "page", F.posexplode("items").alias("item_pos", "i"))
     c = "i.snippet.topLevelComment"
     return items.select(
@@ -120,5 +148,5 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
         F.col(f"{c}.id").alias("comment_id"),
         F.col(f"{c}.snippet.authorDisplayName").alias("author"),
         F.col(f"{c}.snippet.textDisplay").alias("text"),
-        F.col(f"{c}.snippet.likeCount").alias("like_count"),
+        F.col(f"{c}.snippet.likeCount").try_cast("bigint").alias("like_count"),
     )

@@ -155,8 +155,8 @@ class LexiconScorer:
             terms = F.broadcast(terms)
         mark = F.xxhash64(F.col(text))
         tokens = df.select(
-            F.col(key).alias("_key"), mark.alias("_mark"), F.explode(word_tokens(F.col(text))).alias("term")
-        )
+            F.col(key).alias("_key"), mark.alias("_mark"), word_tokens(F.col(text)).alias("_words")
+        ).select("_key", "_mark", F.explode("_words").alias("term"))
         sums = tokens.join(terms, "term").groupBy("_key", "_mark").agg(
             F.sum("weight").alias("_total"), F.sum(F.abs("weight")).alias("_abs")
         )

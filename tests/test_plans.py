@@ -1,6 +1,8 @@
 """Plan shape: pruning, partial aggregation, window limits, exchange reuse."""
 
 from crowdrank.plans import queries as Q
+from crowdrank.plans import ranker as RK
+from crowdrank.sources import tables as TB
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,14 +50,18 @@ def test_lexicon_join_path_explodes_only_keys(spark):
     generates = [line for line in plan.split("\n") if "Generate explode" in line]
     assert generates
     for line in generates:
-        # Generate's carried columns are listed after the generator: only the key.
+        # Generate's carried columns are listed after the generator: the key and the text's hash.
         carried = line.rsplit("), [", 1)[1]
-        assert carried.startswith("comment_id") and "text" not in carried and "clean_text" not in carried
+        assert carried.startswith("_key") and "text" not in carried and "clean_text" not in carried
     assert "partial_sum" in plan and "BroadcastExchange" in plan
 
 
 def test_flow_semi_joins_comments_before_the_cap(spark):
-    lines = _plan(Q.ranking_by_brand(spark, SF)).split("\n")
+    params = RK.RankerParams(exclude_words=Q.TITLE_WORDS, comment_order=TB.LINEITEM_ORDER)
+    capped = RK.rank_from_scored(
+        TB.part_listing(spark, SF), TB.part_details(spark, SF), TB.lineitem_comments_ordered(spark, SF), params
+    )
+    lines = _plan(capped.recommendation).split("\n")
     caps = [i for i, line in enumerate(lines) if "WindowGroupLimit [video_id" in line]
     assert caps
     for i in caps:

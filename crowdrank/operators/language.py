@@ -5,15 +5,18 @@ no evidence gives ``unknown``):
 
 * ``stopword_language`` — count the tokens of each language's stop-word
   list, take the largest count.  One expression per row, no shuffle.
-* ``train_ngram_profiles`` / ``ngram_languages`` — character trigram
-  profiles learned by a Spark job from texts with a known language (top-k
-  trigrams per language), then every text is scored against them.
+* ``train_ngram_profiles`` / ``ngram_languages`` — character trigram counts
+  learned by a Spark job from texts with a known language, then every text
+  is scored against them (naive Bayes with add-one smoothing).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,81 +72,124 @@ def with_language(df: DataFrame, src: str = "clean_text", out: str = "language")
 
 # --- character trigram profiles -------------------------------------------------
 
+NGRAM = 3
+MAX_PROFILE_BYTES = 32 * 1024 * 1024  # largest table of counts sent to every executor
+SCORE_DIGITS = 9  # scores that differ less are ties
 
-def char_ngrams(text: Column, n: int = 3) -> Column:
-    """Character n-grams of the lower-cased text with runs of non-letters
-    turned into one space, padded with a space on both sides."""
-    norm = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+
+def gram_text(text: Column) -> Column:
+    """The lower-cased text with runs of non-letters turned into one space,
+    padded with a space on both sides."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
+
+
+def char_ngrams(padded: Column, n: int = NGRAM) -> Column:
+    """Every overlapping character n-gram of a ``gram_text`` column."""
     # A look-ahead group yields every overlapping n-gram in one pass.
-    return F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
-def train_ngram_profiles(
-    labelled: DataFrame, text: str = "text", lang: str = "lang", top_k: int = 300, n: int = 3
-) -> DataFrame:
-    """(lang, gram, weight): the ``top_k`` most frequent n-grams per
-    language, weight = log of the gram's share within the language.
+def train_ngram_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, gram, n): how often each n-gram occurs in each language's texts.
 
-    The n-grams are counted with a partial aggregate per (lang, gram)
-    before the shuffle; the per-language top-k is a window limit.
+    No gram is cut off.  The counts are summed per map task before the
+    shuffle, so a language with most of the texts sends one row per gram and
+    task.
     """
     grams = labelled.filter(F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.explode(char_ngrams(F.col(text), n)).alias("gram")
-    )
-    counted = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram"))
-    top = counted.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_k)
-    totals = Window.partitionBy("lang")
-    return top.select(
-        "lang", "gram", F.log(F.col("n") / F.sum("n").over(totals)).alias("weight")
+        F.col(lang).alias("lang"), F.explode(char_ngrams(gram_text(F.col(text)))).alias("gram")
     )
+    return grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ngram_languages(
-    df: DataFrame,
-    key: str,
-    text: str,
-    profiles: DataFrame,
-    miss_weight: float = -12.0,
-    max_profile_rows: int = 100_000,
+    df: DataFrame, key: str, text: str, profiles: DataFrame, max_profile_bytes: int = MAX_PROFILE_BYTES
 ) -> DataFrame:
-    """(key, language) for every row of ``df`` (``key`` identifies a row):
-    the language whose profile gives the text's profiled trigrams the
-    highest summed log-share (a gram missing from a language's profile
-    counts ``miss_weight``); texts with no profiled trigram get ``unknown``.
-
-    The profiles are written once to the shared checkpoint folder (they are
-    bounded by languages × top-k and checked against ``max_profile_rows``),
-    so the training job is not re-run by the size check, the language list
-    and the query.  Trigrams are exploded (``explode_outer``: a text without
-    trigrams keeps one row) and left-joined with the dense profile (gram →
-    one weight per language), broadcast; all rows of a text sit in one map
-    task, so the partial aggregate leaves one row per text before the only
-    shuffle.
+    """(key, language) for every row of ``df``: the language with the highest
+    mean log-share ``ln((n + 1) / (N + V))`` over the text's grams that some
+    profile knows (n: the gram's count in the language, N: all counts of the
+    language, V: distinct grams of all profiles).  Ties go to the smaller
+    code; a text without a known gram, or NULL, is ``unknown``.
+
+    The profiles are written once to the shared checkpoint folder.  Up to
+    ``max_profile_bytes`` (grams x languages, counted first) they are
+    broadcast and each text is counted and scored inside its row, without a
+    shuffle; larger ones are joined.  The result is the same.
     """
     profiles = materialize(profiles, "ngram-profiles")
-    per_lang = {r["lang"]: r["count"] for r in profiles.groupBy("lang").count().collect()}  # one row per language
-    n_rows = sum(per_lang.values())
-    if n_rows > max_profile_rows:
-        raise ValueError(f"{n_rows} profile rows exceed the broadcast bound {max_profile_rows}")
-    codes = sorted(per_lang)
-    miss = F.lit(float(miss_weight))
-    dense = profiles.groupBy("gram").agg(
-        F.array(
-            *[F.coalesce(F.max(F.when(F.col("lang") == c, F.col("weight"))), miss) for c in codes]
-        ).alias("weights")
+    size = profiles.agg(
+        F.countDistinct("gram").alias("grams"), F.countDistinct("lang").alias("langs")
+    ).first()
+    if size["grams"] == 0:
+        return df.select(F.col(key), F.lit(UNKNOWN_LANGUAGE).alias("language"))
+    if size["grams"] * (size["langs"] + 16) * 8 <= max_profile_bytes:
+        return _languages_by_lookup(df, key, text, profiles, size["grams"])
+    return _languages_by_join(df, key, text, profiles, size["grams"])
+
+
+def _languages_by_lookup(df: DataFrame, key: str, text: str, profiles: DataFrame, vocabulary: int) -> DataFrame:
+    counts = profiles.toPandas()  # bounded by the caller
+    codes = sorted(counts["lang"].unique())
+    totals = counts.groupby("lang")["n"].sum()
+    log_totals = [math.log(totals[c] + vocabulary) for c in codes]
+    place = {c: i for i, c in enumerate(codes)}
+    gains: dict[str, list[float]] = {}
+    for lang, gram, n in counts[["lang", "gram", "n"]].itertuples(index=False):
+        gains.setdefault(gram, [0.0] * len(codes))[place[lang]] = math.log(n + 1)
+    shared = df.sparkSession.sparkContext.broadcast((codes, log_totals, gains))
+
+    def language_of(padded: str | None) -> str:
+        codes, log_totals, gains = shared.value
+        hits, sums = 0, [0.0] * len(codes)
+        grams = Counter(padded[i:i + NGRAM] for i in range(len(padded or "") - NGRAM + 1))
+        for gram, n in grams.items():
+            gain = gains.get(gram)
+            if gain is not None:
+                hits += n
+                for i, g in enumerate(gain):
+                    sums[i] += n * g
+        if not hits:
+            return UNKNOWN_LANGUAGE
+        scores = [round(s / hits - t, SCORE_DIGITS) for s, t in zip(sums, log_totals)]
+        return codes[scores.index(max(scores))]
+
+    @F.pandas_udf("string")
+    def best_language(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for padded in batches:
+            yield padded.map(language_of)
+
+    return df.select(F.col(key), best_language(gram_text(F.col(text))).alias("language"))
+
+
+def _languages_by_join(df: DataFrame, key: str, text: str, profiles: DataFrame, vocabulary: int) -> DataFrame:
+    """Texts meet the profiles by gram.  A language without any gram of a
+    text gains nothing, so of these only the one with the smallest total can
+    win: it gets a row for every known gram, and the others need none.  Equal
+    texts share a hash and a score (a mean, so copies do not matter)."""
+    totals = profiles.groupBy("lang").agg(F.sum("n").alias("total"))
+    least = totals.orderBy("total", "lang").first()["lang"]
+    in_least = F.coalesce(F.max(F.when(F.col("lang") == least, F.col("n"))), F.lit(0))
+    listed = profiles.filter(F.col("lang") != least).unionByName(
+        profiles.groupBy("gram").agg(in_least.alias("n")).withColumn("lang", F.lit(least))
+    )
+    texts = df.select(F.col(key), gram_text(F.col(text)).alias("_padded")).withColumn(
+        "_hash", F.sha2(F.col("_padded"), 256)
+    )
+    counted = (
+        texts.select("_hash", F.explode(char_ngrams(F.col("_padded"))).alias("gram"))
+        .groupBy("_hash", "gram").agg(F.count(F.lit(1)).alias("times"))
     )
-    grams = df.select(F.col(key), F.explode_outer(char_ngrams(F.col(text))).alias("gram"))
     sums = (
-        grams.join(F.broadcast(dense), "gram", "left")
-        .groupBy(key)
-        .agg(
-            F.count("weights").alias("_hits"),
-            *[F.sum(F.element_at("weights", i + 1)).alias(f"_s{i}") for i in range(len(codes))],
-        )
+        counted.join(listed, "gram")
+        .groupBy("_hash", "lang")
+        .agg(F.sum(F.col("times") * F.log(F.col("n") + 1)).alias("gain"), F.sum("times").alias("seen"))
+        .join(totals, "lang")
+    )
+    hits = F.max(F.when(F.col("lang") == least, F.col("seen"))).over(Window.partitionBy("_hash"))
+    score = F.round(F.col("gain") / hits - F.log(F.col("total") + vocabulary), SCORE_DIGITS)
+    best = (
+        sums.select("_hash", "lang", (-score).alias("loss"))
+        .groupBy("_hash").agg(F.min(F.struct("loss", "lang"))["lang"].alias("language"))
     )
-    best = F.greatest(*[F.struct(F.col(f"_s{i}").alias("s"), F.lit(-i).alias("neg_i")) for i in range(len(codes))])
-    language = F.when(
-        F.col("_hits") > 0, F.element_at(F.array(*[F.lit(c) for c in codes]), -best["neg_i"] + 1)
-    ).otherwise(F.lit(UNKNOWN_LANGUAGE))
-    return sums.select(F.col(key), language.alias("language"))
+    found = texts.select(key, "_hash").join(best, "_hash", "left")
+    return found.select(F.col(key), F.coalesce("language", F.lit(UNKNOWN_LANGUAGE)).alias("language"))

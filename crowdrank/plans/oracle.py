@@ -556,48 +556,38 @@ for _name, _scored in (
 
 
 # --- character trigram language profiles ---------------------------------------------
-# Training: every overlapping trigram of ' ' + lower(text) with non-letter runs
-# as one space + ' ', counted per labelled language; the 300 most frequent
-# per language (ties: smaller gram), weight ln(n / sum of the kept n).
-# Scoring: a profiled gram adds its weight to each language that has it and
-# -12 to each that lacks it; that -12 per hit is common to all languages, so
-# the argmax only needs sum(weight + 12) per (doc, language), 0 for a
-# language with none of the doc's grams.
-_NGRAM_MISS = 12.0
-ORACLE["language_ngram"] = f"""
+# Every overlapping trigram of ' ' + lower(text) with non-letter runs as one
+# space + ' '.  A document is scored by the counts of the other half of the ids:
+# mean over its known trigrams of ln((n + 1) / (N + V)).
+ORACLE["language_ngram"] = """
   WITH d AS (
-    SELECT doc_id, lang, ' ' || regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g') || ' ' AS norm
+    SELECT doc_id, lang, coalesce(doc_id % 2, 0) AS half,
+           ' ' || regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g') || ' ' AS norm
     FROM documents),
-  pos AS (SELECT doc_id, lang, norm, unnest(generate_series(1, length(norm) - 2)) AS i FROM d),
-  g AS (SELECT doc_id, lang, substring(norm, i, 3) AS gram FROM pos),
-  cnt AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
-  top AS (
-    SELECT lang, gram, n FROM cnt
-    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300),
-  prof AS (SELECT lang, gram, ln(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY lang)) AS weight FROM top),
-  langs AS (SELECT DISTINCT lang FROM prof),
-  occ AS (SELECT doc_id, gram FROM g WHERE gram IN (SELECT gram FROM prof)),
-  hit_docs AS (SELECT DISTINCT doc_id FROM occ),
-  per_lang AS (
-    SELECT occ.doc_id, prof.lang, sum(prof.weight + {_NGRAM_MISS}) AS p
-    FROM occ JOIN prof ON prof.gram = occ.gram
-    GROUP BY occ.doc_id, prof.lang),
+  pos AS (SELECT doc_id, lang, half, norm, unnest(generate_series(1, length(norm) - 2)) AS i FROM d),
+  g AS (
+    SELECT doc_id, lang, half, substring(norm, i, 3) AS gram, count(*) AS times FROM pos GROUP BY ALL),
+  cnt AS (
+    SELECT 1 - half AS half, lang, gram, sum(times) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL),
+  tot AS (SELECT half, lang, sum(n) AS total FROM cnt GROUP BY ALL),
+  voc AS (SELECT half, count(DISTINCT gram) AS v FROM cnt GROUP BY half),
+  known AS (
+    SELECT g.doc_id, g.half, g.gram, g.times FROM g
+    WHERE EXISTS (SELECT 1 FROM cnt WHERE cnt.half = g.half AND cnt.gram = g.gram)),
+  hits AS (SELECT doc_id, half, sum(times) AS hits FROM known GROUP BY ALL),
+  gain AS (
+    SELECT k.doc_id, c.lang, sum(k.times * ln(CAST(c.n + 1 AS DOUBLE))) AS s
+    FROM known k JOIN cnt c ON c.half = k.half AND c.gram = k.gram GROUP BY ALL),
+  scored AS (
+    SELECT h.doc_id, t.lang,
+           round(coalesce(gain.s, 0) / h.hits - ln(CAST(t.total + voc.v AS DOUBLE)), 9) AS score
+    FROM hits h JOIN tot t ON t.half = h.half JOIN voc ON voc.half = h.half
+    LEFT JOIN gain ON gain.doc_id = h.doc_id AND gain.lang = t.lang),
   best AS (
-    SELECT doc_id, lang, p FROM per_lang
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang) = 1),
-  absent AS (
-    SELECT h.doc_id, min(l.lang) AS lang
-    FROM hit_docs h JOIN langs l
-      ON NOT EXISTS (SELECT 1 FROM per_lang x WHERE x.doc_id = h.doc_id AND x.lang = l.lang)
-    GROUP BY h.doc_id)
-  SELECT doc.doc_id,
-         CASE WHEN best.doc_id IS NULL THEN 'unknown'
-              WHEN absent.lang IS NOT NULL AND (best.p < 0 OR (best.p = 0 AND absent.lang < best.lang))
-                THEN absent.lang
-              ELSE best.lang END AS language
-  FROM documents doc
-  LEFT JOIN best ON best.doc_id = doc.doc_id
-  LEFT JOIN absent ON absent.doc_id = doc.doc_id
+    SELECT doc_id, lang FROM scored
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
+  SELECT documents.doc_id, coalesce(best.lang, 'unknown') AS language
+  FROM documents LEFT JOIN best ON best.doc_id = documents.doc_id
 """
 
 

@@ -255,8 +255,15 @@ def language_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram languages of all documents, cross-fitted: each half of the ids
+    is scored by profiles that were trained on the other half."""
     docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return LG.ngram_languages(docs, "doc_id", "text", LG.train_ngram_profiles(docs))
+    half = F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0))
+    even, odd = (
+        LG.ngram_languages(docs.filter(half == i), "doc_id", "text", LG.train_ngram_profiles(docs.filter(half != i)))
+        for i in (0, 1)
+    )
+    return even.unionByName(odd)
 
 
 # --- B5: landed responses and stage files --------------------------------------

@@ -36,13 +36,10 @@ def test_global_topk_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_ngram_languages_broadcast_profile_and_no_join_back(spark):
+def test_ngram_languages_score_in_the_row_without_a_shuffle(spark):
     plan = _plan(Q.language_ngram(spark, SF))
-    # The profile is read from its materialised copy, broadcast, and the
-    # per-text sums need no join back to the texts.
-    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
-    assert "SortMergeJoin" not in plan
-    assert "partial_sum" in plan
+    assert "ArrowEvalPython" in plan
+    assert "Generate explode" not in plan and "Join" not in plan and "hashpartitioning" not in plan
 
 
 def test_lexicon_join_path_explodes_only_keys(spark):

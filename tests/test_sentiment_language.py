@@ -112,11 +112,27 @@ def test_stopword_language(spark):
 
 
 def test_ngram_language_on_documents(spark):
+    from crowdrank.plans.queries import language_ngram
     from crowdrank.sources.tables import read_table
-    docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
-    profiles = LG.train_ngram_profiles(docs)
-    out = LG.ngram_languages(docs, "doc_id", "text", profiles).join(docs, "doc_id")
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "lang")
+    out = language_ngram(spark, "/root/testdata/sf0.001").join(docs, "doc_id")
     total = out.count()
     right = out.filter(F.col("language") == F.col("lang")).count()
     assert total == docs.count()
     assert right / total > 0.95
+
+
+def test_ngram_lookup_and_join_give_the_same(spark):
+    rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est la", "fr"), (3, "die Katze", "de"),
+            (4, "der Hund und die Katze", "de"), (5, "", "en"), (6, None, "fr"), (None, "the mat", None),
+            (7, "1234", None), (8, "xyzzy", None), (8, "le chat", None), (8, "le chat", None)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    profiles = LG.train_ngram_profiles(df.filter("id < 5"))
+    got = [
+        sorted(map(tuple, LG.ngram_languages(df, "id", "text", profiles, bound).collect()), key=str)
+        for bound in (LG.MAX_PROFILE_BYTES, 0)
+    ]
+    assert got[0] == got[1]
+    assert (8, "unknown") in got[0] and got[0].count((8, "fr")) == 2 and (6, "unknown") in got[0]
+    empty = LG.ngram_languages(df, "id", "text", profiles.limit(0))
+    assert {r.language for r in empty.collect()} == {"unknown"}

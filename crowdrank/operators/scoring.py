@@ -153,8 +153,3 @@ def video_scores_with_relevance(
     per_video = videos.select(F.col(key), number(F.col("relevance_score")).alias("_rel"))
     joined = aggregates.join(per_video, key, "inner")
     return finish_scores(joined, key=key, pseudo_count=pseudo_count, relevance=F.col("_rel"))
-
-
-def count_videos_with_comments(comments: DataFrame, key: str = "video_id") -> DataFrame:
-    """Number of distinct videos that have at least one comment (one row)."""
-    return comments.agg(F.count_distinct(F.col(key)).alias("videos_with_comments"))

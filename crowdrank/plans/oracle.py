@@ -1,12 +1,17 @@
 """Independent DuckDB SQL for every registered query with an exact oracle.
 
 Written from the semantics, not from the Spark code: the same tables, the
-same column names, floats rounded to 6 places.
+same column names, floats rounded to 6 places.  Nothing is imported from the
+library: patterns, word lists and lexicons are written out here again, so a
+wrong one shows as a mismatch.
 """
 
 from __future__ import annotations
 
-from crowdrank.functions.patterns import WS
+import html.entities
+
+# White space as Python's str.isspace sees it.
+WS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 # B1 comments: one scored comment per lineitem row.
 _B1 = """
@@ -186,7 +191,7 @@ ORACLE.update({
     FROM part),
   kept AS (
     SELECT video_id FROM listing
-    WHERE NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE}))
+    WHERE rn <= 50 AND NOT regexp_matches(lower(coalesce(title, '')), {_TITLE_WORDS_RE}))
   SELECT video_id, title, duration, duration_seconds FROM ({_DURATIONS})
   WHERE video_id IN (SELECT video_id FROM kept) AND duration_seconds >= 65
 """,
@@ -230,26 +235,35 @@ ORACLE.update({
 
 
 # --- text cleaning in DuckDB ---------------------------------------------------
-# The markup and URL patterns are the specification and run unchanged in RE2;
-# entity decoding is written here in DuckDB's own list/map functions.
-from crowdrank.functions.patterns import NON_WS_RUN, WS_RUN  # noqa: E402
-from crowdrank.functions.text import (  # noqa: E402
-    CP1252_FIXUPS,
-    ENTITY_PATTERN,
-    LEGACY_ALTERNATION,
-    MARKUP_PATTERNS,
-    NAMED_ENTITIES,
+# Entity decoding uses DuckDB's own list and map functions over the standard
+# library's table of names.
+_URL = rf"(?:https?://|www\.)[^{WS}]+"
+_MARKUP = (
+    r"(?s)<!--.*?-->",
+    r"(?is)<script\b.*?</script>",
+    r"(?is)<style\b.*?</style>",
+    r"(?is)<a\b[^>]*>.*?</a>",
+    r"(?s)</?[a-zA-Z!][^>]*>",
 )
+_NAMES = html.entities.html5
+_BARE_NAMES = "|".join(sorted((name for name in _NAMES if name[-1] != ";"), key=len, reverse=True))
+
+
+def _windows_1252(point: int) -> str:
+    try:
+        return bytes((point,)).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(point)
 
 
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_ENT_MAP = "MAP {" + ", ".join(f"{_lit(k)}: {_lit(v)}" for k, v in NAMED_ENTITIES.items()) + "}"
-_CP_MAP = "MAP {" + ", ".join(f"{k}: {_lit(v)}" for k, v in CP1252_FIXUPS.items()) + "}"
-_LEG = _lit("^(?:" + LEGACY_ALTERNATION + ")")
-_ENT_RE = _lit(ENTITY_PATTERN)
+_ENT_MAP = "MAP {" + ", ".join(f"{_lit(k)}: {_lit(v)}" for k, v in _NAMES.items()) + "}"
+_CP_MAP = "MAP {" + ", ".join(f"{p}: {_lit(_windows_1252(p))}" for p in range(128, 160)) + "}"
+_LEG = _lit(f"^(?:{_BARE_NAMES})")
+_ENT_RE = _lit(f"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE_NAMES}))")
 
 
 def _cp_text(cp: str) -> str:
@@ -290,16 +304,16 @@ def _decode_steps(src: str, col: str, out: str, keep: str) -> tuple[str, str]:
 
 def clean_text_sql(table: str, key: str, col: str, out: str = "clean_text") -> str:
     stripped = col
-    for pattern in MARKUP_PATTERNS:
+    for pattern in _MARKUP:
         stripped = f"regexp_replace({stripped}, {_lit(pattern)}, '', 'g')"
     d1a, d1b = _decode_steps("s0", "t0", "t1", key)
     d2a, d2b = _decode_steps("s2", "t2", "t3", key)
     return f"""
   WITH s0 AS (SELECT {key}, {stripped} AS t0 FROM {table}),
   s1a AS ({d1a}), s1 AS ({d1b} FROM s1a),
-  s2 AS (SELECT {key}, regexp_replace(t1, {_lit("(?:https?://|www\\.)" + NON_WS_RUN)}, '', 'g') AS t2 FROM s1),
+  s2 AS (SELECT {key}, regexp_replace(t1, {_lit(_URL)}, '', 'g') AS t2 FROM s1),
   s3a AS ({d2a}), s3 AS ({d2b} FROM s3a)
-  SELECT {key}, regexp_replace(t3, {_lit(WS_RUN)}, ' ', 'g') AS {out} FROM s3
+  SELECT {key}, regexp_replace(t3, {_lit(f"[{WS}]+")}, ' ', 'g') AS {out} FROM s3
 """
 
 
@@ -307,16 +321,29 @@ ORACLE.update({
     "clean_pages": clean_text_sql("pages", "page_id", "html"),
     "strip_urls_whitespace": f"""
   SELECT doc_id,
-         regexp_replace(regexp_replace(text, {_lit("(?:https?://|www\\.)" + NON_WS_RUN)}, '', 'g'),
-                        {_lit(WS_RUN)}, ' ', 'g') AS text_stripped
+         regexp_replace(regexp_replace(text, {_lit(_URL)}, '', 'g'),
+                        {_lit(f"[{WS}]+")}, ' ', 'g') AS text_stripped
   FROM documents
 """,
 })
 
 
 # --- sentiment and language on documents -------------------------------------------
-from crowdrank.operators.language import STOPWORDS  # noqa: E402
-from crowdrank.plans.lexicons import ENGLISH_LEXICON, MULTILINGUAL_LEXICON  # noqa: E402
+_STOP_LISTS = {
+    "de": "der die und das von mit sich nicht ist ein eine für",
+    "en": "the and of to is that it was for with this are",
+    "es": "el la los las que del para con una por es y",
+    "fr": "le la les et des une pour est qui dans avec pas",
+}
+_LEXICON_LISTS = {
+    ("en", 1.0): "good great love beautiful bravo excellent this",
+    ("en", 0.5): "with",
+    ("en", -1.0): "not",
+    ("en", -2.0): "trash scum clown idiot worthless moron pathetic loser disgusting stupid",
+    ("*", 1.0): "bien bon merci magnifique pour gut schön danke mit bueno gracias hermoso para",
+    ("*", 0.5): "avec für con",
+    ("*", -1.0): "pas nicht no",
+}
 
 _TOKENS = r"string_split_regex(lower({0}), '[^\p{{L}}]+')"
 
@@ -327,11 +354,11 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 _LEXICON = _values(
-    [("en", k.lower(), float(v)) for k, v in ENGLISH_LEXICON.items()]
-    + [("*", k.lower(), float(v)) for k, v in MULTILINGUAL_LEXICON.items()],
+    [(route, term, weight) for (route, weight), terms in _LEXICON_LISTS.items() for term in terms.split()],
     "route, term, weight",
 )
 
+
 def _lexicon_scored_sql(base: str) -> str:
     """Routed lexicon sentiment over ``base`` (video_id, comment_id,
     clean_text, language, like_count)."""
@@ -363,7 +390,7 @@ _DOC_SCORED = _lexicon_scored_sql("""
            doc_id % 10 AS like_count
     FROM documents""")
 
-_STOPWORDS = _values([(lang, w) for lang, words in sorted(STOPWORDS.items()) for w in words], "lang, word")
+_STOPWORDS = _values([(lang, w) for lang, words in _STOP_LISTS.items() for w in words.split()], "lang, word")
 
 ORACLE.update({
     "lexicon_sentiment": f"""
@@ -481,6 +508,15 @@ _BRAND_COMMENTS = f"""
   FROM com JOIN vids v USING (video_id)
 """
 
+_RELEVANT_COMMENTS = f"""
+  WITH vids AS (
+    SELECT split_part(p_name, ' ', 1) || ' widget' AS query, p_partkey AS video_id, p_name AS title
+    FROM part JOIN ({_DURATIONS}) d ON d.video_id = part.p_partkey
+    WHERE d.duration_seconds >= 65 AND NOT regexp_matches(lower(coalesce(p_name, '')), {_TITLE_WORDS_RE}))
+  SELECT v.query, c.*, {_relevance_sql("v.title", "v.query")} AS relevance_score
+  FROM ({_B1_NO_REL}) c JOIN vids v USING (video_id)
+"""
+
 _CLEAN_DOCS = clean_text_sql("documents", "doc_id", "text")
 _TEXT_BASE = f"""
     SELECT d.source AS video_id, d.doc_id AS comment_id, cl.clean_text, lg.language, d.doc_id % 10 AS like_count
@@ -493,6 +529,10 @@ ORACLE.update({
         _scores_sql(_BRAND_COMMENTS, digits=None, keys="query, video_id"),
         "SELECT DISTINCT p_brand AS query FROM part",
     ),
+    "ranking_by_relevance": _recommend_per_query_sql(
+        _scores_sql(_RELEVANT_COMMENTS, digits=None, keys="query, video_id"),
+        "SELECT DISTINCT split_part(p_name, ' ', 1) || ' widget' AS query FROM part",
+    ),
     "text_ranking": f"""
   SELECT best_video_id, {r6("best_score")} AS best_score, most_polarized_video_id,
          {r6("most_polarized_polarization_score")} AS most_polarized_polarization_score,

@@ -324,6 +324,22 @@ def ranking_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(result.recommendation)
 
 
+def ranking_by_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow with relevance by token overlap: a part is listed for its
+    first word and "widget", so its title covers half or all of the query."""
+    listing = TB.part_listing(spark, sf_dir).withColumn(
+        "query", F.concat_ws(" ", F.element_at(F.split("title", " "), 1), F.lit("widget"))
+    )
+    params = RK.RankerParams(
+        num_candidates=None, num_comments=None, exclude_words=TITLE_WORDS, relevance="token_overlap",
+        comment_order=TB.LINEITEM_ORDER,
+    )
+    result = RK.rank_from_scored(
+        listing, TB.part_details(spark, sf_dir), TB.lineitem_comments_ordered(spark, sf_dir), params
+    )
+    return rounded(result.recommendation)
+
+
 def text_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 texts: clean text → detected language → routed lexicon sentiment
     → scores per source → recommendation."""
@@ -397,6 +413,7 @@ def all_queries() -> dict[str, Query]:
         "landed_listing_roundtrip": landed_listing_roundtrip,
         "csv_roundtrip": csv_roundtrip,
         "ranking_by_brand": ranking_by_brand,
+        "ranking_by_relevance": ranking_by_relevance,
         "text_ranking": text_ranking,
         "ranking_from_sources": ranking_from_sources,
         "ranking_from_sources_lexicon": ranking_from_sources_lexicon,

@@ -51,9 +51,8 @@ def write_csv(
     ``bom=True`` starts every part file with a UTF-8 byte-order mark (the
     first header name carries it), for readers that expect one; each part
     file is a complete CSV with its own header, so no single task has to
-    write the whole table."""
-    if df.isEmpty():
-        return 0
+    write the whole table.  The count comes from the write itself; an empty
+    ``df`` leaves a folder without rows."""
     if order_by:
         df = df.orderBy(*order_by)
     if bom and df.columns:

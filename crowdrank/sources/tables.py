@@ -37,18 +37,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+UNDER_SPLIT = 16  # scan tasks from which on a table is never moved
+
+
 def spread(df: DataFrame, tasks_per_core: int = 2) -> DataFrame:
-    """Spread rows over the cluster when the scan yields too few tasks.
+    """Spread rows over the cluster when the scan yields a handful of tasks.
 
     Parquet splits only at row-group boundaries, so a file written as one
     row group is read by one task; CPU-heavy per-row work (text cleaning,
-    language, sentiment) would then run on one core.  A large input has
-    far more scan partitions than cores and is returned as it is; a small,
-    under-split one is repartitioned round-robin (sorted before the
-    repartition by Spark, so a retried task gets the same rows).
+    language, sentiment) would then run on one core.  Only a scan of fewer
+    than ``UNDER_SPLIT`` tasks is repartitioned round-robin (sorted before the
+    repartition by Spark, so a retried task gets the same rows), whatever the
+    number of cores; any larger table stays as its scan splits it.
     """
     target = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
-    if df.rdd.getNumPartitions() >= target:
+    if df.rdd.getNumPartitions() >= min(target, UNDER_SPLIT):
         return df
     return df.repartition(target)
 

@@ -82,7 +82,7 @@ class LexiconScorer:
     name: str = "lexicon"
     by_join: bool = False
     table: object = field(default=None, compare=False, repr=False)
-    max_broadcast_terms: int = 500_000
+    max_broadcast_bytes: int = 32 * 1024 * 1024
 
     def verdict(self, total: Column, absolute: Column) -> tuple[Column, Column]:
         """(raw label, confidence) from the two sums, which should be columns:
@@ -142,8 +142,8 @@ class LexiconScorer:
         aggregate first) and joined back (left, NULL keys included) to the
         comments.  Rows with one key and one text share their sums, which
         doubles both and changes neither label nor confidence.  The lexicon is
-        broadcast when its row count is within ``max_broadcast_terms``
-        (checked); beyond that the join shuffles on the term and adaptive
+        broadcast when its terms and weights take at most
+        ``max_broadcast_bytes`` (checked); beyond that the join shuffles on the term and adaptive
         execution splits hot terms ("the").
         """
         lexicon = self.lexicon_table(df.sparkSession) if lexicon is None else lexicon
@@ -151,7 +151,9 @@ class LexiconScorer:
             lexicon.groupBy(F.lower("term").alias("term"))
             .agg(F.min(F.col("weight").cast("double")).alias("weight"))
         )
-        if terms.count() <= self.max_broadcast_terms:
+        # A term's bytes, its weight and the row itself.
+        size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()[0]
+        if size <= self.max_broadcast_bytes:
             terms = F.broadcast(terms)
         mark = F.xxhash64(F.col(text))
         tokens = df.select(

@@ -136,3 +136,16 @@ def test_ngram_lookup_and_join_give_the_same(spark):
     assert (8, "unknown") in got[0] and got[0].count((8, "fr")) == 2 and (6, "unknown") in got[0]
     empty = LG.ngram_languages(df, "id", "text", profiles.limit(0))
     assert {r.language for r in empty.collect()} == {"unknown"}
+
+
+def test_lexicon_join_gives_the_same_without_a_broadcast(spark):
+    rows = [("v", "1", "good good bad", "en", 1), ("v", "2", "bad", "en", 1), ("v", "3", "meh", "en", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [
+        sorted((r.comment_id, r.original_sentiment_label, r.sentiment_score) for r in SE.score_sentiment(
+            df, {"*": SE.LexiconScorer({"good": 1.0, "bad": -1.0}, by_join=True, max_broadcast_bytes=bound)}
+        ).collect())
+        for bound in (1 << 20, 0)
+    ]
+    assert got[0] == got[1]
+    assert [label for _, label, _ in got[0]] == ["positive", "negative", "neutral"]

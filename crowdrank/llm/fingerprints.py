@@ -24,14 +24,15 @@ ROWS_PER_BUCKET = 512  # documents of a stretch of ids that a window function ho
 
 def with_anchors(df: DataFrame, text: str, name: str, unit: int = UNIT, k: int = K, s: int = S) -> DataFrame:
     """``df`` with ``name``: array of (position, anchor), by position, of the
-    whole text in column ``text``.  Fewer than ``k`` units make one anchor each;
-    NULL, empty and blank texts have none.
+    whole text in column ``text``.  In a text without a chosen window, as in any
+    of fewer than ``k`` units, each unit makes one anchor; NULL, empty and blank
+    texts have none.
 
     The unit and inner hashes are columns of their own, which the positions
     then look up; each is used several times, so Spark does not fold them back
     into the position functions.
     """
-    h, g = f"{name}_units", f"{name}_inner"
+    h, g, c = f"{name}_units", f"{name}_inner", f"{name}_chosen"
     if s < 1 or k <= s:
         raise ValueError("a window must hold more units than its inner substrings")
     w = k - s + 1
@@ -47,12 +48,13 @@ def with_anchors(df: DataFrame, text: str, name: str, unit: int = UNIT, k: int =
         F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))),
         lambda i: F.array_min(F.slice(F.col(g), i + F.lit(1), F.lit(w))) == edge(i),
     )
+    df = df.withColumn(c, F.when(n >= k, chosen).otherwise(F.array().cast("array<int>")))
     anchors = F.transform(
-        chosen, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(F.col(h), i + F.lit(1), F.lit(k))).alias("anchor"))
+        F.col(c), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(F.col(h), i + F.lit(1), F.lit(k))).alias("anchor"))
     )
     units_alone = F.transform(F.col(h), lambda u, i: F.struct(i.alias("pos"), F.xxhash64(u).alias("anchor")))
-    found = F.when(n >= k, anchors).otherwise(units_alone)
-    return df.withColumn(name, found).drop(h, g)
+    found = F.when(F.size(c) > 0, anchors).otherwise(units_alone)
+    return df.withColumn(name, found).drop(h, g, c)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -194,6 +194,14 @@ def test_syncmers_by_hand(spark):
     assert [len(r.anchors) for r in rows[1:]] == [2, 0, 0]
 
 
+def test_short_texts_have_anchors(spark):
+    rows = [(text_of(k, n),) for n in range(6, 13) for k in range(20)]
+    got = fingerprints.with_anchors(spark.createDataFrame(rows, "text string"), "text", "anchors").withColumn(
+        "other", F.expr("transform(array('x', 'y'), (u, i) -> struct(i AS pos, xxhash64(u) AS anchor))")
+    ).withColumn("same", fingerprints.likeness(F.col("anchors"), F.col("other"))).collect()
+    assert all(r.anchors and r.same == 0 for r in got)
+
+
 def test_fingerprints_of_nothing_and_one(spark, no_docs):
     assert fingerprints.fingerprint_edits(no_docs).count() == 0
     one = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")

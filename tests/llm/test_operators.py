@@ -202,6 +202,42 @@ def test_short_texts_have_anchors(spark):
     assert all(r.anchors and r.same == 0 for r in got)
 
 
+def test_char_syncmers_by_hand(spark):
+    texts = [text_of(9, 120), "你好世界\U0001f600été" * 20 + "z", "x" * 90, "", None, "ab", *(text_of(k, 7)[:33] for k in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    inner = "transform(sequence(1, greatest(length(text) - 7, 1)), i -> xxhash64(substring(text, i, 8)))"
+    w = fingerprints.WINDOW - fingerprints.INNER + 1
+    short = 0
+    for r in fingerprints.with_char_anchors(df, "text", "anchors").withColumn("g", F.expr(inner)).collect():
+        g = r.g or []
+        want = [i for i in range(len(g) - w + 1) if min(g[i:i + w]) in (g[i], g[i + w - 1])]
+        if not want and r.text:
+            short += len(g) >= w
+            want = range(len(g))
+            assert [a.anchor for a in r.anchors] == g
+        assert [a.pos for a in r.anchors] == list(want)
+    assert short
+
+
+def test_fingerprints_outlast_a_shift_without_white_space(spark):
+    plain = "".join(chr(0x4E00 + x) for x in np.random.default_rng(3).integers(0, 5000, 2000))
+    docs = spark.createDataFrame([(1, plain), (2, "x" + plain)], "doc_id long, text string")
+    got = fingerprints.fingerprint_edits(docs).withColumn(
+        "same", fingerprints.likeness(F.col("anchors"), F.col("next_anchors"))
+    ).collect()
+    assert all(r.same > 0.95 for r in got)
+
+
+def test_edited_anchors_are_those_of_the_edited_text(spark, odd_docs):
+    rng = np.random.default_rng(8)
+    sizes = [*range(1, 140, 6), 127, 128, 129, 63, 64, 65, 400, 50, 31, 32, 33, 1000, 126, 2, 130, 62]
+    rows = [(k, "".join(map(chr, rng.integers(97, 123, n)))) for k, n in enumerate(map(int, rng.permutation(sizes)))]
+    rows.append((len(rows), " " * 200))
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), odd_docs):
+        got = fingerprints.with_char_anchors(fingerprints.fingerprint_edits(docs), "edited", "want").collect()
+        assert got and all(r.edited_anchors == r.want for r in got)
+
+
 def test_fingerprints_of_nothing_and_one(spark, no_docs):
     assert fingerprints.fingerprint_edits(no_docs).count() == 0
     one = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")

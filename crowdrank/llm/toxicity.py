@@ -10,7 +10,8 @@ where the second term estimates the risk on the unseen negatives; when it falls
 below zero by more than a slack (the model begins to memorise U), the step goes against that term
 instead.  The features are the words of the whole text and their first four
 bytes, hashed to 2**20 slots, as log counts; a slot takes part when its
-document frequency in P differs from that expected from P and U together.
+document frequency in P differs from that expected from P and U together, both
+counted over all usable texts.  The risk is that of bounded samples of P and U.
 """
 
 from __future__ import annotations
@@ -23,18 +24,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdrank.llm.common import lean_batches, narrow
+from crowdrank.llm.common import lean_batches, materialise, narrow
 from crowdrank.llm.features import WordSlots, word_slots
 
 SLOT_BITS = 20
-MAX_POSITIVE = 5_000  # bounded training sample: confirmed toxic texts
-MAX_UNLABELLED = 10_000  # and unlabelled texts, both the first by a hash of the id
+MAX_POSITIVE = 10_000  # bounded training sample: confirmed toxic texts
+MAX_UNLABELLED = 20_000  # and unlabelled texts, both the first by a hash of the id
 STEPS = 500
 RATE = 0.1
 RIDGE = 1e-6
 SLACK = 0.01  # how far below zero the risk on the unseen negatives may be estimated
 MIN_SURPRISE = 5.0  # of a slot's frequency in P, in deviations of a Poisson count
 DEFAULT_PRIOR = 0.05
+MOST_BROADCAST = 1_000_000  # toxic ids, or texts with copies; more are joined by a shuffle
 
 
 def _sparse(text: str | None, slots: WordSlots) -> tuple[np.ndarray, np.ndarray]:
@@ -47,13 +49,69 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
 
 
-def training_features(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse features of the texts, made by the tasks; ``rows`` is bounded by the caller."""
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def slot_frequencies(rows: DataFrame, toxic: DataFrame) -> tuple[DataFrame, int, int]:
+    """(slot, in_p, in_u): documents of all ``rows`` that hold each slot, among
+    the ids of ``toxic`` and among all; and the numbers of these rows.  Rows with equal
+    texts count once: each of c copies counts 1 / c."""
+    size = 1 << SLOT_BITS
+    rows = rows.where("doc_id is not null").join(
+        _bounded(toxic.select("doc_id", F.lit(1).alias("toxic"))), "doc_id", "left"
+    ).select(
+        "text", F.coalesce("toxic", F.lit(0)).alias("toxic"),
+        F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"),
+    )
+    copies = rows.groupBy("one", "two").agg(F.count("*").alias("all_copies"), F.sum("toxic").alias("toxic_copies"))
+    copies = materialise(copies.where("all_copies > 1"), "copies")
+    rows = rows.join(_bounded(copies), ["one", "two"], "left").select("text", "toxic", "all_copies", "toxic_copies")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slots = WordSlots(SLOT_BITS)
+        in_p, in_u, n_p, n_u = np.zeros(size), np.zeros(size), 0, 0
+        for batch in batches:
+            n_p, n_u = n_p + int(batch["toxic"].sum()), n_u + len(batch)
+            of_all, of_toxic = batch["all_copies"].fillna(1), batch["toxic_copies"].fillna(1)
+            for text, toxic, c, k in zip(batch["text"], batch["toxic"], of_all, of_toxic):
+                index, _ = word_slots(text, slots)
+                in_u[index] += 1 / c
+                if toxic:
+                    in_p[index] += 1 / k
+        held = np.flatnonzero(in_u)
+        yield pd.DataFrame({
+            "slot": np.append(held, -1), "in_p": np.append(in_p[held], n_p), "in_u": np.append(in_u[held], n_u)
+        })
+
+    sums = materialise(
+        rows.mapInPandas(count, "slot long, in_p double, in_u double").groupBy("slot")
+        .agg(F.rint(F.sum("in_p")).cast("long").alias("in_p"), F.rint(F.sum("in_u")).cast("long").alias("in_u")),
+        "slot-frequencies",
+    )
+    total = sums.where("slot < 0").first()  # none without rows
+    return sums.where("slot >= 0"), total["in_p"] if total else 0, total["in_u"] if total else 0
+
+
+def surprising_slots(frequencies: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """``surprising`` of a table of frequencies; only these slots come to the driver."""
+    expected = (F.col("in_p") + F.col("in_u")) * F.lit(n_p / max(n_p + n_u, 1))
+    found = frequencies.where(F.abs(F.col("in_p") - expected) / F.sqrt(expected + 1) >= MIN_SURPRISE)
+    return np.sort(found.select("slot").toPandas()["slot"].to_numpy(np.int64))
+
+
+def training_features(rows: DataFrame, chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sparse features of the texts in the slots ``chosen``, made by the tasks;
+    ``rows`` is bounded by the caller."""
+    taken = np.zeros(1 << SLOT_BITS, bool)
+    taken[chosen] = True
+    shared = rows.sparkSession.sparkContext.broadcast(taken)  # 2**20 flags: 1 MB
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = WordSlots(SLOT_BITS)
         for batch in batches:
             got = [_sparse(text, slots) for text in batch["text"]]
+            got = [(i[shared.value[i]], v[shared.value[i]]) for i, v in got]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
                 "index": [i.tobytes() for i, _ in got], "value": [v.tobytes() for _, v in got],
@@ -87,21 +145,26 @@ def _frequencies(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return out
 
 
+def surprising(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The slots whose frequency in P differs from the expected one."""
+    expected = (in_p + in_u) * (n_p / max(n_p + n_u, 1))
+    return np.flatnonzero(np.abs(in_p - expected) / np.sqrt(expected + 1) >= MIN_SURPRISE)
+
+
 def fit_nnpu(
-    positive: list, unlabelled: list, prior: float, steps: int = STEPS
+    positive: list, unlabelled: list, prior: float, steps: int = STEPS, chosen: np.ndarray | None = None
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk plus a small ridge,
-    by Adam steps over all rows given.  Without positives or unlabelled texts:
-    zero weights and the prior's bias."""
+    by Adam steps over all rows given, in the slots ``chosen`` (by default those
+    surprising in these rows).  Without positives or unlabelled texts: zero
+    weights and the prior's bias."""
     weights = np.zeros(1 << SLOT_BITS, np.float32)
     bias = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return weights, bias
     n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = _frequencies(positive), _frequencies(unlabelled)
-    share = n_p / (n_p + n_u)
-    expected = (in_p + in_u) * share
-    chosen = np.flatnonzero(np.abs(in_p - expected) / np.sqrt(expected + 1) >= MIN_SURPRISE)
+    if chosen is None:
+        chosen = surprising(_frequencies(positive), _frequencies(unlabelled), n_p, n_u)
     if not len(chosen):
         return weights, bias
     place = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -150,14 +213,16 @@ def train(
     total = marks.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("k")).first()
     prior = min(max(total["k"] / total["n"], 1e-3), 0.5) if total["n"] else DEFAULT_PRIOR
     toxic = marks.where("toxic = 1").select("doc_id")
-    chosen = F.broadcast(_sample(toxic, max_positive))  # at most max_positive ids
-    positive = rows.join(chosen, "doc_id", "left_semi")
+    chosen = surprising_slots(*slot_frequencies(rows, toxic))
+    confirmed = F.broadcast(_sample(toxic, max_positive))  # at most max_positive ids
+    positive = rows.join(confirmed, "doc_id", "left_semi")
     # Unlabelled texts are drawn from all texts, the confirmed ones included,
     # so that they hold the prior's share of toxic ones.
     pool = rows.select("doc_id").where("doc_id is not null").distinct()
     drawn = F.broadcast(_sample(pool, max_unlabelled))  # at most max_unlabelled ids
     return fit_nnpu(
-        training_features(positive), training_features(rows.join(drawn, "doc_id", "left_semi")), prior
+        training_features(positive, chosen),
+        training_features(rows.join(drawn, "doc_id", "left_semi"), chosen), prior, chosen=chosen,
     )
 
 

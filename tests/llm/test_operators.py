@@ -434,6 +434,29 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark, odd_docs, no_docs)
     assert toxicity.score(no_docs, model).count() == 0
 
 
+def test_rare_toxic_words_are_counted_over_all_texts(spark):
+    docs, labels, rows = labelled(spark, 1500)
+    rare = [r[0] for r in rows if r[0] % 7 == 0 and r[0] % 3 != 2][:22]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(rare), F.concat("text", F.lit(" rarely"))).otherwise(F.col("text")))
+    docs = docs.unionByName(docs.where("doc_id < 70").withColumn("doc_id", F.col("doc_id") + 10_000))
+    weights, _ = toxicity.train(docs, labels, usable=F.lit(True), max_positive=40, max_unlabelled=100)
+    assert weights[toxicity.WordSlots(toxicity.SLOT_BITS)[b"rarely"][0]] > 0
+    toxic = labels.where("toxic = 1").select("doc_id")
+    counted, n_p, n_u = toxicity.slot_frequencies(docs.select("doc_id", "text"), toxic)
+    in_p, in_u = np.zeros((2, 1 << toxicity.SLOT_BITS), np.int64)
+    for r in counted.collect():
+        in_p[r.slot], in_u[r.slot] = r.in_p, r.in_u
+    assert (toxicity.surprising_slots(counted, n_p, n_u) == toxicity.surprising(in_p, in_u, n_p, n_u)).all()
+    assert (n_p, n_u) == (toxic.count(), docs.count())
+    slots = toxicity.WordSlots(toxicity.SLOT_BITS)
+    known = {r.doc_id for r in toxic.collect()}
+    for got, kept in ((in_p, known), (in_u, None)):
+        want = np.zeros_like(got)
+        for text in {r.text for r in docs.collect() if kept is None or r.doc_id in kept}:
+            want[toxicity.word_slots(text, slots)[0]] += 1
+        assert (got == want).all()
+
+
 def test_risk_stays_near_zero_on_the_unseen_negatives():
     rng = np.random.default_rng(4)
     row = lambda words: (np.array(sorted(words), np.int32), np.ones(len(words), np.float16))

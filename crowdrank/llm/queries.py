@@ -3,13 +3,15 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdrank.llm import (
-    bpe, fingerprints, hamming_search, language_id, near_dedup, packing, quality, tool_calls, toxicity,
-    url_filter,
+    bpe, fill_middle, fingerprints, hamming_search, language_id, near_dedup, packing, quality, repair, sharding,
+    tool_calls, toxicity, url_filter,
 )
 from crowdrank.llm.common import fold_of, read_table
 
@@ -116,6 +118,50 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NOTHING_SHA256 = hashlib.sha256(b"").hexdigest()
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    summary, turns = repair.repair_conversations(repair.damage(conversations))
+    hashes = repair.conversation_hashes(turns)
+    # The ids come from the undamaged table: a conversation may have lost all its rows.
+    ids = conversations.select("conv_id").distinct().withColumn("id", F.col("conv_id").cast("string"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return (
+        ids.join(summary, F.col("id").eqNullSafe(F.col("conv")), "left").drop("conv")
+        .join(hashes, F.col("id").eqNullSafe(F.col("conv")), "left")
+        .select(
+            "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.lit(NOTHING_SHA256)).alias("repaired_sha256"),
+        )
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = fill_middle.fill_in_middle(docs)
+    return done.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+        F.col("fim.sha256").alias("output_sha256"),
+        fill_middle.restored_sha256(F.col("fim.output"), F.col("fim.form")).alias("restored_sha256"),
+    )
+
+
+SHARDS = 16
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    assigned = sharding.assign_shards(docs, dict.fromkeys(range(SHARDS), 1.0), dict.fromkeys(range(SHARDS + 1), 1.0))
+    numbered = sharding.number_rows(assigned)
+    return numbered.select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
+        "grown_shard",
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -127,8 +173,29 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
+    "op11_repair": op11_repair,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_sharding": op13_sharding,
 }
 
+
+
+def _crc_step(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned CRC-32 of a text's UTF-8 bytes."""
+    steps = ", ".join(str(_crc_step(byte)) for byte in range(256))
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return (
+        f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+        f"lambda c, b: xor(c // 256, ([{steps}]::BIGINT[])[(xor(c, b) & 255) + 1])))"
+    )
+
+
 #: DuckDB SQL for the queries that SQL can express exactly.
 ORACLE: dict[str, str] = {
     "op4_hamming_search": r"""
@@ -198,4 +265,128 @@ ORACLE: dict[str, str] = {
                     THEN 'block' ELSE 'allow' END AS verdict
         FROM parts p LEFT JOIN (SELECT * FROM fits WHERE k = 1) f ON f.host = p.host AND f.path = p.path
     """,
+    "op11_repair": rf"""
+        WITH RECURSIVE named AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS draw
+            FROM conversations
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+                   CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE draw WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM named
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i
+            FROM damaged
+        ), seen AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS times,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM placed
+        ), judged AS (
+            SELECT conv_id, i, turn, role, text, left(role, 1) AS initial, before,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN times > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
+            FROM seen
+        ), inserted(state, made, edits, cost, lines, now) AS (
+            -- states: e nothing yet, s, u, a; at most two inserts at one place
+            SELECT s, 0, '', 0, ''::VARCHAR, s FROM (VALUES ('e'), ('s'), ('u'), ('a')) t(s)
+            UNION ALL
+            SELECT state, made + 1, edits || 'I', cost + 3,
+                   lines || CASE now WHEN 'u' THEN 'assistant:' ELSE 'user:' END || chr(10),
+                   CASE now WHEN 'u' THEN 'a' ELSE 'u' END
+            FROM inserted WHERE made < 2
+        ), walk(conv_id, i, state, cost, audit, lines) AS (
+            SELECT DISTINCT conv_id, 0::BIGINT, 'e', 0, '', '' FROM damaged
+            UNION ALL
+            SELECT conv_id, i, state, best.cost, best.audit, best.lines FROM (
+                SELECT conv_id, i, state, min({{'cost': cost, 'audit': audit, 'lines': lines}}) AS best FROM (
+                    SELECT w.conv_id, j.i, w.state, w.cost + 4 AS cost, w.audit || 'D' AS audit, w.lines
+                    FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+                    UNION ALL
+                    SELECT w.conv_id, j.i, j.initial,
+                           w.cost + n.cost + CASE WHEN j.fault = 'truncated' THEN 3 ELSE 0 END,
+                           w.audit || n.edits || 'K', w.lines || n.lines || j.role || ':' || j.text || chr(10)
+                    FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+                    JOIN inserted n ON n.state = w.state
+                    WHERE coalesce(j.fault, '') NOT IN ('blank', 'duplicate')
+                      AND n.now || j.initial IN ('es', 'eu', 'su', 'ua', 'au')
+                    UNION ALL
+                    SELECT w.conv_id, j.i, CASE n.now WHEN 'u' THEN 'a' ELSE 'u' END,
+                           w.cost + n.cost + 3 + CASE WHEN j.fault = 'truncated' THEN 3 ELSE 0 END,
+                           w.audit || n.edits || 'R',
+                           w.lines || n.lines || CASE n.now WHEN 'u' THEN 'assistant:' ELSE 'user:' END || j.text || chr(10)
+                    FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+                    JOIN inserted n ON n.state = w.state
+                    WHERE coalesce(j.fault, '') NOT IN ('blank', 'duplicate')
+                ) GROUP BY conv_id, i, state
+            )
+        ), counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+                   max(i) AS n
+            FROM judged GROUP BY conv_id
+        ), ended AS (
+            SELECT c.conv_id, min({{'cost': w.cost + n.cost, 'audit': w.audit || n.edits, 'lines': w.lines || n.lines}}) AS best
+            FROM counted c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n
+            JOIN inserted n ON n.state = w.state AND n.now IN ('e', 'a') GROUP BY c.conv_id
+        )
+        SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0) AS blank,
+               coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+               coalesce(c.illegal, 0) AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost,
+               coalesce(e.best.audit, '') AS audit,
+               sha256(coalesce(left(e.best.lines, greatest(length(e.best.lines) - 1, 0)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+    "op12_fill_middle": r"""
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n,
+                   sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+            FROM documents
+        ), numbered AS (
+            SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+                   CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                          OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                        WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ), cut AS (
+            SELECT doc_id, text, n, form, least(c1, c2) AS a, abs(c1 - c2) AS m,
+                   substr(text, 1, least(c1, c2)) AS prefix, substr(text, least(c1, c2) + 1, abs(c1 - c2)) AS middle,
+                   substr(text, greatest(c1, c2) + 1) AS suffix
+            FROM numbered
+        ), made AS (
+            SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output
+            FROM cut
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN m END AS middle_chars, sha256(output) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN output
+                      WHEN 'psm' THEN substr(output, 4, strpos(output, '<S>') - 4) || split_part(output, '<M>', 2)
+                           || split_part(split_part(output, '<S>', 2), '<M>', 1)
+                      ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2)
+                           || substr(output, 4, strpos(output, '<P>') - 4) END) AS restored_sha256
+        FROM made
+    """,
+    "op13_sharding": rf"""
+        WITH bids AS (
+            SELECT key, s AS shard, -ln((('0x' || substr(md5(key || ':' || s), 1, 13))::BIGINT + 0.5::DOUBLE)
+                                       / 4503599627370496::DOUBLE) AS bid
+            FROM (SELECT DISTINCT coalesce(doc_id::VARCHAR, chr(0)) AS key FROM documents), range({SHARDS + 1}) t(s)
+        ), chosen AS (
+            SELECT key, min({{'bid': bid, 'shard': shard}}) FILTER (shard < {SHARDS}) AS kept,
+                   min({{'bid': bid, 'shard': shard}}) AS grown
+            FROM bids GROUP BY key
+        ), sized AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+                   {crc32_sql("coalesce(text, '')")} AS text_crc32, kept.shard::INT AS shard, grown.shard::INT AS grown_shard
+            FROM documents JOIN chosen ON key = coalesce(doc_id::VARCHAR, chr(0))
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+        FROM sized
+    """,
 }

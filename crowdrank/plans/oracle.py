@@ -633,3 +633,54 @@ ORACLE["language_ngram"] = """
 
 # The join path of the lexicon scorer must give the regex path's result.
 ORACLE["lexicon_sentiment_by_join"] = ORACLE["lexicon_sentiment"]
+
+
+# --- search ---------------------------------------------------------------------------
+# Every title's score for every query that shares a token with it, then the first
+# 50: BM25 (k1 1.2, b 0.75) per token as whole thousandths, or one per token.
+_CATALOG = """
+  SELECT p_partkey AS video_id, p_partkey AS position,
+         concat_ws(' ', p_name, p_type, p_brand) AS title FROM part
+"""
+
+
+def _search_sql(queries: str, bm25: bool, k: int = 50) -> str:
+    split = f"'[{WS}.]+'"
+    impact = """CAST(floor(1000 * ln(1 + ((SELECT n FROM size) - h.held + 0.5) / (h.held + 0.5)) * (c.times * 2.2
+               / (c.times + 1.2 * (0.25::DOUBLE + 0.75::DOUBLE * c.len / (SELECT mean FROM size)))) + 0.5) AS BIGINT)"""
+    return f"""
+  WITH catalog AS ({_CATALOG}),
+  words AS (SELECT video_id, unnest(list_filter(string_split_regex(lower(title), {split}), lambda x: x <> '')) AS token
+            FROM catalog),
+  counted AS (SELECT video_id, token, count(*) AS times, sum(count(*)) OVER (PARTITION BY video_id) AS len
+              FROM words GROUP BY video_id, token),
+  size AS (SELECT (SELECT count(*) FROM catalog) AS n, (SELECT count(*) FROM words)::DOUBLE / (SELECT count(*) FROM catalog) AS mean),
+  held AS (SELECT token, count(*) AS held FROM counted GROUP BY token),
+  postings AS (SELECT c.video_id, c.token, {impact if bm25 else "1::BIGINT"} AS impact FROM counted c JOIN held h USING (token)),
+  asked AS (SELECT DISTINCT query FROM ({queries})),
+  wanted AS (SELECT DISTINCT query, token FROM (
+      SELECT query, unnest(string_split_regex(lower(query), {split})) AS token FROM asked) WHERE token <> ''),
+  found AS (SELECT w.query, p.video_id, CAST(sum(p.impact) AS BIGINT) AS score FROM wanted w JOIN postings p USING (token) GROUP BY ALL)
+  SELECT f.query, row_number() OVER (PARTITION BY f.query ORDER BY score DESC, c.position, f.video_id) - 1 AS position,
+         f.video_id, c.title, f.score, round({_relevance_sql("c.title", "f.query")}, 6) AS relevance_score
+  FROM found f JOIN catalog c USING (video_id)
+  QUALIFY row_number() OVER (PARTITION BY f.query ORDER BY score DESC, c.position, f.video_id) <= {k}
+"""
+
+
+_NOUN_QUERIES = "SELECT DISTINCT split_part(p_name, ' ', 2) || ' ' || p_brand AS query FROM part"
+_SEARCHED_COMMENTS = f"""
+  WITH vids AS (
+    SELECT s.query, s.video_id, d.title
+    FROM ({_search_sql(_NOUN_QUERIES, bm25=False)}) s JOIN ({_DURATIONS}) d USING (video_id)
+    WHERE d.duration_seconds >= 65 AND NOT regexp_matches(lower(s.title), {_TITLE_WORDS_RE}))
+  SELECT v.query, c.*, {_relevance_sql("v.title", "v.query")} AS relevance_score
+  FROM ({_B1_NO_REL}) c JOIN vids v USING (video_id)
+"""
+
+ORACLE.update({
+    "search_listing": _search_sql("SELECT p_name || ' ' || p_brand AS query FROM part", bm25=True),
+    "ranking_from_search": _recommend_per_query_sql(
+        _scores_sql(_SEARCHED_COMMENTS, digits=None, keys="query, video_id"), _NOUN_QUERIES
+    ),
+})

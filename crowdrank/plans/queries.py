@@ -20,6 +20,7 @@ from crowdrank.functions.text import collapse_whitespace, strip_urls, with_clean
 from crowdrank.operators import candidates as C
 from crowdrank.operators import recommend as R
 from crowdrank.operators import scoring as S
+from crowdrank.operators import search as SR
 from crowdrank.operators.filters import filter_min_duration, filter_titles
 from crowdrank.operators import language as LG
 from crowdrank.operators import sentiment as SE
@@ -145,6 +146,29 @@ def items_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def search_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a part name and a brand asked at once, against all parts
+    (title: name, type and brand)."""
+    index = SR.build_index(TB.part_catalog(spark, sf_dir))
+    return rounded(SR.search(index, TB.part_queries(spark, sf_dir)))
+
+
+def ranking_from_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow with its candidates found by the search, by title overlap: one
+    recommendation per brand and noun, all comments of the found parts."""
+    queries = TB.part_listing(spark, sf_dir).select(
+        F.concat_ws(" ", F.element_at(F.split("title", " "), 2), "query").alias("query")
+    ).distinct()
+    params = RK.RankerParams(
+        num_comments=None, exclude_words=TITLE_WORDS, relevance="token_overlap", comment_order=TB.LINEITEM_ORDER
+    )
+    result = RK.rank_from_catalog(
+        queries, TB.part_catalog(spark, sf_dir), TB.part_details(spark, sf_dir),
+        TB.lineitem_comments_ordered(spark, sf_dir), params, score="overlap",
+    )
+    return rounded(result.recommendation)
+
+
 # --- label maps ---------------------------------------------------------------
 
 
@@ -397,6 +421,8 @@ def all_queries() -> dict[str, Query]:
         "candidates_semi_join": candidates_semi_join,
         "comments_per_item_capped": comments_per_item_capped,
         "items_with_comments": items_with_comments,
+        "search_listing": search_listing,
+        "ranking_from_search": ranking_from_search,
         "sentiment_labels": sentiment_labels,
         "star_labels": star_labels,
         "clean_pages": clean_pages,

@@ -4,11 +4,12 @@ listing ─▶ cap per query ─▶ title filter ─▶ details (semi-join) ─
 ─▶ duration filter ─▶ comments of kept videos (cap per video) ─▶ clean text
 ─▶ language ─▶ sentiment ─▶ per-video scores ─▶ recommendation (per query).
 
-Three entry points, like the three ways the flow can be started:
+Entry points, the three ways the flow can be started, and one from queries:
 
 * ``rank_from_sources`` — listing, details and raw comments;
 * ``rank_from_scored`` — comments that already carry sentiment columns;
-* ``recommend_from_scores`` — a video_scores table.
+* ``recommend_from_scores`` — a video_scores table;
+* ``rank_from_catalog`` — search queries and the catalogue they are asked of.
 
 With ``stage_checkpoints=True`` the comments, scored comments and scores
 are written as Parquet into the shared checkpoint folder and re-read
@@ -40,6 +41,7 @@ from crowdrank.operators import candidates as C
 from crowdrank.operators import recommend as R
 from crowdrank.operators import scoring as S
 from crowdrank.operators.language import with_language
+from crowdrank.operators.search import build_index, search
 from crowdrank.operators.sentiment import Scorer, score_sentiment
 from crowdrank.sources.files import materialize
 
@@ -203,6 +205,29 @@ def rank_from_scored(
     )
 
 
+def rank_from_catalog(
+    queries: DataFrame,
+    catalog: DataFrame,
+    details: DataFrame,
+    comments: DataFrame,
+    params: RankerParams = RankerParams(),
+    scorers: Mapping[str, Scorer] | None = None,
+    score: str = "bm25",
+) -> RankResult:
+    """Entry from search queries: the listing is what the search finds in
+    ``catalog`` (video_id, title, position), ``num_candidates`` per query.
+    Without ``scorers`` the comments must already be scored."""
+    found = search(build_index(catalog, score), queries, params.num_candidates or NUM_CANDIDATES)
+    listing = materialize(found.select("query", "position", "video_id", "title"), "found")
+    if scorers is None:
+        result = rank_from_scored(listing, details, comments, params)
+    else:
+        result = rank_from_sources(listing, details, comments, scorers, params)
+    # A query that finds nothing keeps its row.
+    result.recommendation = recommend_per_query(result.video_scores, queries, params.top_polarized)
+    return result
+
+
 def rank_from_sources(
     listing: DataFrame,
     details: DataFrame,

@@ -122,6 +122,22 @@ def part_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4: the catalogue that is searched (video_id, title, position), titles
+    of name, type and brand."""
+    part = read_table(spark, sf_dir, "part")
+    return part.select(
+        F.col("p_partkey").alias("video_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("title"),
+        F.col("p_partkey").alias("position"),
+    )
+
+
+def part_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4: search queries, every name with every brand it is sold under."""
+    part = read_table(spark, sf_dir, "part")
+    return part.select(F.concat_ws(" ", "p_name", "p_brand").alias("query")).distinct()
+
+
 def part_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4: video details rows (video_id, title, ISO duration, statistics)."""
     part = read_table(spark, sf_dir, "part")

@@ -684,3 +684,28 @@ ORACLE.update({
         _scores_sql(_SEARCHED_COMMENTS, digits=None, keys="query, video_id"), _NOUN_QUERIES
     ),
 })
+
+
+# --- named stages -----------------------------------------------------------------------
+# The restarted flow's answer is that of the flow; its manifests hold the row
+# counts of its stages, all but the last finished by the first run.
+_KEPT_PARTS = f"""
+  SELECT DISTINCT p_brand AS query, CAST(p_partkey AS VARCHAR) AS video_id
+  FROM part JOIN ({_DURATIONS}) d ON d.video_id = part.p_partkey
+  WHERE d.duration_seconds >= 65 AND NOT regexp_matches(lower(coalesce(p_name, '')), {_TITLE_WORDS_RE})
+"""
+_KEPT_COMMENTS = f"""
+  SELECT video_id FROM (SELECT CAST(doc_id % 200 + 1 AS VARCHAR) AS video_id FROM documents WHERE text IS NOT NULL)
+  WHERE video_id IN (SELECT video_id FROM ({_KEPT_PARTS}))
+"""
+ORACLE.update({
+    "ranking_restarted": ORACLE["ranking_from_sources_lexicon"],
+    "restarted_stages": f"""
+  SELECT 'queries' AS stage, count(DISTINCT p_brand) AS rows, true AS reused FROM part
+  UNION ALL SELECT 'videos', count(*), true FROM ({_KEPT_PARTS})
+  UNION ALL SELECT 'comments', count(*), true FROM ({_KEPT_COMMENTS})
+  UNION ALL SELECT 'comments_scored', count(*), true FROM ({_KEPT_COMMENTS})
+  UNION ALL SELECT 'video_scores', count(*), false
+  FROM ({_KEPT_PARTS}) WHERE video_id IN (SELECT video_id FROM ({_KEPT_COMMENTS}))
+""",
+})

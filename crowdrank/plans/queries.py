@@ -31,6 +31,7 @@ from crowdrank.session import scratch_path
 from crowdrank.sources import files as FS
 from crowdrank.sources import landed as LD
 from crowdrank.sources import tables as TB
+from crowdrank.sources.stages import StageStore
 
 OUT_DIGITS = 6
 QUERY_TEXT = "red widget"  # relevance query over part names (B1)
@@ -373,20 +374,26 @@ def text_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.recommendation_report(R.recommendation(S.video_scores(scored))))
 
 
-def _from_sources(spark: SparkSession, sf_dir: str, scorers) -> DataFrame:
-    """The whole flow: parts as listing and details, documents as comments of
-    parts 1 to 200, all candidates and comments, one row per brand."""
+FLOW_PARAMS = RK.RankerParams(num_candidates=None, num_comments=None, exclude_words=TITLE_WORDS)
+
+
+def _flow_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts as listing and details, documents as comments of parts 1 to 200."""
     docs = TB.read_table(spark, sf_dir, "documents")
     comments = docs.select(
         (F.col("doc_id") % 200 + 1).cast("string").alias("video_id"), F.col("doc_id").alias("comment_id"), "text",
         (F.col("doc_id") % 10).alias("like_count"),
     )
-    params = RK.RankerParams(num_candidates=None, num_comments=None, exclude_words=TITLE_WORDS)
     named = F.col("video_id").cast("string")
-    result = RK.rank_from_sources(
+    return (
         TB.part_listing(spark, sf_dir).withColumn("video_id", named),
-        TB.part_details(spark, sf_dir).withColumn("video_id", named), comments, scorers, params,
+        TB.part_details(spark, sf_dir).withColumn("video_id", named), comments,
     )
+
+
+def _from_sources(spark: SparkSession, sf_dir: str, scorers) -> DataFrame:
+    """The whole flow, all candidates and comments, one row per brand."""
+    result = RK.rank_from_sources(*_flow_sources(spark, sf_dir), scorers, FLOW_PARAMS)
     return rounded(result.recommendation)
 
 
@@ -404,6 +411,35 @@ def ranking_from_sources_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_sources(spark, sf_dir, LEXICON_SCORERS)
 
 
+def _no_sources() -> tuple[DataFrame, DataFrame, DataFrame]:
+    raise AssertionError("a finished stage reads no source")
+
+
+def _restarted(spark: SparkSession, sf_dir: str) -> tuple[StageStore, RK.RankResult]:
+    """The flow in named stages: one run ends after the sentiment stage, a
+    second one, which has no source, goes on from there."""
+    root = scratch_path(spark, "stages")
+    inputs = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("part", "documents")]
+    RK.rank_in_stages(
+        StageStore(spark, "all brands", root), lambda: _flow_sources(spark, sf_dir), LEXICON_SCORERS, FLOW_PARAMS,
+        inputs, until="comments_scored",
+    )
+    later = StageStore(spark, "all brands", root)
+    return later, RK.rank_in_stages(later, _no_sources, LEXICON_SCORERS, FLOW_PARAMS, inputs)
+
+
+def ranking_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations of a flow that was ended and taken up again by name."""
+    return rounded(_restarted(spark, sf_dir)[1].recommendation)
+
+
+def restarted_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of that flow as their manifests tell: rows, and whether the
+    second run found them finished."""
+    store, _ = _restarted(spark, sf_dir)
+    return store.report(RK.STAGES).select("stage", "rows", F.col("stage").isin(store.reused).alias("reused"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "item_scores": item_scores,
@@ -443,4 +479,6 @@ def all_queries() -> dict[str, Query]:
         "text_ranking": text_ranking,
         "ranking_from_sources": ranking_from_sources,
         "ranking_from_sources_lexicon": ranking_from_sources_lexicon,
+        "ranking_restarted": ranking_restarted,
+        "restarted_stages": restarted_stages,
     }

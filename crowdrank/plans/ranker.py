@@ -9,7 +9,8 @@ Entry points, the three ways the flow can be started, and one from queries:
 * ``rank_from_sources`` — listing, details and raw comments;
 * ``rank_from_scored`` — comments that already carry sentiment columns;
 * ``recommend_from_scores`` — a video_scores table;
-* ``rank_from_catalog`` — search queries and the catalogue they are asked of.
+* ``rank_from_catalog`` — search queries and the catalogue they are asked of;
+* ``rank_in_stages`` — the first one in named stages that a later run picks up.
 
 With ``stage_checkpoints=True`` the comments, scored comments and scores
 are written as Parquet into the shared checkpoint folder and re-read
@@ -21,7 +22,7 @@ them afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, Window
@@ -42,8 +43,9 @@ from crowdrank.operators import recommend as R
 from crowdrank.operators import scoring as S
 from crowdrank.operators.language import with_language
 from crowdrank.operators.search import build_index, search
-from crowdrank.operators.sentiment import Scorer, score_sentiment
+from crowdrank.operators.sentiment import LexiconScorer, PluginScorer, Scorer, score_sentiment
 from crowdrank.sources.files import materialize
+from crowdrank.sources.stages import StageStore
 
 POL = R.POL
 
@@ -245,6 +247,79 @@ def rank_from_sources(
     return RankResult(videos, comments, scored, scores, rec, extras={"counts": counts})
 
 
+STAGES = ("queries", "videos", "comments", "comments_scored", "video_scores")
+
+
+def _told_scorer(scorer: Scorer) -> list:
+    """What a stage's fingerprint knows of a scorer: its name and settings, the
+    code of a user function (not of what that calls: rename the scorer when it
+    changes), the files of a lexicon table, the identity of a fitted model."""
+    told = [type(scorer).__name__, scorer.name]
+    if isinstance(scorer, LexiconScorer):
+        files = [] if scorer.table is None else sorted(scorer.table.inputFiles())
+        return [*told, sorted(scorer.weights.items()), scorer.neutral_score, files]
+    if isinstance(scorer, PluginScorer):
+        code = getattr(scorer.fn, "__code__", None)
+        body = [] if code is None else [
+            code.co_code.hex(), code.co_names, [c for c in code.co_consts if isinstance(c, str | int | float)]
+        ]
+        return [*told, getattr(scorer.fn, "__qualname__", ""), body, scorer.max_chars]
+    return [*told, scorer.num_features, getattr(scorer.model, "uid", "")]
+
+
+def rank_in_stages(
+    store: StageStore,
+    sources: Callable[[], tuple[DataFrame, DataFrame, DataFrame]],
+    scorers: Mapping[str, Scorer],
+    params: RankerParams = RankerParams(),
+    inputs: Sequence[str] = (),
+    until: str | None = None,
+) -> RankResult:
+    """The whole flow, each of ``STAGES`` written under its name in ``store``.
+
+    ``sources()`` gives listing, details and raw comments; it is called only
+    if a stage that reads them has to be built, so a run that finds these stages
+    finished needs no source.  ``inputs`` are the sources' paths, whose files
+    count in the fingerprints.  ``until`` ends the run after that stage; a later
+    run goes on from there."""
+    loaded: list = []
+
+    def source(which: int) -> DataFrame:
+        if not loaded:
+            loaded.append(sources())
+        return loaded[0][which]
+
+    chosen = [
+        params.num_candidates, params.min_duration_seconds, list(params.exclude_words), params.relevance,
+    ]
+    result = RankResult(videos=None)
+    last = STAGES.index(until) if until is not None else len(STAGES)
+    queries = store.stage("queries", lambda: source(0).select("query").distinct(), "distinct", inputs)
+    if last >= 1:
+        result.videos = store.stage(
+            "videos", lambda: select_videos(source(0), source(1), params), chosen, inputs
+        )
+    if last >= 2:
+        result.comments = store.stage(
+            "comments", lambda: prepare_comments(source(2), result.videos, params),
+            [params.num_comments, list(params.comment_order)], inputs, ["videos"],
+        )
+    if last >= 3:
+        told = {route: _told_scorer(scorer) for route, scorer in scorers.items()}
+        result.comments_scored = store.stage(
+            "comments_scored", lambda: score_sentiment(result.comments, scorers, drop_missing=False), told,
+            after=["comments"],
+        )
+    if last >= 4:
+        result.video_scores = store.stage(
+            "video_scores", lambda: scores_per_query(result.comments_scored, result.videos, params),
+            [params.total, params.pseudo_count], after=["comments_scored", "videos"],
+        )
+        if until is None:
+            result.recommendation = recommend_per_query(result.video_scores, queries, params.top_polarized)
+    return result
+
+
 def recommend_from_scores(video_scores: DataFrame, k: int = TOP_POLARIZED) -> DataFrame:
     """Entry for a single query's video_scores table: the one-row answer."""
     return R.recommendation(video_scores, k)

@@ -73,7 +73,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCRATCH: list[str] = []  # paths handed out by this process
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, not yet existing path under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{root}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(Hadoop file system, path object) of a path on any storage Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote under ``scratch_path`` paths; returns how
+    many there were.  For the end of a job: tables that still read from them
+    can no longer be computed."""
+    cleared = 0
+    while _SCRATCH:
+        fs, at = file_system(spark, _SCRATCH.pop())
+        cleared += bool(fs.delete(at, True))
+    return cleared

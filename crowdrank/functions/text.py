@@ -4,10 +4,8 @@
 other tags leave their text, no separator) → decode entities → remove URLs
 → decode entities again → collapse whitespace runs to one space (no trim).
 
-The markup step is a chain of regular expressions, not a tolerant HTML
-parser: it agrees with one on well-formed and on the usual broken markup
-(unclosed ``<p>``/``<b>``), not on exotic cases such as ``>`` inside an
-attribute value or markup inside CDATA.
+The markup step (``crowdrank.functions.markup``) follows the elements of a
+page, broken markup included.
 
 Entity decoding follows the HTML5 rules: every named reference of the
 standard table (``html.entities.html5``, the 106 legacy names also without
@@ -24,17 +22,9 @@ import html.entities
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdrank.functions.markup import strip_elements
 from crowdrank.functions.patterns import NON_WS_RUN, WS_RUN
 
-# Markup removal, applied in this order, each match replaced by ''.
-MARKUP_PATTERNS: tuple[str, ...] = (
-    r"(?s)<!--.*?-->",                      # comments
-    r"(?is)<script\b.*?</script>",          # script elements with their code
-    r"(?is)<style\b.*?</style>",            # style elements with their rules
-    r"(?is)<a\b[^>]*>.*?</a>",              # links with their text
-    r"(?s)</?[a-zA-Z!][^>]*>",              # any other tag, doctype included
-)
-
 URL_PATTERN = r"(?:https?://|www\.)" + NON_WS_RUN
 
 
@@ -184,14 +174,6 @@ def decode_entities(text: Column, spark: SparkSession | None = None) -> Column:
     return F.call_function(DECODE_FUNCTION, text)
 
 
-def strip_markup(text: Column) -> Column:
-    """Markup removal; a text without '<' is returned as it is."""
-    out = text
-    for pattern in MARKUP_PATTERNS:
-        out = F.regexp_replace(out, pattern, "")
-    return F.when(text.contains("<"), out).otherwise(text)
-
-
 def strip_urls(text: Column) -> Column:
     """Remove ``http://``, ``https://`` (lower case only) and ``www.`` runs;
     a text with neither ``http`` nor ``www.`` is returned as it is."""
@@ -217,7 +199,7 @@ def with_clean_text(df: DataFrame, src: str = "text", out: str = "clean_text") -
     tmp = [f"__{out}_{i}" for i in range(4)]
     spark = df.sparkSession
     return (
-        df.withColumn(tmp[0], strip_markup(F.col(src)))
+        df.withColumn(tmp[0], strip_elements(F.col(src)))
         .withColumn(tmp[1], decode_entities(F.col(tmp[0]), spark))
         .withColumn(tmp[2], strip_urls(F.col(tmp[1])))
         .withColumn(tmp[3], decode_entities(F.col(tmp[2]), spark))

@@ -302,9 +302,9 @@ def _decode_steps(src: str, col: str, out: str, keep: str) -> tuple[str, str]:
     return a, b
 
 
-def clean_text_sql(table: str, key: str, col: str, out: str = "clean_text") -> str:
+def clean_text_sql(table: str, key: str, col: str, out: str = "clean_text", markup: tuple[str, ...] = _MARKUP) -> str:
     stripped = col
-    for pattern in _MARKUP:
+    for pattern in markup:
         stripped = f"regexp_replace({stripped}, {_lit(pattern)}, '', 'g')"
     d1a, d1b = _decode_steps("s0", "t0", "t1", key)
     d2a, d2b = _decode_steps("s2", "t2", "t3", key)
@@ -709,3 +709,59 @@ ORACLE.update({
   FROM ({_KEPT_PARTS}) WHERE video_id IN (SELECT video_id FROM ({_KEPT_COMMENTS}))
 """,
 })
+
+
+# --- broken markup --------------------------------------------------------------------
+# The stack of open elements, tag by tag, in a recursive query.
+_BROKEN_PAGES = """
+  SELECT page_id, CASE page_id % 8
+    WHEN 0 THEN '<a>one<a>two</a>three</a>' || html
+    WHEN 1 THEN '<div><a href=x>never closed</div>' || html
+    WHEN 2 THEN '<p title="a>b" data-x=''c>d''>' || html
+    WHEN 3 THEN html || '<!-- open ' || html
+    WHEN 4 THEN html || '<a href="quote>' || html
+    WHEN 5 THEN replace(html, '</a>', '')
+    WHEN 6 THEN '<![CDATA[x < y]]>' || html || '</a></b><A/>1 < 2'
+    ELSE replace(html, '<p>', '<p><a name=q>') END AS html
+  FROM pages
+"""
+_IN_TAG = rf"""(?:[^>=]|=[{WS}]*(?:"[^"]*"|'[^']*'|[^"'>{WS}][^>{WS}]*))*(?:=[{WS}]*)?>"""
+_HTML_TOKEN = "|".join((
+    r"<!\[CDATA\[(?s:.*?)(?:\]\]>|\z)",
+    *(rf"(?i:<{n})(?:[/{WS}]{_IN_TAG}|>)(?s:.*?)(?:(?i:</{n})(?:[/{WS}]{_IN_TAG}|>)|\z)" for n in ("script", "style")),
+    r"<!--(?:-?>|(?s:.*?)(?:--!?>|\z))", "</>", r"<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\z)", rf"</?[a-zA-Z]{_IN_TAG}",
+    r"<[a-zA-Z/](?s:.*)\z", "[^<]+", "<",
+))
+_VOID = "area base br col embed hr img input link meta param source track wbr script style"
+
+
+def _outside_links_sql(pages: str) -> str:
+    name = f"lower(regexp_extract(t, '^</?([a-zA-Z][^>/{WS}]*)', 1))"
+    return f"""
+  WITH RECURSIVE cut AS (SELECT page_id, regexp_extract_all(html, {_lit(f"({_HTML_TOKEN})")}) AS ts FROM ({pages})),
+  tokens AS (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM cut),
+  named AS (
+    SELECT *, t[1] <> '<' OR t = '<' OR starts_with(t, '<![CDATA[') AS shown,
+           CASE WHEN regexp_matches(t, '^<[a-zA-Z]') AND NOT ends_with(t, '/>')
+                 AND NOT list_contains(string_split('{_VOID}', ' '), {name}) THEN {name} END AS opens,
+           CASE WHEN regexp_matches(t, '^</[a-zA-Z]') THEN {name} END AS closes FROM tokens),
+  tags AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k
+           FROM named WHERE NOT shown AND (opens IS NOT NULL OR closes IS NOT NULL)),
+  walk(page_id, k, stack) AS (
+    SELECT page_id, 0::BIGINT, []::VARCHAR[] FROM cut
+    UNION ALL
+    SELECT w.page_id, g.k, CASE WHEN g.opens IS NOT NULL THEN list_prepend(g.opens, w.stack)
+           WHEN list_contains(w.stack, g.closes) THEN w.stack[list_position(w.stack, g.closes) + 1:] ELSE w.stack END
+    FROM walk w JOIN tags g ON g.page_id = w.page_id AND g.k = w.k + 1),
+  placed AS (
+    SELECT n.*, count(*) FILTER (NOT shown AND (opens IS NOT NULL OR closes IS NOT NULL))
+                OVER (PARTITION BY page_id ORDER BY i) AS k FROM named n)
+  SELECT c.page_id, coalesce(x.html, '') AS html FROM cut c LEFT JOIN (
+    SELECT p.page_id, string_agg(CASE WHEN starts_with(t, '<![CDATA[') THEN
+             regexp_replace(regexp_replace(t, '^<!\\[CDATA\\[', ''), '\\]\\]>$', '') ELSE t END, '' ORDER BY i) AS html
+    FROM placed p JOIN walk w ON w.page_id = p.page_id AND w.k = p.k
+    WHERE p.shown AND NOT list_contains(w.stack, 'a') GROUP BY p.page_id) x USING (page_id)
+"""
+
+
+ORACLE["clean_broken_pages"] = clean_text_sql(f"({_outside_links_sql(_BROKEN_PAGES)})", "page_id", "html", markup=())

@@ -208,6 +208,29 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_clean_text(pages.select("page_id", "html"), "html").select("page_id", "clean_text")
 
 
+def broken(html, number):
+    """A page with one of eight faults, by its number: nested links, links
+    never closed, quoted ``>``, an open comment, an open quote, missing and
+    stray end tags, a CDATA section."""
+    return F.element_at(F.array(
+        F.concat(F.lit("<a>one<a>two</a>three</a>"), html),
+        F.concat(F.lit("<div><a href=x>never closed</div>"), html),
+        F.concat(F.lit("<p title=\"a>b\" data-x='c>d'>"), html),
+        F.concat(html, F.lit("<!-- open "), html),
+        F.concat(html, F.lit('<a href="quote>'), html),
+        F.replace(html, F.lit("</a>"), F.lit("")),
+        F.concat(F.lit("<![CDATA[x < y]]>"), html, F.lit("</a></b><A/>1 < 2")),
+        F.replace(html, F.lit("<p>"), F.lit("<p><a name=q>")),
+    ), (number % 8 + 1).cast("int"))
+
+
+def clean_broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaning of pages that are all broken in one way or another."""
+    pages = TB.read_table(spark, sf_dir, "pages")
+    planted = pages.select("page_id", broken(F.col("html"), F.col("page_id")).alias("html"))
+    return with_clean_text(planted, "html").select("page_id", "clean_text")
+
+
 def strip_urls_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = TB.read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", collapse_whitespace(strip_urls(F.col("text"))).alias("text_stripped"))
@@ -462,6 +485,7 @@ def all_queries() -> dict[str, Query]:
         "sentiment_labels": sentiment_labels,
         "star_labels": star_labels,
         "clean_pages": clean_pages,
+        "clean_broken_pages": clean_broken_pages,
         "strip_urls_whitespace": strip_urls_whitespace,
         "lexicon_sentiment": lexicon_sentiment,
         "lexicon_sentiment_by_join": lexicon_sentiment_by_join,

@@ -59,13 +59,15 @@ def language_of_tokens(
     return F.when(is_null, F.lit(UNKNOWN_LANGUAGE)).otherwise(_argmax_language(counts, codes))
 
 
-def with_language(df: DataFrame, src: str = "clean_text", out: str = "language") -> DataFrame:
+def with_language(
+    df: DataFrame, src: str = "clean_text", out: str = "language", stopwords: Mapping[str, Sequence[str]] = STOPWORDS
+) -> DataFrame:
     """Add the detected language; the normalised tokens are staged as
     their own column, as every language's count reads them."""
     tmp = f"__{out}_tokens"
     return (
         df.withColumn(tmp, normalized_tokens(F.col(src)))
-        .withColumn(out, language_of_tokens(F.col(tmp), F.col(src).isNull()))
+        .withColumn(out, language_of_tokens(F.col(tmp), F.col(src).isNull(), stopwords))
         .drop(tmp)
     )
 

@@ -16,7 +16,8 @@ Scorers:
   neutral with a fixed confidence.  Native expression (one whole-token
   count per distinct weight); a mapping with many weights or terms is looked
   up token by token in one Arrow pass over the text; a lexicon given as a
-  table goes through an explode → join → aggregate job.
+  table goes through an explode → join → aggregate job.  Terms of several
+  tokens ("not good", "don't") match leftmost first, longest first.
 * ``TrainedScorer`` — Spark ML tokenizer → hashing TF → logistic
   regression, fitted on labelled comments.
 * ``PluginScorer`` — any ``pandas.Series[str] -> DataFrame(label, score)``
@@ -35,7 +36,8 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,12 +47,18 @@ from crowdrank.fixed_values import ERROR_LABEL
 from crowdrank.functions.labels import label_score
 from crowdrank.functions.terms import (
     MAX_REGEX_WORDS,
+    Phrase,
+    PhraseTrie,
+    count_phrases_in,
     count_tokens_in,
+    matched_phrases,
+    normalized_phrases,
     normalized_tokens,
-    token_words,
-    word_tokens,
+    phrase_of,
+    phrase_tokens,
 )
 from crowdrank.operators.filters import drop_missing_text
+from crowdrank.sources.files import materialize
 
 ENGLISH = "en"
 MAX_REGEX_WEIGHTS = 16  # distinct weights counted by regular expressions; more are looked up
@@ -74,7 +82,7 @@ def _finish(df: DataFrame, scheme: str = "sentiment") -> DataFrame:
 class LexiconScorer:
     """Term → weight lexicon.  ``weights`` is a mapping; a lexicon too
     large for the driver is given as ``table`` (a DataFrame: term, weight;
-    terms that are equal in lower case must have one weight, else the smallest
+    terms with equal tokens must have one weight, else the smallest
     counts) and scored by the join path, as is any lexicon with ``by_join=True``."""
 
     weights: Mapping[str, float]
@@ -95,94 +103,183 @@ class LexiconScorer:
         score = F.when(absolute > 0, F.abs(total) / absolute).otherwise(F.lit(float(self.neutral_score)))
         return raw, score
 
-    def by_weight(self) -> dict[float, list[str]]:
-        """Token-able terms grouped by weight (a term listed twice keeps
-        its last weight)."""
-        last = {k.lower(): float(v) for k, v in self.weights.items()}
-        groups: dict[float, list[str]] = {}
-        for term in token_words(last):
-            if last[term] != 0:
-                groups.setdefault(last[term], []).append(term)
+    def phrases(self) -> dict[Phrase, float]:
+        """Token runs of the terms and their weights (a term listed twice
+        keeps its last weight).  A term without any token is an error."""
+        out = {phrase_of(term): float(weight) for term, weight in self.weights.items()}
+        if () in out:
+            empty = sorted(term for term in self.weights if not phrase_of(term))
+            raise ValueError(f"terms without a letter or digit can never match: {empty}")
+        return out
+
+    def has_phrases(self) -> bool:
+        """Whether a term is more than one run of letters."""
+        return any(len(p) > 1 or not p[0].isalpha() for p in self.phrases())
+
+    def by_weight(self) -> dict[float, list[Phrase]]:
+        groups: dict[float, list[Phrase]] = {}
+        for phrase, weight in sorted(self.phrases().items()):
+            groups.setdefault(weight, []).append(phrase)
         return groups
 
     def uses_join(self) -> bool:
         return self.by_join or self.table is not None
 
+    def normalized(self, text: Column) -> Column:
+        """The text as ``sums`` reads it."""
+        return normalized_phrases(text) if self.has_phrases() else normalized_tokens(text)
+
     def sums(self, normalized: Column) -> Column:
-        """struct(total, absolute) over a ``normalized_tokens`` column, no
-        shuffle and no key: one whole-token count per distinct weight, or, when
+        """struct(total, absolute) over a column of ``normalized``, no
+        shuffle and no key: one count per distinct weight, or, when
         that takes many, one lookup per token.  Both give the same sums."""
         groups = self.by_weight()
         if len(groups) > MAX_REGEX_WEIGHTS or sum(map(len, groups.values())) > MAX_REGEX_WORDS:
-            return _lookup_sums({t: w for w, terms in groups.items() for t in terms})(normalized)
-        total = F.lit(0.0)
-        absolute = F.lit(0.0)
-        for weight, terms in sorted(groups.items()):
-            n = count_tokens_in(normalized, terms).cast("double")
-            total = total + F.lit(weight) * n
-            absolute = absolute + F.lit(abs(weight)) * n
-        return F.struct(total.alias("total"), absolute.alias("absolute"))
+            return _lookup_sums(self.phrases())(normalized)
+        if self.has_phrases():
+            return F.transform(
+                F.array(matched_phrases(normalized, self.phrases())),  # found once, counted per weight
+                lambda matched: _weighted(groups, lambda phrases: count_phrases_in(matched, phrases)),
+            )[0]
+        return _weighted(groups, lambda phrases: count_tokens_in(normalized, (p[0] for p in phrases)))
 
     def lexicon_table(self, spark) -> DataFrame:
-        """(term, weight): ``table`` as given, else the token-able terms of
-        ``weights`` (one row per term, the same terms the regex path uses)."""
+        """(term, weight): ``table`` as given, else the terms of ``weights``."""
         if self.table is not None:
             return self.table
-        rows = [(t, w) for w, terms in self.by_weight().items() for t in terms]
+        rows = [(" ".join(phrase), weight) for phrase, weight in self.phrases().items()]
         return spark.createDataFrame(rows, "term string, weight double")
 
     def score_by_join(
         self, df: DataFrame, key: str, text: str, lexicon: DataFrame | None = None
     ) -> DataFrame:
-        """The same scores through a join, for a lexicon too large to ship
-        in the plan.
-
-        Only (key, text hash, token) rows are exploded — never the text — and
-        joined with the lexicon; the hits are summed per comment (partial
-        aggregate first) and joined back (left, NULL keys included) to the
-        comments.  Rows with one key and one text share their sums, which
-        doubles both and changes neither label nor confidence.  The lexicon is
-        broadcast when its terms and weights take at most
-        ``max_broadcast_bytes`` (checked); beyond that the join shuffles on the term and adaptive
-        execution splits hot terms ("the").
-        """
-        lexicon = self.lexicon_table(df.sparkSession) if lexicon is None else lexicon
-        terms = (
-            lexicon.groupBy(F.lower("term").alias("term"))
-            .agg(F.min(F.col("weight").cast("double")).alias("weight"))
-        )
-        # A term's bytes, its weight and the row itself.
-        size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()[0]
-        if size <= self.max_broadcast_bytes:
-            terms = F.broadcast(terms)
-        mark = F.xxhash64(F.col(text))
-        tokens = df.select(
-            F.col(key).alias("_key"), mark.alias("_mark"), word_tokens(F.col(text)).alias("_words")
-        ).select("_key", "_mark", F.explode("_words").alias("term"))
-        sums = tokens.join(terms, "term").groupBy("_key", "_mark").agg(
-            F.sum("weight").alias("_total"), F.sum(F.abs("weight")).alias("_abs")
-        )
-        joined = df.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), "left")
-        raw, score = self.verdict(F.coalesce("_total", F.lit(0.0)), F.coalesce("_abs", F.lit(0.0)))
+        """The same scores through a join (``join_sums``), for a lexicon too
+        large to ship in the plan."""
+        mine = self if lexicon is None else replace(self, table=lexicon)
+        joined = join_sums(df, key, text, [(mine, F.lit(True))])
+        raw, score = self.verdict(F.col(TOTAL), F.col(ABSOLUTE))
         return joined.select(*df.columns, raw.alias(RAW), score.alias(SCORE))
 
 
-def _lookup_sums(weights: dict[str, float]) -> Callable[[Column], Column]:
-    """Summed and absolute weights of the tokens of a normalised text, looked
-    up one by one (weights are added in ascending order, as the native sums)."""
+def _weighted(groups: Mapping[float, list[Phrase]], count: Callable[[list[Phrase]], Column]) -> Column:
+    """struct(total, absolute) of counts by weight."""
+    total = absolute = F.lit(0.0)
+    for weight, phrases in sorted(groups.items()):
+        if weight:
+            n = count(phrases).cast("double")
+            total, absolute = total + F.lit(weight) * n, absolute + F.lit(abs(weight)) * n
+    return F.struct(total.alias("total"), absolute.alias("absolute"))
+
+
+def _lookup_sums(weights: Mapping[Phrase, float]) -> Callable[[Column], Column]:
+    """Summed and absolute weights of the phrases of a normalised text, found
+    in a token trie (weights are added in ascending order, as the native sums)."""
 
     @F.pandas_udf("total double, absolute double")
     def look_up(texts: pd.Series) -> pd.DataFrame:
+        trie = PhraseTrie(weights)
         out = []
         for text in texts:
-            counts = Counter(weights[t] for t in (text or "").split() if t in weights)
-            found = sorted(counts.items())
+            found = sorted(Counter(trie.found((text or "").split())).items())
             out.append((sum(w * n for w, n in found), sum(abs(w) * n for w, n in found)))
         return pd.DataFrame(out, columns=["total", "absolute"]).astype("float64")
 
     return look_up
 
 
+# --- lexicons by join ---------------------------------------------------------------
+
+TOTAL, ABSOLUTE = "__total", "__absolute"
+
+
+def _joint_lexicon(spark, scorers: list[LexiconScorer]) -> tuple[DataFrame, int]:
+    """(_route, term, weight) of all routes, terms as their tokens with one
+    space between, and the most tokens a term has.  Broadcast if its bytes stay
+    within the smallest ``max_broadcast_bytes`` (measured)."""
+    parts = []
+    for k, scorer in enumerate(scorers):
+        words = phrase_tokens(F.col("term"))
+        parts.append(scorer.lexicon_table(spark).select(
+            F.lit(k).alias("_route"), F.array_join(words, " ").alias("term"), F.size(words).alias("n"),
+            F.col("weight").cast("double").alias("weight"),
+        ))
+    terms = reduce(DataFrame.unionByName, parts).where(F.col("term").isNotNull())
+    terms = terms.groupBy("_route", "term", "n").agg(F.min("weight").alias("weight"))
+    # A term's bytes, its weight and the row itself.
+    size, longest, empty = terms.agg(
+        F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0)), F.coalesce(F.max("n"), F.lit(1)), F.count_if(F.col("n") == 0)
+    ).first()
+    if empty:
+        raise ValueError("terms without a letter or digit can never match")
+    terms = terms.drop("n")
+    if size <= min(s.max_broadcast_bytes for s in scorers):
+        terms = F.broadcast(terms)
+    return terms, longest
+
+
+def join_sums(df: DataFrame, key: str, text: str, routes: list[tuple[LexiconScorer, Column]]) -> DataFrame:
+    """``df`` with the sums of its route's lexicon (``__total``, ``__absolute``).
+
+    The comments are written once with their text's hash and their route, so
+    that whatever computed the text runs once.  Then (key, hash, route, n-gram)
+    rows are exploded — never the text — for n up to the longest term, and
+    joined with one lexicon of all routes; the hits are summed per comment
+    (partial aggregate first) and joined back (left, NULL keys included).  With
+    terms of several tokens the hits of a comment are put in order and taken
+    leftmost first, longest first.  Rows with one key and one text share their
+    sums, which at most multiplies both and changes neither label nor
+    confidence.  A lexicon that is not broadcast shuffles on (route, term), and
+    adaptive execution splits hot terms ("the")."""
+    lexicon, longest = _joint_lexicon(df.sparkSession, [scorer for scorer, _ in routes])
+    route = F.lit(None).cast("int")
+    for k, (_, wanted) in reversed(list(enumerate(routes))):
+        route = F.when(wanted, F.lit(k)).otherwise(route)
+    names = df.columns
+    staged = materialize(
+        df.withColumns({"__mark": F.xxhash64(F.col(text)), "__route": route}), "lexicon-comments"
+    )
+    words = phrase_tokens(F.col(text))
+    keyed = staged.where(F.col("__route").isNotNull()).select(
+        F.col(key).alias("_key"), F.col("__mark").alias("_mark"), F.col("__route").alias("_route"), words.alias("_words")
+    )
+    if longest == 1:
+        tokens = keyed.select("_key", "_mark", "_route", F.explode("_words").alias("term"))
+        sums = tokens.join(lexicon, ["_route", "term"]).groupBy("_key", "_mark", "_route").agg(
+            F.sum("weight").alias(TOTAL), F.sum(F.abs("weight")).alias(ABSOLUTE)
+        )
+    else:
+        def grams(ws: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(ws))
+            at = F.flatten(F.transform(starts, lambda i: F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(longest), F.size(ws) - i + 1)),
+                lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(ws, i, n), " ").alias("term")),
+            )))
+            return F.when(F.size(ws) > 0, at)
+
+        placed = keyed.select("_key", "_mark", "_route", F.explode(grams(F.col("_words"))).alias("g"))
+        hits = placed.select("_key", "_mark", "_route", "g.at", "g.n", "g.term").join(lexicon, ["_route", "term"])
+        in_order = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "weight")))
+        start = F.struct(F.lit(0).alias("free"), F.lit(0.0).alias("total"), F.lit(0.0).alias("absolute"))
+
+        def take(state: Column, hit: Column) -> Column:
+            after = F.struct(
+                (hit["at"] - hit["less"]).alias("free"), (state["total"] + hit["weight"]).alias("total"),
+                (state["absolute"] + F.abs(hit["weight"])).alias("absolute"),
+            )
+            return F.when(hit["at"] >= state["free"], after).otherwise(state)
+
+        sums = hits.groupBy("_key", "_mark", "_route").agg(in_order.alias("hits")).select(
+            "_key", "_mark", "_route", F.aggregate("hits", start, take).alias("s")
+        ).select("_key", "_mark", "_route", F.col("s.total").alias(TOTAL), F.col("s.absolute").alias(ABSOLUTE))
+    same = (
+        F.col(key).eqNullSafe(F.col("_key")) & (F.col("__mark") == F.col("_mark")) & (F.col("__route") == F.col("_route"))
+    )
+    none = F.lit(0.0)
+    return staged.join(sums, same, "left").select(
+        *names, F.coalesce(TOTAL, none).alias(TOTAL), F.coalesce(ABSOLUTE, none).alias(ABSOLUTE)
+    )
+
+
 # --- plug-in scorer ---------------------------------------------------------------
 
 
@@ -352,9 +449,9 @@ def score_sentiment(
     everyone = F.lit(True)
     is_en = F.coalesce(F.col(language) == F.lit(ENGLISH), F.lit(False))
     routes = [(other, everyone)] if english is other else [(english, is_en), (other, ~is_en)]
-    tokens = "__sentiment_tokens"
-    if any(isinstance(s, LexiconScorer) and not s.uses_join() for s, _ in routes):
-        df = df.withColumn(tokens, normalized_tokens(F.col(text)))
+    by_join = [(s, wanted) for s, wanted in routes if isinstance(s, LexiconScorer) and s.uses_join()]
+    if by_join:
+        df = join_sums(df, key, text, by_join)
     verdicts = []
     for k, (scorer, wanted) in enumerate(routes):
         raw, score = f"__raw_{k}", f"__score_{k}"
@@ -363,14 +460,14 @@ def score_sentiment(
             df = df.withColumn(found, _plugin_verdict(scorer, F.col(text), wanted))
             verdict = (F.col(found)["label"], F.col(found)["score"])
         elif isinstance(scorer, LexiconScorer) and not scorer.uses_join():
-            found = f"__found_{k}"
+            # Columns of their own: routes that read the text alike share one.
+            found, tokens = f"__found_{k}", "__phrase_tokens" if scorer.has_phrases() else "__letter_tokens"
+            if tokens not in df.columns:
+                df = df.withColumn(tokens, scorer.normalized(F.col(text)))
             df = df.withColumn(found, F.when(wanted, scorer.sums(F.col(tokens))))
             verdict = scorer.verdict(F.col(found)["total"], F.col(found)["absolute"])
         elif isinstance(scorer, LexiconScorer):
-            routed = f"__text_{k}"
-            df = scorer.score_by_join(df.withColumn(routed, F.when(wanted, F.col(text))), key, routed)
-            df = df.withColumnsRenamed({RAW: raw, SCORE: score}).drop(routed)
-            verdict = (F.col(raw), F.col(score))
+            verdict = scorer.verdict(F.col(TOTAL), F.col(ABSOLUTE))
         else:
             df = scorer.transform(df, text).withColumnsRenamed({RAW: raw, SCORE: score})
             verdict = (F.col(raw), F.col(score))

@@ -20,3 +20,14 @@ MULTILINGUAL_LEXICON: dict[str, float] = {
     "bueno": 1.0, "gracias": 1.0, "hermoso": 1.0, "para": 1.0, "con": 0.5,
     "pas": -1.0, "nicht": -1.0, "no": -1.0,
 }
+
+#: Terms of several tokens, over words of the documents: each overlaps a
+#: shorter term or another phrase.
+ENGLISH_PHRASES: dict[str, float] = {
+    **ENGLISH_LEXICON, "the the": 1.0, "the the the": -2.0, "the and": -1.0, "the of": 2.0, "and the": 0.5, "the": 0.0,
+    "don't": -1.0, "worthless scum": -4.0, "24/7": 1.0, "555": 0.5,
+}
+MULTILINGUAL_PHRASES: dict[str, float] = {
+    **MULTILINGUAL_LEXICON, "de la": 1.0, "de la des": -2.0, "la des": 2.0, "de de": -1.0, "de de de": 1.5,
+    "der die": 0.5, "die der die": -0.5, "l'eau": -1.0, "1": 0.5,
+}

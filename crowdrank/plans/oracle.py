@@ -765,3 +765,47 @@ def _outside_links_sql(pages: str) -> str:
 
 
 ORACLE["clean_broken_pages"] = clean_text_sql(f"({_outside_links_sql(_BROKEN_PAGES)})", "page_id", "html", markup=())
+
+
+# --- phrases ------------------------------------------------------------------------------
+# Hits of up to three tokens, the longest at each place; a fold takes them from
+# the left and passes over those that begin inside the last one taken.
+_PHRASE_LISTS = {
+    ("en", 1.0): ["the the", "24 7"], ("en", -2.0): ["the the the"], ("en", -1.0): ["the and", "don t"],
+    ("en", 2.0): ["the of"], ("en", 0.5): ["and the", "555"], ("en", 0.0): ["the"], ("en", -4.0): ["worthless scum"],
+    ("*", 1.0): ["de la"], ("*", -2.0): ["de la des"], ("*", 2.0): ["la des"], ("*", -1.0): ["de de", "l eau"],
+    ("*", 1.5): ["de de de"], ("*", 0.5): ["der die", "1"], ("*", -0.5): ["die der die"],
+}
+_PHRASES = _values(
+    [(route, term, weight) for (route, weight), terms in _LEXICON_LISTS.items() for term in terms.split()]
+    + [(route, term, weight) for (route, weight), terms in _PHRASE_LISTS.items() for term in terms],
+    "route, term, weight",
+)
+_PHRASE_SCORED = f"""
+  WITH words AS (
+    SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE '*' END AS route,
+           regexp_extract_all(lower(text), '\\p{{L}}+|\\p{{N}}+') AS w FROM documents WHERE text IS NOT NULL),
+  grams AS (
+    SELECT doc_id, route, i, n, array_to_string(w[i:i + n - 1], ' ') AS term
+    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words), (VALUES (1), (2), (3)) s(n) WHERE i + n - 1 <= len(w)),
+  hits AS (
+    SELECT doc_id, i, n, weight FROM grams JOIN {_PHRASES} lex USING (route, term)
+    QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY n DESC) = 1),
+  folded AS (
+    SELECT doc_id, list_reduce(
+        list_prepend({{'i': 0::BIGINT, 'free': 0::BIGINT, 'w': 0::DOUBLE, 'total': 0::DOUBLE, 'absw': 0::DOUBLE}},
+                     list({{'i': i, 'free': (i + n)::BIGINT, 'w': weight, 'total': 0::DOUBLE, 'absw': 0::DOUBLE}} ORDER BY i)),
+        lambda a, h: CASE WHEN h.i >= a.free THEN
+            {{'i': h.i, 'free': h.free, 'w': h.w, 'total': a.total + h.w, 'absw': a.absw + abs(h.w)}} ELSE a END) AS s
+    FROM hits GROUP BY doc_id),
+  v AS (
+    SELECT source AS video_id, doc_id AS comment_id, lang AS language, doc_id % 10 AS like_count,
+           coalesce(s.total, 0) AS total, coalesce(s.absw, 0) AS absw
+    FROM documents LEFT JOIN folded USING (doc_id) WHERE text IS NOT NULL)
+  SELECT video_id, comment_id, language, like_count,
+         CASE WHEN total > 0 THEN 'positive' WHEN total < 0 THEN 'negative' ELSE 'neutral' END AS original_sentiment_label,
+         {r6("CASE WHEN absw > 0 THEN abs(total) / absw ELSE 0.5 END")} AS sentiment_score,
+         CAST(sign(total) AS INTEGER) AS sentiment_label
+  FROM v
+"""
+ORACLE.update({"lexicon_phrases": _PHRASE_SCORED, "lexicon_phrases_by_join": _PHRASE_SCORED})

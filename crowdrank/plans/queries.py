@@ -25,7 +25,9 @@ from crowdrank.operators.filters import filter_min_duration, filter_titles
 from crowdrank.operators import language as LG
 from crowdrank.operators import sentiment as SE
 from crowdrank.plans import ranker as RK
-from crowdrank.plans.lexicons import ENGLISH_LEXICON, MULTILINGUAL_LEXICON
+from crowdrank.plans.lexicons import (
+    ENGLISH_LEXICON, ENGLISH_PHRASES, MULTILINGUAL_LEXICON, MULTILINGUAL_PHRASES,
+)
 from crowdrank.functions.text import with_clean_text as _with_clean_text
 from crowdrank.session import scratch_path
 from crowdrank.sources import files as FS
@@ -266,6 +268,20 @@ def lexicon_sentiment_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(documents_scored(spark, sf_dir, JOIN_LEXICON_SCORERS).drop("clean_text"))
 
 
+def lexicon_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicons with terms of several tokens, leftmost-longest matches."""
+    scorers = {"en": SE.LexiconScorer(ENGLISH_PHRASES), "*": SE.LexiconScorer(MULTILINGUAL_PHRASES)}
+    return rounded(documents_scored(spark, sf_dir, scorers).drop("clean_text"))
+
+
+def lexicon_phrases_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by n-gram join; must equal ``lexicon_phrases``."""
+    scorers = {
+        "en": SE.LexiconScorer(ENGLISH_PHRASES, by_join=True), "*": SE.LexiconScorer(MULTILINGUAL_PHRASES, by_join=True)
+    }
+    return rounded(documents_scored(spark, sf_dir, scorers).drop("clean_text"))
+
+
 def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.video_scores(documents_scored(spark, sf_dir)))
 
@@ -489,6 +505,8 @@ def all_queries() -> dict[str, Query]:
         "strip_urls_whitespace": strip_urls_whitespace,
         "lexicon_sentiment": lexicon_sentiment,
         "lexicon_sentiment_by_join": lexicon_sentiment_by_join,
+        "lexicon_phrases": lexicon_phrases,
+        "lexicon_phrases_by_join": lexicon_phrases_by_join,
         "source_scores": source_scores,
         "source_recommendation": source_recommendation,
         "trained_sentiment": trained_sentiment,

@@ -809,3 +809,15 @@ _PHRASE_SCORED = f"""
   FROM v
 """
 ORACLE.update({"lexicon_phrases": _PHRASE_SCORED, "lexicon_phrases_by_join": _PHRASE_SCORED})
+
+
+# --- mergeable and stored scores --------------------------------------------------------------
+ORACLE.update({
+    "item_scores_merged": ORACLE["item_scores"],
+    "stored_item_scores": ORACLE["item_scores"],
+    "stored_scores_of_kept": _scores_sql(f"""
+  SELECT * FROM ({_B1}) WHERE video_id IN (
+    SELECT p_partkey FROM part JOIN ({_DURATIONS}) d ON d.video_id = part.p_partkey
+    WHERE d.duration_seconds >= 65 AND NOT regexp_matches(lower(coalesce(p_name, '')), {_TITLE_WORDS_RE}))
+"""),
+})

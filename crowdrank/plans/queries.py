@@ -19,6 +19,7 @@ from crowdrank.functions.relevance import title_relevance as relevance_of
 from crowdrank.functions.text import collapse_whitespace, strip_urls, with_clean_text
 from crowdrank.operators import candidates as C
 from crowdrank.operators import recommend as R
+from crowdrank.operators import score_state as ST
 from crowdrank.operators import scoring as S
 from crowdrank.operators import search as SR
 from crowdrank.operators.filters import filter_min_duration, filter_titles
@@ -33,6 +34,7 @@ from crowdrank.session import scratch_path
 from crowdrank.sources import files as FS
 from crowdrank.sources import landed as LD
 from crowdrank.sources import tables as TB
+from crowdrank.sources.comment_store import CommentStore
 from crowdrank.sources.stages import StageStore
 
 OUT_DIGITS = 6
@@ -70,6 +72,33 @@ def item_scores_like_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.video_scores(TB.lineitem_comments_scored(spark, sf_dir), total="weighted"))
 
 
+def item_scores_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from a stored state of the earlier comments and the later ones,
+    merged; must equal ``item_scores``."""
+    dated = TB.lineitem_comments_ordered(spark, sf_dir)
+    later = F.coalesce(F.col("l_shipdate") >= F.lit("1995-06-17").cast("date"), F.lit(False))
+    store = StageStore(spark, "item scores", scratch_path(spark, "states"))
+    first = store.stage("state", lambda: ST.add_comments(None, dated.where(~later)), "earlier")
+    return rounded(ST.scores_of_state(ST.add_comments(first, dated.where(later))))
+
+
+def stored_item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of comments stored by video, with slices of about 25 comments;
+    must equal ``item_scores``."""
+    store = CommentStore.write(TB.lineitem_comments_scored(spark, sf_dir), slice_rows=25)
+    return rounded(store.scores())
+
+
+def stored_scores_of_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the stored comments of the parts that pass the title and
+    duration filters."""
+    store = CommentStore.write(TB.lineitem_comments_scored(spark, sf_dir))
+    kept = C.candidate_details(
+        TB.part_details(spark, sf_dir), filter_titles(TB.part_listing(spark, sf_dir), TITLE_WORDS)
+    )
+    return rounded(store.scores(store.comments_of(kept)))
+
+
 def best_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = S.video_scores(TB.lineitem_comments_scored(spark, sf_dir))
     return rounded(R.best_video(scores).select("video_id", "total_score"))
@@ -484,6 +513,9 @@ def all_queries() -> dict[str, Query]:
         "item_scores": item_scores,
         "item_scores_signed": item_scores_signed,
         "item_scores_like_weighted": item_scores_like_weighted,
+        "item_scores_merged": item_scores_merged,
+        "stored_item_scores": stored_item_scores,
+        "stored_scores_of_kept": stored_scores_of_kept,
         "best_item": best_item,
         "top3_polarized": top3_polarized,
         "recommendation": recommendation,

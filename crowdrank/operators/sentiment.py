@@ -21,7 +21,8 @@ Scorers:
 * ``TrainedScorer`` — Spark ML tokenizer → hashing TF → logistic
   regression, fitted on labelled comments.
 * ``PluginScorer`` — any ``pandas.Series[str] -> DataFrame(label, score)``
-  callable, run on the texts of its route, per Arrow batch.
+  callable, run on the texts of its route in batches bounded by bytes; a
+  model it needs is set up once per worker.
 
 All scorers of a route table run over the same frame, and each row then takes
 its route's result: no branch reads the source again, and no filter on a
@@ -33,14 +34,15 @@ plug-in models with an input limit.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections import Counter
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from crowdrank.fixed_values import ERROR_LABEL
@@ -285,11 +287,46 @@ def join_sums(df: DataFrame, key: str, text: str, routes: list[tuple[LexiconScor
 
 @dataclass(frozen=True)
 class PluginScorer:
-    """``fn(texts: pd.Series) -> pd.DataFrame`` with columns label, score."""
+    """``fn(texts: pd.Series) -> pd.DataFrame`` with columns label, score.
 
-    fn: Callable[[pd.Series], pd.DataFrame]
+    ``setup()`` makes such a function where it is used (it loads a model, say):
+    it runs once per Python worker and the result serves all later tasks of that
+    worker; if it fails, the job fails.  Texts are handed over in batches of at
+    most ``batch_bytes`` (UTF-8; a longer text is a batch of its own)."""
+
+    fn: Callable[[pd.Series], pd.DataFrame] | None = None
     max_chars: int | None = None
     name: str = "plugin"
+    setup: Callable[[], Callable[[pd.Series], pd.DataFrame]] | None = None
+    batch_bytes: int = 16 * 1024 * 1024
+
+    def __post_init__(self) -> None:
+        if (self.fn is None) == (self.setup is None):
+            raise ValueError("give either fn or setup")
+
+
+#: Functions that ``setup`` made in this worker, by the code that made them.
+_MADE: dict[str, Callable] = {}
+
+
+def _made_once(key: str, setup: Callable[[], Callable]) -> Callable:
+    if key not in _MADE:
+        _MADE[key] = setup()
+    return _MADE[key]
+
+
+def _by_bytes(texts: list, most: int) -> Iterator[list]:
+    batch: list = []
+    held = 0
+    for text in texts:
+        size = len((text or "").encode())
+        if batch and held + size > most:
+            yield batch
+            batch, held = [], 0
+        batch.append(text)
+        held += size
+    if batch:
+        yield batch
 
 
 def _ship_by_value(fn: Callable) -> None:
@@ -328,18 +365,56 @@ def _score_batch(fn: Callable, texts: list) -> list[tuple[str, float]]:
 def _plugin_verdict(scorer: PluginScorer, text: Column, wanted: Column) -> Column:
     """struct(label, score) of the rows that are ``wanted``, NULL elsewhere.
     Only the text and the flag go to Python."""
-    fn, max_chars = scorer.fn, scorer.max_chars
-    _ship_by_value(fn)
+    from pyspark import cloudpickle
+
+    fn, setup, max_chars, most = scorer.fn, scorer.setup, scorer.max_chars, scorer.batch_bytes
+    _ship_by_value(fn or setup)
+    key = hashlib.sha256(cloudpickle.dumps(setup)).hexdigest()
 
     @F.pandas_udf("label string, score double")
-    def judge(texts: pd.Series, flags: pd.Series) -> pd.DataFrame:
-        chosen = [t if max_chars is None or t is None else t[:max_chars] for t, f in zip(texts, flags) if f]
-        found = iter(_score_batch(fn, chosen))
-        return pd.DataFrame([next(found) if f else (None, None) for f in flags], columns=["label", "score"])
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        score = fn if setup is None else _made_once(key, setup)
+        for texts, flags in batches:
+            chosen = [t if max_chars is None or t is None else t[:max_chars] for t, f in zip(texts, flags) if f]
+            found = iter([v for part in _by_bytes(chosen, most) for v in _score_batch(score, part)])
+            yield pd.DataFrame([next(found) if f else (None, None) for f in flags], columns=["label", "score"])
 
     return judge(text, wanted)
 
 
+# --- failing rows -------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class ErrorReport:
+    """Failing rows per route; known after an action on the observed frame."""
+
+    observed: Observation
+
+    def errors(self) -> dict[str, int]:
+        return {route: int(self.observed.get[name]) for route, name in _ERRORS.items()}
+
+    def rows(self) -> int:
+        return int(self.observed.get["rows"])
+
+
+_ERRORS = {ENGLISH: "errors_english", "*": "errors_other"}
+
+
+def observe_errors(scored: DataFrame, language: str = "language") -> tuple[DataFrame, ErrorReport]:
+    """``scored`` with its failing rows counted per route while an action
+    computes it (no pass of its own).  The count covers the rows that reach this
+    point: filters written before ``score_sentiment`` are pushed to the source as
+    ever, those written after this call stay above the count."""
+    failed = F.coalesce(F.col(RAW) == ERROR_LABEL, F.lit(False))
+    english = F.coalesce(F.col(language) == ENGLISH, F.lit(False))
+    observed = Observation()
+    return scored.observe(
+        observed, F.count_if(failed & english).alias(_ERRORS[ENGLISH]), F.count_if(failed & ~english).alias(_ERRORS["*"]),
+        F.count(F.lit(1)).alias("rows"),
+    ), ErrorReport(observed)
+
+
 # --- trained scorer ---------------------------------------------------------------
 
 

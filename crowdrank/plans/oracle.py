@@ -821,3 +821,44 @@ ORACLE.update({
     WHERE d.duration_seconds >= 65 AND NOT regexp_matches(lower(coalesce(p_name, '')), {_TITLE_WORDS_RE}))
 """),
 })
+
+
+# --- closed-form scorer, failing rows -----------------------------------------------------
+_LABELLED = f"""
+  SELECT doc_id, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS k FROM labels
+"""
+_COUNT_CLASS = "CAST(floor(1000 * ln((coalesce(n{k}, 0) + 1) / (d{k} + 2)) + 0.5) AS BIGINT) AS w{k}"
+ORACLE.update({
+    "trained_counts": f"""
+  WITH docs AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'en' ELSE '*' END AS route, doc_id % 2 AS fold,
+                       lang, text FROM documents WHERE text IS NOT NULL),
+  tok AS (SELECT DISTINCT doc_id, route, fold, token FROM (
+      SELECT doc_id, route, fold, unnest({_TOKENS.format("text")}) AS token FROM docs) WHERE token <> ''),
+  sizes AS (SELECT route, 1 - fold AS fold, count(*) FILTER (k = 0) AS d0, count(*) FILTER (k = 1) AS d1,
+                   count(*) FILTER (k = 2) AS d2 FROM docs JOIN ({_LABELLED}) USING (doc_id) GROUP BY route, fold),
+  counts AS (SELECT route, 1 - fold AS fold, token, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1,
+                    count(*) FILTER (k = 2) AS n2 FROM tok JOIN ({_LABELLED}) USING (doc_id) GROUP BY route, fold, token),
+  weights AS (SELECT * FROM (SELECT route, fold, token, {", ".join(_COUNT_CLASS.format(k=k) for k in range(3))}
+              FROM counts JOIN sizes USING (route, fold) WHERE n0 + n1 + n2 >= 3)
+              WHERE greatest(w0, w1, w2) - least(w0, w1, w2) >= 500),
+  sums AS (SELECT doc_id, sum(w0) AS s0, sum(w1) AS s1, sum(w2) AS s2 FROM tok JOIN weights USING (route, fold, token)
+           GROUP BY doc_id),
+  totals AS (
+    SELECT d.*, {", ".join(f"coalesce(s{k}, 0) + CAST(floor(1000 * ln((d{k} + 1) / (d0 + d1 + d2 + 3)) + 0.5) AS BIGINT) AS t{k}" for k in range(3))}
+    FROM docs d JOIN sizes USING (route, fold) LEFT JOIN sums USING (doc_id)),
+  judged AS (SELECT *, greatest(t0, t1, t2) AS best FROM totals)
+  SELECT source AS video_id, doc_id AS comment_id, lang AS language, doc_id % 10 AS like_count,
+         CASE best WHEN t0 THEN 'negative' WHEN t1 THEN 'neutral' ELSE 'positive' END AS original_sentiment_label,
+         {r6("1 / (exp((t0 - best) / 1000::DOUBLE) + exp((t1 - best) / 1000::DOUBLE) + exp((t2 - best) / 1000::DOUBLE))")} AS sentiment_score,
+         CAST(CASE best WHEN t0 THEN -1 WHEN t1 THEN 0 ELSE 1 END AS INTEGER) AS sentiment_label
+  FROM judged
+""",
+    "sentiment_errors": """
+  WITH texts AS (
+    SELECT CASE WHEN lang = 'en' THEN 'en' ELSE '*' END AS route,
+           CASE WHEN doc_id % 7 = 0 THEN '123 !?' ELSE text END AS text FROM documents)
+  SELECT r.route, count(t.route) FILTER (NOT regexp_matches(text, '\\p{L}')) AS errors,
+         (SELECT count(*) FROM texts WHERE text IS NOT NULL) AS all_rows
+  FROM (VALUES ('en'), ('*')) r(route) LEFT JOIN texts t ON t.route = r.route AND t.text IS NOT NULL GROUP BY r.route
+""",
+})

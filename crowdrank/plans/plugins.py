@@ -31,3 +31,9 @@ def punctuation_scorer(texts: pd.Series) -> pd.DataFrame:
 def pause_scorer(texts: pd.Series) -> pd.DataFrame:
     """Commas against full stops."""
     return _balance(texts, ",", r"\.")
+
+
+def marks_model():
+    """A set-up: loads what the scorer needs (here two marks) and returns it."""
+    good, bad = "!", r"\?"
+    return lambda texts: _balance(texts, good, bad)

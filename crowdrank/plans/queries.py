@@ -18,6 +18,7 @@ from crowdrank.functions.labels import label_score, label_word, stars_label
 from crowdrank.functions.relevance import title_relevance as relevance_of
 from crowdrank.functions.text import collapse_whitespace, strip_urls, with_clean_text
 from crowdrank.operators import candidates as C
+from crowdrank.operators import count_model as CM
 from crowdrank.operators import recommend as R
 from crowdrank.operators import score_state as ST
 from crowdrank.operators import scoring as S
@@ -332,16 +333,43 @@ def trained_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored.drop("clean_text"))
 
 
+def trained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed-form scorer per route, every document scored by the counts of
+    the labelled documents of the other fold."""
+    comments = TB.documents_comments(spark, sf_dir).withColumnRenamed("text", "clean_text")
+    gold = TB.gold_labels(spark, sf_dir).select(
+        F.col("doc_id").alias("comment_id"), label_score(F.col("original_sentiment_label")).alias("label")
+    )
+    return rounded(CM.score_out_of_fold(comments, gold).drop("clean_text"))
+
+
 def plugin_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's batch function as the scorer for every language (Arrow
-    batches through ``mapInPandas``); failing rows become error rows."""
-    from crowdrank.plans.plugins import punctuation_scorer
+    batches), made by a set-up once per worker; failing rows become error rows."""
+    from crowdrank.plans.plugins import marks_model
 
     comments = TB.documents_comments(spark, sf_dir).withColumnRenamed("text", "clean_text")
-    scored = SE.score_sentiment(comments, {"*": SE.PluginScorer(punctuation_scorer)})
+    scored = SE.score_sentiment(comments, {"*": SE.PluginScorer(setup=marks_model)})
     return rounded(scored.drop("clean_text"))
 
 
+def sentiment_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and failing rows per route of the plug-in sentiment, counted while
+    the scored comments are written.  Every seventh text is one that fails."""
+    from crowdrank.plans.plugins import pause_scorer, punctuation_scorer
+
+    comments = TB.documents_comments(spark, sf_dir).withColumn(
+        "clean_text", F.when(F.col("comment_id") % 7 == 0, F.lit("123 !?")).otherwise(F.col("text"))
+    ).drop("text")
+    scorers = {"en": SE.PluginScorer(punctuation_scorer), "*": SE.PluginScorer(pause_scorer)}
+    scored, report = SE.observe_errors(SE.score_sentiment(comments, scorers))
+    scored.write.parquet(scratch_path(spark, "scored"))
+    found = report.errors()
+    return spark.createDataFrame(
+        [(route, found[route], report.rows()) for route in sorted(found)], "route string, errors long, all_rows long"
+    )
+
+
 def language_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = TB.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return LG.with_language(docs, "text", "language").select("doc_id", "language")
@@ -542,7 +570,9 @@ def all_queries() -> dict[str, Query]:
         "source_scores": source_scores,
         "source_recommendation": source_recommendation,
         "trained_sentiment": trained_sentiment,
+        "trained_counts": trained_counts,
         "plugin_sentiment": plugin_sentiment,
+        "sentiment_errors": sentiment_errors,
         "language_stopwords": language_stopwords,
         "language_ngram": language_ngram,
         "landed_json_roundtrip": landed_json_roundtrip,

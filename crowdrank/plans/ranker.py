@@ -43,7 +43,7 @@ from crowdrank.operators import recommend as R
 from crowdrank.operators import scoring as S
 from crowdrank.operators.language import with_language
 from crowdrank.operators.search import build_index, search
-from crowdrank.operators.sentiment import LexiconScorer, PluginScorer, Scorer, score_sentiment
+from crowdrank.operators.sentiment import LexiconScorer, PluginScorer, Scorer, observe_errors, score_sentiment
 from crowdrank.sources.files import materialize
 from crowdrank.sources.stages import StageStore
 
@@ -241,10 +241,13 @@ def rank_from_sources(
     counts: dict = {}
     videos = select_videos(listing, details, params, counts)
     comments = _stage(prepare_comments(comments_raw, videos, params), params, "comments", counts)
-    scored = _stage(score_sentiment(comments, scorers, drop_missing=False), params, "comments-scored", counts)
+    judged, extras = score_sentiment(comments, scorers, drop_missing=False), {"counts": counts}
+    if params.stage_counts:  # U4: failing rows per route, counted with the stage's rows
+        judged, extras["errors"] = observe_errors(judged)
+    scored = _stage(judged, params, "comments-scored", counts)
     scores = _stage(scores_per_query(scored, videos, params), params, "video-scores", counts)
     rec = recommend_per_query(scores, listing, params.top_polarized)
-    return RankResult(videos, comments, scored, scores, rec, extras={"counts": counts})
+    return RankResult(videos, comments, scored, scores, rec, extras=extras)
 
 
 STAGES = ("queries", "videos", "comments", "comments_scored", "video_scores")
@@ -259,11 +262,12 @@ def _told_scorer(scorer: Scorer) -> list:
         files = [] if scorer.table is None else sorted(scorer.table.inputFiles())
         return [*told, sorted(scorer.weights.items()), scorer.neutral_score, files]
     if isinstance(scorer, PluginScorer):
-        code = getattr(scorer.fn, "__code__", None)
+        fn = scorer.fn or scorer.setup
+        code = getattr(fn, "__code__", None)
         body = [] if code is None else [
             code.co_code.hex(), code.co_names, [c for c in code.co_consts if isinstance(c, str | int | float)]
         ]
-        return [*told, getattr(scorer.fn, "__qualname__", ""), body, scorer.max_chars]
+        return [*told, getattr(fn, "__qualname__", ""), body, scorer.max_chars]
     return [*told, scorer.num_features, getattr(scorer.model, "uid", "")]
 
 

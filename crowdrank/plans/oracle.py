@@ -862,3 +862,19 @@ ORACLE.update({
   FROM (VALUES ('en'), ('*')) r(route) LEFT JOIN texts t ON t.route = r.route AND t.text IS NOT NULL GROUP BY r.route
 """,
 })
+
+
+# --- ordered sink, missing texts, no candidates --------------------------------------------------
+ORACLE.update({
+    "ordered_sink": f"""
+  SELECT row_number() OVER (ORDER BY video_id DESC) - 1 AS row_number, video_id, total_score FROM ({ORACLE["item_scores"]})
+""",
+    "missing_text_dropped": f"""
+  SELECT sentiment_label, count(*) AS n FROM ({_DOC_SCORED}) WHERE comment_id % 5 <> 0 GROUP BY sentiment_label
+""",
+    "recommendation_of_nothing": """
+  SELECT DISTINCT p_brand AS query, NULL::BIGINT AS best_video_id, NULL::DOUBLE AS best_score,
+         NULL::BIGINT AS most_polarized_video_id, NULL::DOUBLE AS most_polarized_polarization_score,
+         NULL::DOUBLE AS most_polarized_std_deviation FROM part
+""",
+})

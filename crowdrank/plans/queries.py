@@ -425,10 +425,44 @@ def landed_listing_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = TB.read_table(spark, sf_dir, "documents")
     path = scratch_path(spark, "csv")
-    FS.write_csv(docs, path)
+    if not FS.write_csv(docs, path):
+        return docs  # an empty table writes nothing
     return FS.read_csv(spark, path, docs.schema)
 
 
+def ordered_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item scores written as one sorted sequence of part files and read back
+    with each row's place in it; highest item first."""
+    scores = item_scores(spark, sf_dir).select((-F.col("video_id")).alias("order"), "video_id", "total_score")
+    path = scratch_path(spark, "ordered")
+    if not FS.write_ordered_csv(scores, path, ["order"]):
+        return scores.select(F.lit(0).cast("long").alias("row_number"), "video_id", "total_score")
+    return FS.read_ordered_csv(spark, path).drop("order")
+
+
+def missing_text_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every fifth document has no text; those rows go before the scorer."""
+    comments = TB.documents_comments(spark, sf_dir).withColumn(
+        "clean_text", F.when(F.col("comment_id") % 5 != 0, F.col("text"))
+    ).drop("text")
+    scored = SE.score_sentiment(comments, LEXICON_SCORERS)
+    return scored.groupBy("sentiment_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def recommendation_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """no title passes the filter, so no query keeps a video: a row of
+    NULLs per query."""
+    params = RK.RankerParams(
+        num_candidates=None, num_comments=None, exclude_words=("large", "hot", "blue", "old", "cold", "red", "new", "small"),
+        comment_order=TB.LINEITEM_ORDER,
+    )
+    result = RK.rank_from_scored(
+        TB.part_listing(spark, sf_dir), TB.part_details(spark, sf_dir),
+        TB.lineitem_comments_ordered(spark, sf_dir), params,
+    )
+    return rounded(result.recommendation)
+
+
 # --- end to end ---------------------------------------------------------------
 
 
@@ -578,6 +612,9 @@ def all_queries() -> dict[str, Query]:
         "landed_json_roundtrip": landed_json_roundtrip,
         "landed_listing_roundtrip": landed_listing_roundtrip,
         "csv_roundtrip": csv_roundtrip,
+        "ordered_sink": ordered_sink,
+        "missing_text_dropped": missing_text_dropped,
+        "recommendation_of_nothing": recommendation_of_nothing,
         "ranking_by_brand": ranking_by_brand,
         "ranking_by_relevance": ranking_by_relevance,
         "text_ranking": text_ranking,

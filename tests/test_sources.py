@@ -1,5 +1,8 @@
 """Landed JSON pages, CSV sink/scan, stage materialisation."""
 
+import io
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +83,36 @@ def test_csv_with_bom_reads_back(spark):
     assert parts and all(open(p, "rb").read(3) == b"\xef\xbb\xbf" for p in parts)
     back = FS.read_csv(spark, path, df.schema)
     assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == sorted(map(tuple, df.collect()), key=lambda r: r[0])
+
+
+def test_an_empty_input_writes_nothing_and_keeps_an_earlier_output(spark, tmp_path):
+    path, none = str(tmp_path / "out"), spark.createDataFrame([], "a int, b string")
+    assert FS.write_csv(none, path) == 0 and list(tmp_path.iterdir()) == []
+    assert FS.write_ordered_csv(none, path, ["a"]) == 0 and list(tmp_path.iterdir()) == []
+    some = spark.createDataFrame([(2, "x"), (1, "y")], "a int, b string")
+    assert FS.write_csv(some, path) == 2
+    assert FS.write_csv(none, path) == 0
+    assert FS.read_csv(spark, path, some.schema).count() == 2
+    assert FS.write_csv(some.limit(1), path) == 1 and FS.read_csv(spark, path, some.schema).count() == 1
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_parts_in_manifest_order_are_the_sorted_file(spark, tmp_path):
+    rows = [(k * 37 % 500, f'line "{k}"\nwith, commas  ', None if k % 9 == 0 else " é ") for k in range(500)] + [(None, "n", "m")]
+    df = spark.createDataFrame(rows, "a int, b string, c string").repartition(7)
+    path = str(tmp_path / "ordered")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert FS.write_ordered_csv(df, path, ["a"]) == 501
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    manifest = FS.order_manifest(spark, path)
+    assert len(manifest["parts"]) > 3 and sum(n for _, n in manifest["parts"]) == 501
+    back = FS.read_ordered_csv(spark, path).orderBy("row_number").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
+    assert [tuple(r) for r in back] == [(k, *r) for k, r in enumerate(want)]
+    joined = manifest["header"] + "\n" + "".join((tmp_path / "ordered" / name).read_text() for name, _ in manifest["parts"])
+    table = pd.read_csv(io.StringIO(joined), keep_default_na=False, na_values=[""])
+    assert table["b"].tolist() == [r[1] for r in want]
+    with pytest.raises(FileNotFoundError):
+        FS.read_ordered_csv(spark, str(tmp_path / "nowhere"))

@@ -57,7 +57,8 @@ ENDING = {START: (0, ""), SYSTEM: (2 * INSERT, "IuIa"), USER: (INSERT, "Ia"), AS
 END = 4  # "left" at the end of the conversation
 NEVER = 1 << 40
 BLOCK = 64  # turns searched at once
-CHUNK_BITS = 12  # 4,096 turns are handed to Python at once
+CHUNK_BITS = 11  # 2,048 turns are handed to Python at once
+TASK_TURNS = 16_384  # turns per task of the search: bytes say nothing of its time
 MOST_INSERTS = 2  # at one place; two more would come back to the same state
 ROLE = {"u": "user", "a": "assistant"}
 SPACE = r"\x20\x09-\x0D"
@@ -297,8 +298,9 @@ def choose_edits(placed: DataFrame) -> DataFrame:
     """(conv, pos, turns, cost, illegal, edits) per stretch of ``in_order``'s rows."""
     chunk = F.shiftright("pos", CHUNK_BITS)  # places start anew in every partition, far apart
     columns = ["conv", "pos", "role", "copies", "blank", "repeated", "truncated"]
+    tasks = placed.count() // TASK_TURNS + 1
     stretches = materialise(
-        placed.select(*columns, chunk.alias("chunk")).groupBy("chunk")
+        placed.select(*columns, chunk.alias("chunk")).repartition(tasks, "chunk").groupBy("chunk")
         .applyInPandas(lambda rows: _stretches(rows), STRETCH),
         "stretches",
     )

@@ -13,9 +13,10 @@ share of exp(score).  Each route (English, the rest) has a model of its own.
 
 Documents are scored out of fold: the counts are kept per fold, and a fold is
 scored by the sums over the others, so no document takes part in its own
-verdict and the text is read once for all folds.  Weights are joined by (route,
-fold, token): only keys and tokens are exploded, and a frequent token meets one
-row of the weight table.
+verdict and the text is counted once for all folds.  Counts are summed per task
+before they move.  Weights are joined by (route, fold, token), broadcast up to
+``MAX_BROADCAST_BYTES`` (measured): only keys, hashes and tokens are exploded,
+and what moves is a row per comment.
 """
 
 from __future__ import annotations
@@ -33,16 +34,16 @@ FOLDS = 2
 SCALE = 1000
 MIN_DOCS = 3
 MIN_SPREAD = 500  # thousandths
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def _thousandths(share: Column) -> Column:
     return F.floor(SCALE * F.log(share) + 0.5).cast("long")
 
 
-def count_weights(tokens: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
+def count_weights(labelled: DataFrame, folds: int = FOLDS) -> tuple[DataFrame, DataFrame]:
     """(route, fold, token, w_0 … w_2) and (route, fold, prior_0 … prior_2) from
-    ``tokens`` (key, route, fold, token; distinct) and ``labels`` (key, label)."""
-    labelled = tokens.join(labels.select("key", "label"), "key")
+    ``labelled`` comments (route, fold, label, words; words distinct)."""
     outside = [
         F.count_if((F.col("label") == c) & (F.col("fold") != f)).alias(f"n_{f}_{k}")
         for f in range(folds) for k, c in enumerate(CLASSES)
@@ -50,9 +51,9 @@ def count_weights(tokens: DataFrame, labels: DataFrame, folds: int = FOLDS) -> t
     per_fold = F.explode(F.array(*[
         F.struct(F.lit(f).alias("fold"), *[F.col(f"n_{f}_{k}").alias(f"n_{k}") for k in range(3)]) for f in range(folds)
     ])).alias("f")
-    counts = labelled.where("token is not null").groupBy("route", "token").agg(*outside).select("route", "token", per_fold)
-    documents = labelled.select("key", "route", "fold", "label").distinct()
-    sizes = documents.groupBy("route").agg(*outside).select("route", per_fold).select(
+    tokens = labelled.select("route", "fold", "label", F.explode("words").alias("token"))
+    counts = tokens.groupBy("route", "token").agg(*outside).select("route", "token", per_fold)
+    sizes = labelled.groupBy("route").agg(*outside).select("route", per_fold).select(
         "route", "f.fold", *[F.col(f"f.n_{k}").alias(f"d_{k}") for k in range(3)]
     )
     weights = [
@@ -77,33 +78,40 @@ def score_out_of_fold(
     folds: int = FOLDS,
 ) -> DataFrame:
     """``comments`` with raw label, confidence and label; ``labels`` has the
-    key and ``label`` (−1, 0, 1) of some comments.  Keys should be unique;
-    rows with one key count as one comment, and a NULL key is scored by the
-    priors alone.  A route without labels scores neutral by even priors."""
+    key and ``label`` (−1, 0, 1) of some comments.  Rows with one key are
+    comments of their own, with the key's label; a NULL key has none.  A route
+    without labels has even priors, whose tie goes to the lowest class."""
     english = F.coalesce(F.col(language) == ENGLISH, F.lit(False))
     route = F.when(english, F.lit(ENGLISH)).otherwise(F.lit("*"))
     fold = F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(folds)), F.lit(0))
     if dict(comments.dtypes)[key] in ("bigint", "int"):  # numbers are dealt by themselves
         fold = F.coalesce(F.pmod(F.col(key), F.lit(folds)), F.lit(0))
     words = F.array_distinct(word_tokens(F.col(text)))
-    # Comments without any token keep a row for the class sizes.
-    tokens = materialize(comments.select(
-        F.col(key).alias("key"), route.alias("route"), fold.cast("int").alias("fold"), F.explode_outer(words).alias("token")
-    ).distinct(), "tokens")
+    narrow = comments.select(
+        F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("mark"), route.alias("route"), fold.cast("int").alias("fold"),
+        F.coalesce(words, F.array().cast("array<string>")).alias("words"),
+    )
     truth = labels.select(F.col(key).alias("key"), F.col("label").cast("int").alias("label")).where("label is not null").distinct()
-    table, priors = count_weights(tokens, truth, folds)
-    sums = tokens.join(table, ["route", "fold", "token"]).groupBy("key", "route").agg(
-        *[F.sum(f"w_{k}").alias(f"s_{k}") for k in range(3)]
+    table, priors = count_weights(narrow.join(truth, "key"), folds)
+    table, priors = materialize(table, "count-weights"), materialize(priors, "count-priors")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("token") + 48), F.lit(0))).first()[0]  # a row: its token and numbers
+    table = F.broadcast(table) if size <= MAX_BROADCAST_BYTES else table
+    # The empty word counts the rows that share key and text: their sums are divided by it.
+    hits = narrow.select("key", "mark", "route", "fold", F.explode(F.concat("words", F.array(F.lit("")))).alias("token"))
+    sums = hits.join(table, ["route", "fold", "token"], "left").groupBy("key", "mark", "route").agg(
+        F.count_if(F.col("token") == "").alias("rows"), *[F.sum(f"w_{k}").alias(f"s_{k}") for k in range(3)]
     )
     even = _thousandths(F.lit(1.0) / 3)
     totals = [
-        (F.coalesce(f"s_{k}", F.lit(0)) + F.coalesce(f"prior_{k}", even)).alias(f"__total_{k}") for k in range(3)
+        (F.coalesce((F.col(f"s_{k}") / F.col("rows")).cast("long"), F.lit(0)) + F.coalesce(f"prior_{k}", even)).alias(f"__total_{k}")
+        for k in range(3)
     ]
     names = comments.columns
     scored = (
-        comments.withColumns({"__route": route, "__fold": fold.cast("int")})
-        .join(sums.withColumnsRenamed({"key": "__key", "route": "__r"}),
-              (F.col(key) == F.col("__key")) & (F.col("__route") == F.col("__r")), "left")
+        comments.withColumns({"__route": route, "__fold": fold.cast("int"), "__mark": F.xxhash64(F.col(text))})
+        .join(sums.withColumnsRenamed({"key": "__key", "mark": "__m", "route": "__r"}),
+              F.col(key).eqNullSafe(F.col("__key")) & (F.col("__mark") == F.col("__m")) & (F.col("__route") == F.col("__r")),
+              "left")
         .join(F.broadcast(priors.withColumnsRenamed({"route": "__p", "fold": "__f"})),
               (F.col("__route") == F.col("__p")) & (F.col("__fold") == F.col("__f")), "left")
         .select(*names, *totals)

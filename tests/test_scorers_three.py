@@ -95,7 +95,13 @@ def test_count_model_equals_brute_force(spark):
     gold = {k: (1 if k % 3 == 0 else -1 if k % 3 == 1 else 0) for k, *_ in rows[:100]}
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     labels = spark.createDataFrame([*gold.items(), (7, gold[7]), (9999, 1), (3, None)], "comment_id long, label int")
-    got = {r.comment_id: (r.sentiment_label, round(r.sentiment_score, 9)) for r in CM.score_out_of_fold(df, labels).collect()}
+    out = CM.score_out_of_fold(df, labels)
+    got = {r.comment_id: (r.sentiment_label, round(r.sentiment_score, 9)) for r in out.collect()}
+    # Repeated rows without a label change nothing and score alike.
+    again = CM.score_out_of_fold(df.unionByName(df.where("comment_id in (110, 111, 500)")), labels)
+    assert {(r.comment_id, r.sentiment_label, round(r.sentiment_score, 9)) for r in again.collect()} == {
+        (k, *v) for k, v in got.items()
+    }
 
     def whole(share):
         return math.floor(1000 * math.log(share) + 0.5)

@@ -200,11 +200,10 @@ def crc32_sql(text: str) -> str:
 ORACLE: dict[str, str] = {
     "op4_hamming_search": r"""
         WITH codes AS (
-            SELECT vec_id, 
-                   [(embedding[j]::DOUBLE + embedding[j + 32]::DOUBLE) > 0 FOR j IN range(1, 33)] AS code FROM embeddings
+            SELECT vec_id, [embedding[j]::DOUBLE > 0 FOR j IN range(1, 65)] AS code FROM embeddings
         ), apart AS (
             SELECT q.vec_id AS query_id, x.vec_id,
-                   list_sum([(q.code[j] <> x.code[j])::INT FOR j IN range(1, 33)])::INT AS distance
+                   list_sum([(q.code[j] <> x.code[j])::INT FOR j IN range(1, 65)])::INT AS distance
             FROM codes q JOIN codes x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id
         )
         SELECT query_id, rank, vec_id, distance FROM (

@@ -282,12 +282,14 @@ def test_search_is_exact_with_ties_and_hot_codes(spark):
     vectors = rng.normal(size=(300, 64)).round(3)
     vectors[100:200] = vectors[7]  # a third of all rows is one vector
     vectors[200:220] = vectors[9] * (1 + 1e-3 * rng.normal(size=(20, 64)))
+    vectors[220:230] = vectors[20]
+    vectors[np.arange(220, 230), np.arange(54, 64)] *= -1  # differ from row 20 in one dimension each, the last one's too
     rows = [(i, v.tolist(), "clash", 1) for i, v in enumerate(vectors)]
     rows += [rows[3], (None, vectors[0].tolist(), "x", 1), (900, None, "x", 1), (1000, [], "x", 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, code string, distance int")
     asked = df.where("vec_id % 10 = 0")
     got = sorted(map(tuple, hamming_search.search(df, asked, k=5).collect()))
-    bits = vectors.reshape(300, 2, 32).sum(axis=1) > 0
+    bits = vectors > 0
     want = []
     for q in range(0, 300, 10):
         apart = (bits != bits[q]).sum(axis=1)
@@ -299,6 +301,18 @@ def test_search_is_exact_with_ties_and_hot_codes(spark):
     assert hamming_search.search(few, few, k=5).count() == 6
 
 
+def test_codes_of_odd_vectors(spark):
+    long = [1.0] * 64 + [-2.0] + [0.5] * 10_000
+    rows = [
+        (1, [1.0, -1.0, 0.0, 2.0]), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, []), (5, None), (None, [1.0]),
+        (6, [-1.0] * 63 + [1.0]), (7, [1.0] * 64), (8, long), (1, [1.0, -1.0, 0.0, 2.0]),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.code for r in hamming_search.codes_of(df, "vec_id", "embedding").collect()}
+    assert got == {1: 9, 2: 2, 6: -(1 << 63), 7: -1, 8: -1}
+    assert got.keys() == {r.vec_id for r in hamming_search.codes_of(df, "vec_id", "embedding", 32).collect()}
+
+
 # --- 5: tool calls ----------------------------------------------------------------------
 
 

@@ -65,12 +65,13 @@ def op4_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = tool_calls.conversation_calls(read_table(spark, sf_dir, "conversations"))
+    conversations = read_table(spark, sf_dir, "conversations")
+    calls, results = tool_calls.conversation_calls(conversations)
     schemas = spark.createDataFrame(
         tool_calls.CONVERSATION_SCHEMAS, "name string, field string, type string, required boolean"
     )
     linked = tool_calls.link_tool_calls(calls, results, schemas)
-    return linked.select(
+    return linked.unionByName(tool_calls.conversation_messages(conversations)).select(
         F.col("group_id").alias("conv_id"), F.col("seq").alias("turn"), "call_id", "kind", "level", "status",
         F.array_join("errors", "; ").alias("errors"), "json",
     )
@@ -212,14 +213,22 @@ ORACLE: dict[str, str] = {
     """,
     "op5_tool_calls": r"""
         WITH RECURSIVE calls AS (
-            SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
-                   CASE WHEN turn >= 2 THEN conv_id || ':' || (turn - 2) END AS after, text
-            FROM conversations WHERE role = 'user'
+            SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text, length(text) % 23 AS spoilt,
+                   CASE WHEN turn < 2 THEN []
+                        WHEN opened < turn AND opened <> turn - 2
+                        THEN [conv_id || ':' || (turn - 2), conv_id || ':' || opened]
+                        ELSE [conv_id || ':' || (turn - 2)] END AS after
+            FROM (SELECT *, turn - (turn - turn % 2) % 8 AS opened FROM conversations WHERE role = 'user')
+        ), needs AS (
+            SELECT call_id, unnest(after) AS up FROM calls
+        ), paths AS (
+            SELECT call_id, 0 AS d, false AS missing FROM calls
+            UNION
+            SELECT call_id, 0, true FROM needs WHERE up NOT IN (SELECT call_id FROM calls)
+            UNION
+            SELECT n.call_id, p.d + 1, p.missing FROM needs n JOIN paths p ON n.up = p.call_id
         ), depth AS (
-            SELECT c.call_id, 0 AS d, c.after IS NOT NULL AS missing FROM calls c
-            WHERE c.after IS NULL OR c.after NOT IN (SELECT call_id FROM calls)
-            UNION ALL
-            SELECT c.call_id, p.d + 1, p.missing FROM calls c JOIN depth p ON c.after = p.call_id
+            SELECT call_id, max(d) AS d, bool_or(missing) AS missing FROM paths GROUP BY call_id
         ), results AS (
             SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text
             FROM conversations WHERE role = 'assistant'
@@ -227,10 +236,15 @@ ORACLE: dict[str, str] = {
         SELECT c.conv_id, c.turn, c.call_id, 'call' AS kind, (2 * d.d)::BIGINT AS level,
                CASE WHEN d.missing THEN 'missing'
                     WHEN EXISTS (SELECT 1 FROM results r WHERE r.call_id = c.call_id) THEN 'ok'
-                    ELSE 'unanswered' END AS status, '' AS errors,
-               '{"arguments":{' || CASE WHEN c.after IS NULL THEN '' ELSE '"after":"' || c.after || '",' END
-               || '"chars":' || length(c.text) || ',"text":' || to_json(c.text) || ',"turn":' || c.turn
-               || '},"id":"' || c.call_id || '","name":"'
+                    ELSE 'unanswered' END AS status,
+               CASE spoilt WHEN 0 THEN 'not json' WHEN 1 THEN 'wrong type chars' WHEN 2 THEN 'missing text'
+                    WHEN 3 THEN 'unknown note' ELSE '' END AS errors,
+               '{"arguments":' || CASE WHEN spoilt = 0 THEN 'null' ELSE
+                   '{' || CASE WHEN turn < 2 THEN '' ELSE '"after":' || to_json(c.after)::VARCHAR || ',' END
+                   || '"chars":' || CASE WHEN spoilt = 1 THEN '"' || length(c.text) || '"' ELSE length(c.text)::VARCHAR END
+                   || CASE WHEN spoilt = 3 THEN ',"note":"spare"' ELSE '' END
+                   || CASE WHEN spoilt = 2 THEN '' ELSE ',"text":' || to_json(c.text) END
+                   || ',"turn":' || c.turn || '}' END || ',"id":"' || c.call_id || '","name":"'
                || CASE WHEN c.turn >= 2 THEN 'follow' ELSE 'open' END || '","type":"call"}' AS json
         FROM calls c JOIN depth d USING (call_id)
         UNION ALL
@@ -238,6 +252,11 @@ ORACLE: dict[str, str] = {
                CASE WHEN d.call_id IS NULL THEN 'orphan' ELSE 'ok' END, '',
                '{"content":' || to_json(r.text) || ',"id":"' || r.call_id || '","type":"result"}'
         FROM results r LEFT JOIN depth d USING (call_id)
+        UNION ALL
+        SELECT conv_id, turn, NULL, 'message', NULL, 'ok', '',
+               '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":'
+               || coalesce(to_json(role)::VARCHAR, 'null') || ',"type":"message"}'
+        FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
     """,
     "op6_url_filter": r"""
         WITH rest AS (

@@ -1,16 +1,16 @@
 """Tool calls and results: linked, ordered, validated and written as canonical JSON.
 
 Everything is DataFrame work.  Calls and results meet in a hash join by call
-id.  The topological level of a call follows from its chain of dependencies by
-pointer doubling (each join doubles the part of the chain that is known).
-Arguments are parsed as variants, whose JSON text has its keys in order and no
-white space, and checked field by field against the tool's schema.
+id.  A call may depend on several others; its topological level is the length of
+the longest path below it.  Every round joins the dependencies with what they
+depend on themselves: a path through calls of one dependency doubles (pointer
+doubling), and calls whose dependencies are all known are done.  Arguments are
+parsed as variants, whose JSON text has its keys in order and no white space,
+and checked field by field against the tool's schema.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,39 +21,77 @@ RESULT_COLUMNS = ("group_id", "call_id", "seq", "content")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, depth, state) of calls (call_id, depends_on): depth 0 without a
-    dependency, else one more than that of the call it depends on.  ``state``:
-    ``ok``; ``missing`` if the chain ends at an unknown call; ``cycle`` (depth
-    NULL) if it never ends.  ``call_id`` must be unique and not NULL."""
-    known = calls.select(F.col("call_id").alias("depends_on"), F.lit(True).alias("known"))
-    start = materialise(
-        calls.join(known, "depends_on", "left").select(
-            "call_id",
-            F.when(F.col("known"), F.col("depends_on")).alias("up"),
-            F.when(F.col("known"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("depth"),
-            (F.col("depends_on").isNotNull() & F.col("known").isNull()).alias("missing"),
+    """(call_id, depth, state) of calls (call_id, depends_on array): depth 0
+    without a known dependency, else one more than the deepest of those it
+    depends on.  ``state``: ``ok``; ``missing`` if a path ends at an unknown
+    call; ``cycle`` (depth NULL) if one never ends.  ``call_id`` must be unique
+    and not NULL; NULL dependencies and NULL arrays are none, repeated ones one.
+
+    Chains, and sections that open and close, take a number of rounds that grows
+    with the logarithm of their length; calls that each need several calls of
+    the level before take one round a level.
+    """
+    wanted = calls.select("call_id", F.explode("depends_on").alias("up")).where("up is not null").distinct()
+    known = calls.select(F.col("call_id").alias("up"), F.lit(True).alias("known"))
+    checked = materialise(wanted.join(known, "up", "left"), "dependencies")
+    edges = checked.where("known").select("call_id", "up", F.lit(1).cast("long").alias("steps"))
+    lost = checked.where("known is null").select("call_id", F.lit(True).alias("missing")).distinct()
+    nodes = materialise(
+        calls.select("call_id", F.lit(0).cast("long").alias("depth")).join(lost, "call_id", "left").select(
+            "call_id", "depth", F.coalesce("missing", F.lit(False)).alias("missing"), F.lit(False).alias("endless")
         ),
-        "call-levels",
+        "call-nodes",
     )
-    rounds = max(1, math.ceil(math.log2(max(start.count(), 2)))) + 1
-    for _ in range(rounds):
-        if start.where("up is not null").isEmpty():
-            break
-        above = start.select(
-            F.col("call_id").alias("up"), F.col("up").alias("next_up"),
-            F.col("depth").alias("more"), F.col("missing").alias("lost"),
+    count = nodes.count()  # no path of more steps is without a cycle
+    while not edges.isEmpty():
+        below = edges.groupBy("call_id").agg(
+            F.count("*").alias("ways"), F.min("up").alias("next_up"), F.min("steps").alias("more")
+        )
+        above = nodes.join(below, "call_id", "left").select(
+            F.col("call_id").alias("up"), F.col("depth").alias("up_depth"), F.col("missing").alias("up_missing"),
+            F.col("endless").alias("up_endless"), F.coalesce("ways", F.lit(0)).alias("ways"), "next_up", "more",
         )
-        start = materialise(
-            start.join(above, "up", "left").select(
-                "call_id", F.col("next_up").alias("up"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("missing") | F.coalesce("lost", F.lit(False))).alias("missing"),
+        # A dependency without open ones of its own, or with one, hands on what it
+        # knows; the second kind is passed over for the one below it.
+        moved = materialise(
+            edges.join(above, "up").select(
+                "call_id",
+                F.when(F.col("ways") == 1, F.col("next_up")).when(F.col("ways") > 1, F.col("up")).alias("up"),
+                (F.col("steps") + F.when(F.col("ways") == 1, F.col("more")).otherwise(F.lit(0))).alias("steps"),
+                (F.col("steps") + F.col("up_depth")).alias("depth"),
+                F.col("up_missing").alias("missing"), F.col("up_endless").alias("endless"),
+                (F.col("ways") <= 1).alias("told"),
+            ).withColumn(
+                "endless", F.col("endless") | F.coalesce(F.col("up") == F.col("call_id"), F.lit(False))
+                | (F.col("steps") > F.lit(count))
             ),
-            "call-levels",
+            "call-dependencies",
+        )
+        news = moved.groupBy("call_id").agg(
+            F.max("depth").alias("new_depth"), F.bool_or("missing").alias("new_missing"),
+            F.bool_or("endless").alias("new_endless"),
+        )
+        stuck = moved.where("told or endless").isEmpty()  # every open call waits for several: all below cycles
+        nodes = materialise(
+            nodes.join(news, "call_id", "left").select(
+                "call_id", F.greatest("depth", F.coalesce("new_depth", F.lit(0))).alias("depth"),
+                (F.col("missing") | F.coalesce("new_missing", F.lit(False))).alias("missing"),
+                (F.col("endless") | (F.coalesce("new_endless", F.lit(False)) | F.lit(stuck) & F.col("new_depth").isNotNull()))
+                .alias("endless"),
+            ),
+            "call-nodes",
+        )
+        if stuck:
+            break
+        ended = nodes.where("endless").select("call_id")
+        edges = materialise(
+            moved.where("up is not null").join(ended, "call_id", "left_anti")
+            .groupBy("call_id", "up").agg(F.max("steps").alias("steps")),
+            "call-edges",
         )
-    return start.select(
-        "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"),
-        F.when(F.col("up").isNotNull(), "cycle").when(F.col("missing"), "missing").otherwise("ok").alias("state"),
+    return nodes.select(
+        "call_id", F.when(~F.col("endless"), F.col("depth")).alias("depth"),
+        F.when(F.col("endless"), "cycle").when(F.col("missing"), "missing").otherwise("ok").alias("state"),
     )
 
 
@@ -88,8 +126,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     """One row per call and per result: (group_id, call_id, seq, kind, level,
     status, errors, json).
 
-    ``calls`` has ``CALL_COLUMNS``, ``results`` ``RESULT_COLUMNS`` and
-    ``schemas`` (name, field, type, required), where type begins a variant
+    ``calls`` has ``CALL_COLUMNS`` (``depends_on``: an array of call ids),
+    ``results`` ``RESULT_COLUMNS`` and ``schemas`` (name, field, type, required), where type begins a variant
     type's name, as BIGINT or STRING; other columns are ignored.  ``level``
     orders topologically: a call at depth d has 2 d, its results 2 d + 1.
 
@@ -145,22 +183,39 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
 
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as tool traffic: a user's turn is a call (``open`` for the
-    first two turns, else ``follow`` with the call two turns before as its
-    dependency); the assistant's next turn is its result.  Other roles take no
-    part.  Ids are ``conversation:turn``, NULL if either is."""
+    first two turns, else ``follow``, which depends on the call two turns before
+    and on the one that opened its section of ``SECTION`` turns); the assistant's
+    next turn is its result.  Other roles are messages
+    (``conversation_messages``).  Ids are ``conversation:turn``, NULL if either is.
+
+    Arguments are spoilt by the length of the text, modulo ``SPOIL``: 0 loses the
+    closing brace, 1 writes ``chars`` as text, 2 leaves out ``text``, 3 adds
+    ``note``.  So the validation has something to find."""
     turns = narrow(conversations, group_id="conv_id", seq="turn", role="role", content="text")
     ident = lambda turn: F.concat_ws(":", F.col("group_id"), turn)
     named = F.col("group_id").isNotNull() & F.col("seq").isNotNull()
     follows = F.col("seq") >= 2
+    opened = F.col("seq") - (F.col("seq") - F.col("seq") % 2) % SECTION
+    before = F.array_distinct(F.array(
+        ident(F.col("seq") - 2), ident(F.when(opened < F.col("seq"), opened).otherwise(F.col("seq") - 2))
+    ))
+    spoilt = F.coalesce(F.length("content") % SPOIL, F.lit(-1))
+    written = F.to_json(F.struct(
+        F.col("seq").alias("turn"),
+        F.when(spoilt != 2, F.col("content")).alias("text"),
+        F.when(spoilt != 1, F.length("content")).alias("chars"),
+        F.when(follows, before).alias("after"),
+        F.when(spoilt == 3, F.lit("spare")).alias("note"),
+    ))
+    as_text = F.concat(
+        F.lit('{"chars":"'), F.length("content").cast("string"), F.lit('",'), written.substr(F.lit(2), F.length(written))
+    )
     calls = turns.where("role = 'user'").select(
         "group_id", F.when(named, ident(F.col("seq"))).alias("call_id"), "seq",
         F.when(follows, "follow").otherwise("open").alias("name"),
-        F.to_json(F.struct(
-            F.col("seq").alias("turn"), F.col("content").alias("text"),
-            F.length("content").alias("chars"),
-            F.when(follows, ident(F.col("seq") - 2)).alias("after"),
-        )).alias("arguments"),
-        F.when(named & follows, ident(F.col("seq") - 2)).alias("depends_on"),
+        F.when(spoilt == 0, written.substr(F.lit(1), F.length(written) - 1))
+        .when(spoilt == 1, as_text).otherwise(written).alias("arguments"),
+        F.when(named & follows, before).alias("depends_on"),
     )
     results = turns.where("role = 'assistant'").select(
         "group_id", F.when(named, ident(F.col("seq") - 1)).alias("call_id"), "seq", "content"
@@ -168,9 +223,25 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def conversation_messages(conversations: DataFrame) -> DataFrame:
+    """The turns that are neither call nor result (system and other roles, NULL
+    among them), as rows like those of ``link_tool_calls``: kind ``message``,
+    status ``ok``, no id, no level, no errors."""
+    turns = narrow(conversations, group_id="conv_id", seq="turn", role="role", content="text")
+    return turns.where("not coalesce(role in ('user', 'assistant'), false)").select(
+        "group_id", F.lit(None).cast("string").alias("call_id"), "seq", F.lit("message").alias("kind"),
+        F.lit(None).cast("long").alias("level"), F.lit("ok").alias("status"),
+        F.expr("cast(array() as array<string>)").alias("errors"),
+        F.to_json(F.struct("content", "role", F.lit("message").alias("type")), {"ignoreNullFields": "false"}).alias("json"),
+    )
+
+
+SECTION = 8  # turns that share an opening call
+SPOIL = 23
+
 #: Argument schemas of the tools that ``conversation_calls`` makes.
 CONVERSATION_SCHEMAS = [
     ("open", "turn", "BIGINT", True), ("open", "text", "STRING", True), ("open", "chars", "BIGINT", True),
     ("follow", "turn", "BIGINT", True), ("follow", "text", "STRING", True), ("follow", "chars", "BIGINT", True),
-    ("follow", "after", "STRING", True),
+    ("follow", "after", "ARRAY", True),
 ]

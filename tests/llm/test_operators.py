@@ -319,14 +319,14 @@ def test_codes_of_odd_vectors(spark):
 def test_tool_calls_link_order_and_validate(spark):
     calls = [
         ("g", "c", 1, "t", '{"z":1, "a":{"y":2,"x":[1, "q"]}}', None),
-        ("g", "d", 2, "t", '{"z":"no"}', "c"), ("g", "e", 3, "t", "{bad", "d"), ("g", "f", 4, "t", "[1]", "x"),
-        ("g", "h", 5, "t", None, "i"), ("g", "i", 6, "none", "{}", "h"), ("g", "c", 9, "t", '{"z":2}', None),
-        (None, None, None, None, None, None), ("g", "k", 1, "t", '{"z":3,"u":1}', "f"),
+        ("g", "d", 2, "t", '{"z":"no"}', ["c"]), ("g", "e", 3, "t", "{bad", ["c", "d", "d", None]), ("g", "f", 4, "t", "[1]", ["c", "x"]),
+        ("g", "h", 5, "t", None, ["i", "c"]), ("g", "i", 6, "none", "{}", ["h", "d"]), ("g", "c", 9, "t", '{"z":2}', None),
+        (None, None, None, None, None, None), ("g", "k", 1, "t", '{"z":3,"u":1}', ["f"]),
     ]
     results = [("g", "c", 2, "yes"), ("g", "c", 3, None), ("g", "nobody", 3, "x"), ("g", None, 3, "x"), ("g", "e", 4, 'q"\n')]
     schemas = spark.createDataFrame([("t", "z", "BIGINT", True), ("t", "a", "OBJECT", False)],
                                     "name string, field string, type string, required boolean")
-    c = spark.createDataFrame(calls, "group_id string, call_id string, seq long, name string, arguments string, depends_on string").withColumn("depth", F.lit("clash"))
+    c = spark.createDataFrame(calls, "group_id string, call_id string, seq long, name string, arguments string, depends_on array<string>").withColumn("depth", F.lit("clash"))
     r = spark.createDataFrame(results, "group_id string, call_id string, seq long, content string").withColumn("level", F.lit("clash"))
     rows = tool_calls.link_tool_calls(c, r, schemas).collect()
     got = {(x.kind, x.call_id, x.seq): (x.level, x.status, x.errors) for x in rows}
@@ -334,8 +334,8 @@ def test_tool_calls_link_order_and_validate(spark):
     assert got["call", "c", 1] == (0, "ok", [])
     assert got["call", "d", 2] == (2, "unanswered", ["wrong type z"])
     assert got["call", "e", 3] == (4, "ok", ["not json"])
-    assert got["call", "f", 4] == (0, "missing", ["not an object"])
-    assert got["call", "k", 1] == (2, "missing", ["unknown u"])
+    assert got["call", "f", 4] == (2, "missing", ["not an object"])
+    assert got["call", "k", 1] == (4, "missing", ["unknown u"])
     assert got["call", "h", 5][:2] == (None, "cycle") and got["call", "i", 6] == (None, "cycle", ["unknown tool"])
     assert got["call", "c", 9][:2] == (None, "repeated") and got["call", None, None][1] == "no id"
     assert got["result", "c", 2][:2] == got["result", "c", 3][:2] == (1, "ok")
@@ -348,11 +348,72 @@ def test_tool_calls_link_order_and_validate(spark):
 
 
 def test_levels_of_a_long_chain(spark):
-    calls = spark.createDataFrame([(f"c{i}", f"c{i - 1}" if i else None) for i in range(70)], "call_id string, depends_on string")
+    calls = spark.createDataFrame([(f"c{i}", [f"c{i - 1}"] if i else None) for i in range(70)], "call_id string, depends_on array<string>")
     got = {r.call_id: r.depth for r in tool_calls.levels(calls).collect()}
     assert got == {f"c{i}": i for i in range(70)}
 
 
+def brute_levels(calls):
+    """call id → (depth, state), by marking and then by depth-first search."""
+    on_cycle = set()
+    for start in calls:
+        seen, todo = set(), list(calls[start])
+        while todo:
+            x = todo.pop()
+            if x in calls and x not in seen:
+                seen.add(x)
+                todo += calls[x]
+        if start in seen or seen & on_cycle:
+            on_cycle.add(start)
+    endless = {c for c in calls if c in on_cycle}
+    for _ in calls:
+        endless |= {c for c in calls if set(calls[c]) & endless}
+
+    def walk(c):
+        below = [walk(u) for u in calls[c] if u in calls]
+        lost = any(u not in calls for u in calls[c]) or any(m for _, m in below)
+        return max((d + 1 for d, _ in below), default=0), lost
+
+    out = {}
+    for c in calls:
+        out[c] = (None, "cycle") if c in endless else (lambda w: (w[0], "missing" if w[1] else "ok"))(walk(c))
+    return out
+
+
+@pytest.mark.parametrize("back", [0, 3])
+def test_levels_of_many_dependencies(spark, back):
+    rng = np.random.default_rng(back)
+    calls = {f"c{i}": [f"c{j}" for j in rng.integers(-1, i, rng.integers(0, 4))] if i else [] for i in range(40)}
+    for _ in range(back):  # some edges the other way make cycles
+        i, j = sorted(rng.integers(20, 40, 2))
+        calls[f"c{i}"].append(f"c{j}")
+    df = spark.createDataFrame(list(calls.items()), "call_id string, depends_on array<string>")
+    got = {r.call_id: (r.depth, r.state) for r in tool_calls.levels(df).collect()}
+    assert got == brute_levels(calls)
+
+
+def test_conversation_roles_and_spoilt_arguments(spark):
+    rows = [
+        ("a", 0, "system", "be kind"), ("a", 1, "user", "x" * 23), ("a", 2, "assistant", None), ("a", 3, "user", "x" * 24),
+        ("a", 5, "user", "x" * 25), ("a", 7, "user", "x" * 26), ("a", 9, "user", "long " * 30_000), ("a", 9, None, "?"),
+        (None, None, None, None), ("a", 10, "tool", ""), ("b", None, "user", None), ("b", None, "assistant", "y"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumn("kind", F.lit("clash"))
+    calls, results = tool_calls.conversation_calls(df)
+    schemas = spark.createDataFrame(tool_calls.CONVERSATION_SCHEMAS, "name string, field string, type string, required boolean")
+    linked = tool_calls.link_tool_calls(calls, results, schemas).unionByName(tool_calls.conversation_messages(df)).collect()
+    assert len(linked) == len(rows)
+    found = {r.seq: (r.level, r.status, r.errors) for r in linked if r.kind == "call" and r.group_id == "a"}
+    assert found == {
+        1: (0, "ok", ["not json"]), 3: (2, "unanswered", ["wrong type chars"]), 5: (4, "unanswered", ["missing text"]),
+        7: (6, "unanswered", ["unknown note"]), 9: (8, "unanswered", []),
+    }
+    assert sorted(r.json for r in linked if r.kind == "message") == [
+        '{"content":"","role":"tool","type":"message"}', '{"content":"?","role":null,"type":"message"}',
+        '{"content":"be kind","role":"system","type":"message"}', '{"content":null,"role":null,"type":"message"}',
+    ]
+
+
 # --- 8: language ---------------------------------------------------------------------------
 
 

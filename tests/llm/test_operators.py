@@ -5,6 +5,7 @@ import hashlib
 import json
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -481,6 +482,52 @@ def test_quality_co_training(spark, odd_docs, no_docs):
     assert quality.score(no_docs, model).count() == 0
 
 
+def test_quality_is_that_of_one_process_over_all_rows(spark):
+    """Brute force: all features in one array, the loss summed row by row."""
+    docs, labels, rows = labelled(spark)
+    odd = [(labels.first().doc_id, 1 - labels.first().quality, 0), (None, 1, 0), (2, None, 0)]
+    model = quality.train(docs, labels.union(spark.createDataFrame(odd, labels.schema)))
+    marks = {}
+    for r in [*map(tuple, labels.collect()), *odd]:
+        if r[0] is not None and r[1] is not None:
+            marks[r[0]] = min(r[1], marks.get(r[0], 1))
+    has = [r for r in rows if r[0] in marks]
+    rest = [r for r in rows if r[0] not in marks]
+    shapes = lambda part: np.array([quality.text_shape(r[1]) for r in part])
+    slots = lambda part: np.array([quality.meta_slots(*r[2:]) for r in part])
+    edges = np.quantile(shapes(has), np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0).T
+    views = [quality.text_matrix(shapes(rest), edges).astype(float), quality.meta_matrix(slots(rest)).astype(float)]
+    seen = []
+
+    def pool(judges, weights):
+        out = []
+        for own in (0, 1):
+            theta, scale = judges[1 - own]
+            slope, curve, n = 0, 0, 0
+            for x, z in zip(views[own], views[1 - own]):
+                p = 1 / (1 + np.exp(-(scale[0] * (z @ theta) + scale[1])))
+                if p >= quality.CONFIDENT or p <= 1 - quality.CONFIDENT:
+                    q = 1 / (1 + np.exp(-x @ weights[own]))
+                    slope, curve, n = slope + (q - (p >= 0.5)) * x, curve + q * (1 - q) * np.outer(x, x), n + 1
+            seen.append(n)
+            out.append((slope if n else np.zeros(views[own].shape[1]), curve, n))
+        return out
+
+    y = np.array([marks[r[0]] for r in has], float)
+    aside = np.array([zlib.crc32(b"aside%d" % r[0]) % 4 == 0 for r in has])
+    want = quality.co_train(shapes(has), slots(has), y, aside, edges, pool, len(rest))
+    assert max(seen) > 100
+    for a, b in ((model.text, want.text), (model.meta, want.meta), (model.both, want.both)):
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-8)
+
+
+def test_quality_learns_from_odd_rows(spark, odd_docs):
+    labels = spark.createDataFrame([(k, k % 2, None) for k in range(100, 120)] + [(100, 1, 1), (None, 1, 1), (10, 0, 1)],
+                                   "doc_id long, quality int, toxic int")
+    got = quality.score(odd_docs, quality.train(odd_docs, labels), result_col="found").select("found.*").collect()
+    assert len(got) == len(docs_rows()) and all(0 <= v <= 1 for r in got for v in r)
+
+
 def test_meta_view_learns_from_the_text_view():
     """With few labels, pseudo-labels of the text view teach the metadata view."""
     rng = np.random.default_rng(0)
@@ -489,8 +536,11 @@ def test_meta_view_learns_from_the_text_view():
     slots = np.array([[0, 128 + int(v), 256] for v in y])
     few = np.arange(400) < 60
     aside = np.arange(60) % 4 == 0
-    model = quality.co_train(shapes[few], slots[few], y[few], aside, shapes[~few], slots[~few])
-    alone = quality.co_train(shapes[few], slots[few], y[few], aside, shapes[:0], slots[:0])
+    edges = np.quantile(shapes[few], np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0).T
+    bins = quality.text_bins(shapes[~few], edges)
+    pool = lambda judges, weights: quality.view_sums(bins, slots[~few], judges, weights)
+    model = quality.co_train(shapes[few], slots[few], y[few], aside, edges, pool, len(bins))
+    alone = quality.co_train(shapes[few], slots[few], y[few], aside, edges, pool, 0)
     assert abs(model.meta[129] - model.meta[128]) > abs(alone.meta[129] - alone.meta[128])
     assert np.mean((model.score(shapes, slots)[2] >= 0.5) == y) > 0.97
 

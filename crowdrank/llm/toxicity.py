@@ -11,12 +11,17 @@ below zero by more than a slack (the model begins to memorise U), the step goes
 instead.  The features are the words of the whole text and their first four
 bytes, hashed to 2**20 slots, as log counts; a slot takes part when its
 document frequency in P differs from that expected from P and U together, both
-counted over all usable texts.  The risk is that of bounded samples of P and U.
+counted over all usable texts.
+
+The descent starts from weights fitted to samples of P and U and goes on by
+``PASSES`` steps on the risk of all usable texts.  Their features in these slots
+are written once; in every step the tasks add up the risk's parts and their
+slopes over P and over U, and only these sums reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,10 +33,13 @@ from crowdrank.llm.common import lean_batches, materialise, narrow
 from crowdrank.llm.features import WordSlots, word_slots
 
 SLOT_BITS = 20
-MAX_POSITIVE = 10_000  # bounded training sample: confirmed toxic texts
-MAX_UNLABELLED = 20_000  # and unlabelled texts, both the first by a hash of the id
+MAX_POSITIVE = 10_000  # of the samples that the descent starts from: confirmed toxic texts
+MAX_UNLABELLED = 20_000  # and unlabelled texts, both drawn by a hash of the id
 STEPS = 500
 RATE = 0.1
+PASSES = 15  # steps on the risk of all texts
+PASS_RATE = 0.05  # of the first of them, falling to zero
+CHUNK = 1024  # numbers in a row of sums
 RIDGE = 1e-6
 SLACK = 0.01  # how far below zero the risk on the unseen negatives may be estimated
 MIN_SURPRISE = 5.0  # of a slot's frequency in P, in deviations of a Poisson count
@@ -44,11 +52,6 @@ def _sparse(text: str | None, slots: WordSlots) -> tuple[np.ndarray, np.ndarray]
     return index.astype(np.int32), np.log1p(count).astype(np.float16)
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` rows by a hash of id and text."""
-    return rows.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
-
-
 def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
@@ -100,33 +103,87 @@ def surprising_slots(frequencies: DataFrame, n_p: int, n_u: int) -> np.ndarray:
     return np.sort(found.select("slot").toPandas()["slot"].to_numpy(np.int64))
 
 
-def training_features(rows: DataFrame, chosen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sparse features of the texts in the slots ``chosen``, made by the tasks;
-    ``rows`` is bounded by the caller."""
-    taken = np.zeros(1 << SLOT_BITS, bool)
-    taken[chosen] = True
-    shared = rows.sparkSession.sparkContext.broadcast(taken)  # 2**20 flags: 1 MB
+def feature_table(rows: DataFrame, toxic: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(doc_id, toxic, place, value) of all ``rows``, written to the shared
+    folder: the places in ``chosen`` of a text's slots, and their values.  Only
+    ids and features meet the ids of ``toxic``, no text."""
+    place = np.full(1 << SLOT_BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    shared = rows.sparkSession.sparkContext.broadcast(place)  # 2**20 numbers: 4 MB
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = WordSlots(SLOT_BITS)
         for batch in batches:
             got = [_sparse(text, slots) for text in batch["text"]]
-            got = [(i[shared.value[i]], v[shared.value[i]]) for i, v in got]
+            got = [(shared.value[i], v) for i, v in got]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
-                "index": [i.tobytes() for i, _ in got], "value": [v.tobytes() for _, v in got],
+                "place": [i[i >= 0].tobytes() for i, _ in got], "value": [v[i >= 0].tobytes() for i, v in got],
             })
 
-    made = rows.select("doc_id", "text").mapInPandas(make, "doc_id long, index binary, value binary").toPandas()
-    made = made.sort_values(["doc_id", "index"], kind="stable")
-    return [
-        (np.frombuffer(i, np.int32), np.frombuffer(v, np.float16))
-        for i, v in zip(made["index"], made["value"])
-    ]
+    made = rows.select("doc_id", "text").mapInPandas(make, "doc_id long, place binary, value binary")
+    marked = made.join(_bounded(toxic.select("doc_id", F.lit(1).alias("toxic"))), "doc_id", "left")
+    return materialise(marked.select("doc_id", F.coalesce("toxic", F.lit(0)).alias("toxic"), "place", "value"), "toxicity-features")
+
+
+def _pairs(got: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float16)) for i, v in zip(got["place"], got["value"])]
+
+
+def _sample(features: DataFrame, rows: int, most: int) -> pd.DataFrame:
+    """Of ``rows`` rows the share with the smallest hashes of their ids that
+    holds ``most`` rows less four deviations; all, if they are no more than that."""
+    share = (most - 4 * np.sqrt(most)) / max(rows, 1)
+    if rows > most:
+        low = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
+        features = features.where(low < F.lit(int(share * (1 << 30))))
+    return features.select("doc_id", "place", "value").toPandas().sort_values(["doc_id", "place", "value"], kind="stable")
+
+
+#: weights and bias → over P, then over U: number of texts, sum of their
+#: probabilities, and the slope of that sum by each weight and the bias.
+RiskSums = Callable[[np.ndarray], np.ndarray]
+
+
+def view_of(pairs: list[tuple[np.ndarray, np.ndarray]], theta: np.ndarray) -> np.ndarray:
+    """One half of ``RiskSums`` over the texts given."""
+    owner, column, value = _stack(pairs)
+    value = value.astype(np.float64)
+    z = np.bincount(owner, value * theta[column], len(pairs)) + theta[-1]
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    slope = p * (1 - p)
+    by_slot = np.bincount(column, slope[owner] * value, len(theta) - 1)
+    return np.concatenate([[len(pairs), p.sum()], by_slot, [slope.sum()]])
+
+
+def risk_sums(table: DataFrame) -> RiskSums:
+    """The sums over a whole ``feature_table``: each task adds up its rows, the
+    tasks' sums are added in pieces of ``CHUNK`` numbers."""
+
+    def sums(theta: np.ndarray) -> np.ndarray:
+        size = 2 * (len(theta) + 2)
+
+        def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = np.zeros(size)
+            for batch in batches:
+                pairs = _pairs(batch)
+                confirmed = [pair for pair, toxic in zip(pairs, batch["toxic"]) if toxic]
+                held += np.concatenate([view_of(confirmed, theta), view_of(pairs, theta)])
+            pieces = [held[k:k + CHUNK] for k in range(0, size, CHUNK)]
+            yield pd.DataFrame({"piece": np.arange(len(pieces)), "sums": pieces})
+
+        def added(part: pd.DataFrame) -> pd.DataFrame:
+            return part.iloc[:1].assign(sums=[np.sum(np.stack(part["sums"].to_list()), axis=0)])
+
+        schema = "piece int, sums array<double>"
+        got = table.mapInPandas(of_task, schema).groupBy("piece").applyInPandas(added, schema).toPandas()
+        return np.concatenate(got.sort_values("piece")["sums"].to_list()) if len(got) else np.zeros(size)
+
+    return sums
 
 
 def _stack(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(i) for i, _ in rows])
+    sizes = np.array([len(i) for i, _ in rows], np.int64)
     owner = np.repeat(np.arange(len(rows)), sizes)
     if not len(owner):
         return owner, np.zeros(0, np.int32), np.zeros(0, np.float32)
@@ -195,6 +252,26 @@ def fit_nnpu(
     return weights, float(theta[-1])
 
 
+def descend(theta: np.ndarray, sums: RiskSums, prior: float, passes: int = PASSES) -> np.ndarray:
+    """``theta`` (weights, bias) after ``passes`` Adam steps on the risk that
+    ``sums`` gives, with a rate that falls to zero."""
+    theta = theta.copy()
+    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, passes + 1):
+        of_p, of_u = np.split(sums(theta), 2)
+        risk_p, risk_u = of_p[1:] / max(of_p[0], 1), of_u[1:] / max(of_u[0], 1)
+        if risk_u[0] - prior * risk_p[0] >= -SLACK:
+            gradient = risk_u[1:] - 2 * prior * risk_p[1:]
+        else:
+            gradient = prior * risk_p[1:] - risk_u[1:]
+        gradient[:-1] += RIDGE * theta[:-1]
+        mean = 0.9 * mean + 0.1 * gradient
+        square = 0.99 * square + 0.01 * gradient * gradient
+        rate = PASS_RATE * (1 - (step - 1) / passes)
+        theta -= rate * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
+    return theta
+
+
 def train(
     docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", label_id_col: str = "doc_id",
@@ -203,7 +280,9 @@ def train(
     """Fit on the documents for which ``usable`` (an expression over the
     operator's ``doc_id``) holds.  The class prior is the toxic share of their
     labelled rows, of all of them; a document with several labels is toxic if
-    one says so.  Without any label the prior is ``DEFAULT_PRIOR``."""
+    one says so.  Without any label the prior is ``DEFAULT_PRIOR``.  Rows with a
+    NULL id teach nothing; of rows with one id each counts.  The two bounds are
+    those of the samples that the descent starts from; its last steps see all."""
     rows = narrow(docs, doc_id=id_col, text=text_col).where(usable)
     marks = (
         narrow(labels, doc_id=label_id_col, toxic=label_col)
@@ -213,22 +292,26 @@ def train(
     total = marks.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("k")).first()
     prior = min(max(total["k"] / total["n"], 1e-3), 0.5) if total["n"] else DEFAULT_PRIOR
     toxic = marks.where("toxic = 1").select("doc_id")
-    chosen = surprising_slots(*slot_frequencies(rows, toxic))
-    confirmed = F.broadcast(_sample(toxic, max_positive))  # at most max_positive ids
-    positive = rows.join(confirmed, "doc_id", "left_semi")
-    # Unlabelled texts are drawn from all texts, the confirmed ones included,
-    # so that they hold the prior's share of toxic ones.
-    pool = rows.select("doc_id").where("doc_id is not null").distinct()
-    drawn = F.broadcast(_sample(pool, max_unlabelled))  # at most max_unlabelled ids
-    return fit_nnpu(
-        training_features(positive, chosen),
-        training_features(rows.join(drawn, "doc_id", "left_semi"), chosen), prior, chosen=chosen,
-    )
+    frequencies, n_p, n_u = slot_frequencies(rows, toxic)
+    chosen = surprising_slots(frequencies, n_p, n_u)
+    if not n_p or not len(chosen):
+        return fit_nnpu([], [], prior)
+    # Unlabelled are all texts, the confirmed ones included, so that they hold
+    # the prior's share of toxic ones.
+    table = feature_table(rows.where("doc_id is not null"), toxic, chosen)
+    positive = _pairs(_sample(table.where("toxic = 1"), n_p, max_positive))
+    unlabelled = _pairs(_sample(table, n_u, max_unlabelled))
+    places = np.arange(len(chosen))
+    start, bias = fit_nnpu(positive, unlabelled, prior, chosen=places)
+    theta = descend(np.append(start[places], bias).astype(np.float64), risk_sums(table), prior)
+    weights = np.zeros(1 << SLOT_BITS, np.float32)
+    weights[chosen] = theta[:-1]
+    return weights, float(theta[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", result_col: str = "score") -> DataFrame:
-    """``docs`` with ``result_col``: the probability, 0 to 1, that the whole
-    text is toxic.  A NULL or empty text has the score of no words at all."""
+    """``docs`` with ``result_col`` (an existing one is replaced): the
+    probability, 0 to 1, that the whole text is toxic.  A NULL or empty text has the score of no words at all."""
     from pyspark.sql.functions import pandas_udf
 
     lean_batches(docs.sparkSession)

@@ -559,6 +559,44 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark, odd_docs, no_docs)
     assert toxicity.score(no_docs, model).count() == 0
 
 
+def test_toxicity_descends_on_the_risk_of_all_texts(spark, odd_docs):
+    """Brute force: the risk's slope summed text by text in one process."""
+    docs, labels, rows = labelled(spark, 900)
+    toxic = labels.where("toxic = 1").select("doc_id")
+    rows = [(r[0], r[1]) for r in rows]
+    chosen = toxicity.surprising_slots(*toxicity.slot_frequencies(docs.select("doc_id", "text"), toxic))
+    table = toxicity.feature_table(docs, toxic, chosen)
+    known = {r.doc_id for r in toxic.collect()}
+    x = np.zeros((len(rows), len(chosen) + 1))
+    slots = toxicity.WordSlots(toxicity.SLOT_BITS)
+    for k, (_, text) in enumerate(rows):
+        index, count = toxicity.word_slots(text, slots)
+        for i, v in zip(index, np.log1p(count).astype(np.float16)):
+            if i in chosen:
+                x[k, np.searchsorted(chosen, i)] = v
+    x[:, -1] = 1
+
+    def sums(theta):
+        out = []
+        for part in ([k for k, r in enumerate(rows) if r[0] in known], range(len(rows))):
+            slope, total = 0, 0
+            for k in part:
+                p = 1 / (1 + np.exp(-x[k] @ theta))
+                slope, total = slope + p * (1 - p) * x[k], total + p
+            out += [[len(part), total], slope]
+        return np.concatenate(out)
+
+    theta = np.append(np.linspace(-0.5, 0.5, len(chosen)), -1.0)
+    assert len(chosen) and np.allclose(toxicity.risk_sums(table)(theta), sums(theta))
+    assert np.allclose(toxicity.descend(theta, toxicity.risk_sums(table), 0.1, 4), toxicity.descend(theta, sums, 0.1, 4))
+    # NULL and repeated ids and labels, odd texts
+    odd = spark.createDataFrame([(k, k % 2) for k in range(100, 120)] + [(101, 0), (None, 1), (10, 1), (13, None)],
+                                "doc_id long, toxic int")
+    model = toxicity.train(odd_docs, odd, usable=F.lit(True))
+    got = toxicity.score(odd_docs, model, result_col="found").select("found").collect()
+    assert len(got) == len(docs_rows()) and all(0 <= r.found <= 1 for r in got)
+
+
 def test_rare_toxic_words_are_counted_over_all_texts(spark):
     docs, labels, rows = labelled(spark, 1500)
     rare = [r[0] for r in rows if r[0] % 7 == 0 and r[0] % 3 != 2][:22]

@@ -34,7 +34,7 @@ from crowdrank.llm.common import narrow
 from crowdrank.session import scratch_path
 
 BLOCK_TOKENS = 2_000_000
-WORD_BUCKETS = 64  # parts of a block's dictionary
+KNOWN_WORDS = 1_000_000  # encoded words that a task remembers; beyond, it starts anew (the ids are the same)
 
 _BLOCK_SCHEMA = "block long, doc_id long, n long, codes binary, bucket int, words binary, sizes binary, numbers binary"
 
@@ -104,16 +104,20 @@ def encode_corpus(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_tokens: int = BLOCK_TOKENS,
-    word_buckets: int = WORD_BUCKETS,
+    word_buckets: int | None = None,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every row's whole text as
     little-endian unsigned 32-bit integers.
 
     Equal to encoding each match of ``pattern`` by itself.  A NULL or empty
     text has no ids; repeated rows and repeated or NULL ids give a row each;
-    an empty table gives no rows.
+    an empty table gives no rows.  ``word_buckets``, the parts of the dictionary
+    and so the tasks that encode, follow the session's shuffle partitions, which
+    follow the input's size.
     """
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    word_buckets = max(64, parts) if word_buckets is None else word_buckets
     rows = narrow(docs, doc_id=id_col, text=text_col)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,11 +139,12 @@ def encode_corpus(
             yield from _block_rows(block, ids, arrays, numbers, word_buckets)
 
     table = f"bpe_blocks_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (rows.mapInPandas(split, _BLOCK_SCHEMA)
          .write.option("path", scratch_path(spark, table)).option("compression", "zstd")
          .bucketBy(parts, "block").saveAsTable(table))
     blocks = spark.table(table)
+    # The frame knows the files and their buckets by now; only the catalogue forgets them.
+    spark.sql(f"DROP TABLE {table}")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -159,6 +164,8 @@ def encode_corpus(
                     start += size
                     got = known.get(word)
                     if got is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
                         got = known[word] = bpe(word.decode())
                     counts.append(len(got))
                     flat += got

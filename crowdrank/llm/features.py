@@ -48,32 +48,45 @@ def text_shape(text: str | None) -> list[float]:
     ]
 
 
-class WordSlots(dict):
+class WordSlots:
     """lower-case word (bytes) → the slots, below 2**bits, of the word and of
-    its first four bytes, by a fixed hash."""
+    its first four bytes, by a fixed hash; ``packed`` holds both in one number."""
 
     def __init__(self, bits: int, most: int = 100_000):
+        self.bits, self.mask, self.packed = bits, (1 << bits) - 1, _Packed(bits, most)
+
+    def __getitem__(self, word: bytes) -> tuple[int, int]:
+        return self.packed[word] >> self.bits, self.packed[word] & self.mask
+
+
+class _Packed(dict):
+    def __init__(self, bits: int, most: int):
         super().__init__()
-        self.mask, self.most = (1 << bits) - 1, most
+        self.bits, self.mask, self.most = bits, (1 << bits) - 1, most
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
         bare = word.strip(_STRIP)
         hashed = xxhash.xxh3_64_intdigest
-        slots = self[word] = (hashed(bare) & self.mask, hashed(b"^" + bare[:4]) & self.mask)
-        return slots
+        both = self[word] = (hashed(bare) & self.mask) << self.bits | hashed(b"^" + bare[:4]) & self.mask
+        return both
 
 
 _STRIP = b".,;:!?\"'()[]{}<>#$%&*|-"
 
 
-def word_slots(text: str | None, slots: WordSlots) -> tuple[np.ndarray, np.ndarray]:
+def word_slots(text: str | None, slots: WordSlots, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sorted slots, counts) of the words of a whole text, without the marks
-    around them; NULL counts as empty."""
+    around them; NULL counts as empty.  With ``kept``, a flag per slot, only
+    slots that it marks."""
     words = (text or "").lower().encode("utf-8", "replace").split()
     found = Counter(words)
-    pairs = np.array([slots[w] for w in found], np.int64).reshape(-1, 2)
+    both = np.fromiter(map(slots.packed.__getitem__, found), np.int64, len(found))
     times = np.fromiter(found.values(), np.int64, len(found))
-    index, where = np.unique(pairs, return_inverse=True)
-    return index, np.bincount(where.ravel(), np.repeat(times, 2), len(index)).astype(np.int64)
+    index, times = np.concatenate([both >> slots.bits, both & slots.mask]), np.concatenate([times, times])
+    if kept is not None:
+        held = kept[index]
+        index, times = index[held], times[held]
+    index, where = np.unique(index, return_inverse=True)
+    return index, np.bincount(where.ravel(), times, len(index)).astype(np.int64)

@@ -47,8 +47,8 @@ DEFAULT_PRIOR = 0.05
 MOST_BROADCAST = 1_000_000  # toxic ids, or texts with copies; more are joined by a shuffle
 
 
-def _sparse(text: str | None, slots: WordSlots) -> tuple[np.ndarray, np.ndarray]:
-    index, count = word_slots(text, slots)
+def _sparse(text: str | None, slots: WordSlots, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    index, count = word_slots(text, slots, kept)
     return index.astype(np.int32), np.log1p(count).astype(np.float16)
 
 
@@ -112,13 +112,12 @@ def feature_table(rows: DataFrame, toxic: DataFrame, chosen: np.ndarray) -> Data
     shared = rows.sparkSession.sparkContext.broadcast(place)  # 2**20 numbers: 4 MB
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots = WordSlots(SLOT_BITS)
+        slots, kept = WordSlots(SLOT_BITS), shared.value >= 0
         for batch in batches:
-            got = [_sparse(text, slots) for text in batch["text"]]
-            got = [(shared.value[i], v) for i, v in got]
+            got = [_sparse(text, slots, kept) for text in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
-                "place": [i[i >= 0].tobytes() for i, _ in got], "value": [v[i >= 0].tobytes() for i, v in got],
+                "place": [shared.value[i].tobytes() for i, _ in got], "value": [v.tobytes() for _, v in got],
             })
 
     made = rows.select("doc_id", "text").mapInPandas(make, "doc_id long, place binary, value binary")
@@ -320,11 +319,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     @pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, bias = shared.value
-        slots = WordSlots(SLOT_BITS)
+        slots, kept = WordSlots(SLOT_BITS), weights != 0
         for batch in batches:
             out = []
             for text in batch:
-                index, value = _sparse(text, slots)
+                index, value = _sparse(text, slots, kept)
                 z = float(weights[index] @ value.astype(np.float32)) + bias
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             yield pd.Series(out, dtype="float64")

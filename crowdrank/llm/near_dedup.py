@@ -16,12 +16,21 @@ two sets x, y are linked only if they share at least
 
     t = (F_x + F_y - r (|x| + |y|)) / 2 - min(M_x, M_y)
 
-words of D, where r = (1 - s) / (1 + s) for similarity s.  So a pair across
-components is formed only if t <= 0 or if x and y share a shingle that the
-pivot lacks (one of the first r' |x| + 1 of D, as a prefix filter needs), and
-compared only if counts of M and D by hash block leave room for enough shared
-ones.  No link across components is left out, and a group of thousands of near
-copies of one text costs about as many pairs as it has members, not their square.
+words of D, where r = (1 - s) / (1 + s) for similarity s.  So two components
+can be linked only if members of theirs have t <= 0, or share a shingle that
+the pivot lacks (one of the first r' |x| + 1 of D, as a prefix filter needs).
+
+Pairs of components, not of documents, are formed from that.  One member of each
+is its centre; 1 - similarity is a metric, so with distances d to the centre
+
+    d(x, y) >= d(A, B) - d(A, x) - d(B, y)   and   d(x, y) >= d(x, B) - d(B, y),
+
+and the pair goes no further if the first exceeds 1 - s for the farthest members.
+In the pairs left over, each member is measured against the other centre, and
+documents are paired only where the second leaves room on both sides, and either
+both hold a shingle that neither's own centre has, or the shingles that each
+shares with the other centre are enough.  No link across components is left out; groups of thousands of near copies of related texts
+cost about as many comparisons as they have members, not their product.
 """
 
 from __future__ import annotations
@@ -33,17 +42,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdrank.llm.common import materialise, narrow
-from crowdrank.llm.components import connected_components
+from crowdrank.llm.components import connected_components, looked_up
 
 BANDS = 64
 ROWS = 8  # a pair at similarity 0.8 shares no band with probability 8e-6
 SKETCH_BITS = 1024
 SKETCH_MARGIN = 0.15  # five deviations of the estimate at similarity 0.8
-BLOCKS = 64
+LEVEL = 0.02  # steps of the distance to a centre by which members are paired
+SET_BATCH = 500_000  # shingles (4 MB) that leave a Python worker at once, and a set more
+HOT_CLASS = 1_000  # equal texts from which a class is a hot key
+MAX_BROADCAST_SIDES = 200_000  # rows of 64 bytes
 MAX_BROADCAST_IDS = 1_000_000  # 8 MB of ids; more are joined by a shuffle
 
 _M64 = (1 << 64) - 1
@@ -112,6 +124,11 @@ def _farthest(similarity: float) -> int:
     return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * apart / SKETCH_BITS)))
 
 
+def _differing(a: str, b: str) -> Column:
+    """XOR population count of two sketches."""
+    return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_BITS // 64))
+
+
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -139,12 +156,16 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.iloc[k:k + 512]
-                yield pd.DataFrame({
-                    "rep": part["doc_id"],
-                    "own": [shingle_set(t, shingle, hashes).view(np.int64) for t in part["text"]],
-                })
+            reps, own, held = [], [], 0
+            for rep, text in zip(batch["doc_id"], batch["text"]):
+                reps.append(rep)
+                own.append(shingle_set(text, shingle, hashes).view(np.int64))
+                held += len(own[-1])
+                if held >= SET_BATCH:
+                    yield pd.DataFrame({"rep": reps, "own": own})
+                    reps, own, held = [], [], 0
+            if reps:
+                yield pd.DataFrame({"rep": reps, "own": own})
 
     return (
         docs.join(ids, "doc_id", "left_semi").mapInPandas(make, "rep long, own array<long>")
@@ -155,9 +176,7 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar: sketches first, then sets."""
     sketches = reps.select("rep", "sketch")
-    z = sum(
-        F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SKETCH_BITS // 64)
-    )
+    z = _differing("sa", "sb")
     near = materialise(
         pairs.join(sketches.withColumnsRenamed({"rep": "a", "sketch": "sa"}), "a")
         .join(sketches.withColumnsRenamed({"rep": "b", "sketch": "sb"}), "b")
@@ -175,19 +194,123 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, p
     )
 
 
-def _blocks(missing: pd.Series, extra: pd.Series) -> pd.Series:
-    """Elements of both arrays by hash block: ``BLOCKS`` counts each.  The sum
-    of the smaller counts bounds what two such arrays share from above."""
-    count = lambda a: np.bincount(np.asarray(a, np.int64).view(np.uint64) % np.uint64(BLOCKS), minlength=BLOCKS)
-    return pd.Series([np.concatenate([count(m), count(e)]).astype(np.int32) for m, e in zip(missing, extra)])
+def _distance(a: str, b: str) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return 1 - both / (F.size(a) + F.size(b) - both)
+
+
+def _beside(rows: DataFrame, key: str, sets: DataFrame) -> DataFrame:
+    """``rows`` with ``own``, the set of ``rep``, and ``theirs``, the set of
+    ``key``.  A key of many rows is spread over a task per ``HOT_CLASS`` rows."""
+    rows = materialise(rows, "beside")
+    parts = materialise(
+        rows.groupBy(key).agg(F.ceil(F.count("*") / HOT_CLASS).cast("int").alias("parts")), "parts"
+    )
+    theirs = sets.withColumnsRenamed({"rep": key, "own": "theirs"}).join(parts, key)
+    theirs = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    placed = looked_up(rows, key, parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    return placed.drop("parts").join(sets, "rep").join(theirs, [key, "part"]).drop("part")
+
+
+def _component_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of component labels that a bucket's pivot cannot rule out."""
+    ratio = (100 - percent) / (100 + percent)
+    prefix = F.floor(ratio * (1 + 100 / percent) * F.size("own")).cast("int") + 1
+    extra = F.col("extra")
+    apart = left.select("pivot", "rep", "label").distinct()
+    own_of = materialise(
+        _beside(apart, "pivot", sets)
+        .withColumn("extra", F.array_sort(F.array_except("own", "theirs")))
+        .select(
+            "pivot", "rep", "label", F.size("own").alias("n"),
+            (F.size(extra) - ratio * F.size("own")).alias("over"), F.slice(extra, F.lit(1), prefix).alias("words"),
+        ),
+        "pivot-differences",
+    )
+    sizes = [F.min("n").alias("low"), F.max("n").alias("high")]
+    # t <= 0 needs D_x - r |x| + D_y - r |y| <= 0, as min(M_x, M_y) is at most their mean
+    within = left.select("key", "pivot", "rep").join(own_of.drop("words"), ["pivot", "rep"])
+    keyed = within.groupBy("key", "label").agg(F.min("over").alias("over"), *sizes)
+    worded = own_of.select("pivot", "label", "n", F.explode("words").alias("word"))
+    worded = worded.groupBy("pivot", "word", "label").agg(*sizes)
+
+    def paired(rows: DataFrame, on: list[str], more: Column) -> DataFrame:
+        sized = (100 * F.col("x.high") >= percent * F.col("y.low")) & (100 * F.col("y.high") >= percent * F.col("x.low"))
+        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+        return (
+            rows.alias("x").join(rows.alias("y"), same).where((F.col("x.label") < F.col("y.label")) & sized & more)
+            .select(F.col("x.label").alias("a"), F.col("y.label").alias("b")).distinct()
+        )
+
+    open_ones = keyed.groupBy("key").agg(F.count("*").alias("labels"), F.min("over").alias("least"))
+    open_ones = open_ones.where("labels > 1 and least <= 0").select("key")
+    return (
+        paired(worded, ["pivot", "word"], F.lit(True))
+        .unionByName(paired(keyed.join(open_ones, "key"), ["key"], F.col("x.over") + F.col("y.over") <= 0)).distinct()
+    )
+
+
+def _between(pairs: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of the component pairs ``pairs`` (a, b, ca,
+    cb, ra, rb, apart) that the distances to both centres leave open.
+
+    Of y's words, x can hold those of y's centre (x's ``held``), those outside it
+    that x's centre has (y's ``more``), and those that neither's centre has."""
+    far, slack = 1 - percent / 100, 1e-9
+    sides = pairs.select(
+        "a", "b", "apart", F.col("a").alias("label"), F.col("cb").alias("centre"), F.col("rb").alias("reach")
+    ).unionByName(pairs.select(
+        "a", "b", "apart", F.col("b").alias("label"), F.col("ca").alias("centre"), F.col("ra").alias("reach")
+    ))
+    sides = materialise(sides, "sides")
+    sides = F.broadcast(sides) if sides.count() <= MAX_BROADCAST_SIDES else sides
+    near = placed.join(sides, "label").where(F.col("apart") - F.col("r") - F.col("reach") <= far + slack)
+    shells = materialise(
+        _beside(near, "centre", sets)
+        .select(
+            "a", "b", "label", "rep", "r", "reach", "extra", F.size("own").alias("n"),
+            F.size(F.array_intersect("own", "theirs")).alias("held"),
+            F.size(F.array_intersect("extra", "theirs")).alias("more"), _distance("own", "theirs").alias("q"),
+        )
+        .where(F.col("q") - F.col("reach") <= far + slack),
+        "shells",
+    )
+    x, y = shells.where("label = a"), shells.where("label = b")
+    room = (F.col("x.q") - F.col("y.r") <= far + slack) & (F.col("y.q") - F.col("x.r") <= far + slack)
+
+    def paired(x: DataFrame, y: DataFrame, on: str, also: Column) -> DataFrame:
+        return (
+            x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("a", "b", on)])
+            .where(room & also).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        )
+
+    worded = lambda side: side.select("a", "b", "rep", "r", "q", F.explode("extra").alias("word"))
+    sharing = paired(worded(x), worded(y), "word", F.lit(True))
+    # Without a shared word of that kind, x and y share at most held_x + more_y words.
+    needed = percent / (100 + percent)
+    least = y.groupBy("a", "b").agg(F.min("n").alias("least"), F.max("more").alias("most"))
+    level = lambda c: F.floor(c / LEVEL).cast("int")
+    first = F.greatest(level(F.col("q") - far - slack), F.lit(0))
+    x = (
+        x.drop("extra").join(least, ["a", "b"])
+        .where(F.col("held") + F.col("most") >= needed * (F.col("n") + F.col("least")) - slack)
+        .withColumn("level", F.explode(F.sequence(first, F.greatest(first, level(F.col("reach"))))))
+    )
+    y = y.drop("extra").withColumn("level", level(F.col("r")))
+    enough = needed * (F.col("x.n") + F.col("y.n")) - slack
+    counted = paired(
+        x, y, "level", (F.col("x.held") + F.col("y.more") >= enough) & (F.col("y.held") + F.col("x.more") >= enough)
+    )
+    return sharing.unionByName(counted).distinct()
 
 
 def _across(
-    members: DataFrame, pivots: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, percent: int
+    members: DataFrame, pivots: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int
 ) -> DataFrame:
-    """The pairs (a, b) in different components that a bucket's pivot cannot rule out."""
+    """The pairs (a, b) in different components that neither a bucket's pivot
+    nor the components' centres can rule out."""
     named = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", "n", F.coalesce("component", "rep").alias("label")
+        "key", "rep", F.coalesce("component", "rep").alias("label")
     )
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     left = materialise(
@@ -195,59 +318,55 @@ def _across(
         .join(pivots.select("key", F.col("a").alias("pivot")), "key").where("rep <> pivot"),
         "mixed-buckets",
     )
-    apart = left.select("pivot", "rep", "label").distinct()
     ids = materialise(
-        apart.select("pivot").unionByName(apart.select(F.col("rep").alias("pivot"))).distinct().toDF("doc_id"),
-        "pair-ids",
+        left.select("pivot").unionByName(left.select(F.col("rep").alias("pivot"))).distinct().toDF("doc_id"), "pair-ids"
     )
     sets = materialise(_sets(docs, ids, shingle), "shingle-sets")
-    own_of = materialise(
-        apart.join(sets, "rep")
-        .join(sets.withColumnsRenamed({"rep": "pivot", "own": "theirs"}), "pivot")
-        .withColumn("extra", F.array_sort(F.array_except("own", "theirs")))
-        .withColumn("lacks", F.array_except("theirs", "own"))
-        .withColumn("blocks", F.pandas_udf(_blocks, "array<int>")("lacks", "extra"))
-        .withColumn("missing", F.size("lacks"))
-        .select(
-            "pivot", "rep", "label", F.size("own").alias("n"), "missing",
-            (F.col("missing") + F.size("extra")).alias("f"), "extra", "blocks",
-        ),
-        "pivot-differences",
+    joined = materialise(_component_pairs(left, sets, percent), "component-pairs")
+
+    wanted = joined.select("a").union(joined.select("b")).distinct().toDF("label")
+    people = left.groupBy("label", "rep").agg(F.count("*").alias("held")).join(wanted, "label")
+    centres = people.groupBy("label").agg(
+        F.max(F.struct("held", (-F.col("rep")).alias("r"))).alias("top"), F.count("*").alias("n")
+    ).select("label", (-F.col("top.r")).alias("centre"), "n")
+    centres = materialise(centres, "centres")
+    around = looked_up(people.select("label", "rep"), "label", centres.where("n > 1")).where("rep <> centre")
+    placed = materialise(
+        _beside(around, "centre", sets)
+        .select("label", "rep", _distance("own", "theirs").alias("r"), F.array_except("own", "theirs").alias("extra"))
+        .unionByName(centres.select(
+            "label", F.col("centre").alias("rep"), F.lit(0.0).alias("r"), F.array().cast("array<long>").alias("extra")
+        )),
+        "placed",
     )
-    ratio = (100 - percent) / (100 + percent)
-
-    def needed(x: str, y: str):
-        f, n = F.col(f"{x}.f") + F.col(f"{y}.f"), F.col(f"{x}.n") + F.col(f"{y}.n")
-        return f - ratio * n - 2 * F.least(F.col(f"{x}.missing"), F.col(f"{y}.missing"))
-
-    other = F.col("x.label") < F.col("y.label")
-    sized = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    pair = [F.col("x.pivot").alias("pivot"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
-    prefix = F.floor(ratio * (1 + 100 / percent) * F.col("n")).cast("int") + 1
-    words = own_of.select(
-        "pivot", "rep", "label", "n", "missing", "f",
-        F.explode(F.slice("extra", F.lit(1), prefix)).alias("word"),
-    )
-    sharing = (
-        words.alias("x").join(words.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.word") == F.col("y.word")))
-        .where(other & sized & (needed("x", "y") > 0)).select(*pair)
+    described = materialise(
+        centres.join(placed.groupBy("label").agg(F.max("r").alias("reach")), "label")
+        .join(reps.select(F.col("rep").alias("centre"), "sketch"), "centre").select("label", "centre", "reach", "sketch"),
+        "described",
     )
-    bound = left.select("key", "pivot", "rep").join(own_of.drop("extra", "blocks"), ["pivot", "rep"])
-    unbound = (
-        bound.alias("x").join(bound.alias("y"), F.col("x.key") == F.col("y.key"))
-        .where(other & sized & (needed("x", "y") <= 0)).select(*pair)
+    side = lambda label, c: described.select(
+        F.col("label").alias(label), F.col("centre").alias(f"c{c}"), F.col("reach").alias(f"r{c}"), F.col("sketch").alias(f"s{c}")
     )
-    stats = own_of.select("pivot", "rep", "n", "f", "blocks")
-    shared = F.aggregate(
-        F.zip_with("x.blocks", "y.blocks", lambda a, b: F.least(a, b)), F.lit(0), lambda total, c: total + c
+    z = _differing("sa", "sb")
+    alike = 1 + SKETCH_BITS / (4 * BANDS * ROWS) * F.log(F.greatest(1 - 2 * z / SKETCH_BITS, F.lit(1e-9)))
+    roomy = F.col("ra") + F.col("rb")
+    sketched = (
+        joined.join(side("a", "a"), "a").join(side("b", "b"), "b")
+        .where(alike >= percent / 100 - SKETCH_MARGIN - 2 * roomy).drop("sa", "sb").distinct()
     )
-    room = 2 * shared >= F.col("x.f") + F.col("y.f") - ratio * (F.col("x.n") + F.col("y.n"))
-    return (
-        sharing.unionByName(unbound).distinct().alias("p")
-        .join(stats.alias("x"), (F.col("p.pivot") == F.col("x.pivot")) & (F.col("p.a") == F.col("x.rep")))
-        .join(stats.alias("y"), (F.col("p.pivot") == F.col("y.pivot")) & (F.col("p.b") == F.col("y.rep")) & room)
-        .select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+    hopeful = materialise(sketched, "hopeful")
+    single = hopeful.where("ra + rb = 0").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    wide = materialise(
+        hopeful.where("ra + rb > 0")
+        .join(sets.withColumnsRenamed({"rep": "ca", "own": "oa"}), "ca")
+        .join(sets.withColumnsRenamed({"rep": "cb", "own": "ob"}), "cb")
+        .withColumn("apart", _distance("oa", "ob")).drop("oa", "ob")
+        .where(F.col("apart") - F.col("ra") - F.col("rb") <= 1 - percent / 100 + 1e-9),
+        "open-components",
     )
+    if wide.isEmpty():
+        return single.distinct()
+    return single.unionByName(_between(wide, placed, sets, percent)).distinct()
 
 
 def near_duplicates(
@@ -268,16 +387,18 @@ def near_duplicates(
     usable = marks.where("doc_id is not null and n > 0")
     reps = materialise(
         usable.groupBy("set_id").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"),
+            F.min("doc_id").alias("rep"), F.count("*").alias("held"), F.first("n").alias("n"),
             F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
-        ).drop("set_id"),
+        ),
         "classes",
     )
-    copies = (
-        usable.select("doc_id", "set_id")
-        .join(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "set_id")
-        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    )
+    repeated = reps.where("held > 1").select("set_id", "rep", "held")
+    hot = repeated.where(F.col("held") > HOT_CLASS).select("set_id", F.col("rep").alias("hot"))
+    copies = looked_up(usable.select("doc_id", "set_id"), "set_id", hot)
+    copies = copies.where("hot is not null").select(F.col("doc_id").alias("a"), F.col("hot").alias("b")).unionByName(
+        copies.where("hot is null").join(repeated.where(F.col("held") <= HOT_CLASS), "set_id")
+        .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    ).where("a <> b")
 
     banded = reps.select(F.explode("bands").alias("key"), "rep", "n")
     shared = banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -295,7 +416,7 @@ def near_duplicates(
     links = materialise(_confirm(stars, reps, known, shingle, percent), "links")
 
     found = connected_components(links)
-    across = _across(members, pivots, found, known, shingle, percent).join(stars, ["a", "b"], "left_anti")
+    across = _across(members, pivots, found, reps, known, shingle, percent).join(stars, ["a", "b"], "left_anti")
     more = _confirm(materialise(across, "across"), reps, known, shingle, percent)
 
     named_nodes = connected_components(links.unionByName(more).unionByName(copies))

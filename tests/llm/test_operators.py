@@ -151,11 +151,60 @@ def test_near_duplicates_of_chained_copies(spark):
     assert got == brute_components(rows, 2, 80)
 
 
+def related_clusters(each, clusters=3, words=120):
+    """Clusters of near copies; texts of different clusters are alike, but not enough for a link."""
+    rng, rows = np.random.default_rng(each), []
+    common = [f"w{i}" for i in range(words)]
+    for c in range(clusters):
+        base = list(common)
+        for at in range(c, words, 24):
+            base[at] = f"own{c}_{at}"
+        for k in range(each):
+            text = list(base)
+            text[int(rng.integers(0, words))] = f"x{c}_{k}"
+            rows.append((c * 10_000 + k, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [1_000, 7])
+def test_related_clusters_are_not_paired_member_by_member(spark, monkeypatch, hot):
+    """Pairs across clusters grow with the members, not with their product."""
+    monkeypatch.setattr(near_dedup, "HOT_CLASS", hot)
+    if hot == 7:  # the ways beyond the broadcast bounds
+        monkeypatch.setattr(components, "MAX_BROADCAST_ROWS", 0)
+        monkeypatch.setattr(near_dedup, "MAX_BROADCAST_SIDES", 0)
+    formed, real, sizes = [], near_dedup._across, (20, 60) if hot > 7 else (40,)
+    monkeypatch.setattr(near_dedup, "_across", lambda *given: formed.append(real(*given)) or formed[-1])
+    for each in sizes:
+        rows = related_clusters(each)
+        docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string").repartition(4)
+        got = Counter(map(tuple, near_dedup.near_duplicates(docs, shingle=2).collect()))
+        assert got == brute_components(rows + rows[:9], 2, 80)
+        assert len({c for _, _, c, _ in got}) == 3 and formed[-1].count() <= 2 * each
+
+
+def test_wide_clusters_keep_their_links(spark):
+    """Chains whose members lie far from any centre, with a few links between chains."""
+    rng, rows, ends = np.random.default_rng(11), [], []
+    common = [f"w{i}" for i in range(90)]
+    for chain in range(8):
+        words = list(common)
+        for k in range(25):
+            for at in rng.integers(0, 90, 3):
+                words[at] = f"c{chain}_{rng.integers(0, 40)}" if rng.random() < 0.6 else common[at]
+            rows.append((len(rows) * 3 + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, near_dedup.near_duplicates(docs, shingle=2).collect()))
+    assert got == brute_components(rows, 2, 80)
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_components_of_a_long_chain(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "MAX_BROADCAST_ROWS", most)
     edges = [(i, i + 1) for i in range(200)] + [(500, 500), (601, 600), (600, 601), (None, 3)]
     got = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(201)}, 600: 600, 601: 600}

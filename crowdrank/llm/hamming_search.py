@@ -94,9 +94,7 @@ def search(
         coded.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1), "code-members"
     )
     entries = members.groupBy("code").agg(F.count("*").alias("held"), F.min("vec_id").alias("low"))
-    index = materialise(
-        _segments(entries, "code", bits).join(entries, "code"), "segment-index"
-    )
+    index = materialise(_segments(entries, "code", bits, "held", "low"), "segment-index")
     asked = materialise(
         queries.select(F.col(id_col).alias("query_id")).distinct()
         .join(coded.withColumnRenamed("vec_id", "query_id"), "query_id").withColumnRenamed("code", "asked"),
@@ -114,8 +112,10 @@ def search(
             "asked", "bound", "segment", F.explode(listed).alias("mask"), "value"
         ).select("asked", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         apart = F.col("asked").bitwiseXOR(F.col("code"))
+        # Spark's size estimate knows nothing of the masks: without the hint it
+        # broadcasts all probes through the driver.
         fresh = (
-            probes.join(index, ["segment", "value"])
+            probes.hint("merge").join(index, ["segment", "value"])
             .where((F.bit_count(apart) <= F.col("bound")) & _first_found(apart, radius, segments))
             .select("asked", "code", "held", "low", F.bit_count(apart).alias("distance"))
         )

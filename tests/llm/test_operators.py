@@ -351,6 +351,25 @@ def test_search_is_exact_with_ties_and_hot_codes(spark):
     assert hamming_search.search(few, few, k=5).count() == 6
 
 
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    """A few queries make thousands of probes, which must not pass through the driver."""
+    plans, write = [], hamming_search.materialise
+
+    def noted(df, name, *more):
+        if name == "nearest-codes":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *more)
+
+    monkeypatch.setattr(hamming_search, "materialise", noted)
+    vectors = np.random.default_rng(5).normal(size=(40, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    hamming_search.search(df, df.where("vec_id < 2"), k=3)
+    assert plans
+    for plan in plans:
+        probing = [line for line in plan.splitlines() if "Join" in line and "segment" in line]
+        assert probing and all("SortMergeJoin" in line for line in probing)
+
+
 def test_codes_of_odd_vectors(spark):
     long = [1.0] * 64 + [-2.0] + [0.5] * 10_000
     rows = [

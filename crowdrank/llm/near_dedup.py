@@ -26,11 +26,12 @@ is its centre; 1 - similarity is a metric, so with distances d to the centre
     d(x, y) >= d(A, B) - d(A, x) - d(B, y)   and   d(x, y) >= d(x, B) - d(B, y),
 
 and the pair goes no further if the first exceeds 1 - s for the farthest members.
-In the pairs left over, each member is measured against the other centre, and
-documents are paired only where the second leaves room on both sides, and either
-both hold a shingle that neither's own centre has, or the shingles that each
-shares with the other centre are enough.  No link across components is left out; groups of thousands of near copies of related texts
-cost about as many comparisons as they have members, not their product.
+In the pairs left over, the centre of the larger component is the pivot P again:
+the smaller one's members are measured against it, and documents are paired only
+where t <= 0, or where they share one of the rarest D - t + 1 words of both
+D's and t words in all.  No link across components is left out; groups of thousands of near copies
+of related texts cost about as many comparisons as they have members, not their
+product.
 """
 
 from __future__ import annotations
@@ -52,7 +53,6 @@ BANDS = 64
 ROWS = 8  # a pair at similarity 0.8 shares no band with probability 8e-6
 SKETCH_BITS = 1024
 SKETCH_MARGIN = 0.15  # five deviations of the estimate at similarity 0.8
-LEVEL = 0.02  # steps of the distance to a centre by which members are paired
 SET_BATCH = 500_000  # shingles (4 MB) that leave a Python worker at once, and a set more
 HOT_CLASS = 1_000  # equal texts from which a class is a hot key
 MAX_BROADCAST_SIDES = 200_000  # rows of 64 bytes
@@ -252,54 +252,86 @@ def _component_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 def _between(pairs: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of members of the component pairs ``pairs`` (a, b, ca,
-    cb, ra, rb, apart) that the distances to both centres leave open.
+    cb, ra, rb, na, nb, apart) that the larger component's centre leaves open.
 
-    Of y's words, x can hold those of y's centre (x's ``held``), those outside it
-    that x's centre has (y's ``more``), and those that neither's centre has."""
-    far, slack = 1 - percent / 100, 1e-9
+    That centre is the pivot: only the members y of the smaller component are
+    measured against it, those of the larger, x, have been.  So a component of
+    many members costs its partners' members, not its own once per partner."""
+    far, slack, ratio = 1 - percent / 100, 1e-9, (100 - percent) / (100 + percent)
+    to_a = F.col("na") >= F.col("nb")
     sides = pairs.select(
-        "a", "b", "apart", F.col("a").alias("label"), F.col("cb").alias("centre"), F.col("rb").alias("reach")
-    ).unionByName(pairs.select(
-        "a", "b", "apart", F.col("b").alias("label"), F.col("ca").alias("centre"), F.col("ra").alias("reach")
-    ))
+        F.when(to_a, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(to_a, F.col("b")).otherwise(F.col("a")).alias("label"),
+        F.when(to_a, F.col("ca")).otherwise(F.col("cb")).alias("centre"),
+        F.when(to_a, F.col("ra")).otherwise(F.col("rb")).alias("reach"), "apart",
+    )
     sides = materialise(sides, "sides")
-    sides = F.broadcast(sides) if sides.count() <= MAX_BROADCAST_SIDES else sides
-    near = placed.join(sides, "label").where(F.col("apart") - F.col("r") - F.col("reach") <= far + slack)
-    shells = materialise(
+    near = placed.select("label", "rep", "r").join(
+        F.broadcast(sides) if sides.count() <= MAX_BROADCAST_SIDES else sides, "label"
+    ).where(F.col("apart") - F.col("r") - F.col("reach") <= far + slack)
+    lacking, lost = F.array_except("own", "theirs"), F.size(F.array_except("theirs", "own"))
+    y = materialise(
         _beside(near, "centre", sets)
         .select(
-            "a", "b", "label", "rep", "r", "reach", "extra", F.size("own").alias("n"),
-            F.size(F.array_intersect("own", "theirs")).alias("held"),
-            F.size(F.array_intersect("extra", "theirs")).alias("more"), _distance("own", "theirs").alias("q"),
+            "large", "rep", "reach", F.size("own").alias("n"), lacking.alias("extra"), lost.alias("m"),
+            _distance("own", "theirs").alias("q"),
         )
-        .where(F.col("q") - F.col("reach") <= far + slack),
+        .where(F.col("q") - F.col("reach") <= far + slack)
+        .withColumn("d", F.size("extra")),
         "shells",
     )
-    x, y = shells.where("label = a"), shells.where("label = b")
-    room = (F.col("x.q") - F.col("y.r") <= far + slack) & (F.col("y.q") - F.col("x.r") <= far + slack)
-
-    def paired(x: DataFrame, y: DataFrame, on: str, also: Column) -> DataFrame:
-        return (
-            x.alias("x").join(y.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("a", "b", on)])
-            .where(room & also).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    x = materialise(
+        placed.withColumnRenamed("label", "large").join(y.select("large").distinct(), "large", "left_semi")
+        .withColumn("d", F.size("extra")),
+        "facing",
+    )
+    # t of the module's docstring is at least (u_x + u_y) / 2 and (v_x + v_y) / 2 - M of either side.
+    u, v = F.col("d") - ratio * F.col("n"), F.col("d") + F.col("m") - ratio * F.col("n")
+    least = lambda side: side.groupBy("large").agg(F.min(u).alias("u"), F.min(v).alias("v"))
+    of_x, of_y = materialise(least(x), "least-of-large"), materialise(least(y), "least-of-small")
+    held = x.select("large", F.explode("extra").alias("word")).groupBy("large", "word").agg(F.count("*").alias("held"))
+    held = materialise(held.join(y.select("large", F.explode("extra").alias("word")).distinct(), ["large", "word"]), "held-words")
+
+    def worded(side: DataFrame, other: DataFrame, *more: str) -> DataFrame:
+        """The words that a pair sharing t words of D needs: the first d - t + 1, the rarest first."""
+        bounded = side.join(other.withColumnsRenamed({"u": "ou", "v": "ov"}), "large")
+        needed = F.greatest((u + F.col("ou")) / 2, (v + F.col("ov")) / 2 - F.col("m"), F.lit(1.0))
+        words = bounded.withColumn("first", F.col("d") - F.ceil(needed - slack) + 1).where("first > 0").select(
+            "large", "rep", "n", "d", "m", "first", *more, F.explode("extra").alias("word")
         )
-
-    worded = lambda side: side.select("a", "b", "rep", "r", "q", F.explode("extra").alias("word"))
-    sharing = paired(worded(x), worded(y), "word", F.lit(True))
-    # Without a shared word of that kind, x and y share at most held_x + more_y words.
-    needed = percent / (100 + percent)
-    least = y.groupBy("a", "b").agg(F.min("n").alias("least"), F.max("more").alias("most"))
-    level = lambda c: F.floor(c / LEVEL).cast("int")
-    first = F.greatest(level(F.col("q") - far - slack), F.lit(0))
-    x = (
-        x.drop("extra").join(least, ["a", "b"])
-        .where(F.col("held") + F.col("most") >= needed * (F.col("n") + F.col("least")) - slack)
-        .withColumn("level", F.explode(F.sequence(first, F.greatest(first, level(F.col("reach"))))))
+        found = words.join(held, ["large", "word"])
+        # Words that no pair shares come first in the order: they hold the places before the found ones.
+        shared = found.groupBy("large", "rep", "n", "d", "m", "first", *more).agg(
+            F.array_sort(F.collect_list(F.struct("held", "word"))).alias("words")
+        )
+        placed_at = shared.select("*", F.posexplode("words").alias("at", "w")).withColumn(
+            "at", F.col("d") - F.size("words") + F.col("at") + 1
+        )
+        return placed_at.where("at <= first").select("large", "rep", "n", "d", "m", "at", *more, F.col("w.word").alias("word"))
+
+    shared_least = (F.col("x.d") + F.col("x.m") + F.col("y.d") + F.col("y.m") - ratio * (F.col("x.n") + F.col("y.n"))) / 2
+    t = shared_least - F.least("x.m", "y.m") - slack
+    sized = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    room = F.col("y.q") - F.col("x.r") <= far + slack
+    first = lambda c: F.col(f"{c}.at") <= F.col(f"{c}.d") - F.ceil(t) + 1
+    sharing = (
+        worded(x, of_y, "r").alias("x")
+        .join(worded(y, of_x, "q").alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("large", "word")])
+        .where((t > 0) & first("x") & first("y") & sized & room)
+        .select("x.large", F.col("x.rep").alias("xr"), F.col("y.rep").alias("yr"), t.alias("t")).distinct()
+        .join(x.select("large", F.col("rep").alias("xr"), F.col("extra").alias("ex")), ["large", "xr"])
+        .join(y.select("large", F.col("rep").alias("yr"), F.col("extra").alias("ey")), ["large", "yr"])
+        .where(F.size(F.array_intersect("ex", "ey")) >= F.col("t"))
+        .select(F.least("xr", "yr").alias("a"), F.greatest("xr", "yr").alias("b"))
+    )
+    # t <= 0 is told by the numbers d and n (m follows): each pair of them is compared once.
+    numbers = materialise(x.select("large", "d", "n", "m").distinct(), "numbers")
+    free = y.drop("extra").join(of_x.select("large", F.col("u").alias("ou")), "large").where(u + F.col("ou") <= 3 * slack)
+    chosen = (
+        numbers.alias("x").join(free.alias("y"), F.col("x.large") == F.col("y.large")).where((t <= 0) & sized)
+        .select("x.large", "x.d", "x.n", F.col("y.rep").alias("other"), "y.q")
     )
-    y = y.drop("extra").withColumn("level", level(F.col("r")))
-    enough = needed * (F.col("x.n") + F.col("y.n")) - slack
-    counted = paired(
-        x, y, "level", (F.col("x.held") + F.col("y.more") >= enough) & (F.col("y.held") + F.col("x.more") >= enough)
+    counted = x.drop("extra").join(chosen, ["large", "d", "n"]).where(F.col("q") - F.col("r") <= far + slack).select(
+        F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")
     )
     return sharing.unionByName(counted).distinct()
 
@@ -333,19 +365,26 @@ def _across(
     around = looked_up(people.select("label", "rep"), "label", centres.where("n > 1")).where("rep <> centre")
     placed = materialise(
         _beside(around, "centre", sets)
-        .select("label", "rep", _distance("own", "theirs").alias("r"), F.array_except("own", "theirs").alias("extra"))
-        .unionByName(centres.select(
-            "label", F.col("centre").alias("rep"), F.lit(0.0).alias("r"), F.array().cast("array<long>").alias("extra")
-        )),
+        .select(
+            "label", "rep", _distance("own", "theirs").alias("r"), F.array_except("own", "theirs").alias("extra"),
+            F.size("own").alias("n"), F.size(F.array_except("theirs", "own")).alias("m"),
+        )
+        .unionByName(
+            centres.select("label", F.col("centre").alias("rep")).join(sets, "rep").select(
+                "label", "rep", F.lit(0.0).alias("r"), F.array().cast("array<long>").alias("extra"),
+                F.size("own").alias("n"), F.lit(0).alias("m"),
+            )
+        ),
         "placed",
     )
     described = materialise(
         centres.join(placed.groupBy("label").agg(F.max("r").alias("reach")), "label")
-        .join(reps.select(F.col("rep").alias("centre"), "sketch"), "centre").select("label", "centre", "reach", "sketch"),
+        .join(reps.select(F.col("rep").alias("centre"), "sketch"), "centre").select("label", "centre", "reach", "sketch", "n"),
         "described",
     )
     side = lambda label, c: described.select(
-        F.col("label").alias(label), F.col("centre").alias(f"c{c}"), F.col("reach").alias(f"r{c}"), F.col("sketch").alias(f"s{c}")
+        F.col("label").alias(label), F.col("centre").alias(f"c{c}"), F.col("reach").alias(f"r{c}"), F.col("sketch").alias(f"s{c}"),
+        F.col("n").alias(f"n{c}"),
     )
     z = _differing("sa", "sb")
     alike = 1 + SKETCH_BITS / (4 * BANDS * ROWS) * F.log(F.greatest(1 - 2 * z / SKETCH_BITS, F.lit(1e-9)))

@@ -198,6 +198,29 @@ def test_wide_clusters_keep_their_links(spark):
     assert got == brute_components(rows, 2, 80)
 
 
+def test_large_cluster_is_not_measured_against_every_partner(spark, monkeypatch):
+    """Many single texts beside one large cluster: comparisons with centres grow with the rows."""
+    rng, words = np.random.default_rng(12), [f"w{i}" for i in range(100)]
+    rows = []
+    for k in range(120):
+        text = list(words)
+        for at in rng.integers(0, 100, 2 if k < 80 else 9):
+            text[at] = f"x{rng.integers(0, 9)}_{k if k % 3 else at}"
+        rows.append((k, " ".join(text)))
+    measured, real = [], near_dedup._beside
+
+    def noted(given, key, sets):
+        if key == "centre":
+            measured.append(given.count())
+        return real(given, key, sets)
+
+    monkeypatch.setattr(near_dedup, "_beside", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, near_dedup.near_duplicates(docs, shingle=2).collect()))
+    assert got == brute_components(rows, 2, 80)
+    assert len(measured) == 2 and sum(measured) <= 2 * len(rows)
+
+
 def test_near_duplicates_of_nothing(no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 

@@ -33,6 +33,19 @@ WS_RUN = f"[{WS}]+"                           # one or more whitespace
 NON_WS_RUN = f"[^{WS}]+"                      # one or more non-whitespace
 
 
+def _java_whitespace_class_body() -> str:
+    """The same class for Java alone, written so that other characters leave it
+    early: a bitmap below U+0100, and one range around all that lie above."""
+    points = [c for c in range(0x110000) if chr(c).isspace()]
+    low, high = ([f"\\x{{{c:x}}}" for c in points if (c < 256) == below] for below in (True, False))
+    return "".join(low) + f"[{high[0]}-{high[-1]}&&[{''.join(high)}]]"
+
+
+_JAVA_WS = _java_whitespace_class_body()
+#: Java only: the runs of whitespace that are not one plain space.
+WS_CHANGED = f" [{_JAVA_WS}]+|[{_JAVA_WS}&&[^ ]][{_JAVA_WS}]*+"
+
+
 def quote_literal(word: str) -> str:
     """Quote a literal for Java regex and RE2 alike (both know \\Q...\\E)."""
     if "\\E" in word:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdrank.functions.markup import strip_elements
-from crowdrank.functions.patterns import NON_WS_RUN, WS_RUN
+from crowdrank.functions.patterns import NON_WS_RUN, WS_CHANGED
 
 URL_PATTERN = r"(?:https?://|www\.)" + NON_WS_RUN
 
@@ -184,7 +184,7 @@ def strip_urls(text: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Each run of whitespace (Python's definition) → one space; no trim."""
-    return F.regexp_replace(text, WS_RUN, " ")
+    return F.regexp_replace(text, WS_CHANGED, " ")
 
 
 def with_clean_text(df: DataFrame, src: str = "text", out: str = "clean_text") -> DataFrame:

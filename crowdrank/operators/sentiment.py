@@ -52,7 +52,6 @@ from crowdrank.functions.terms import (
     Phrase,
     PhraseTrie,
     count_phrases_in,
-    count_tokens_in,
     matched_phrases,
     normalized_phrases,
     normalized_tokens,
@@ -133,17 +132,15 @@ class LexiconScorer:
 
     def sums(self, normalized: Column) -> Column:
         """struct(total, absolute) over a column of ``normalized``, no
-        shuffle and no key: one count per distinct weight, or, when
-        that takes many, one lookup per token.  Both give the same sums."""
+        shuffle and no key: one lookup per token, or, for a few phrases,
+        one count per distinct weight.  Both give the same sums."""
         groups = self.by_weight()
-        if len(groups) > MAX_REGEX_WEIGHTS or sum(map(len, groups.values())) > MAX_REGEX_WORDS:
+        if len(groups) > MAX_REGEX_WEIGHTS or sum(map(len, groups.values())) > MAX_REGEX_WORDS or not self.has_phrases():
             return _lookup_sums(self.phrases())(normalized)
-        if self.has_phrases():
-            return F.transform(
-                F.array(matched_phrases(normalized, self.phrases())),  # found once, counted per weight
-                lambda matched: _weighted(groups, lambda phrases: count_phrases_in(matched, phrases)),
-            )[0]
-        return _weighted(groups, lambda phrases: count_tokens_in(normalized, (p[0] for p in phrases)))
+        return F.transform(
+            F.array(matched_phrases(normalized, self.phrases())),  # found once, counted per weight
+            lambda matched: _weighted(groups, lambda phrases: count_phrases_in(matched, phrases)),
+        )[0]
 
     def lexicon_table(self, spark) -> DataFrame:
         """(term, weight): ``table`` as given, else the terms of ``weights``."""
@@ -174,15 +171,25 @@ def _weighted(groups: Mapping[float, list[Phrase]], count: Callable[[list[Phrase
 
 
 def _lookup_sums(weights: Mapping[Phrase, float]) -> Callable[[Column], Column]:
-    """Summed and absolute weights of the phrases of a normalised text, found
-    in a token trie (weights are added in ascending order, as the native sums)."""
+    """Summed and absolute weights of the phrases of a normalised text (weights
+    are added in ascending order, as the native sums).  Single tokens are
+    looked up in one count of the text's tokens, others found in a token trie."""
+    single = {phrase[0]: weight for phrase, weight in weights.items()} if all(len(p) == 1 for p in weights) else None
+
+    def tallied(text: str, trie: PhraseTrie | None) -> Counter:
+        if trie is not None:
+            return Counter(trie.found(text.split()))
+        counts, found = Counter(text.split()), Counter()
+        for token in single.keys() & counts.keys():
+            found[single[token]] += counts[token]
+        return found
 
     @F.pandas_udf("total double, absolute double")
     def look_up(texts: pd.Series) -> pd.DataFrame:
-        trie = PhraseTrie(weights)
+        trie = PhraseTrie(weights) if single is None else None
         out = []
         for text in texts:
-            found = sorted(Counter(trie.found((text or "").split())).items())
+            found = sorted(tallied(text or "", trie).items())
             out.append((sum(w * n for w, n in found), sum(abs(w) * n for w, n in found)))
         return pd.DataFrame(out, columns=["total", "absolute"]).astype("float64")
 

@@ -499,7 +499,7 @@ def text_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 texts: clean text → detected language → routed lexicon sentiment
     → scores per source → recommendation."""
     comments = TB.documents_comments(spark, sf_dir).drop("language").filter(F.col("text").isNotNull())
-    prepared = LG.with_language(_with_clean_text(comments, "text", "clean_text"), "clean_text", "language")
+    prepared = LG.with_language(_with_clean_text(comments, "text", "clean_text"), "clean_text", "language", by_lookup=True)
     scored = SE.score_sentiment(prepared, LEXICON_SCORERS, drop_missing=False)
     return rounded(R.recommendation_report(R.recommendation(S.video_scores(scored))))
 

@@ -137,7 +137,7 @@ def prepare_comments(comments_raw: DataFrame, videos: DataFrame, params: RankerP
         of_kept, params.num_comments, order=list(params.comment_order), buckets=C.tree_buckets(comments_raw)
     )
     capped = capped.filter(F.col("text").isNotNull())
-    return with_language(with_clean_text(capped, "text", "clean_text"), "clean_text", "language")
+    return with_language(with_clean_text(capped, "text", "clean_text"), "clean_text", "language", by_lookup=True)
 
 
 def scores_per_query(comments_scored: DataFrame, videos: DataFrame, params: RankerParams) -> DataFrame:

@@ -257,16 +257,16 @@ def join_sums(df: DataFrame, key: str, text: str, routes: list[tuple[LexiconScor
             F.sum("weight").alias(TOTAL), F.sum(F.abs("weight")).alias(ABSOLUTE)
         )
     else:
-        def grams(ws: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.size(ws))
-            at = F.flatten(F.transform(starts, lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.size(ws) - i + 1)),
-                lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(ws, i, n), " ").alias("term")),
-            )))
-            return F.when(F.size(ws) > 0, at)
-
-        placed = keyed.select("_key", "_mark", "_route", F.explode(grams(F.col("_words"))).alias("g"))
-        hits = placed.select("_key", "_mark", "_route", "g.at", "g.n", "g.term").join(lexicon, ["_route", "term"])
+        # A row per token with those that follow it (NULL past the end), then one per n.
+        shifted = F.arrays_zip(*[F.slice("_words", k + 1, F.size("_words")).alias(f"w{k}") for k in range(longest)])
+        at_each = keyed.select("_key", "_mark", "_route", F.posexplode(shifted).alias("at", "w"))
+        after = [F.col("w")[f"w{k}"] for k in range(longest)]
+        grams = F.array(*[
+            F.struct(F.lit(n).alias("n"), F.when(after[n - 1].isNotNull(), F.concat_ws(" ", *after[:n])).alias("term"))
+            for n in range(1, longest + 1)
+        ])
+        placed = at_each.select("_key", "_mark", "_route", (F.col("at") + 1).alias("at"), F.inline(grams))
+        hits = placed.where(F.col("term").isNotNull()).join(lexicon, ["_route", "term"])
         in_order = F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "weight")))
         start = F.struct(F.lit(0).alias("free"), F.lit(0.0).alias("total"), F.lit(0.0).alias("absolute"))
 

@@ -12,11 +12,14 @@ no evidence gives ``unknown``):
 
 from __future__ import annotations
 
-import math
+import sys
 from collections import Counter
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,9 @@ from crowdrank.fixed_values import UNKNOWN_LANGUAGE
 from crowdrank.functions.terms import count_tokens_in, normalized_tokens, token_words
 from crowdrank.sources.files import materialize
 
+# The functions below travel by value, so workers need not be able to import this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Stop words per language (this project's choice; extend freely).
 STOPWORDS: dict[str, tuple[str, ...]] = {
     "de": ("der", "die", "und", "das", "von", "mit", "sich", "nicht", "ist", "ein", "eine", "für"),
@@ -98,6 +104,9 @@ def with_language(
 NGRAM = 3
 MAX_PROFILE_BYTES = 32 * 1024 * 1024  # largest table of counts sent to every executor
 SCORE_DIGITS = 9  # scores that differ less are ties
+PIECE_CHARS = 1 << 20  # characters whose n-grams are counted at once
+DENSE_GRAMS = 1 << 22  # largest table with a place for every n-gram of a piece's characters
+HELD_COUNTS = 200_000  # counts that a task holds before it passes them on
 
 
 def gram_text(text: Column) -> Column:
@@ -112,17 +121,94 @@ def char_ngrams(padded: Column, n: int = NGRAM) -> Column:
     return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
 
 
+def _pieces(texts: Iterable[str | None]) -> Iterator[list[tuple[int, str]]]:
+    """(number of the text, part) lists of about ``PIECE_CHARS`` characters.
+    Long texts are cut into parts that overlap by n - 1, so that each n-gram of
+    each text lies in exactly one part."""
+    piece, size = [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text or "") - NGRAM + 1, PIECE_CHARS):
+            piece.append((i, text[at:at + PIECE_CHARS + NGRAM - 1]))
+            size += len(piece[-1][1])
+            if size >= PIECE_CHARS:
+                yield piece
+                piece, size = [], 0
+    if piece:
+        yield piece
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _piece_grams(piece: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, n-gram number) of every n-gram in the piece, and the
+    characters: a gram's number has their places as its digits."""
+    numbers, parts = zip(*piece)
+    points = _code_points("".join(parts))
+    seen = np.zeros(points.max() + 1, bool)
+    seen[points] = True
+    alphabet = np.flatnonzero(seen)
+    place = np.zeros(len(seen), np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    digits = place[points]
+    of_part = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
+    whole = of_part[:1 - NGRAM] == of_part[NGRAM - 1:]
+    grams = np.zeros(len(whole), np.int64)
+    for i in range(NGRAM):
+        grams = grams * len(alphabet) + digits[i:i + len(whole)]
+    return np.asarray(numbers)[of_part[:1 - NGRAM][whole]], grams[whole], alphabet
+
+
+def _gram_counts(texts: Iterable[str | None]) -> Iterator[tuple[str, int]]:
+    """(gram, count) over all texts; a gram comes once per piece."""
+    for piece in _pieces(texts):
+        _, grams, alphabet = _piece_grams(piece)
+        if len(alphabet) ** NGRAM <= DENSE_GRAMS:
+            counts = np.bincount(grams)
+            found = np.flatnonzero(counts)
+            counts = counts[found]
+        else:
+            found, counts = np.unique(grams, return_counts=True)
+        digits = [found // len(alphabet) ** i % len(alphabet) for i in reversed(range(NGRAM))]
+        letters = alphabet[np.stack(digits, axis=1)].astype("<u4").tobytes().decode("utf-32-le")
+        for i, n in enumerate(counts.tolist()):
+            yield letters[i * NGRAM:(i + 1) * NGRAM], n
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: Counter[tuple[str, str]] = Counter()
+
+    def passed_on() -> pa.RecordBatch:
+        langs, grams = zip(*held) if held else ((), ())
+        columns = [pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(held.values(), pa.int64())]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
+
+    for batch in batches:
+        by_lang: dict[str, list[str | None]] = {}
+        for lang, padded in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by_lang.setdefault(lang, []).append(padded)
+        for lang, texts in by_lang.items():
+            for gram, n in _gram_counts(texts):
+                held[lang, gram] += n
+                if len(held) >= HELD_COUNTS:
+                    yield passed_on()
+    yield passed_on()
+
+
 def train_ngram_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, n): how often each n-gram occurs in each language's texts.
 
-    No gram is cut off.  The counts are summed per map task before the
-    shuffle, so a language with most of the texts sends one row per gram and
-    task.
+    No gram is cut off.  Each task counts its texts' n-grams in Arrow batches
+    before the shuffle, so a language with most of the texts sends one row per
+    gram and task; no row is made for a single occurrence.
     """
-    grams = labelled.filter(F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.explode(char_ngrams(gram_text(F.col(text)))).alias("gram")
+    texts = labelled.filter(F.col(lang).isNotNull()).select(
+        F.col(lang).alias("lang"), gram_text(F.col(text)).alias("padded")
     )
-    return grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.mapInArrow(_count_batches, "lang string, gram string, n long")
+    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def ngram_languages(
@@ -150,36 +236,57 @@ def ngram_languages(
     return _languages_by_join(df, key, text, profiles, size["grams"])
 
 
+def _known_slots(grams: np.ndarray, alphabet: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each n-gram of a piece its row in ``known`` (one row of characters
+    per known gram), or ``len(known)`` where it is not known."""
+    size = len(alphabet)
+    place = np.full(max(alphabet[-1], known.max()) + 1, -1, np.int64)
+    place[alphabet] = np.arange(size)
+    digits = place[known]
+    rows = np.flatnonzero((digits >= 0).all(axis=1))
+    numbers = np.zeros(len(rows), np.int64)
+    for i in range(NGRAM):
+        numbers = numbers * size + digits[rows, i]
+    if size ** NGRAM <= DENSE_GRAMS:
+        slots = np.full(size ** NGRAM, len(known))
+        slots[numbers] = rows
+        return slots[grams]
+    if not len(rows):
+        return np.full(len(grams), len(known))
+    order = np.argsort(numbers)
+    at = np.minimum(np.searchsorted(numbers, grams, sorter=order), len(rows) - 1)
+    return np.where(numbers[order][at] == grams, rows[order][at], len(known))
+
+
 def _languages_by_lookup(df: DataFrame, key: str, text: str, profiles: DataFrame, vocabulary: int) -> DataFrame:
     counts = profiles.toPandas()  # bounded by the caller
     codes = sorted(counts["lang"].unique())
     totals = counts.groupby("lang")["n"].sum()
-    log_totals = [math.log(totals[c] + vocabulary) for c in codes]
-    place = {c: i for i, c in enumerate(codes)}
-    gains: dict[str, list[float]] = {}
-    for lang, gram, n in counts[["lang", "gram", "n"]].itertuples(index=False):
-        gains.setdefault(gram, [0.0] * len(codes))[place[lang]] = math.log(n + 1)
-    shared = df.sparkSession.sparkContext.broadcast((codes, log_totals, gains))
-
-    def language_of(padded: str | None) -> str:
-        codes, log_totals, gains = shared.value
-        hits, sums = 0, [0.0] * len(codes)
-        grams = Counter(padded[i:i + NGRAM] for i in range(len(padded or "") - NGRAM + 1))
-        for gram, n in grams.items():
-            gain = gains.get(gram)
-            if gain is not None:
-                hits += n
-                for i, g in enumerate(gain):
-                    sums[i] += n * g
-        if not hits:
-            return UNKNOWN_LANGUAGE
-        scores = [round(s / hits - t, SCORE_DIGITS) for s, t in zip(sums, log_totals)]
-        return codes[scores.index(max(scores))]
+    log_totals = np.log([totals[c] + vocabulary for c in codes])
+    gram_at, grams = pd.factorize(counts["gram"])
+    gains = np.zeros((len(codes), len(grams) + 1))  # the last for grams that are not known
+    gains[pd.Categorical(counts["lang"], codes).codes, gram_at] = np.log(counts["n"].to_numpy() + 1)
+    known = _code_points("".join(grams)).reshape(-1, NGRAM)
+    shared = df.sparkSession.sparkContext.broadcast((codes, log_totals, known, gains))
+
+    def languages_of(texts: list[str | None]) -> np.ndarray:
+        codes, log_totals, known, gains = shared.value
+        hits, sums = np.zeros(len(texts)), np.zeros((len(codes), len(texts)))
+        for piece in _pieces(texts):
+            of_text, grams, alphabet = _piece_grams(piece)
+            first = piece[0][0]  # a piece holds neighbours
+            here, of_text = slice(first, piece[-1][0] + 1), of_text - first
+            slots = _known_slots(grams, alphabet, known)
+            hits[here] += np.bincount(of_text, slots < len(known))
+            for i, gain in enumerate(gains):
+                sums[i, here] += np.bincount(of_text, gain[slots])
+        scores = np.round(sums / np.maximum(hits, 1) - log_totals[:, None], SCORE_DIGITS)
+        return np.where(hits > 0, np.array(codes, object)[scores.argmax(axis=0)], UNKNOWN_LANGUAGE)
 
     @F.pandas_udf("string")
     def best_language(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for padded in batches:
-            yield padded.map(language_of)
+            yield pd.Series(languages_of(padded.tolist()), dtype=object)
 
     return df.select(F.col(key), best_language(gram_text(F.col(text))).alias("language"))
 

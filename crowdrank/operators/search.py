@@ -44,6 +44,7 @@ BLOCK_TITLES = 1 << BLOCK_BITS
 IMPACT_SCALE = 1000
 TASK_TITLES = 1 << 17  # titles of one task while they are laid out
 TASK_BOUNDS = 1 << 19  # (query, token, block) rows of one task
+TASK_WANTED = 1 << 13  # (query, block, token) rows of one task, each of at most BLOCK_TITLES postings
 MAX_BROADCAST_ROWS = 200_000  # largest table of tokens or blocks sent to every executor
 SLICES = 16  # pieces of a token's blocks where the queries are not broadcast
 K1, B = 1.2, 0.75  # the usual BM25 constants
@@ -125,8 +126,9 @@ def _small(table: DataFrame) -> DataFrame:
 def _postings_of(chosen: DataFrame, asked: DataFrame, index: SearchIndex) -> DataFrame:
     """Scores of the titles in the chosen (query, block) pairs."""
     wanted = materialize(chosen.select("query", "block").join(asked, "query"), "wanted-blocks")
+    tasks = max(asked.sparkSession.sparkContext.defaultParallelism, -(-wanted.count() // TASK_WANTED))
     return (
-        index.postings.join(_small(wanted), ["block", "token"])
+        index.postings.join(_small(wanted), ["block", "token"]).repartition(tasks, "query", "video_id")
         .groupBy("query", "video_id", "position")
         .agg(F.sum("impact").alias("score"), F.count(F.lit(1)).alias("shared"))
     )
